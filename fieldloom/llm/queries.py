@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, topk_search
-from .common import table
+from . import bpe, language_id, quality, sharding, topk_search
+from .common import held_out, table
+
+
+#: Where the public tokenizer files are, by name; see public_tokenizers.path.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def word_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(WORD_BPE)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(~held_out(F.col("doc_id"))))
+    return language_id.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +37,30 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors.where(topk_search.is_query(F.col("vec_id"), 100)), vectors, k=10)
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_exact_topk": op3_exact_topk}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), word_bpe_path()).select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_sharding": op2_sharding,
+    "op3_exact_topk": op3_exact_topk,
+    "op5_quality": op5_quality,
+    "op6_bpe": op6_bpe,
+}
 
 ORACLE_SQL = {
     "op3_exact_topk": """
