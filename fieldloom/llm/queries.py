@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality, sharding, topk_search
+from . import bpe, language_id, pii, quality, secret_scan, sharding, topk_search
 from .common import held_out, table
 
 
@@ -54,12 +54,23 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")), secret_scan.KINDS)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secret_scan.digest(found, pii.KINDS)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_exact_topk": op3_exact_topk,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
+    "op7_secrets": op7_secrets,
+    "op8_pii": op8_pii,
 }
 
 ORACLE_SQL = {
