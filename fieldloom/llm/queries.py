@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, pii, quality, secret_scan, sharding, topk_search
+from . import bpe, decontaminate, language_id, pii, quality, secret_scan, sharding, substring_dedup, topk_search
 from .common import held_out, table
 
 
@@ -63,6 +63,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(found, pii.KINDS)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("version")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -71,6 +80,8 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
     "op8_pii": op8_pii,
+    "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL = {
