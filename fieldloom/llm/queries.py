@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, pii, quality, secret_scan, sharding, substring_dedup, topk_search
+from . import bpe, decontaminate, language_id, minhash_forest, pii, quality, secret_scan, sharding, substring_dedup, topk_search
 from .common import held_out, table
 
 
@@ -37,6 +37,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors.where(topk_search.is_query(F.col("vec_id"), 100)), vectors, k=10)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), inter=100, union=85)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -76,6 +80,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
     "op3_exact_topk": op3_exact_topk,
+    "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_secrets": op7_secrets,
