@@ -12,16 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, with its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, which executors and driver share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, local mode) a folder of this machine is used.
+    Only where that is unset (tests, local mode) a folder of this machine is used.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir().get()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back, with its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
