@@ -17,7 +17,7 @@ def learned_fill(record: DataFrame, docs: DataFrame, learned: DataFrame) -> Data
     """Missing fields filled by the first learned pattern (field_name, pattern_id, pattern) that gives two characters or more."""
     empty = record.where(missing(F.col("value"))).select("doc_id", "field_id")
     tried = empty.join(F.broadcast(checked(learned)), F.col("field_id") == F.col("field_name")).join(docs.select("doc_id", "text"), "doc_id")
-    hit = stripped(F.regexp_extract(F.col("text"), F.col("pattern"), F.lit(1)))
+    hit = stripped(F.expr("regexp_extract(text, pattern, 1)"))
     found = tried.withColumn("hit", hit).where(F.length("hit") >= 2).groupBy("doc_id", "field_id").agg(F.min_by("hit", "pattern_id").alias("filled"))
     return record.join(found, ["doc_id", "field_id"], "left").withColumn("value", F.coalesce("filled", "value")).drop("filled")
 

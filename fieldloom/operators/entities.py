@@ -56,7 +56,7 @@ def entities(docs: DataFrame, section: Section, key: str = "doc_id") -> DataFram
     )
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     if section.reopens:
-        current = F.last(F.when(F.col("closes"), F.struct(F.lit(None).cast("int").alias("no"), F.lit(None).cast("string").alias("id"))).when(F.col("opens"), F.struct("line_no", F.coalesce("opened", F.col("line_no").cast("string")))), ignorenulls=True).over(so_far)
+        current = F.last(F.when(F.col("closes"), F.struct(F.lit(None).cast("int").alias("no"), F.lit(None).cast("string").alias("id"))).when(F.col("opens"), F.struct(F.col("line_no").alias("no"), F.coalesce("opened", F.col("line_no").cast("string")).alias("id"))), ignorenulls=True).over(so_far)
         inside = marked.withColumn("e", current)
     else:
         inside = marked.withColumn("past", F.max("closes").over(so_far)).withColumn(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction
+from . import extraction, records
 
-_PARTS = (extraction,)
+_PARTS = (extraction, records)
 
 
 def queries() -> dict:

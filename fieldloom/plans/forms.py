@@ -6,6 +6,9 @@ DataFrame expressions over the given tables, so it grows with them.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +53,9 @@ def order_forms(spark: SparkSession, sf_dir: str, item_style: str = "lines") ->
             F.lit("SECTION 3 - SIGN-OFF"),
         ).alias("text"),
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir`` where that is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{uuid.uuid4().hex}"
