@@ -27,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-PIECE, LEAF, WINDOW, AGREE, CACHE = 65_536, 4096, 64, 4, 250_000
+PIECE, LEAF, WINDOW, AGREE, CACHE = 65_536, 4096, 64, 4, 200_000
+#: Punctuation that neither begins a contraction nor belongs to a special token.
+PLAIN = ".,;:!?#$%&*"
 #: White space that Python's split() also cuts at, but that is left inside the chunks here.
-OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+OTHER_SPACE = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile("[^ \t\n\r]+")
 
 
@@ -134,34 +137,79 @@ def join_pieces(tokenizer: Tokenizer, texts: list[str], parts: list[Encoded]) ->
 
 
 class CachedEncoder:
-    """Whole texts to (ids as little-endian 32-bit integers, decoded text)."""
+    """Whole texts to (ids as little-endian 32-bit integers, decoded text).
+
+    Two bounded caches: chunks as they stand between white space, and the stems of
+    chunks that are ASCII letters followed by plain punctuation, which the
+    pre-tokenizer separates in any case.
+    """
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
-        self.known: dict[str, tuple[bytes, str]] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        long = [c for c in chunks if len(c) > LEAF]
-        short = [c for c in chunks if len(c) <= LEAF]
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
+        self.parts: dict[str, tuple[bytes, str]] = {}
+
+    def _stem(self, stem: str) -> tuple[bytes, str]:
+        """A run of lower-case ASCII letters: one pre-token, whose bytes stand for themselves."""
+        got = self.parts.get(stem)
+        if got is None:
+            tokens = self.tokenizer.model.tokenize(stem)
+            got = self.parts[stem] = (np.array([t.id for t in tokens], "<u4").tobytes(), " ".join([t.value for t in tokens]))
+        return got
+
+    def _tail(self, tail: str) -> tuple[bytes, str]:
+        got = self.parts.get(tail)
+        if got is None:
+            ids = self.tokenizer.encode(tail, add_special_tokens=False).ids
+            got = self.parts[tail] = (np.array(ids, "<u4").tobytes(), self.tokenizer.decode(ids, skip_special_tokens=False))
+        return got
+
+    def _learn(self, chunks: set[str]) -> None:
+        whole = []
+        for c in chunks:
+            stem = c.rstrip(PLAIN)
+            if len(c) <= LEAF and stem.isascii() and stem.isalpha():
+                i, t = self._stem(stem.lower())
+                if len(stem) < len(c):
+                    j, u = self._tail(c[len(stem) :])
+                    i, t = i + j, f"{t} {u}"
+                self.ids[c], self.text[c] = i, t
+            else:
+                whole.append(c)
+        short = [c for c in whole if len(c) <= LEAF]
+        long = [c for c in whole if len(c) > LEAF]
         ids = [e.ids for e in self.tokenizer.encode_batch(short, add_special_tokens=False)]
         ids += [encode_tree(self.tokenizer, c).ids.tolist() for c in long]
         decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         for c, i, d in zip(short + long, ids, decoded, strict=True):
-            self.known[c] = (np.asarray(i, "<u4").tobytes(), d)
+            self.ids[c], self.text[c] = np.array(i, "<u4").tobytes(), d
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        split = [CHUNK.findall(t) if OTHER_SPACE.search(t) else t.split() for t in texts]
-        missing = {c for chunks in split for c in chunks if c not in self.known}
-        if len(self.known) + len(missing) > CACHE:
-            self.known.clear()
-            missing = {c for chunks in split for c in chunks}
+        split = [CHUNK.findall(t) if any(map(t.__contains__, OTHER_SPACE)) else t.split() for t in texts]
+        chunks = set(chain.from_iterable(split))
+        missing = chunks.difference(self.ids)
+        if len(self.ids) + len(missing) > CACHE:
+            self.ids.clear()
+            self.text.clear()
+            missing = chunks
+        if len(self.parts) > 2 * CACHE:
+            self.parts.clear()
         if missing:
-            self._learn(list(missing))
-        out = []
-        for chunks in split:
-            got = [self.known[c] for c in chunks]
-            out.append((b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[0]])))
-        return out
+            self._learn(missing)
+        return [(b"".join(map(self.ids.__getitem__, c)), " ".join(filter(None, map(self.text.__getitem__, c)))) for c in split]
+
+
+class Vocabulary:
+    """A tokenizer file's content; each Python worker makes one encoder of it and keeps it for its later tasks."""
+
+    def __init__(self, content: str):
+        self.content, self.encoder = content, None
+
+    def loaded(self) -> CachedEncoder:
+        if self.encoder is None:
+            self.encoder = CachedEncoder(load(self.content))
+        return self.encoder
 
 
 OUT = "ids binary, decoded string"
@@ -171,26 +219,26 @@ def encode(docs: DataFrame, tokenizer_path: str, piece: int = PIECE) -> DataFram
     """(doc_id, ids, decoded) of every row: ids as little-endian unsigned 32-bit integers."""
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        content = spark.sparkContext.broadcast(f.read())
+        content = spark.sparkContext.broadcast(Vocabulary(f.read()))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(batches):
-        encoder = CachedEncoder(load(content.value))
+        encoder = content.value.loaded()
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
                 got = encoder(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [g[0] for g in got], "decoded": [g[1] for g in got]})
 
     def pieces(batches):
-        tokenizer = load(content.value)
+        tokenizer = content.value.loaded().tokenizer
         for batch in batches:
             parts = [encode_tree(tokenizer, t) for t in batch["text"]]
             yield batch.assign(**{n: [getattr(p, n).astype("<u4").tobytes() for p in parts] for n in ("ids", "starts", "ends")})
 
     def joined(batch: pd.DataFrame) -> pd.DataFrame:
-        tokenizer = load(content.value)
+        tokenizer = content.value.loaded().tokenizer
         batch = batch.sort_values("pos")
         parts = [Encoded(*(np.frombuffer(x, "<u4") for x in row)) for row in zip(batch["ids"], batch["starts"], batch["ends"], strict=True)]
         e = join_pieces(tokenizer, batch["text"].tolist(), parts)
