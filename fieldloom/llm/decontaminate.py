@@ -3,7 +3,9 @@
 Spark builds the index of the (comparatively few) benchmark items: term
 frequencies, document frequencies, impacts.  Every document is cut into
 overlapping passages, long enough that any item lies whole in one of them, and
-every passage is a query.  A passage whose terms cannot reach any item's
+every passage is a query.  Terms are pairs of neighbouring words: single words of
+a language occur in so many items that no bound on them rules a passage out.  A
+passage whose terms cannot reach any item's
 threshold even with their largest impacts is skipped; the others run block-max
 WAND over the postings and retrieve all items above their thresholds.  A
 retrieved item is then verified on word shingles: its question (all but the last
@@ -16,7 +18,8 @@ Defined results
 ---------------
 * null texts and texts without words match nothing; items without text or words
   are left out; items with the same words are each reported.
-* an item shorter than five words counts as one shingle.
+* an item shorter than five words counts as one shingle; items of one word have
+  no pair and are left out.
 * a document and item are reported once, with the best passage's figures.
 * ``threshold`` is the share of an item's BM25 score against itself that a
   passage must reach.
@@ -28,7 +31,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -46,6 +49,10 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def terms_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in pairwise(words)]
+
+
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
@@ -68,7 +75,8 @@ class Index:
     questions: list[set] = field(default_factory=list)
     answers: list[set] = field(default_factory=list)
     limits: list[float] = field(default_factory=list)  # score that a passage must reach
-    terms: dict[str, int] = field(default_factory=dict)
+    words: dict[str, int] = field(default_factory=dict)
+    codes: np.ndarray | None = None  # of each term, ascending: first word * number of words + second word
     postings: list[tuple[list[int], list[float], list[float]]] = field(default_factory=list)  # items, impacts, block maxima
     most: np.ndarray | None = None  # largest impact per term
     longest: int = 1
@@ -124,14 +132,17 @@ class Index:
         out: dict[int, tuple[float, float, float]] = {}
         if not self.ids or not words:
             return out
-        known = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
-        bounds = np.where(known >= 0, self.most[known], 0.0)
+        known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        pairs = np.where((known[:-1] >= 0) & (known[1:] >= 0), known[:-1] * len(self.words) + known[1:], -1)
+        at = np.minimum(np.searchsorted(self.codes, pairs), len(self.codes) - 1)
+        terms = np.where(self.codes[at] == pairs, at, -1)
+        bounds = np.append(np.where(terms >= 0, self.most[terms], 0.0), 0.0)
         sums = np.concatenate([[0.0], np.cumsum(bounds)])
         stride = self.longest
         starts = np.arange(0, max(1, len(words) - stride), stride)
         ends = np.minimum(starts + 2 * stride, len(words))
         for s, e in zip(starts[(reach := sums[ends] - sums[starts] >= min(self.limits) - 1e-6)], ends[reach], strict=True):
-            inside = known[s:e]
+            inside = terms[s : e - 1]
             found = self.wand(sorted(set(inside[inside >= 0].tolist())))
             if found:
                 here = shingles(words[s:e])
@@ -148,7 +159,7 @@ def statistics(items: DataFrame) -> tuple[DataFrame, int, float]:
 
     def count(batches):
         for batch in batches:
-            rows = [(i, t, w, n) for i, t in zip(batch["item_id"], batch["text"], strict=True) for w, n in Counter(words_of(t)).items()]
+            rows = [(i, t, w, n) for i, t in zip(batch["item_id"], batch["text"], strict=True) for w, n in Counter(terms_of(words_of(t))).items()]
             yield pd.DataFrame(rows, columns=["item_id", "text", "term", "tf"])
 
     tf = items.where(F.col("text").isNotNull()).select("item_id", "text").distinct().mapInPandas(count, f"item_id {item_type}, text string, term string, tf long")
@@ -178,12 +189,15 @@ def build_index(rows: list, n: int, mean: float, threshold: float = THRESHOLD) -
         index.questions.append(question)
         index.answers.append(answer)
         index.limits.append(threshold * total)
-        index.longest = max(index.longest, terms[0].length)
-    for term in sorted(postings):
+        index.longest = max(index.longest, terms[0].length + 1)
+    for word in sorted({w for term in postings for w in term.split(" ")}):
+        index.words[word] = len(index.words)
+    code = {term: index.words[term.split(" ")[0]] * len(index.words) + index.words[term.split(" ")[1]] for term in postings}
+    for term in sorted(postings, key=code.__getitem__):
         items, impacts = (list(x) for x in zip(*postings[term], strict=True))
-        index.terms[term] = len(index.postings)
         index.postings.append((items, impacts, [max(impacts[i : i + BLOCK]) for i in range(0, len(impacts), BLOCK)]))
-    index.most = np.array([max(p[1]) for p in index.postings] + [0.0])
+    index.codes = np.array(sorted(code.values()), np.int64)
+    index.most = np.array([max(p[1]) for p in index.postings])
     return index
 
 
