@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of
-from .spans import apart, matches, of_kind, ordered
+from .spans import apart, blocks_of, matches, meets, of_kind, ordered
 
 KINDS = ("email", "ip", "card", "phone")
 PRECISION, ROUNDS, RATE, LEAST = 0.95, 24, 0.3, 20
@@ -103,15 +103,14 @@ def proposals(text: Column, kind: str) -> Column:
 def contingency(docs: DataFrame) -> dict[str, list[tuple[str, int, int, int]]]:
     """Per kind: (bits, in the calibration fold or not, proposals, those that pass the strict test)."""
     strict = base_spans(F.col("text"))
-    within = lambda p, spans: F.exists(spans, lambda b: (b["start"] == p["start"]) & (b["end"] == p["end"]))
 
     def labelled(kind: str) -> Column:
         return F.transform(
-            proposals(F.col("text"), kind), lambda p: F.struct(F.lit(kind).alias("kind"), p["bits"].alias("bits"), within(p, F.col(f"strict_{kind}")).alias("strict"))
+            proposals(F.col("text"), kind), lambda p: F.struct(F.lit(kind).alias("kind"), p["bits"].alias("bits"), meets(p, F.col(f"strict_{kind}"), exactly=True).alias("strict"))
         )
 
     rows = (
-        docs.select("doc_id", "text", *[strict[k].alias(f"strict_{k}") for k in KINDS])
+        docs.select("doc_id", "text", *[blocks_of(strict[k]).alias(f"strict_{k}") for k in KINDS])
         .select((F.coalesce(fold_of(F.col("doc_id")), F.lit(1)) == 0).cast("int").alias("calibration"), F.explode(F.concat(*map(labelled, KINDS))).alias("p"))
         .groupBy("p.kind", "p.bits", "calibration")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("p.strict").alias("strict"))

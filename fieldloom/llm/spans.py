@@ -1,6 +1,6 @@
 """Spans of pattern matches with DataFrame functions only.
 
-Offsets count code points.  Patterns are Java ones and are written so that a
+Offsets count code points; matches come from ``functions.spans``.  Patterns are Java ones and are written so that a
 match takes time in proportion to the text whatever it holds: runs begin only
 where a run can begin, and loops are possessive (they neither back off nor
 recurse).
@@ -11,46 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 64
-NONE = "cast(array() AS array<struct<start:int,end:int,hit:string>>)"
-
-
-def matches(text: Column, pattern: str, guard: Column | None = None) -> Column:
-    """array<struct<start, end, hit>> of the leftmost non-overlapping matches, in order.
-
-    ``guard``: a cheap necessary condition; texts that fail it are not searched.
-    The gaps that ``split`` leaves and the hits alternate, so a running sum of
-    their lengths gives the places.  Sums run over blocks of hits, which keeps
-    the work near linear for texts with very many of them.
-    """
-    items = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    items = F.filter(items, lambda x: x["hit"].isNotNull())
-    sized = F.transform(items, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"), x["hit"].alias("hit")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sized) - 1) / BLOCK).cast("int")), lambda b: F.slice(sized, b * BLOCK + 1, BLOCK))
-    return F.when(_known(guard, text), located(blocks)).otherwise(F.expr(NONE))
-
-
-def _known(guard: Column | None, text: Column) -> Column:
-    return text.isNotNull() if guard is None else guard
-
-
-def located(blocks: Column) -> Column:
-    """Spans of blocks of (gap, len, hit), each block placed after those before it."""
-    total = lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"])
-    first = F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.array_append(a, F.element_at(a, -1) + total(b)))
-    placed = F.zip_with(
-        blocks,
-        F.slice(first, 1, F.size(blocks)),
-        lambda b, at: F.transform(
-            b,
-            lambda x, i: F.struct(
-                (at + total(F.slice(b, 1, i)) + x["gap"]).alias("start"),
-                (at + total(F.slice(b, 1, i)) + x["gap"] + x["len"]).alias("end"),
-                x["hit"].alias("hit"),
-            ),
-        ),
-    )
-    return F.flatten(placed)
+from ..functions.spans import matches, once
+
+__all__ = ["apart", "blocks_of", "matches", "meets", "merged", "of_kind", "ordered", "redacted", "written"]
 
 
 def of_kind(spans: Column, kind: str, rank: int) -> Column:
@@ -68,9 +31,27 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def blocks_of(spans: Column) -> Column:
+    """Ordered spans in blocks with the bounds of each, so that a lookup reads few of them."""
+
+    def bounded(part: Column) -> Column:
+        return F.struct(F.array_min(part["start"]).alias("low"), F.array_max(part["end"]).alias("high"), part.alias("spans"))
+
+    cut = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / 64).cast("int")), lambda i: bounded(F.slice(all_, i * 64 + 1, 64)))
+    return once(spans, cut)
+
+
+def meets(span: Column, blocks: Column, exactly: bool = False) -> Column:
+    """Whether a span overlaps (or ``exactly`` equals) one of the spans in ``blocks``."""
+    over = lambda low, high: (span["start"] < high) & (low < span["end"])
+    same = lambda o: (span["start"] == o["start"]) & (span["end"] == o["end"])
+    one = same if exactly else (lambda o: over(o["start"], o["end"]))
+    return F.exists(blocks, lambda b: F.coalesce(over(b["low"], b["high"]), F.lit(False)) & F.exists(b["spans"], one))
+
+
 def apart(spans: Column, others: Column) -> Column:
     """The spans that overlap none of the others."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
+    return once(blocks_of(others), lambda blocks: F.filter(spans, lambda s: ~meets(s, blocks)))
 
 
 def merged(spans: Column) -> Column:
@@ -99,10 +80,13 @@ def merged(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with every span of ``spans`` (ordered) replaced by its kind in brackets."""
-    united = merged(spans)
-    before = F.zip_with(
+    return F.when(F.size(spans) > 0, once(merged(spans), lambda united: _replaced(text, united))).otherwise(text)
+
+
+def _replaced(text: Column, united: Column) -> Column:
+    parts = F.zip_with(
         F.concat(F.array(F.lit(0)), F.transform(united, lambda s: s["end"])),
         F.concat(united, F.array(F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("kind")))),
         lambda at, s: F.concat(F.substring(text, at + 1, s["start"] - at), F.when(s["kind"] == "", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))),
     )
-    return F.when(F.size(spans) > 0, F.array_join(before, "")).otherwise(text)
+    return F.array_join(parts, "")
