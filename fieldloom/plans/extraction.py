@@ -246,6 +246,43 @@ ORACLE_SQL = {
             FROM orders LEFT JOIN n ON o_orderkey = l_orderkey)
         SELECT state, count(*) AS documents, count_if(ok)::BIGINT AS correct, round(avg(ok::INT), 4) AS accuracy FROM c GROUP BY state
     """,
+    "cleaned_values": r"""
+        WITH v AS (
+            SELECT o_orderkey, unnest(['date_time', 'vin', 'report_number', 'officer']) AS field_id,
+                   unnest([CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%m/%d/%Y') WHEN 1 THEN strftime(o_orderdate, '%b %-d, %Y') ELSE 'Unknown' END,
+                           CASE WHEN o_orderkey % 2 = 0 THEN upper(lpad(o_orderkey::VARCHAR, 17, 'a')) ELSE 'Unknown' END,
+                           CASE WHEN o_orderkey % 2 = 0 THEN 'OR-' || o_orderkey ELSE 'Unknown' END,
+                           CASE WHEN o_orderkey % 2 = 0 THEN 'Unknown' ELSE o_orderpriority END]) AS cleaned,
+                   unnest([CASE WHEN o_orderkey % 3 = 2 THEN 0.4 ELSE 1.0 END, 1.0, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.2 END, 1.0]) AS quality,
+                   o_orderdate, o_orderkey % 3 AS shape
+            FROM orders)
+        SELECT o_orderkey, field_id,
+               CASE WHEN field_id = 'date_time' AND shape = 0 THEN strftime(o_orderdate, '%m/%d/') || '20' || strftime(o_orderdate, '%y')
+                    WHEN field_id = 'vin' AND o_orderkey % 2 <> 0 THEN 'Unknown' ELSE cleaned END AS cleaned,
+               CASE WHEN field_id = 'vin' AND length(o_orderkey::VARCHAR) < 3 AND o_orderkey % 2 <> 0 THEN 0.5 ELSE quality END::DOUBLE AS quality
+        FROM v
+    """,
+    "plausibility_scores": r"""
+        WITH v AS (
+            SELECT p_partkey, unnest(['date_time', 'report_number', 'vin', 'year', 'weather', 'light_condition', 'officer', 'accident_type', 'property_damage', 'ems_agency', 'road_surface', 'location', 'contributing_factors']) AS field_id,
+                   unnest([
+                     CASE WHEN 1960 + p_partkey % 90 BETWEEN 1990 AND 2027 THEN 1.0 WHEN 1960 + p_partkey % 90 BETWEEN 1970 AND 2040 THEN 0.5 ELSE 0.2 END,
+                     CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN length('R' || p_partkey || '/7') >= 4 THEN 0.8 ELSE 0.3 END
+                          ELSE CASE WHEN length(p_name || ' no. ' || p_partkey) <= 40 THEN 0.4 ELSE 0.3 END END,
+                     CASE WHEN regexp_matches(lpad(upper(replace(p_brand, '#', '')) || p_partkey, 17, '1'), '^[A-HJ-NPR-Z0-9]{17}$') THEN 1.0 ELSE 0.7 END,
+                     CASE WHEN 1900 + p_partkey % 150 BETWEEN 1990 AND 2027 THEN 1.0 ELSE 0.2 END,
+                     CASE WHEN p_partkey % 2 = 0 OR regexp_matches(lower(p_name), 'clear|rain|snow|sleet|hail|fog|cloud|overcast|mist|drizzl|storm|thunder|sunny|ice|icy|blowing|smoke|smog|dust|sand|wind|partly') THEN 1.0 WHEN regexp_matches(p_name, '[0-9]') THEN 0.3 ELSE 0.4 END,
+                     CASE WHEN p_partkey % 3 = 0 OR regexp_matches(lower(p_type), 'dusk|dawn|dark|night|lighted|unknown lighting|day|noon') THEN 1.0 WHEN regexp_matches(p_type, '[0-9]') THEN 0.3 ELSE 0.4 END,
+                     1.0,
+                     CASE WHEN length(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' rear-end collision' ELSE '' END) < 5 THEN 0.2 WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.6 END,
+                     CASE WHEN length(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' bumper' ELSE '' END) < 10 THEN 0.2 WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.5 END,
+                     CASE WHEN p_partkey % 7 = 0 THEN 0.3 WHEN length(p_name || CASE WHEN p_partkey % 2 = 0 THEN ' rescue' ELSE '' END) < 5 THEN 0.2 WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.5 END,
+                     CASE WHEN regexp_matches(p_name, '[0-9]') THEN 0.2 WHEN p_partkey % 2 = 0 OR regexp_matches(lower(p_name), 'wet|dry|ice|icy|snow|slush|water|frost|freezing rain|mud|gravel|sand|oil') THEN 1.0 ELSE 0.5 END,
+                     CASE WHEN p_partkey % 2 = 0 THEN 1.0 WHEN length(p_partkey || ' ' || p_name) < 10 THEN 0.2 ELSE 0.6 END,
+                     CASE WHEN p_partkey % 5 = 0 THEN 0.3 WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.5 END]) AS score
+            FROM part)
+        SELECT p_partkey, field_id, score::DOUBLE AS score FROM v
+    """,
     "reserve_flags": "SELECT doc_id, true AS flagged, 'We set the reserve at once' AS sentence FROM documents WHERE doc_id % 3 = 0",
 }
 
