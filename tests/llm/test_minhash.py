@@ -79,3 +79,23 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
     got = {r.cls: r.root for r in minhash_forest.components(links).collect()}
     assert got == {**{i: 0 for i in range(1, n + 1)}, 1001: 1000} and math.isfinite(n)
+
+
+def families(rnd, n):
+    """Two families of single edits, linked by the first of each alone: they agree on 150 of 170 shingles, other pairs on less than 85 %."""
+    words = [f"w{rnd.random()}" for _ in range(164)]
+    other = list(words)
+    for at in (20, 60, 100, 140):
+        other[at] = f"o{rnd.random()}"
+    bridge = [[other[20] if i == 20 else w for i, w in enumerate(words)], [words[140] if i == 140 else w for i, w in enumerate(other)]]
+    return [[" ".join(x)] + [edited(rnd, base, 1) for _ in range(n - 1)] for x, base in zip(bridge, (words, other), strict=True)]
+
+
+def test_a_single_link_between_two_families(spark):
+    rnd = random.Random(11)
+    groups = [a + b for a, b in (families(rnd, 300) for _ in range(5))]
+    apart = families(rnd, 300)
+    groups += [apart[0], apart[1][1:]]  # without one side of the link
+    rows = [(1000 * g + k, t) for g, texts in enumerate(groups) for k, t in enumerate(texts)]
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 1000 * 1000 for i, _ in rows}
