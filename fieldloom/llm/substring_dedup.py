@@ -16,8 +16,9 @@ Defined results
 ---------------
 * null and empty texts have no chunks and are left as they are.
 * offsets count code points; a chunk never ends inside a character.
-* with ``across`` off, repeats inside one document count as well.  Rows with the same ``doc_id`` are
-  told apart by the hash of the text; rows equal in both share their spans.
+* with ``across`` off, as in the registered query, repeats inside one document count as well.
+* each row is a document of its own, also one without a ``doc_id`` or one that repeats another row.
+  Rows are numbered as they are read, so ``docs`` must come in the same order each time, as files do.
 * rows without a ``doc_id`` come after all others in the order of places.
 """
 
@@ -30,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import reliable
+
 LEAST, MOST, BITS, WORDS = 24, 256, 5, 12
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -91,12 +94,13 @@ def measured(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, n, start, end, words, hi, lo): chunk number n of each document.
+    """(doc_id, version, row, n, start, end, words, hi, lo): chunk number n of each document.
 
     ``start`` and ``end`` count characters, ``words`` the words that begin in the
     chunk, ``hi`` and ``lo`` are the halves of its digest.  ``version`` is a hash of
-    the text; it tells rows with one ``doc_id`` apart.
+    the text, ``row`` the number of the row: they tell rows with one ``doc_id`` apart.
     """
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
@@ -110,6 +114,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                     {
                         "doc_id": part["doc_id"].repeat(sizes).to_numpy(),
                         "version": np.repeat(part["version"].to_numpy(), sizes),
+                        "row": np.repeat(part["row"].to_numpy(), sizes),
                         "n": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
                         "start": np.concatenate([g[1][:-1] for g in got]).astype(np.int32),
                         "end": np.concatenate([g[1][1:] for g in got]).astype(np.int32),
@@ -120,15 +125,15 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 )
 
     return (
-        docs.where(F.length("text") > 0)
-        .select("doc_id", F.xxhash64("text").alias("version"), "text")
-        .mapInPandas(cut, f"doc_id {id_type}, version long, n int, start int, `end` int, words int, hi long, lo long")
+        docs.select("doc_id", F.xxhash64("text").alias("version"), row.alias("row"), "text")
+        .where(F.length("text") > 0)
+        .mapInPandas(cut, f"doc_id {id_type}, version long, row long, n int, start int, `end` int, words int, hi long, lo long")
     )
 
 
 def place() -> Column:
     """The order of places: ids first, then nulls."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("version").alias("version"), F.col("n").alias("n"))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("version").alias("version"), F.col("row").alias("row"), F.col("n").alias("n"))
 
 
 def repeats(docs: DataFrame, across: bool = True) -> DataFrame:
@@ -139,25 +144,25 @@ def repeats(docs: DataFrame, across: bool = True) -> DataFrame:
     """
     chunks = chunk_table(docs)
     counted = chunks.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("copies"), F.min(place()).alias("first"), F.max(place()).alias("last"))
-    same = (F.col("first.version") == F.col("last.version")) & F.col("first.doc_id").eqNullSafe(F.col("last.doc_id"))
+    same = F.col("first.row") == F.col("last.row")
     counted = counted.where((F.col("copies") > 1) & ~(same & F.lit(across))).drop("last")
     return chunks.join(counted, ["hi", "lo"]).select(
-        "doc_id", "version", "n", "start", "end", "words", "copies", F.col("first.doc_id").alias("first_doc_id"), (place() == F.col("first")).alias("kept")
+        "doc_id", "version", "row", "n", "start", "end", "words", "copies", F.col("first.doc_id").alias("first_doc_id"), (place() == F.col("first")).alias("kept")
     )
 
 
 def repeated_spans(docs: DataFrame, words: int = WORDS, across: bool = True) -> DataFrame:
-    """(doc_id, version, start, end, words, copies, first_doc_id, kept): spans of neighbouring repeats.
+    """(doc_id, version, row, start, end, words, copies, first_doc_id, kept): spans of neighbouring repeats.
 
     ``kept`` marks spans made of first places, ``copies`` is the smallest count among
     the chunks, ``first_doc_id`` the smallest id at which one of them is first.
     Windows and groups are those of one document each.
     """
-    found = repeats(docs, across).repartition("doc_id", "version").dropDuplicates(["doc_id", "version", "n"])
-    order = Window.partitionBy("doc_id", "version", "kept").orderBy("n")
+    found = repeats(docs, across).repartition("row")
+    order = Window.partitionBy("row", "doc_id", "version", "kept").orderBy("n")
     return (
         found.withColumn("island", F.col("n") - F.row_number().over(order))
-        .groupBy("doc_id", "version", "kept", "island")
+        .groupBy("row", "doc_id", "version", "kept", "island")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -166,20 +171,21 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, across: bool = True) ->
             F.min("first_doc_id").alias("first_doc_id"),
         )
         .where(F.col("words") >= words)
-        .drop("island")
+        .select("doc_id", "version", "row", "start", "end", "words", "copies", "first_doc_id", "kept")
     )
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = WORDS, across: bool = True) -> DataFrame:
     """``docs`` with every repeated span but its first place cut out of the text."""
+    numbered = reliable(docs.withColumn("_row", F.monotonically_increasing_id()))
     cuts = (
-        repeated_spans(docs, words)
+        repeated_spans(numbered, words, across)
         .where(~F.col("kept"))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
+        .groupBy(F.col("row").alias("_row"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
     )
     shortened = F.expr(
         "array_join(zip_with(concat(array(0), _cuts.end), concat(_cuts.start, array(length(text))), (a, b) -> substring(text, a + 1, b - a)), '')"
     )
-    joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
+    joined = numbered.join(cuts, "_row", "left")
     return joined.withColumn("text", F.when(F.size("_cuts") > 0, shortened).otherwise(F.col("text"))).select(*docs.columns)

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 
-from fieldloom.llm import bpe, decontaminate, language_id, quality, substring_dedup
+from fieldloom.llm import bpe, decontaminate, language_id, quality, queries, substring_dedup
 from fieldloom.llm.queries import word_bpe_path
 
 WORDS = {"aa": ["lorem", "ipsum", "dolor", "sit"], "bb": ["quux", "wibble", "frotz", "xyzzy"]}
@@ -167,5 +167,20 @@ def test_repeated_passages_are_reported_and_cut(spark):
     assert 42 in {r.doc_id for r in substring_dedup.repeated_spans(docs, across=False).collect()}
 
 
+def test_repeats_within_a_document_and_of_whole_rows(spark, tmp_path):
+    rnd = random.Random(9)
+    new = lambda n: prose(rnd, [f"{a}{b}{c}" for a in "abcdefgh" for b in "klmnop" for c in "uvwxyz"], n)
+    inside, whole, anonymous = new(80), new(80), new(80)
+    rows = [(1, f"{inside} {new(40)} {inside} {new(40)}"), (2, whole), (2, whole), (None, anonymous), (None, anonymous), (3, new(80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = substring_dedup.deduplicated(docs, across=False).collect()
+    size = lambda i: sorted(len(r.text) for r in cut if r.doc_id == i)
+    assert size(1)[0] < len(rows[0][1]) - 150 and size(3) == [len(rows[5][1])]
+    assert size(2) == [0, len(whole)] and size(None) == [0, len(anonymous)]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_substring_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.kept) for r in got} == {(i, k) for i in (1, 2, None) for k in (True, False)}
+
+
 def test_digests_are_stable():
     assert hashlib.blake2b(b"x", digest_size=16).digest() == substring_dedup.digest(b"x") and re.match("x", "x")
