@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import reliable
 
-LEAST, MOST, BITS, WORDS = 24, 256, 5, 12
+LEAST, MOST, BITS, WORDS = 12, 128, 4, 12
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 

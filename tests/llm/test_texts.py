@@ -167,6 +167,21 @@ def test_repeated_passages_are_reported_and_cut(spark):
     assert 42 in {r.doc_id for r in substring_dedup.repeated_spans(docs, across=False).collect()}
 
 
+def test_passages_of_51_to_60_words_are_caught():
+    rnd = random.Random(0)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.choice([2, 3, 4, 5, 5, 6, 7, 8]))) for _ in range(2000)]
+    missed = 0
+    for k in range(500):
+        passage = prose(rnd, words, 51 + k % 10)
+        (first, *_), (second, _, begun) = (substring_dedup.measured(f"{prose(rnd, words, 60)} {passage} {prose(rnd, words, 60)}") for _ in range(2))
+        known, run, best = set(first), 0, 0
+        for d, n in zip(second, begun, strict=True):
+            run = run + n if d in known else 0
+            best = max(best, run)
+        missed += best < substring_dedup.WORDS
+    assert missed == 0
+
+
 def test_repeats_within_a_document_and_of_whole_rows(spark, tmp_path):
     rnd = random.Random(9)
     new = lambda n: prose(rnd, [f"{a}{b}{c}" for a in "abcdefgh" for b in "klmnop" for c in "uvwxyz"], n)
