@@ -8,8 +8,9 @@ whole text; the best language wins.
 
 Learning counts words and n-grams of a sample of the training rows with one
 ``groupBy``.  The sample is bounded by ``max_rows`` (expected size; rows are
-chosen by a hash of id and text), the model by ``max_keys`` keys of each kind,
-so what is broadcast does not grow with the corpus.
+chosen by a hash of text and language).  The model holds every key that the sample
+has ``least`` times, so what is broadcast is bounded by the sample and does not
+grow with the corpus.
 
 Defined results
 ---------------
@@ -101,7 +102,7 @@ class LanguageModel:
             yield self.languages[best], float(1 / np.exp(np.maximum(ratio, -700)).sum())
 
 
-def learn(training: DataFrame, max_rows: int = 20_000, max_keys: int = 60_000, least: int = 2) -> LanguageModel:
+def learn(training: DataFrame, max_rows: int = 20_000, least: int = 2) -> LanguageModel:
     """A model of ``training`` (text, lang); rows with a null in either are left out."""
     rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     total = rows.count()
@@ -126,21 +127,26 @@ def learn(training: DataFrame, max_rows: int = 20_000, max_keys: int = 60_000, l
     counts = rows.mapInPandas(count, "kind string, key string, lang string, n long")
     per_key = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "key")
     per_key = per_key.agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")).where(F.col("total") >= least)
-    best = [per_key.where(F.col("kind") == kind).orderBy(F.desc("total"), "key").limit(max_keys).collect() for kind in "wg"]
-    languages = sorted({lang for part in best for r in part for lang in r.by_lang})
+    index: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    counted: tuple[list, list] = ([], [])
+    # A partition at a time, so that the driver keeps no rows but the numbers in them.
+    for r in per_key.toLocalIterator():
+        own, found = index["wg".index(r.kind)], counted["wg".index(r.kind)]
+        found.extend((len(own), lang, n) for lang, n in r.by_lang.items())
+        own[r.key] = len(own)
+    languages = sorted({lang for found in counted for _, lang, _ in found})
     column = {lang: i for i, lang in enumerate(languages)}
-    index: list[dict[str, int]] = [{}, {}]
     logs: list[np.ndarray] = []
     prior = 0
-    for part, own in zip(best, index, strict=True):
-        table = np.zeros((len(part), len(languages)))
-        for i, r in enumerate(part):
-            own[r.key] = i + sum(map(len, logs))
-            for lang, n in r.by_lang.items():
-                table[i, column[lang]] = n
-        if own is index[0] and len(part):
+    for part, own in zip(counted, index, strict=True):
+        table = np.zeros((len(own), len(languages)))
+        for i, lang, n in part:
+            table[i, column[lang]] = n
+        if own is index[0] and own:
             prior = int(np.argmax(table.sum(axis=0)))
-        logs.append(np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(part)))))
+        logs.append(np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(own)))))
+    for key in index[1]:
+        index[1][key] += len(index[0])
     return LanguageModel(languages, index[0], index[1], np.concatenate(logs) if languages else np.zeros((0, 0)), prior)
 
 

@@ -28,6 +28,13 @@ def test_language_of_known_and_unseen_words(spark):
     assert language_id.identify(spark.createDataFrame([(1, "a")], "doc_id long, text string"), nothing).first().lang_pred == "und"
 
 
+def test_a_rare_language_keeps_its_keys(spark):
+    rnd = random.Random(3)
+    common = "\n".join(sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60_500)}))
+    model = language_id.learn(spark.createDataFrame([(common, "aa")] * 3 + [("αβγδε ζηθικ", "bb")] * 2, "text string, lang string"))
+    assert model.languages == ["aa", "bb"] and [x for x, _ in model.predict(["ζηθικ", "γδε", common], {})] == ["bb", "bb", "aa"]
+
+
 def test_quality_separates_and_handles_odd_rows(spark):
     rnd = random.Random(2)
     good = [(i, prose(rnd, WORDS["aa"] + WORDS["bb"] + [f"w{j}" for j in range(200)], 80) + ".") for i in range(300)]
