@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-#: Words longer than this are scored by the n-grams of their first and last halves of this many characters.
+#: Words longer than this are not cached.
 LONG_WORD = 64
 
 
@@ -45,8 +45,6 @@ def words_of(text: str | None) -> list[str]:
 
 
 def grams(word: str, order: int) -> list[str]:
-    if len(word) > LONG_WORD:
-        word = word[: LONG_WORD // 2] + word[-LONG_WORD // 2 :]
     padded = f"<{word}>"
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
@@ -83,9 +81,11 @@ class LanguageModel:
             for word, n in Counter(words).items():
                 hits = cache.get(word)
                 if hits is None:
+                    hits = self.rows_of(word)
                     if len(cache) > 300_000:
                         cache.clear()
-                    hits = cache[word] = self.rows_of(word)
+                    if len(word) <= LONG_WORD:
+                        cache[word] = hits
                 if len(hits) == 1:
                     rows.append(hits[0])
                     weights.append(n)

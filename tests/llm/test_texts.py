@@ -35,6 +35,14 @@ def test_a_rare_language_keeps_its_keys(spark):
     assert model.languages == ["aa", "bb"] and [x for x, _ in model.predict(["ζηθικ", "γδε", common], {})] == ["bb", "bb", "aa"]
 
 
+def test_long_words_count_in_full():
+    keys = {"abcde": 0, "vwxyz": 1}
+    model = language_id.LanguageModel(["aa", "bb"], {}, keys, np.log([[0.9, 0.1], [0.1, 0.9]]), 0)
+    long = "abcde" * 7 + "vwxyz" * 100 + "abcde" * 7
+    cache = {}
+    assert [x for x, _ in model.predict([long, "abcdeabcde"], cache)] == ["bb", "aa"] and list(cache) == ["abcdeabcde"]
+
+
 def test_quality_separates_and_handles_odd_rows(spark):
     rnd = random.Random(2)
     good = [(i, prose(rnd, WORDS["aa"] + WORDS["bb"] + [f"w{j}" for j in range(200)], 80) + ".") for i in range(300)]
