@@ -60,11 +60,26 @@ def test_topk_equals_brute_force(spark):
     rows += [(900, None, "x"), (901, [1.0, None, 1.0, 1.0, 1.0, 1.0], "x"), (902, [float("nan")] * 6, "x"), (903, [float("inf")] * 6, "x"), (None, [1.0] * 6, "x"), (1000, [1.0, 2.0], "x"), (1010, [], "x")]
     v = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>, `rank` string"))
     want = brute([(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e]) for i, e, _ in rows], 10, 10)
-    for options in ({}, {"block": 4, "tile": 16, "groups": 9}):
+    for options in ({}, {"block": 4, "tile": 16, "cells": 9}, {"block": 2, "tile": 3, "cells": 40}):
         got = topk_search.top_k(v.where(topk_search.is_query(v.vec_id, 10)), v, 10, **options)
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_topk_of_equal_query_rows(spark):
+    """More equal query rows than three blocks hold: each row has its own ten results."""
+    rows = [(0, [1.0, 2.0])] * 7 + [(i, [float(i), 1.0]) for i in range(1, 30)]
+    v = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk_search.top_k(v.where("vec_id = 0"), v, 10, block=2, tile=4, cells=5).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 100, 10)
+    assert len(got) == 70
+
+
+def test_grid_copies_grow_with_the_root():
+    for tiles, blocks in ((1, 1), (10, 2), (40_000, 1_600), (1, 5000)):
+        rows, columns = topk_search.grid(tiles, blocks, 16)
+        assert rows * columns >= max(16, tiles * blocks / topk_search.CELL) and rows * columns <= 2 * max(16, 1 + tiles * blocks / topk_search.CELL)
+
+
 def test_topk_large_values_and_nothing(spark):
     big = spark.createDataFrame([(0, [1e6, 1e6]), (1, [1e6, -1e6]), (2, [1e6, 1e6])], "vec_id long, embedding array<double>")
     v = topk_search.quantised(big)
