@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language_id, minhash_forest, pii, quality, secret_scan, sharding, substring_dedup, topk_search
-from .common import held_out, table
+from .common import checkpoint_folder, held_out, table
 
 
 #: Where the public tokenizer files are, by name; see public_tokenizers.path.
@@ -26,9 +28,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = sharding.shard_records(table(spark, sf_dir, "documents"), n_shards=8)
+    store = f"{checkpoint_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    placed, _ = sharding.shard_records(table(spark, sf_dir, "documents"), store, n_shards=8)
     return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
     )
 
 

@@ -10,8 +10,8 @@ Defined results
 * null text counts as no bytes; every record weighs its bytes plus 1, so empty
   texts are spread too.
 * null ``doc_id`` hashes like any other value.
-* rows equal in ``doc_id`` and text share a virtual slot; copies of a text under
-  different ids do not, so a group of copies is spread.
+* a record is hashed by its id, its text and its number among equal records, so
+  copies of a text, repeated rows and rows without an id are spread like all others.
 * an empty table gives an empty result and a map in which no slot has bytes.
 * columns of the input other than ``doc_id`` and ``text`` are never read.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 N_SLOTS = 4096
+MAP_SCHEMA = "virtual_slot int, shard int, version int"
 
 
 def virtual_slot(n_slots: int, *keys: Column) -> Column:
@@ -29,13 +30,30 @@ def virtual_slot(n_slots: int, *keys: Column) -> Column:
 
 
 def sized_records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, virtual_slot) of every record."""
+    """(doc_id, size, text_crc32, copy, virtual_slot) of every record; ``copy`` numbers equal records from 0.
+
+    Equal records are counted where they are read, then numbered by adding up those counts, so what meets in one task
+    is a row per input partition, however often a record is repeated.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", virtual_slot(n_slots, F.col("doc_id"), F.col("text_crc32"), F.col("size")))
+    keys = ("doc_id", "size", "text_crc32")
+    counted = (
+        docs.select(
+            "doc_id",
+            (F.octet_length(text).cast("long") + 1).alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.spark_partition_id().alias("part"),
+        )
+        .groupBy(*keys, "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0))
+    return (
+        counted.withColumn("first", first)
+        .select(*keys, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("copy"))
+        .withColumn("virtual_slot", virtual_slot(n_slots, *map(F.col, keys), F.col("copy")))
+    )
 
 
 def slot_loads(records: DataFrame) -> DataFrame:
@@ -107,7 +125,7 @@ def place(records: DataFrame, slot_map: DataFrame, loads: DataFrame) -> DataFram
         )
         .select("virtual_slot", "shard", F.coalesce("first", F.lit(0)).alias("first"))
     )
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "copy")
     return (
         records.withColumn("nth", F.row_number().over(within))
         .join(F.broadcast(starts), "virtual_slot")
@@ -116,29 +134,40 @@ def place(records: DataFrame, slot_map: DataFrame, loads: DataFrame) -> DataFram
     )
 
 
-def shard_records(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, slot_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(records with shard and position, the map version that placed them).
+def shard_records(docs: DataFrame, store: str, n_shards: int = 8, n_slots: int = N_SLOTS) -> tuple[DataFrame, DataFrame]:
+    """(records with shard, position and map version, the map that placed them).
 
-    ``slot_map`` is the map in force (default: the even one); what comes back is
-    the map edited once for the bytes now seen.  Maps and loads have ``n_slots``
-    rows, so broadcasting them is bounded by that parameter.
+    The newest map in ``store`` is in force (version 0, the even one, is written where there is none).  It is edited
+    for the bytes now seen, the edited map is stored as the next version, and records are placed by what was stored.
+    Maps and loads have ``n_slots`` rows, so broadcasting them is bounded by that parameter.
     """
+    spark = docs.sparkSession
     records = sized_records(docs, n_slots)
     loads = slot_loads(records)
-    if slot_map is None:
-        slot_map = even_map(docs.sparkSession, n_slots, n_shards)
-    edited = rebalance(slot_map, loads, n_shards)
-    return place(records, edited, loads), edited
+    newest = latest_version(spark, store)
+    if newest is None:
+        newest = 0
+        write_map(even_map(spark, n_slots, n_shards), store)
+    write_map(rebalance(read_map(spark, store, newest), loads, n_shards), store)
+    edited = read_map(spark, store, newest + 1)
+    return place(records, edited, loads).withColumn("map_version", F.lit(newest + 1)), edited
+
+
+def latest_version(spark, path: str) -> int | None:
+    """The newest stored version of the map; none where nothing is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(MAP_SCHEMA).parquet(path).agg(F.max("version")).first()[0]
 
 
 def write_map(slot_map: DataFrame, path: str) -> None:
     """Add a version to the stored maps; old versions stay readable."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def read_map(spark, path: str, version: int | None = None) -> DataFrame:
     """One stored version of the map (the latest by default)."""
-    stored = spark.read.parquet(path)
     if version is None:
-        version = stored.agg(F.max("version")).first()[0]
-    return stored.where(F.col("version") == version)
+        version = latest_version(spark, path)
+    return spark.read.schema(MAP_SCHEMA).parquet(path).where(F.col("version") == version)

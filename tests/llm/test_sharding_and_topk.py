@@ -8,11 +8,11 @@ from fieldloom.llm import sharding, topk_search
 DOCS = "doc_id long, text string, shard string"
 
 
-def test_sharding_balances_and_numbers_without_gaps(spark):
+def test_sharding_balances_and_numbers_without_gaps(spark, tmp_path):
     rnd = random.Random(1)
     rows = [(i, "x" * rnd.randint(0, 900) + "é", "clash") for i in range(600)] + [(600, None, None), (None, "no id", "a"), (601, "", "b"), (602, "y" * 9000, "c")]
     rows += [(7000, "same", "s")] * 5 + [(8000 + i, "copy", "s") for i in range(200)]
-    placed, slot_map = sharding.shard_records(spark.createDataFrame(rows, DOCS), 8)
+    placed, slot_map = sharding.shard_records(spark.createDataFrame(rows, DOCS), str(tmp_path / "map"), 8)
     got = placed.collect()
     assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     loads = {}
@@ -27,7 +27,7 @@ def test_sharding_balances_and_numbers_without_gaps(spark):
 def test_rebalancing_moves_only_what_it_must(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * 50, "") for i in range(4000)], DOCS)
     loads = sharding.slot_loads(sharding.sized_records(docs))
-    _, first = sharding.shard_records(docs, 8)
+    _, first = sharding.shard_records(docs, str(tmp_path / "first"), 8)
     first = first.persist()
     grown = sharding.rebalance(first, loads, 9)
     moved = grown.alias("a").join(first.alias("b"), "virtual_slot").where("a.shard <> b.shard and a.shard <> 8").join(loads, "virtual_slot")
@@ -38,11 +38,36 @@ def test_rebalancing_moves_only_what_it_must(spark, tmp_path):
     assert sharding.read_map(spark, str(tmp_path / "maps"), 1).select("shard").distinct().count() == 8
 
 
-def test_sharding_of_nothing(spark):
-    placed, _ = sharding.shard_records(spark.createDataFrame([], DOCS), 8)
+def test_sharding_of_nothing(spark, tmp_path):
+    placed, _ = sharding.shard_records(spark.createDataFrame([], DOCS), str(tmp_path / "map"), 8)
     assert placed.count() == 0
 
 
+def test_repeated_rows_are_spread(spark, tmp_path):
+    """Half of the table is one repeated row: shards still differ by no more than the largest row."""
+    rows = [(1, "z" * 99, "s")] * 1000 + [(i, "y" * (i % 90), "s") for i in range(2, 1002)] + [(None, None, None)] * 50
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    placed, _ = sharding.shard_records(docs, str(tmp_path / "map"), 8)
+    got = placed.collect()
+    assert sorted(((r.doc_id or -1), r["size"]) for r in got) == sorted(((i or -1), len(t or "") + 1) for i, t, _ in rows)
+    loads = [sum(r["size"] for r in got if r.shard == s) for s in range(8)]
+    assert max(loads) - min(loads) <= 100
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_the_stored_map_is_edited_and_in_force(spark, tmp_path):
+    store = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "x" * (i % 50), "") for i in range(3000)], DOCS)
+    placed, _ = sharding.shard_records(docs, store, 8)
+    assert {r.map_version for r in placed.select("map_version").distinct().collect()} == {1}
+    again, grown = sharding.shard_records(docs, store, 9)
+    assert sharding.latest_version(spark, store) == 2 and grown.select("shard").distinct().count() == 9
+    moved = placed.alias("a").join(again.alias("b"), ["doc_id", "size", "text_crc32", "copy"]).where("a.shard <> b.shard")
+    total, gone = sum(r["size"] for r in placed.collect()), sum(r["size"] for r in moved.select("size").collect())
+    assert total / 9 * 0.9 < gone < total / 9 * 1.2
+
+
 def brute(rows, every, k):
     usable = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
