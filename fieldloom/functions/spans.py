@@ -8,23 +8,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 64
-NONE = "cast(array() AS array<struct<start:int,end:int,hit:string,value:string>>)"
 
 
-def matches(text: Column, pattern: str, guard: Column | None = None, group: int = 0) -> Column:
+def matches(text: Column, pattern: str, guard: Column | None = None, group: int = 0, context: int = 0) -> Column:
     """array<struct<start, end, hit, value>> of the leftmost non-overlapping matches, in order.
 
     ``value`` is the text of ``group``.  ``guard``: a cheap necessary condition; texts that fail it are not searched.
-    The gaps that ``split`` leaves and the hits alternate, so a running sum of
-    their lengths gives the places.  Sums run over blocks of hits, which keeps
-    the work near linear for texts with very many of them.
+    ``context``: that many characters ``before`` a match, back to the match before it at most, and the one ``after`` it
+    come with it.
+    The text is searched once for hits, and cut at them only if there are any.  The gaps that ``split`` leaves and the
+    hits alternate, so a running sum of their lengths gives the places.  Sums run over blocks of hits, which keeps the
+    work near linear for texts with very many of them.
     """
-    items = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
-    items = F.filter(items, lambda x: x["hit"].isNotNull())
-    sized = F.transform(items, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"), x["hit"].alias("hit"), x["value"].alias("value")))
+    extract = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
+    fields = ["hit", "value"] + (["before", "after"] if context else [])
+    none = F.array().cast(f"array<struct<start:int,end:int,{','.join(f'{f}:string' for f in fields)}>>")
+
+    def one(x: Column) -> Column:
+        more = [F.right(x["gap"], F.lit(context)).alias("before"), F.left(x["next"], F.lit(1)).alias("after")] if context else []
+        return F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("len"), x["hit"].alias("hit"), (x["value"] if group else x["hit"]).alias("value"), *more)
+
+    def zipped(hits: Column, gaps: Column) -> Column:
+        n = F.size(hits)
+        parts = [F.slice(gaps, 1, n).alias("gap"), hits.alias("hit")]
+        if group:
+            parts.append(extract(group).alias("value"))
+        if context:
+            parts.append(F.slice(gaps, 2, n).alias("next"))
+        return F.transform(F.arrays_zip(*parts), one)
+
     in_blocks = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, BLOCK))
-    placed = once(sized, lambda z: once(in_blocks(z), located))
-    return F.when(text.rlike(pattern) if guard is None else guard, placed).otherwise(F.expr(NONE))
+    placed = lambda hits: once(once(F.split(text, pattern, -1), lambda gaps: zipped(hits, gaps)), lambda z: once(in_blocks(z), lambda blocks: located(blocks, fields)))
+    found = once(extract(0), lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
+    return found if guard is None else F.when(guard, found).otherwise(none)
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -32,8 +48,8 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def located(blocks: Column) -> Column:
-    """Spans of blocks of (gap, len, hit), each block placed after those before it."""
+def located(blocks: Column, fields: list[str]) -> Column:
+    """Spans of blocks of (gap, len, and ``fields``), each block placed after those before it."""
     total = lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["gap"] + x["len"])
     first = F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.array_append(a, F.element_at(a, -1) + total(b)))
     placed = F.zip_with(
@@ -44,8 +60,7 @@ def located(blocks: Column) -> Column:
             lambda x, i: F.struct(
                 (at + total(F.slice(b, 1, i)) + x["gap"]).alias("start"),
                 (at + total(F.slice(b, 1, i)) + x["gap"] + x["len"]).alias("end"),
-                x["hit"].alias("hit"),
-                x["value"].alias("value"),
+                *[x[f].alias(f) for f in fields],
             ),
         ),
     )
