@@ -82,6 +82,68 @@ def test_boosting_learns_formats_and_thresholds_hold(spark):
     assert all(abs(r.s - pii.score_of(r.bits, model)) < 1e-9 for r in got)
 
 
+def hidden(rnd, kind):
+    """(plain, disguised) item of a kind."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(4, 9)))
+    if kind == "email":
+        local, host, top = word() + rnd.choice(["", ".", "_"]) + word(), word(), rnd.choice(["org", "com", "net"])
+        at, dot = rnd.choice([(" at ", " dot "), ("(at)", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
+        return f"{local}@{host}.{top}", f"{local}{at}{host}{dot}{top}"
+    if kind == "ip":
+        parts = [str(rnd.randint(1, 254)) for _ in range(4)]
+        return ".".join(parts), rnd.choice(["[.]", "(dot)", " dot "]).join(parts)
+    if kind == "card":
+        d = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return d, rnd.choice([".", "_", "/"]).join(d[i : i + 4] for i in (0, 4, 8, 12))
+    a, b, c = rnd.randint(200, 999), rnd.randint(200, 999), rnd.randint(1000, 9999)
+    return f"+1 ({a}) {b}-{c}", rnd.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"001 ({a}) {b}-{c}"])
+
+
+def test_trees_find_disguised_items_and_leave_clean_texts_alone(spark):
+    """As many disguised items as plain ones for some kinds: they are found all the same."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, planted = [], {}
+    for kind in pii.KINDS:
+        for i in range(400):
+            rows.append((len(rows), f"{prose(9)} {hidden(rnd, kind)[0]} {prose(9)}"))
+        for i in range(100 if kind == "email" else 400):
+            text = hidden(rnd, kind)[1]
+            rows.append((len(rows), f"{prose(9)} {text} {prose(9)}"))
+            planted[rows[-1][0]] = (kind, rows[-1][1].index(text), text)
+    clean = [
+        lambda: f"{prose(5)} at {prose(1)}. {prose(4)} dot {prose(2)}", lambda: f"{prose(3)} {rnd.randint(2, 9)} @ {rnd.randint(1, 99)}.{rnd.randint(10, 99)} {prose(4)}",
+        lambda: f"on 20{rnd.randint(10, 29)}-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)} 1{rnd.randint(0, 9)}:30 {prose(6)}", lambda: f"{prose(2)} {rnd.randint(1, 9)},{rnd.randint(100, 999)},{rnd.randint(100, 999)} {prose(3)}",
+        lambda: f"{prose(2)} {rnd.randint(1, 9)}, {rnd.randint(10, 99)}, {rnd.randint(10, 99)}, {rnd.randint(10, 99)}, 7 {prose(3)}", lambda: f"{prose(2)} {rnd.randint(1000, 9999)} {rnd.randint(1000, 9999)} {rnd.randint(1000, 9999)} {prose(2)}",
+        lambda: f"{prose(20)}",
+    ]
+    untouched = set()
+    for i in range(700):
+        rows.append((len(rows), clean[i % len(clean)]()))
+        untouched.add(rows[-1][0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: {(s["kind"], s["start"], s["end"]) for s in r.spans} for r in pii.scan(docs).collect()}
+    for kind in pii.KINDS:
+        of_kind = {i: (at, text) for i, (k, at, text) in planted.items() if k == kind}
+        found = sum((kind, at, at + len(text)) in got[i] for i, (at, text) in of_kind.items())
+        assert found >= 0.9 * len(of_kind), (kind, found)
+    assert sum(bool(got[i]) for i in untouched) <= 0.01 * len(untouched)
+    # Nothing that a strict pattern finds is lost or reported twice.
+    for i, t in rows:
+        base = {(k, a, b) for a, _, b, k in personal(t)}
+        assert base <= got[i] and all(not (a < y and x < b) for _, a, b in got[i] - base for _, x, y in base)
+
+
+def test_what_is_selected_is_what_the_trees_say(spark):
+    """Brute force over the proposals of a few texts with a model given by hand."""
+    model = (-1.0, [(pii.FEATURES["email"].index("at_bracket"), pii.FEATURES["email"].index("letters_end"), [0.0, 0.2, 0.4, 2.0])])
+    docs = spark.createDataFrame([(1, "é a1 (at) b.org x"), (2, "a1 (at) b.7"), (3, "a1 @ b.org"), (4, "a@b.org (at) c.de"), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans] for r in pii.scan(docs, {"email": (model, 0.5)}).collect()}
+    assert got == {1: [("email", 2, 15)], 2: [], 3: [], 4: [("email", 0, 7)], 5: []}
+
+
 def test_redaction_replaces_spans_and_nothing_else(spark):
     docs = spark.createDataFrame([(1, "mail é@x a@b.org, 10.0.0.1 end"), (2, "clean"), (3, None), (4, "4111111111111111 x"), (5, "+1 4111111111111111 x")], "doc_id long, text string")
     got = {r.doc_id: r.t for r in pii.scan(docs, {}).select("doc_id", redacted(F.col("text"), F.col("spans")).alias("t")).collect()}
