@@ -51,7 +51,7 @@ def cases():
 def test_base_spans_equal_the_plain_patterns(spark):
     rows = cases()
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(4)
-    for got, plain in ((secret_scan.digest(secret_scan.scan(docs.select("doc_id", "text")), secret_scan.KINDS), secrets), (secret_scan.digest(pii.scan(docs), pii.KINDS), personal)):
+    for got, plain in ((secret_scan.digest(secret_scan.scan(docs), secret_scan.KINDS), secrets), (secret_scan.digest(pii.scan(docs), pii.KINDS), personal)):
         found = {r.doc_id: r for r in got.collect()}
         assert len(found) == len(rows)
         for i, t, _ in rows:
@@ -62,15 +62,47 @@ def test_base_spans_equal_the_plain_patterns(spark):
             assert {f"{k}:{a}:{b}" for a, _, b, k in want} <= set(found[i].spans.split(","))
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+STEMS = ["river", "stone", "market", "window", "report", "yellow", "garden", "number", "letter", "silver", "winter", "paper", "bridge", "doctor", "signal", "the", "and", "of", "with", "from"]
+
+
 def test_randomness_tells_keys_from_words(spark):
+    """Keys with and without digits, of several alphabets, among identifiers, paths and long words."""
     rnd = random.Random(2)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    keys = ["".join(rnd.choice(alphabet) for _ in range(40)) + "7x" for _ in range(300)]
-    words = ["".join(rnd.choice(["the", "and", "tion", "ing", "ered"]) for _ in range(12)) for _ in range(600)]
-    docs = spark.createDataFrame([(i, f"{w} and {k}") for i, (w, k) in enumerate(zip(words, keys))] + [(1000 + i, w + "1") for i, w in enumerate(words)], "doc_id long, text string")
-    got = secret_scan.scan(docs).select("doc_id", F.size("spans").alias("n")).collect()
-    assert sum(r.n for r in got if r.doc_id < 1000) >= 270
-    assert sum(r.n for r in got if r.doc_id >= 1000) == 0
+    key = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    prose = lambda n: " ".join(rnd.choice(STEMS) for _ in range(n))
+    kinds = {"alnum": (LETTERS + "0123456789", 42), "letters": (LETTERS, 42), "url": (LETTERS + "0123456789-_", 64)}
+    rows, planted = [], {k: [] for k in kinds}
+    for k, (alphabet, n) in kinds.items():
+        for _ in range(300 if k == "alnum" else 100):
+            found = key(alphabet, n)
+            while found[0] in "-_" or found[-1] in "-_":
+                found = key(alphabet, n)
+            planted[k].append(len(rows))
+            rows.append((len(rows), f"{prose(30)} {found} {prose(30)}"))
+    ordinary = []
+    for i in range(600):
+        words = [rnd.choice(STEMS) for _ in range(rnd.randint(4, 9))]
+        token = ["".join(words), "-".join(words), "/".join(words), "".join(w.title() for w in words), "_".join(words) + "2024"][i % 5]
+        ordinary.append(len(rows))
+        rows.append((len(rows), f"{prose(30)} {token} {prose(30)}"))
+    got = {r.doc_id: r.n for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.size("spans").alias("n")).collect()}
+    for k, ids in planted.items():
+        assert sum(got[i] for i in ids) >= 0.9 * len(ids), (k, sum(got[i] for i in ids))
+    assert sum(got[i] for i in ordinary) <= 0.02 * len(ordinary)
+
+
+def test_a_few_keys_in_a_small_table_are_found(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice(STEMS) for _ in range(80))) for i in range(60)]
+    rows += [(100 + i, "key " + "".join(rnd.choice(LETTERS + "0123456789") for _ in range(48)) + " " + rows[i][1]) for i in range(5)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where(F.size("spans") > 0).select("doc_id").collect()
+    assert {r.doc_id for r in got} == {100, 101, 102, 103, 104}
+
+
+def test_secrets_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefabcdef1", "a", "b", 1), (2, None, None, None, None)], "doc_id long, text string, spans string, base string, tested int")
+    assert [(r.doc_id, r.n_assign) for r in secret_scan.digest(secret_scan.scan(docs), secret_scan.KINDS).orderBy("doc_id").collect()] == [(1, 1), (2, 0)]
 
 
 def test_boosting_learns_formats_and_thresholds_hold(spark):
