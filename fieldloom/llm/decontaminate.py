@@ -1,245 +1,328 @@
 """Benchmark decontamination: BM25 over an inverted index of the test items, with block-max WAND.
 
-Spark builds the index of the (comparatively few) benchmark items: term
-frequencies, document frequencies, impacts.  Every document is cut into
-overlapping passages, long enough that any item lies whole in one of them, and
-every passage is a query.  Terms are pairs of neighbouring words: single words of
-a language occur in so many items that no bound on them rules a passage out.  A
-passage whose terms cannot reach any item's
-threshold even with their largest impacts is skipped; the others run block-max
-WAND over the postings and retrieve all items above their thresholds.  A
-retrieved item is then verified on word shingles: its question (all but the last
-sentence) and its answer (the last one) must both be found in the passage.
-
-The index is broadcast in shards of at most ``SHARD_ITEMS`` items, so what a task
-holds has a bound; more items mean more passes over the documents.
+Spark computes the statistics of the (comparatively few) benchmark items and the
+impact of each word on each item, and builds the index in shards that are bounded
+by their bytes.  Every document is cut into overlapping passages, long enough that
+any item of the index lies whole in one of them, and every passage is a query.
+
+A passage is searched in three steps, all of which keep every item that can reach
+its threshold:
+
+1. *Pivots.*  An item's words of least impact that add up to less than ``SLACK`` of
+   its threshold can never decide alone: they are left out of the postings and
+   counted in full.  Postings hold block maxima: per word and block of ``BLOCK``
+   items the largest impact, as a share of the item's threshold.  The sum of the
+   maxima of a passage's words bounds every item of the block; a block whose bound
+   stays below 1 is skipped.
+2. *Scores.*  The items of the blocks that are left are scored exactly.
+3. *Verification.*  A retrieved item's question (all but the last sentence) and its
+   answer (the last sentence) must both be found in the passage, by the share of
+   their shingles of five words; a part of fewer words is one shingle.
+
+Items are indexed by length class, so that a long one makes no long passages for the
+others.  A shard's index is made by a task, goes through the shared checkpoint folder
+and is broadcast alone; more items mean more passes over the documents.
 
 Defined results
 ---------------
 * null texts and texts without words match nothing; items without text or words
-  are left out; items with the same words are each reported.
-* an item shorter than five words counts as one shingle; items of one word have
-  no pair and are left out.
+  are left out; items with the same words are each reported; an item of one word is
+  found in every document that has the word.
+* an item of one sentence is question and answer at once.
 * a document and item are reported once, with the best passage's figures.
 * ``threshold`` is the share of an item's BM25 score against itself that a
   passage must reach.
+* only ``doc_id`` and ``text``, ``item_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from itertools import pairwise, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import reliable
+
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
-K1, B, BLOCK, SHINGLE, SHARD_ITEMS = 1.2, 0.75, 16, 5, 20_000
+K1, B, BLOCK, SHINGLE, SLACK = 1.2, 0.75, 4, 5, 0.4
 THRESHOLD, OVERLAP = 0.5, 0.8
+#: Bytes of benchmark text in a shard; the index of a shard takes some ten times that.
+SHARD_BYTES = 8 << 20
+#: The shortest length class, in words; each further class is twice as long.
+SHORTEST_CLASS = 64
+#: Cells times blocks that are bounded at a time.
+AT_ONCE = 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def terms_of(words: list[str]) -> list[str]:
-    return [f"{a} {b}" for a, b in pairwise(words)]
+def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def part_of(words: list[str]) -> tuple[int, set[tuple[str, ...]]]:
+    """(words of a shingle, shingles) of an item's question or answer."""
+    n = min(SHINGLE, len(words))
+    return n, shingles(words, n)
 
 
-def parts_of(text: str) -> tuple[set, set]:
-    """Shingles of an item's question and of its answer; a part under five words joins the other."""
-    sentences = [w for s in SENTENCE.split(text) if (w := words_of(s))]
+def parts_of(text: str) -> tuple[tuple[int, set], tuple[int, set]]:
+    """An item's question and answer; both are the whole item if it has one sentence."""
     words = words_of(text)
-    last = sentences[-1] if sentences else []
-    if len(sentences) < 2 or len(last) < SHINGLE or len(words) - len(last) < SHINGLE:
-        return shingles(words), shingles(words)
-    return shingles(words[: -len(last)]), shingles(words[-len(last) :])
+    sentences = [w for s in SENTENCE.split(text) if (w := words_of(s))]
+    last = len(sentences[-1]) if sentences else 0
+    if len(sentences) < 2 or sum(map(len, sentences)) != len(words):
+        return part_of(words), part_of(words)
+    return part_of(words[:-last]), part_of(words[-last:])
+
+
+def impact(tf, df, length, n, mean):
+    """BM25 weight of a word in an item."""
+    return np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 @dataclass
 class Index:
-    """Inverted index of one shard of items.  Postings are ordered by item and cut into blocks."""
+    """Inverted index of the items of one length class; words are known by the numbers of the shard's vocabulary."""
 
+    stride: int
     ids: list = field(default_factory=list)
-    questions: list[set] = field(default_factory=list)
-    answers: list[set] = field(default_factory=list)
+    questions: list = field(default_factory=list)
+    answers: list = field(default_factory=list)
+    terms: list[np.ndarray] = field(default_factory=list)  # of each item, ascending
+    impacts: list[np.ndarray] = field(default_factory=list)
     limits: list[float] = field(default_factory=list)  # score that a passage must reach
-    words: dict[str, int] = field(default_factory=dict)
-    codes: np.ndarray | None = None  # of each term, ascending: first word * number of words + second word
-    postings: list[tuple[list[int], list[float], list[float]]] = field(default_factory=list)  # items, impacts, block maxima
-    most: np.ndarray | None = None  # largest impact per term
-    longest: int = 1
-
-    def wand(self, query: list[int]) -> list[tuple[int, float]]:
-        """All (item, score) at or above the item's limit, for distinct query terms."""
-        lists = [(self.postings[t], float(self.most[t])) for t in query]
-        least = min(self.limits)
-        at = [0] * len(lists)
-        found = []
-        while True:
-            live = sorted((p[0][at[i]], i) for i, (p, _) in enumerate(lists) if at[i] < len(p[0]))
-            total, pivot = 0.0, None
-            for n, (item, i) in enumerate(live):
-                total += lists[i][1]
-                if total >= least - 1e-9:
-                    pivot = n
-                    break
-            if pivot is None:
-                return found
-            item = live[pivot][0]
-            while pivot + 1 < len(live) and live[pivot + 1][0] == item:
-                pivot += 1
-            limit = self.limits[item] - 1e-9
-            here = [i for _, i in live[: pivot + 1]]
-            bound, ends = 0.0, []
-            for i in here:
-                items, _, tops = lists[i][0]
-                at[i] = bisect_left(items, item, at[i])
-                if at[i] < len(items):
-                    block = at[i] // BLOCK
-                    bound += tops[block]
-                    ends.append(items[min(len(items), (block + 1) * BLOCK) - 1])
-            if bound < min(limit, least) and ends:
-                # No item up to the end of these blocks can reach any limit: leave them.
-                beyond = min(ends) + 1
-                if pivot + 1 < len(live):
-                    beyond = min(beyond, live[pivot + 1][0])
-                for i in here:
-                    at[i] = bisect_left(lists[i][0][0], max(beyond, item + 1), at[i])
-                continue
-            score = 0.0
-            for i in here:
-                items, impacts, _ = lists[i][0]
-                if at[i] < len(items) and items[at[i]] == item:
-                    score += impacts[at[i]]
-                    at[i] += 1
-            if score >= limit:
-                found.append((item, score))
-
-    def search(self, words: list[str]) -> dict[int, tuple[float, float, float]]:
-        """item -> (score, question overlap, answer overlap) of the verified items of a whole text."""
-        out: dict[int, tuple[float, float, float]] = {}
-        if not self.ids or not words:
-            return out
-        known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-        pairs = np.where((known[:-1] >= 0) & (known[1:] >= 0), known[:-1] * len(self.words) + known[1:], -1)
-        at = np.minimum(np.searchsorted(self.codes, pairs), len(self.codes) - 1)
-        terms = np.where(self.codes[at] == pairs, at, -1)
-        bounds = np.append(np.where(terms >= 0, self.most[terms], 0.0), 0.0)
-        sums = np.concatenate([[0.0], np.cumsum(bounds)])
-        stride = self.longest
-        starts = np.arange(0, max(1, len(words) - stride), stride)
-        ends = np.minimum(starts + 2 * stride, len(words))
-        for s, e in zip(starts[(reach := sums[ends] - sums[starts] >= min(self.limits) - 1e-6)], ends[reach], strict=True):
-            inside = terms[s : e - 1]
-            found = self.wand(sorted(set(inside[inside >= 0].tolist())))
-            if found:
-                here = shingles(words[s:e])
-                for item, score in found:
-                    question, answer = (len(p & here) / len(p) for p in (self.questions[item], self.answers[item]))
-                    if question >= OVERLAP and answer >= OVERLAP and (item not in out or score > out[item][0]):
-                        out[item] = (score, question, answer)
-        return out
+    starts: np.ndarray | None = None  # where each word's postings begin
+    blocks: np.ndarray | None = None
+    maxima: np.ndarray | None = None  # largest share of a limit that the word has in the block
+    rest: np.ndarray | None = None  # per block, the largest share that words without postings add up to
+
+    def finish(self, vocabulary: int) -> None:
+        """Postings from the items."""
+        most: dict[tuple[int, int], float] = defaultdict(float)
+        self.rest = np.zeros(-(-len(self.ids) // BLOCK))
+        for i, (terms, impacts, limit) in enumerate(zip(self.terms, self.impacts, self.limits, strict=True)):
+            shares = impacts / max(limit, 1e-12)
+            order = np.argsort(shares)
+            light = np.searchsorted(np.cumsum(shares[order]), SLACK)
+            self.rest[i // BLOCK] = max(self.rest[i // BLOCK], shares[order[:light]].sum())
+            for t, s in zip(terms[order[light:]].tolist(), shares[order[light:]].tolist(), strict=True):
+                most[t, i // BLOCK] = max(most[t, i // BLOCK], s)
+        keys = sorted(most)
+        self.starts = np.searchsorted([t for t, _ in keys], np.arange(vocabulary + 1))
+        self.blocks = np.array([b for _, b in keys], np.int64)
+        self.maxima = np.array([most[k] for k in keys])
+
+    def pivots(self, terms: np.ndarray):
+        """(first word of the passage, block) of the passages and blocks that step 1 keeps; ``terms``: a document's words."""
+        n = len(self.rest)
+        cells = max(1, -(-len(terms) // self.stride))
+        step = max(1, AT_ONCE // n)
+        for at in range(0, cells, step):
+            inside = terms[at * self.stride : (at + step + 1) * self.stride]
+            known = np.flatnonzero(inside >= 0)
+            distinct = np.unique(known // self.stride * (len(self.starts) - 1) + inside[known])
+            cell, term = np.divmod(distinct, len(self.starts) - 1)
+            counts = self.starts[term + 1] - self.starts[term]
+            places = np.repeat(self.starts[term] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            width = -(-len(inside) // self.stride)
+            sums = np.bincount(np.repeat(cell, counts) * n + self.blocks[places], self.maxima[places], width * n).reshape(width, n)
+            bound = (sums[:-1] + sums[1:] if width > 1 else sums) + self.rest
+            for passage, block in np.argwhere(bound >= 1 - 1e-6):
+                yield (at + int(passage)) * self.stride, int(block)
+
+    def search(self, words: list[str], terms: np.ndarray):
+        """(item, score, question overlap, answer overlap) of every passage's verified items."""
+        begin, here, found = None, None, {}
+        for s, block in self.pivots(terms):
+            if s != begin:
+                begin, found = s, {}
+                here = np.unique(terms[s : s + 2 * self.stride])
+            for item in range(block * BLOCK, min(len(self.ids), (block + 1) * BLOCK)):
+                at = np.minimum(np.searchsorted(here, self.terms[item]), len(here) - 1)
+                score = float(self.impacts[item][here[at] == self.terms[item]].sum())
+                if score < self.limits[item] - 1e-9:
+                    continue
+                overlaps = []
+                for n, wanted in (self.questions[item], self.answers[item]):
+                    if n not in found:
+                        found[n] = shingles(words[s : s + 2 * self.stride], n)
+                    overlaps.append(len(wanted & found[n]) / len(wanted))
+                if min(overlaps) >= OVERLAP:
+                    yield self.ids[item], score, *overlaps
 
 
-def statistics(items: DataFrame) -> tuple[DataFrame, int, float]:
-    """(term, item_id, tf, df, length) of all items, their number and mean length."""
-    item_type = items.schema["item_id"].dataType.simpleString()
+@dataclass
+class Shard:
+    """The indexes of a share of the items, one for each length class."""
+
+    words: dict[str, int]
+    indexes: list[Index]
+
+    def dumped(self) -> bytes:
+        """Plain data only, so that it can be read wherever this module is."""
+        return pickle.dumps((self.words, [vars(i) for i in self.indexes]), pickle.HIGHEST_PROTOCOL)
+
+    @classmethod
+    def loaded(cls, blob: bytes) -> Shard:
+        words, indexes = pickle.loads(blob)
+        return cls(words, [Index(**i) for i in indexes])
+
+    def search(self, text: str | None) -> dict:
+        """item_id -> (score, question overlap, answer overlap), the best of a whole text."""
+        out: dict = {}
+        words = words_of(text)
+        if words and self.indexes:
+            terms = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+            for index in self.indexes:
+                for item, *figures in index.search(words, terms):
+                    out[item] = tuple(map(max, out[item], figures)) if item in out else tuple(figures)
+        return out
 
-    def count(batches):
-        for batch in batches:
-            rows = [(i, t, w, n) for i, t in zip(batch["item_id"], batch["text"], strict=True) for w, n in Counter(terms_of(words_of(t))).items()]
-            yield pd.DataFrame(rows, columns=["item_id", "text", "term", "tf"])
-
-    tf = items.where(F.col("text").isNotNull()).select("item_id", "text").distinct().mapInPandas(count, f"item_id {item_type}, text string, term string, tf long")
-    lengths = tf.groupBy("item_id", "text").agg(F.sum("tf").alias("length"))
-    n, mean = lengths.agg(F.count(F.lit(1)), F.avg("length")).first()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df, "term").join(lengths, ["item_id", "text"]), n, mean or 1.0
-
-
-def build_index(rows: list, n: int, mean: float, threshold: float = THRESHOLD) -> Index:
-    """The index of one shard from its rows (item_id, text, term, tf, df, length)."""
-    index = Index()
-    of_item: dict = defaultdict(list)
-    for r in rows:
-        of_item[(r.item_id, r.text)].append(r)
-    postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-    for (item_id, text), terms in sorted(of_item.items(), key=lambda x: (str(x[0][0]).zfill(20), x[0][1])):
-        number = len(index.ids)
-        total = 0.0
-        for r in sorted(terms, key=lambda r: r.term):
-            idf = np.log1p((n - r.df + 0.5) / (r.df + 0.5))
-            impact = float(idf * r.tf * (K1 + 1) / (r.tf + K1 * (1 - B + B * r.length / mean)))
-            postings[r.term].append((number, impact))
-            total += impact
+
+def build_shard(items: list[tuple], rows: list[tuple], threshold: float = THRESHOLD) -> Shard:
+    """The index of a shard: ``items`` are (item number, item_id, text), ``rows`` (item number, word, impact)."""
+    of_item = defaultdict(list)
+    for number, word, weight in rows:
+        of_item[number].append((word, weight))
+    words = {w: i for i, w in enumerate(sorted({w for _, w, _ in rows}))}
+    by_class: dict[int, Index] = {}
+    for number, item_id, text in sorted(items):
+        if number not in of_item:
+            continue
+        stride = SHORTEST_CLASS
+        while stride < len(words_of(text)):
+            stride *= 2
+        index = by_class.setdefault(stride, Index(stride))
+        terms = sorted((words[w], float(x)) for w, x in of_item[number])
         index.ids.append(item_id)
+        index.terms.append(np.array([t for t, _ in terms], np.int64))
+        index.impacts.append(np.array([x for _, x in terms]))
+        index.limits.append(threshold * sum(x for _, x in terms))
         question, answer = parts_of(text)
         index.questions.append(question)
         index.answers.append(answer)
-        index.limits.append(threshold * total)
-        index.longest = max(index.longest, terms[0].length + 1)
-    for word in sorted({w for term in postings for w in term.split(" ")}):
-        index.words[word] = len(index.words)
-    code = {term: index.words[term.split(" ")[0]] * len(index.words) + index.words[term.split(" ")[1]] for term in postings}
-    for term in sorted(postings, key=code.__getitem__):
-        items, impacts = (list(x) for x in zip(*postings[term], strict=True))
-        index.postings.append((items, impacts, [max(impacts[i : i + BLOCK]) for i in range(0, len(impacts), BLOCK)]))
-    index.codes = np.array(sorted(code.values()), np.int64)
-    index.most = np.array([max(p[1]) for p in index.postings])
-    return index
-
-
-def indexes(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[Broadcast]:
-    """The index, broadcast in shards of about ``SHARD_ITEMS`` items."""
-    spark = benchmark.sparkSession
-    terms, n, mean = statistics(benchmark)
-    shards = max(1, -(-n // SHARD_ITEMS))
-    parts = [terms.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == i) for i in range(shards)] if shards > 1 else [terms]
-    return [spark.sparkContext.broadcast(build_index(p.collect(), n, mean, threshold)) for p in parts]
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    for index in by_class.values():
+        index.finish(len(words))
+    return Shard(words, [by_class[k] for k in sorted(by_class)])
+
+
+def shards(benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(shard, blob): the pickled index of each shard, in the checkpoint folder.  No step passes the driver."""
+    numbered = reliable(
+        benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").distinct().withColumn("number", F.monotonically_increasing_id())
+    )
+    total = numbered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = numbered.withColumn("shard", F.pmod(F.xxhash64("number"), F.lit(max(1, -(-total // shard_bytes)))).cast("int"))
+
+    def count(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                rows = []
+                for shard, number, text in zip(part["shard"], part["number"], part["text"], strict=True):
+                    words = words_of(text)
+                    rows += [(shard, number, w, n, len(words)) for w, n in Counter(words).items()]
+                yield pd.DataFrame(rows, columns=["shard", "number", "word", "tf", "length"])
+
+    tf = reliable(items.select("shard", "number", "text").mapInPandas(count, "shard int, number long, word string, tf long, length long"))
+    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    n, mean = tf.groupBy("number").agg(F.first("length").alias("length")).agg(F.count(F.lit(1)), F.avg("length")).first()
+    weight = lambda c: F.col(c).cast("double")
+    scored = tf.join(df, "word").select("shard", "number", "word", impact_column(weight("tf"), weight("df"), weight("length"), n, mean or 1.0).alias("impact"))
+
+    def build(own: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame({"shard": [], "blob": []})
+        made = build_shard(list(own[["number", "item_id", "text"]].itertuples(index=False, name=None)), list(terms[["number", "word", "impact"]].itertuples(index=False, name=None)), threshold)
+        return pd.DataFrame({"shard": own["shard"].iloc[:1], "blob": [made.dumped()]})
+
+    return reliable(items.groupBy("shard").cogroup(scored.groupBy("shard")).applyInPandas(build, "shard int, blob binary"))
+
+
+def impact_column(tf, df, length, n: int, mean: float):
+    """:func:`impact` as a column."""
+    return F.log1p((F.lit(float(n)) - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + F.lit(K1) * (1 - B + B * length / F.lit(float(mean))))
+
+
+class Shared:
+    """A pickled shard; each Python worker unpickles it once."""
+
+    def __init__(self, blob: bytes):
+        self.blob, self.shard = blob, None
+
+    def search(self, text: str | None) -> dict:
+        if self.shard is None:
+            self.shard = Shard.loaded(self.blob)
+        return self.shard.search(text)
+
+    def __getstate__(self):
+        return self.blob
+
+    def __setstate__(self, blob):
+        self.blob, self.shard = blob, None
+
+
+def broadcasts(built: DataFrame):
+    """One shard after the other as a broadcast variable of bounded size."""
+    for (shard,) in built.select("shard").orderBy("shard").collect():
+        blob = built.where(F.col("shard") == shard).first()["blob"]
+        yield built.sparkSession.sparkContext.broadcast(Shared(bytes(blob)))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document and item that leaks into it."""
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    out = None
-    for index in indexes(benchmark, threshold):
+    schema = f"doc_id {id_type}, item_id string, score double, question_overlap double, answer_overlap double"
+    built = shards(benchmark, threshold, shard_bytes)
+    several = built.count() > 1
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index in broadcasts(built):
 
         def search(batches, index=index):
             for batch in batches:
-                rows = [
-                    (doc, index.value.ids[item], *figures)
-                    for doc, text in zip(batch["doc_id"], batch["text"], strict=True)
-                    for item, figures in index.value.search(words_of(text)).items()
-                ]
+                rows = [(doc, item, *figures) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for item, figures in index.value.search(text).items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        part = docs.select("doc_id", "text").mapInPandas(search, f"doc_id {id_type}, item_id {item_type}, score double, question_overlap double, answer_overlap double")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay and nothing is shuffled."""
-    for index in indexes(benchmark, threshold):
-        docs = docs.where(~_leaked(index)(F.col("text")))
-    return docs
-
-
-def _leaked(index: Broadcast):
+        part = docs.select("doc_id", "text").mapInPandas(search, schema)
+        if several:  # what one shard finds is written before the next is broadcast
+            part = reliable(part)
+            index.unpersist()
+        out = part if not several else out.unionByName(part)
+    best = out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+    return best.withColumn("item_id", F.col("item_id").cast(item_type))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; all columns stay and, with one shard, nothing is shuffled."""
+    columns = docs.columns
+    built = shards(benchmark, threshold, shard_bytes)
+    if built.count() <= 1:
+        for index in broadcasts(built):
+            docs = docs.where(~_leaked(index)(F.col("text")))
+        return docs
+    docs = reliable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    gone = None
+    for index in broadcasts(built):
+        part = reliable(docs.where(_leaked(index)(F.col("text"))).select("_row"))
+        index.unpersist()
+        gone = part if gone is None else gone.union(part)
+    return docs.join(gone.distinct(), "_row", "left_anti").select(*columns)
+
+
+def _leaked(index):
     @F.pandas_udf("boolean")
     def leaked(texts: pd.Series) -> pd.Series:
-        return pd.Series([bool(index.value.search(words_of(t))) for t in texts], dtype=bool)
+        return pd.Series([bool(index.value.search(t)) for t in texts], dtype=bool)
 
     return leaked

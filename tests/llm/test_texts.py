@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -107,47 +109,80 @@ def test_decontamination_equals_brute_force(spark):
             text += rnd.choice([" ", "\n", " ## "]) + " ".join(words).upper() + " " + prose(rnd, vocabulary, rnd.randint(0, 90))
         docs.append((d, text))
     docs += [(900, None), (901, ""), (902, items[3][1]), (902, items[3][1]), (None, items[4][1])]
-    want = set()
-    for d, t in docs:
-        here = decontaminate.shingles(decontaminate.words_of(t))
-        for i, x in items:
-            if x and len(decontaminate.words_of(x)) > 1:
-                q, a = decontaminate.parts_of(x)
-                if len(q & here) >= 0.8 * len(q) and len(a & here) >= 0.8 * len(a):
-                    want.add((d, i))
-    frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, score string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = [(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and len(want) > 30
-    cleaned = decontaminate.clean(frame, bench)
-    assert cleaned.columns == frame.columns
+    want = brute_leaks(docs, items)
+    frame = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, score string").repartition(3)
+    bench = spark.createDataFrame([(i, x, "y") for i, x in items], "item_id long, text string, shard string").repartition(3)
     leaked = {d for d, _ in want}
-    assert sorted(str(r.doc_id) for r in cleaned.collect()) == sorted(str(d) for d, _ in docs if d not in leaked)
+    for shard_bytes in (decontaminate.SHARD_BYTES, 2000):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame, bench, shard_bytes=shard_bytes).collect()}
+        assert set(got) == set(want) and len(want) > 30
+        assert all(abs(r.score - want[k]) < 1e-6 for k, r in got.items())
+        cleaned = decontaminate.clean(frame, bench, shard_bytes=shard_bytes)
+        assert cleaned.columns == frame.columns
+        assert sorted(str(r.doc_id) for r in cleaned.collect()) == sorted(str(d) for d, _ in docs if d not in leaked)
     none = bench.where("false")
     assert decontaminate.leaks(frame, none).count() == 0 and decontaminate.clean(frame, none).count() == len(docs)
 
 
-def test_wand_finds_all_above_the_limits():
+def brute_leaks(docs, items):
+    """Every passage against every item, without index or bounds: {(doc_id, item_id): best score}."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    known = [(i, x, words(x)) for i, x in sorted({(i, x) for i, x in items if words(x)}, key=str)]
+    df = Counter(w for _, _, ws in known for w in set(ws))
+    mean = sum(len(ws) for *_, ws in known) / len(known)
+
+    def held(part, passage):
+        n = min(5, len(part))
+        grams = lambda ws: {tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)}
+        return len(grams(part) & grams(passage)) >= 0.8 * len(grams(part))
+
+    out = {}
+    for i, x, ws in known:
+        stride = 64
+        while stride < len(ws):
+            stride *= 2
+        tf = Counter(ws)
+        weight = {w: math.log1p((len(known) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, n in tf.items()}
+        sentences = [words(s) for s in re.split(r"(?<=[.!?])\s+", x) if words(s)]
+        question, answer = (ws, ws) if len(sentences) < 2 else (ws[: -len(sentences[-1])], sentences[-1])
+        for d, t in docs:
+            all_words = words(t)
+            for at in range(0, max(1, len(all_words) - stride), stride):
+                passage = all_words[at : at + 2 * stride]
+                score = sum(weight[w] for w in set(passage) & set(weight))
+                if passage and score >= 0.5 * sum(weight.values()) - 1e-9 and held(question, passage) and held(answer, passage):
+                    out[d, i] = max(score, out.get((d, i), 0))
+    return out
+
+
+def test_pivots_keep_every_item_above_its_limit():
+    """Bounds never rule out a passage and item that the exact scores keep, whatever fits in a step."""
     rnd = random.Random(6)
-
-    class Row:
-        def __init__(self, **k):
-            self.__dict__.update(k)
-
-    texts = [prose(rnd, [f"t{i}" for i in range(30)], rnd.randint(3, 15)) for _ in range(80)]
-    rows = []
-    for i, t in enumerate(texts):
-        terms = decontaminate.terms_of(decontaminate.words_of(t))
-        rows += [Row(item_id=i, text=t, term=w, tf=terms.count(w), df=3, length=len(terms)) for w in set(terms)]
-    index = decontaminate.build_index(rows, 80, 8.0)
-    for _ in range(100):
-        query = sorted(rnd.sample(range(len(index.codes)), 25))
-        exact: dict = {}
-        for q in query:
-            for item, impact in zip(*index.postings[q][:2]):
-                exact[item] = exact.get(item, 0) + impact
-        want = {i for i, s in exact.items() if s >= index.limits[i] - 1e-9}
-        assert {i for i, _ in index.wand(query)} == want
+    texts = [prose(rnd, [f"t{i}" for i in range(60)], rnd.randint(1, 15)) for _ in range(80)]
+    df = Counter(w for t in texts for w in set(t.split()))
+    rows = [(i, w, float(decontaminate.impact(n, df[w], len(t.split()), 80, 8.0))) for i, t in enumerate(texts) for w, n in Counter(t.split()).items()]
+    shard = decontaminate.build_shard([(i, i, t) for i, t in enumerate(texts)], rows)
+    (index,) = shard.indexes
+    index.stride = 8
+    for at_once in (decontaminate.AT_ONCE, 40):
+        decontaminate.AT_ONCE, kept = at_once, decontaminate.AT_ONCE
+        for _ in range(40):
+            words = prose(rnd, [f"t{i}" for i in range(70)], rnd.randint(1, 60)).split()
+            terms = np.array([shard.words.get(w, -1) for w in words])
+            found = set(index.pivots(terms))
+            for s in range(0, max(1, len(words) - 8), 8):
+                inside = set(words[s : s + 16])
+                for i in range(80):
+                    score = sum(x for j, w, x in rows if j == i and w in inside)
+                    assert score < index.limits[i] - 1e-9 or (s, i // decontaminate.BLOCK) in found
+        decontaminate.AT_ONCE = kept
+
+
+def test_short_answers_and_single_words_are_verified(spark):
+    bench = spark.createDataFrame([(1, "What is the name of the largest moon of that planet? Titan."), (2, "zyzzyva")], "item_id long, text string")
+    question = "what is the name of the largest moon of that planet"
+    docs = spark.createDataFrame([(1, f"{question} it is Titan of course"), (2, f"{question} nobody knows"), (3, "a Zyzzyva here"), (4, "titan"), (5, "x " * 200_000 + f"{question}? titan " + "y " * 200_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(1, 1), (3, 2), (5, 1)]
 
 
 def test_chunks_are_whole_and_resist_shifts():
