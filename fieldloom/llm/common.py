@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``, which executors and driver share.
 
-    Only where that is unset (tests, local mode) a folder of this machine is used.
+    Where that is unset the warehouse, which they share as well, has a folder for it.
     """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return context.getCheckpointDir().get()
 
 
@@ -29,6 +27,25 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key that holds more than this share of the rows (one in so many) is hot; there can be no more hot keys than that.
+SHARE = 2000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> list:
+    """The at most ``SHARE`` keys of ``counts`` (key, n) that hold more than a ``SHARE``-th of all."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > max(1, total // SHARE)).select(key).collect()]
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key: rows of hot keys stay where they are and meet a broadcast of
+    the few rows of ``one`` that they need, so that no task gets all rows of a hot key."""
+    if not hot:
+        return many.join(one, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return many.where(~is_hot).join(one.where(~is_hot), key, how).unionByName(many.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how))
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out of all learning."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))

@@ -21,16 +21,20 @@
 6. Links become components by alternating star contractions; each round is a few
    grouped aggregates and joins, and its result goes to the checkpoint folder.
 7. Partners and the window leave links between dense families out.  So in each
-   region at the deeper prefix all pairs of classes of different components are
-   compared, however many there are: by signatures first, with ``CERTAIN`` standard
-   errors to spare, and the classes of what is left on full shingle sets, until
-   each two components of the region are one or have no link.
+   region at the deeper prefix all classes of different components are compared,
+   however many there are: by signatures first, with ``CERTAIN`` standard errors to
+   spare, and those that are left on full shingle sets.  A region is dealt into
+   tiles, and the tiles of its largest component meet those of the others only, so
+   a task holds two tiles whatever the size of the region.
 
 Signatures are probabilistic: a true link between two components is missed only if
 the pair shares the deeper prefix in no tree, and is no neighbour and no leader's
 link: for a pair just at the threshold t that has probability (1 - t^3)^16, 3e-7 at
 0.85 and 1e-5 at 0.80.  The tests measure the recall against brute force.
 
+Regions, texts and roots that hold more than a fixed share of the rows are joined
+apart from the others (``spread_join``).
+
 Defined results
 ---------------
 * words are runs of anything but ASCII white space, A-Z lower-cased; fewer than
@@ -39,6 +43,7 @@ Defined results
 * ``component_id`` is the smallest ``doc_id`` reachable.  A row without a
   ``doc_id`` takes no part: its ``component_id`` is null and it is kept.
 * repeated rows are in one component; rows that repeat the smallest id are kept.
+* ``doc_id`` may have any type that has an order.
 """
 
 from __future__ import annotations
@@ -51,7 +56,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import hot_keys, reliable, spread_join
 
 SHINGLE, TREES, DEPTH = 5, 16, 8
 #: Prefix lengths whose regions get a leader.
@@ -59,6 +64,8 @@ DEPTHS = (1, 3)
 WINDOW, PARTNERS, SLACK = 24, 3, 0.11
 #: Standard errors below the threshold at which two components still go on to full sets.
 CERTAIN = 6
+#: Classes and shingles of a tile.
+TILE, TILE_SHINGLES = 1024, 1_000_000
 LANES = TREES * DEPTH
 _DRAW = np.random.default_rng(20240301)
 _A = _DRAW.integers(1, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,7 +119,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def sets_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_shingles, set_key, signature, sketch) of every row; the last three null for empty sets."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType
 
     def measure(batches):
         old = np.seterr(over="ignore")
@@ -131,9 +138,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
             )
         np.seterr(**old)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(
-        measure, f"doc_id {id_type}, text_hash long, n_shingles long, set_key binary, signature binary, sketch binary"
-    )
+    # Ids cross as text: a batch with a null among numbers would turn them into floating-point ones.
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInPandas(
+        measure, "doc_id string, text_hash long, n_shingles long, set_key binary, signature binary, sketch binary"
+    ).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
 def sketch(signatures: np.ndarray) -> np.ndarray:
@@ -145,16 +153,21 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """(cls, tree, depth, region, size): the regions of two or more classes, at a shallow and a deeper prefix."""
-    prefix = lambda d: F.xxhash64(F.lit(d), "tree", F.expr(f"substring(signature, tree * {DEPTH * 4} + 1, {d * 4})"))
+def prefix(tree: int | str, depth: int):
+    """The number of the region of a class's ``depth`` first min-hashes in a tree."""
+    return F.xxhash64(F.lit(depth), F.lit(tree) if isinstance(tree, int) else F.col(tree), F.expr(f"substring(signature, {tree} * {DEPTH * 4} + 1, {depth * 4})"))
+
+
+def regions(classes: DataFrame) -> tuple[DataFrame, list]:
+    """(cls, tree, depth, region, size): the regions of two or more classes, at a shallow and a deeper prefix; the hot ones."""
     rows = (
         classes.select("cls", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        .select("cls", "tree", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(d).alias("region")) for d in DEPTHS])).alias("r"))
+        .select("cls", "tree", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix("tree", d).alias("region")) for d in DEPTHS])).alias("r"))
         .select("cls", "tree", "r.depth", "r.region")
     )
-    sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return reliable(rows.join(sizes, "region"))
+    sizes = reliable(rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    hot = hot_keys(sizes, "region", "size")
+    return reliable(spread_join(rows, sizes, "region", hot)), hot
 
 
 def neighbours(classes: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
@@ -248,13 +261,13 @@ def _pairs(pairs: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs], "part": none, "edge": none, "tree": none, "path": [None] * n, "sketch": [None] * n})[_COLUMNS]
 
 
-def leaders(placed: DataFrame) -> DataFrame:
+def leaders(placed: DataFrame, hot: list) -> DataFrame:
     """(a, b): each class with the leaders of its regions."""
     # How much of its forest a class shares: large for the text that a family descends from.
     central = placed.groupBy("cls").agg(F.sum(F.log2("size")).alias("central"))
     scored = placed.join(central, "cls")
     led = scored.groupBy("region").agg(F.max(F.struct(F.round("central", 6).alias("central"), (-F.col("cls")).alias("order"))).alias("best")).select("region", (-F.col("best.order")).alias("leader"))
-    return placed.join(led, "region").where(F.col("cls") != F.col("leader")).select(F.col("cls").alias("a"), F.col("leader").alias("b"))
+    return spread_join(placed, led, "region", hot).where(F.col("cls") != F.col("leader")).select(F.col("cls").alias("a"), F.col("leader").alias("b"))
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, inter: int, union: int, threshold: float) -> DataFrame:
@@ -307,8 +320,9 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = reliable(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = spread_join(both.where("v > u"), least.drop("n"), "u", hot_keys(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # Every node of a large star has smaller neighbours only, and few of them: the smallest of each star it was in.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("x"), F.col("u"), "m")
         small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -336,25 +350,26 @@ def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
         yield kept[0] if len(kept) == 1 else pd.concat(kept, ignore_index=True)
 
 
-def disputed(root: np.ndarray, tree: int, signatures: np.ndarray, sizes: np.ndarray, inter: int, union: int) -> np.ndarray:
-    """Which classes of a region may be linked with another component there, by sizes and signatures.
+def disputed(root: np.ndarray, side: np.ndarray, tree: int, sketches: np.ndarray, deep: np.ndarray, sizes: np.ndarray, inter: int, union: int) -> np.ndarray:
+    """Which classes of a meeting may be linked with another component there, by sizes and signatures.
 
-    A pair that shares the prefix in an earlier tree is left to that tree.
+    Where there are two sides, classes of the one meet those of the other.  A pair that
+    shares the region of an earlier tree (``deep``: one of each tree) is left to that tree.
     """
     threshold = union / inter
     low = threshold - CERTAIN * np.sqrt(threshold * (1 - threshold) / LANES)
-    sketches = sketch(signatures)
-    prefixes = signatures.reshape(-1, TREES, DEPTH)[:, :tree, : DEPTHS[-1]]
-    _, part, counts = np.unique(root, return_inverse=True, return_counts=True)
+    earlier = deep[:, :tree]
     found = np.zeros(len(root), bool)
     # The largest component needs no walk of its own: the others meet it.
-    outside = part != np.argmax(counts)
-    walked = np.zeros(len(root), bool)
-    for i in np.flatnonzero(outside):
-        walked[i] = True
-        j = np.flatnonzero((part != part[i]) & ~walked & (inter * np.minimum(sizes, sizes[i]) >= union * np.maximum(sizes, sizes[i])))
+    _, part, counts = np.unique(root, return_inverse=True, return_counts=True)
+    two = bool((side == 1).any())
+    left = side == 1 if two else np.ones(len(root), bool)  # whom a class still has to meet
+    for i in np.flatnonzero(side == 0 if two else part != np.argmax(counts)):
+        if not two:
+            left[i] = False
+        j = np.flatnonzero((part != part[i]) & left & (inter * np.minimum(sizes, sizes[i]) >= union * np.maximum(sizes, sizes[i])))
         j = j[_agreement(sketches[j], sketches[i]) >= low]
-        j = j[~(prefixes[j] == prefixes[i]).all(axis=-1).any(axis=-1)]
+        j = j[~(earlier[j] == earlier[i]).any(axis=-1)]
         if len(j):
             found[i] = True
             found[j] = True
@@ -387,31 +402,61 @@ def joined(root: np.ndarray, sets: list[np.ndarray], inter: int, union: int) ->
     return out
 
 
+def meetings(deep: DataFrame) -> DataFrame:
+    """Rows (region, root, n_shingles, ...) of the regions with several components, with the tile pairs they take part in.
+
+    ``meeting`` names the pair of tiles, ``side`` is 0 for the tile whose classes meet all others and 1 for a second one.
+    Tiles are dealt by hash, as many as classes and shingles ask for, and the largest component of a region has its own.
+    """
+    per = reliable(deep.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")))
+    tiles = lambda n, s: F.ceil(F.greatest(n / TILE, s / TILE_SHINGLES)).cast("int")
+    most = F.max(F.struct("n", "root", "shingles"))
+    stats = reliable(
+        per.groupBy("region")
+        .agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), most.alias("most"))
+        .where("roots > 1")
+        .select("region", "n", "most.root", tiles(F.col("most.n"), F.col("most.shingles")).alias("own"), tiles(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("others"))
+        .withColumnRenamed("root", "largest")
+    )
+    rows = spread_join(deep, stats.drop("n"), "region", hot_keys(stats, "region"))
+    is_largest = F.col("root") == F.col("largest")
+    tile = F.pmod(F.xxhash64("cls"), F.when(is_largest, F.col("own")).otherwise(F.col("others"))).cast("int")
+    one = lambda a, b, side: F.struct(F.xxhash64("region", a, b).alias("meeting"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # A small region is one meeting; in others a tile of the largest component meets each tile of the rest, and those meet one another.
+    mine = F.when(is_largest, F.transform(upto("others"), lambda i: one(-tile - 1, i, F.lit(1)))).otherwise(
+        F.concat(F.transform(upto("own"), lambda j: one(-j - 1, tile, F.lit(0))), F.transform(upto("others"), lambda i: one(F.least(tile, i), F.greatest(tile, i), tile > i)))
+    )
+    single = (F.col("own") == 1) & (F.col("others") == 1)
+    return rows.withColumn("m", F.explode(F.when(single, F.array(one(F.lit(0), F.lit(0), F.lit(0)))).otherwise(mine))).select("m.meeting", "m.side", *[c for c in deep.columns if c != "region"])
+
+
 def bridges(classes: DataFrame, placed: DataFrame, roots: DataFrame, texts: DataFrame, inter: int, union: int) -> DataFrame:
     """(a, b): components of ``roots`` (cls, root) between which there is a link."""
-    deep = placed.where(F.col("depth") == DEPTHS[-1]).select("cls", "tree", "region").join(roots, "cls")
-    met = deep.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
-    rows = deep.join(met, "region").join(classes.select("cls", "signature", "n_shingles"), "cls")
+    deep = placed.where(F.col("depth") == DEPTHS[-1]).select("cls", "tree", "region").join(roots, "cls").join(classes.select("cls", "n_shingles"), "cls")
+    met = reliable(meetings(deep))
+    described = classes.select("cls", "sketch", F.array(*[prefix(t, DEPTHS[-1]) for t in range(TREES)]).alias("deep"))
 
     def likely(batches):
-        for r in runs(batches, "region"):
-            signatures = np.frombuffer(b"".join(r["signature"]), ">u4").reshape(len(r), LANES).astype(np.uint32)
-            found = disputed(r["root"].to_numpy(), int(r["tree"].iat[0]), signatures, r["n_shingles"].to_numpy(np.int64), inter, union)
+        for r in runs(batches, "meeting"):
+            sketches = np.frombuffer(b"".join(r["sketch"]), np.uint8).reshape(len(r), LANES)
+            found = disputed(r["root"].to_numpy(), r["side"].to_numpy(), int(r["tree"].iat[0]), sketches, np.stack(r["deep"]), r["n_shingles"].to_numpy(np.int64), inter, union)
             if found.any():
-                yield r.loc[found, ["region", "cls", "root"]]
+                yield r.loc[found, ["meeting", "cls", "root"]]
 
     def check(batches):
         old = np.seterr(over="ignore")
-        for r in runs(batches, "region"):
+        for r in runs(batches, "meeting"):
             pairs = joined(r["root"].to_numpy(), [shingle_set(t) for t in r["text"]], inter, union)
             if pairs:
                 yield pd.DataFrame(pairs, columns=["a", "b"])
         np.seterr(**old)
 
-    sort = lambda df: df.repartition("region").sortWithinPartitions("region")
-    near = reliable(sort(rows.select("region", "cls", "root", "tree", "signature", "n_shingles")).mapInPandas(likely, "region long, cls long, root long"))
+    sort = lambda df: df.repartition("meeting").sortWithinPartitions("meeting")
+    rows = met.join(described, "cls").select("meeting", "side", "cls", "root", "tree", "sketch", "deep", "n_shingles")
+    near = reliable(sort(rows).mapInPandas(likely, "meeting long, cls long, root long"))
     own = texts.join(near.select("cls").distinct(), "cls", "left_semi")
-    return sort(near.join(own, "cls").select("region", "root", "text")).mapInPandas(check, "a long, b long")
+    return sort(near.join(own, "cls").select("meeting", "root", "text")).mapInPandas(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, inter: int = 100, union: int = 85) -> DataFrame:
@@ -419,32 +464,36 @@ def near_duplicates(docs: DataFrame, inter: int = 100, union: int = 85) -> DataF
 
     Linked are sets with ``inter`` * intersection >= ``union`` * union.
     """
-    id_type = docs.schema["doc_id"].dataType
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     threshold = union / inter
-    sets = reliable(sets_of(docs).withColumn("cls", F.when(F.col("set_key").isNotNull(), F.xxhash64("set_key"))))
-    usable = sets.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull())
+    sets = reliable(sets_of(docs))
+    usable = sets.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
+    # Classes are numbered in the checkpoint; the 128 bits of their key tell them apart.
     classes = reliable(
-        usable.groupBy("cls").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"))
-        .select("cls", "first.doc_id", "first.text_hash", "n_shingles", "signature", "sketch")
+        usable.groupBy("set_key")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"))
+        .select(F.monotonically_increasing_id().alias("cls"), "set_key", "first.doc_id", "first.text_hash", "n_shingles", "signature", "sketch", "n")
     )
+    of_text = hot_keys(classes, "set_key")
     texts = docs.withColumn("text_hash", F.xxhash64("text")).join(classes.select("cls", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("cls", "text")
     # Rows that repeat an id with other texts link their classes.
-    heads = usable.select("doc_id", "cls").distinct()
+    heads = spread_join(usable.select("doc_id", "set_key"), classes.select("set_key", "cls"), "set_key", of_text).select("doc_id", "cls").distinct()
     repeated = heads.groupBy("doc_id").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     same_id = heads.join(repeated, "doc_id").select(F.col("cls").alias("a"), "b")
-    placed = regions(classes)
-    pairs = neighbours(classes, placed, threshold).unionByName(leaders(placed))
+    placed, hot = regions(classes)
+    pairs = neighbours(classes, placed, threshold).unionByName(leaders(placed, hot))
     links = confirmed(pairs, classes, texts, inter, union, threshold).unionByName(same_id)
     roots = reliable(classes.select("cls").join(components(links), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
     wider = components(bridges(classes, placed, roots, texts, inter, union)).select(F.col("cls").alias("root"), F.col("root").alias("wider"))
-    rooted = classes.select("cls", "doc_id").join(roots, "cls").join(wider, "root", "left").withColumn("root", F.coalesce("wider", "root"))
-    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    of_class = rooted.join(smallest, "root").select("cls", "smallest")
+    rooted = classes.select("cls", "set_key", "doc_id").join(roots, "cls")
+    of_root = reliable(rooted.groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")).join(wider, "root", "left").withColumn("wider", F.coalesce("wider", "root")))
+    smallest = of_root.groupBy("wider").agg(F.min("smallest").alias("smallest"))
+    of_root = of_root.select("root", "wider", "n").join(smallest, "wider")
+    of_class = spread_join(rooted, of_root.select("root", "smallest"), "root", hot_keys(of_root, "root")).select("set_key", "smallest")
     component = F.coalesce("smallest", "doc_id")
-    return sets.join(of_class, "cls", "left").select(
-        F.col("doc_id").cast(id_type).alias("doc_id"),
+    return spread_join(sets.select("doc_id", "n_shingles", "set_key"), of_class, "set_key", of_text, "left").select(
+        "doc_id",
         "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), component).cast(id_type).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )

@@ -99,3 +99,38 @@ def test_a_single_link_between_two_families(spark):
     rows = [(1000 * g + k, t) for g, texts in enumerate(groups) for k, t in enumerate(texts)]
     got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i // 1000 * 1000 for i, _ in rows}
+
+
+def test_regions_of_many_tiles_lose_no_link(spark, monkeypatch):
+    """Families of near copies around one text, in tiles of a few classes; hot regions and roots are joined apart."""
+    monkeypatch.setattr(minhash_forest, "TILE", 7)
+    rnd = random.Random(12)
+    base = [f"w{rnd.random()}" for _ in range(150)]
+    rows = [(i, edited(rnd, base, rnd.choice([1, 2, 9, 9, 9]))) for i in range(250)] + [(1000 + i, " ".join(base)) for i in range(250)]
+    rows += [(5000 + i, " ".join(f"u{rnd.random()}" for _ in range(20))) for i in range(100)]
+    want = brute(rows, 100, 85)
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_meetings_bring_every_two_components_of_a_region_together(spark, monkeypatch):
+    monkeypatch.setattr(minhash_forest, "TILE", 3)
+    rnd = random.Random(13)
+    rows = [(c, 0, g, 100 * g + rnd.choice([0, 0, 0, *range(n)]), 10) for g, n in enumerate((1, 2, 5, 30)) for c in range(1000 * g, 1000 * g + 40)]
+    met = minhash_forest.meetings(spark.createDataFrame(rows, "cls long, tree int, region long, root long, n_shingles long")).collect()
+    together = set()
+    for m in {r.meeting for r in met}:
+        own = [r for r in met if r.meeting == m]
+        assert len(own) <= 40 and len({r.cls for r in own}) == len(own)
+        two = any(r.side for r in own)
+        together |= {frozenset((a.cls, b.cls)) for a in own for b in own if a.root != b.root and (not two or a.side != b.side)}
+    assert together == {frozenset((a[0], b[0])) for a in rows for b in rows if a[2] == b[2] and a[3] != b[3]}
+
+
+def test_ids_of_any_type_and_size(spark):
+    rows = [("b", "x y z a b c"), ("a", "X Y Z A B C"), (None, "x y z a b c"), ("c", "q")]
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {("b", "a", False), ("a", "a", True), (None, None, True), ("c", "c", True)}
+    big = 2**60 + 1
+    got = minhash_forest.near_duplicates(spark.createDataFrame([(big, "x y"), (big + 1, "x y"), (None, "x y")], "doc_id long, text string").coalesce(1)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(big, big), (big + 1, big), (None, None)}
