@@ -85,7 +85,7 @@ def report_number(v: Column) -> Column:
 
 def vin(v: Column) -> Column:
     v = F.upper(v)
-    return F.when(v.rlike("^[A-HJ-NPR-Z0-9]{17}$"), 1.0).when(v.rlike("^[A-Z0-9]{17}$"), 0.7).otherwise(0.4)
+    return F.when(F.length(v) != 17, 0.2).when(v.rlike("^[A-HJ-NPR-Z0-9]{17}$"), 1.0).when(v.rlike("^[A-Z0-9]{17}$"), 0.7).otherwise(0.4)
 
 
 def year(v: Column, year_now: int) -> Column:

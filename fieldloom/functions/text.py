@@ -135,28 +135,45 @@ def flatten_tables(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "line_no", F.posexplode(out).alias("col", "line")).where("line is not null")
 
 
-#: Per rule a line's pattern, the group that holds the value, and the keys its value is repeated under.
-COMPOUND = (
-    (r"(?i)^(?:CRASH\s+)?DIRECTION\s*:\s*(.+)$", ("ACCIDENT TYPE", "COLLISION TYPE", "MANNER OF COLLISION")),
-    (r"(?i)^TYPE\s+OF\s+(?:CRASH|COLLISION|ACCIDENT)\s*:\s*(.+)$", ("ACCIDENT TYPE", "COLLISION TYPE", "MANNER OF COLLISION")),
-    (r"(?i)^COLLISION\s+TYPE\s*:\s*(.+)$", ("ACCIDENT TYPE", "MANNER OF COLLISION", "CRASH TYPE")),
-)
-CONDITIONS = r"(?i)\b(WEATHER|LIGHT(?:ING)?(?:\s+CONDITIONS?)?|(?:ROAD\s+)?SURFACE(?:\s+CONDITIONS?)?)\s*:\s*"
+# Lines that hold several labelled values, letters that decoding puts into words, and the labels under which
+# the kind of a collision is looked for.
+CONDITIONS = r"(?i)^Weather\s+(.+?)\s+Light\s+Conditions\s+(.+?)\s+Road\s+Surface\s+N?(Dry|Wet|Snow|Ice|Slush|Sand|Mud|Oil|Water|Gravel|Other\S*)(?:\s|$)"
+CONDITIONS_PART = r"(?i)^Weather\s+(.+?)\s+Light\s+Conditions\s+(.+)$"
+DIRECTION = r"(?i)Direction\s+(?:[A-Z][ \t]*)?of\s+Crash\s+(.+?)(?:\s+Areas\s+of\s+Damage|$)"
+HAS_WEATHER = r"(?i)\bWeather\s*:"
+WEATHER_INSIDE = r"\bWEATHER[ \t]+(.+?)(?=[ \t]+TYPE\s+OF\b|[ \t]+COLLISION\s+TYPE\b|\s*$)"
+TYPE_OF = r"(?i)\bTYPE\s+OF\s+(?!COLLISION\b)(.+?)(?=\s*/\s*\d|\s*$)"
+COLLISION_TYPE = r"(?i)\bCOLLISION\s+TYPE\s+(.+?)(?=\s+TOTAL\s+(?:VEHICLES?|UNITS?)|\s*$)"
+STRAY_INSIDE, STRAY_BEFORE, STRAY_LAST = r"(?<=[a-z])[A-Z](?=[a-z])", r"(?<=[a-z])[A-Z](?=\))", "[A-Z]$"
+KIND_LABELS = ("Direction of Crash", "Manner of Collision", "Type of Crash")
+# End of the fixed values.
 
 
-def expand_compound_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, text): lines of several conditions as a line each, and alias lines after collision lines.
+def compound_line(line: Column) -> Column:
+    """A line as the lines that it stands for: of several conditions one each, and alias lines after a collision line.
 
-    The first rule that matches a line decides.
+    The first rule that matches decides; all other lines stay as they are.
     """
-    lines = lines_of(docs.withColumn("text", strip_cid(F.col("text"))), key)
-    line = F.col("line")
-    several = F.size(F.regexp_extract_all(line, F.lit(CONDITIONS), F.lit(1))) >= 2
-    marks = F.filter(F.split(F.regexp_replace(line, CONDITIONS, "\n$1: "), "\n"), lambda x: F.trim(x) != "")
-    parts = F.transform(marks, lambda x: F.regexp_replace(F.trim(x), r"[\s,;|/]+$", ""))
-    out = F.when(several, parts)
-    for pattern, names in COMPOUND:
-        out = out.when(line.rlike(pattern), F.array(line, *[F.concat(F.lit(f"{n}: "), F.regexp_extract(line, pattern, 1)) for n in names]))
-    expanded = lines.select(key, F.col("line_no").alias("no"), F.posexplode(out.otherwise(F.array(line))).alias("part", "line"))
-    numbered = expanded.select(key, F.struct("no", "part").alias("line_no"), "line")
-    return joined(numbered, key)
+    clean = F.trim(strip_cid(line))
+    part = lambda p, n: F.trim(F.regexp_extract(clean, p, n))
+    said = lambda name, v: F.concat(F.lit(f"{name}: "), v)
+    kinds = lambda v: [said(n, v) for n in KIND_LABELS]
+    light = lambda v: [said("Light Conditions", v), said("Light Condition", v)]
+    tidy = lambda v: F.regexp_replace(F.regexp_replace(v, STRAY_INSIDE, ""), STRAY_BEFORE, "")
+    direction = F.trim(F.regexp_replace(tidy(part(DIRECTION, 1)), STRAY_LAST, ""))
+    kind = F.trim(F.regexp_replace(part(TYPE_OF, 1), r"\s*/\s*$", ""))
+    return (
+        F.when(clean.rlike(CONDITIONS), F.array(said("Weather", part(CONDITIONS, 1)), *light(part(CONDITIONS, 2)), said("Road Surface", part(CONDITIONS, 3))))
+        .when(clean.rlike(CONDITIONS_PART), F.array(said("Weather", part(CONDITIONS_PART, 1)), *light(part(CONDITIONS_PART, 2))))
+        .when(clean.rlike(DIRECTION), F.array(tidy(line), *kinds(direction)))
+        .when(~clean.rlike(HAS_WEATHER) & clean.rlike(WEATHER_INSIDE), F.array(line, said("Weather", part(WEATHER_INSIDE, 1))))
+        .when(clean.rlike(TYPE_OF) & (kind != ""), F.array(line, *kinds(kind)))
+        .when(clean.rlike(COLLISION_TYPE) & (part(COLLISION_TYPE, 1) != ""), F.array(line, *kinds(part(COLLISION_TYPE, 1))))
+        .otherwise(F.array(line))
+    )
+
+
+def expand_compound_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, text) with compound lines expanded; a document's lines stay in its row."""
+    lines = F.flatten(F.transform(F.split("text", "\r\n|\r|\n", -1), compound_line))
+    return docs.select(key, F.array_join(lines, "\n").alias("text"))

@@ -13,11 +13,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import matches
+from ..functions.spans import matches, once
 from ..functions.values import stripped
-from .templates import java_pattern
+from .templates import java_pattern, valid_pattern
 
-COLUMNS = ("doc_id", "field_id", "value", "strategy", "priority", "match_pattern", "raw_match", "start", "end", "page", "preset", "gen_order")
+COLUMNS = ("doc_id", "field_id", "value", "strategy", "priority", "match_pattern", "raw_match", "start", "end", "page", "preset", "gen_order", "window", "text_length")
+#: Characters of text before and after the start of a match that travel with a candidate, so that scoring needs no text.
+BEFORE, AFTER = 80, 60
 
 
 @dataclass(frozen=True)
@@ -45,29 +47,46 @@ def strategy(name: str):
     return add
 
 
-def _candidate(s: Strategy, value: Column, raw: Column, start: Column, end: Column, pattern: str | None, page: Column, pattern_idx: int, match_idx: Column, preset: Column | None = None) -> Column:
+def _candidate(text: Column, s: Strategy, value: Column, raw: Column, start: Column, end: Column, pattern: str | None, page: Column, pattern_idx: int, match_idx: Column, preset: Column | None = None) -> Column:
+    begin = F.greatest(start - BEFORE, F.lit(0))
     return F.struct(
         F.lit(s.field_id).alias("field_id"), value.alias("value"), F.lit(s.name).alias("strategy"), F.lit(s.priority).alias("priority"),
         F.lit(pattern).cast("string").alias("match_pattern"), raw.alias("raw_match"), start.cast("int").alias("start"), end.cast("int").alias("end"), page.cast("int").alias("page"),
         (F.lit(None) if preset is None else preset).cast("double").alias("preset"),
         F.struct(F.lit(s.priority).alias("priority"), F.lit(s.idx).alias("strategy"), F.lit(pattern_idx).alias("pattern"), match_idx.cast("int").alias("match")).alias("gen_order"),
+        F.substring(text, begin + 1, start + AFTER - begin).alias("window"), F.length(text).alias("text_length"),
     )
 
 
+NO_CANDIDATES = (
+    "array<struct<field_id:string,value:string,strategy:string,priority:int,match_pattern:string,raw_match:string,start:int,end:int,page:int,preset:double,"
+    "gen_order:struct<priority:int,strategy:int,pattern:int,match:int>,window:string,text_length:int>>"
+)
+
+
+def inline_flags(names) -> str:
+    """Flags of a strategy as an inline group."""
+    letters = "".join({"IGNORECASE": "iu", "MULTILINE": "m", "DOTALL": "s"}.get(n, "") for n in names)
+    return f"(?{letters})" if letters else ""
+
+
 @strategy("global_regex")
 def global_regex(text: Column, s: Strategy) -> Column:
-    """Every match of every pattern in the text."""
+    """Every match of every pattern in the text; config: flags (IGNORECASE, MULTILINE, DOTALL).  Patterns that do not compile are skipped."""
     found = []
     for i, p in enumerate(s.patterns):
+        if not valid_pattern(p):
+            continue
         java, group = java_pattern(p)
+        java = inline_flags(s.config.get("flags", ())) + java
         hits = matches(text, java, group=group)
-        found.append(_regex_hits(s, i, p, hits))
-    return F.concat(*found)
+        found.append(_regex_hits(text, s, i, p, hits))
+    return F.concat(*found) if found else F.array().cast(NO_CANDIDATES)
 
 
-def _regex_hits(s: Strategy, i: int, pattern: str, hits: Column) -> Column:
+def _regex_hits(text: Column, s: Strategy, i: int, pattern: str, hits: Column) -> Column:
     none = F.lit(None)
-    out = F.transform(hits, lambda h, n: _candidate(s, stripped(h["value"]), h["hit"], h["start"], h["end"], pattern, none, i, n))
+    out = F.transform(hits, lambda h, n: _candidate(text, s, stripped(h["value"]), h["hit"], h["start"], h["end"], pattern, none, i, n))
     return F.filter(out, lambda c: c["value"] != "")
 
 
@@ -97,38 +116,41 @@ def _nearby_hits(text: Column, s: Strategy, i: int, pattern: str, hits: Column,
             value = F.regexp_extract(window, java, group)
         else:
             value = F.regexp_extract(window, r"(?:^|\n)[ \t]*(\S[^\n]*)", 1)
-        return _candidate(s, stripped(value), h["hit"], h["start"], h["end"], pattern, F.lit(None), i, n)
+        return _candidate(text, s, stripped(value), h["hit"], h["start"], h["end"], pattern, F.lit(None), i, n)
 
     return F.filter(F.transform(hits, one), lambda c: c["value"] != "")
 
 
-#: How far from its anchor a checkbox group reaches, in characters.
+# How far a group of checkboxes reaches from its anchor, the marks that check a box, and the confidence of
+# each kind of evidence.
 GRID_REACH = 800
-MARK = r"(?:\[\s*[xX✓✔]\s*\]|\(\s*[xX]\s*\)|☒|☑|■)"
+MARK = r"(?:\[[Xx✓✗●■✔]\]|[☑☒✅]|[✓✔](?!\w)|■(?!\w)|●(?!\w)|▪(?!\w)|\([Xx]\))"
+BESIDE, WORDED = 0.85, 0.70
+# End of the fixed values.
 
 
 @strategy("checkbox_grid")
 def checkbox_grid(text: Column, s: Strategy) -> Column:
-    """One candidate per checked option in the reach of the anchor.
+    """One candidate per checked option in the reach of the anchor, or in the whole text where the anchor does not occur.
 
-    config: anchor, options {label: value}.  Four tests in order: a mark before the
-    option, a mark after it, "Yes" or "Checked" after it, a lone X before it; each has
-    its preset confidence, and of equal values the highest preset stays.
+    config: anchor, options {label: value}.  Four tests in order: a mark before the option, a mark after it, "Yes",
+    "Selected" or "Checked" after it, a lone X before it; of equal values the first highest preset stays.
     """
     anchor = s.config.get("anchor")
-    at = F.call_function("instr", F.upper(text), F.lit(anchor.upper())) if anchor else F.lit(1)
-    window = F.when(at > 0, F.substring(text, at, F.lit(GRID_REACH))).otherwise("")
+    at = F.call_function("instr", F.upper(text), F.lit(anchor.upper())) if anchor else F.lit(0)
+    window = F.when(at > 0, F.substring(text, at, F.lit(GRID_REACH))).otherwise(text)
     found = []
     for n, (label, value) in enumerate(s.config.get("options", {}).items()):
         q = "".join("\\" + c if not c.isalnum() and c != " " else c for c in label)
-        tests = [(rf"(?i){MARK}\s*{q}\b", 0.95), (rf"(?i)\b{q}\s*{MARK}(?!\s*\w)", 0.9), (rf"(?i)\b{q}\s*[:\-]?\s*(?:Yes|Selected|Checked)\b", 0.85), (rf"(?i)(?:^|\s)X\s+{q}\b", 0.75)]
-        preset = F.lit(None).cast("double")
+        tests = [(rf"(?iu){MARK}\s{{0,3}}{q}", BESIDE), (rf"(?iu){q}\s{{0,3}}{MARK}", BESIDE), (rf"(?iu){q}\s*[:\-]?\s*(?:Yes|Selected|Checked)\b", WORDED), (rf"(?iu)\bX\b\s{{1,4}}{q}", WORDED)]
+        preset, raw = F.lit(None).cast("double"), F.lit(None).cast("string")
         for pattern, confidence in reversed(tests):
             preset = F.when(window.rlike(pattern), confidence).otherwise(preset)
-        found.append(F.when(preset.isNotNull(), _candidate(s, F.lit(value), F.lit(label), F.lit(None), F.lit(None), None, F.lit(1), 0, F.lit(n), preset)))
+            raw = F.when(window.rlike(pattern), F.left(F.regexp_extract(window, pattern, 0), F.lit(80))).otherwise(raw)
+        found.append(F.when(preset.isNotNull(), _candidate(text, s, F.lit(value), raw, F.lit(None).cast("int"), F.lit(None).cast("int"), None, F.lit(1), 0, F.lit(n), preset)))
     checked = F.filter(F.array(*found), lambda c: c.isNotNull())
     better = lambda c, o: (o["value"] == c["value"]) & ((o["preset"] > c["preset"]) | ((o["preset"] == c["preset"]) & (o["gen_order"]["match"] < c["gen_order"]["match"])))
-    return F.filter(checked, lambda c: ~F.exists(checked, lambda o: better(c, o)))
+    return once(checked, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda o: better(c, o))))
 
 
 def generate(docs: DataFrame, strategies: list[Strategy], text: str = "text") -> DataFrame:
@@ -146,5 +168,6 @@ def generate(docs: DataFrame, strategies: list[Strategy], text: str = "text") ->
 
 
 def reserve_language(text: Column) -> tuple[Column, Column]:
-    """(whether the text speaks of reserves, the first sentence that does)."""
-    return F.coalesce(text.rlike(r"(?i)\breserves?\b"), F.lit(False)), F.nullif(stripped(F.regexp_extract(text, r"(?i)([^.\n]*\breserves?\b[^.\n]*)", 1)), F.lit(""))
+    """(whether the text speaks of a reserve, the first sentence that does, with its mark)."""
+    sentence = stripped(F.regexp_extract(text, r"(?i)[^.!?\n]*\breserve\b[^.!?\n]*[.!?]?", 0))
+    return F.coalesce(text.rlike(r"(?i)\breserve\b"), F.lit(False)), F.when(text.rlike(r"(?i)\breserve\b"), F.nullif(sentence, F.lit("")))

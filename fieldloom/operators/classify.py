@@ -4,21 +4,54 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .templates import checked
+
 #: How much of a text is looked at, and what an unknown form is called and trusted.
 LOOKED_AT, GENERIC, SURE, UNSURE = 8000, "generic_mmucc", 0.95, 0.40
 
 
+# The ids of the forms that have an overlay template of their own; an id begins with its state.
+FORM_IDS = (
+    "ca_chp555", "tx_cr3", "ny_mv104a", "fl_hsmv", "pa_aa600", "oh_bmv2696", "il_sr1", "ga_sr13", "nc_dmv349", "nj_mv104", "mi_ud10", "va_fr300", "wa_422",
+    "az_40_8282", "co_dr2447", "tn_cs0835", "in_sr13", "mo_1130", "wi_mv4002", "md_acrs", "mn_bca403", "sc_sr309", "al_acrs", "or_735", "ky_le35a", "ok_sr22",
+    "ct_pr1", "la_dotd390", "ut_sr24", "ms_cr2", "ar_crash", "ia_432015", "ks_trl1", "ak_crash", "hi_hpd252", "id_itd3101", "me_crash", "ma_cra43", "mt_crash",
+    "ne_310c", "nh_dsmv311", "nm_10516", "nd_sfn2086", "ri_uc1", "sd_crash", "vt_tsp300", "wv_crash", "wy_crash", "de_tc308", "dc_mpd", "nv_nhp1",
+)
+#: The one overlay that is not named after its form.
+OTHER_NAMES = {"fl_hsmv": "fl_hsmv90010"}
+# End of the fixed values.
+
+
+def state_of_form(form_id: Column) -> Column:
+    """The state of a form; null for generic and unknown forms."""
+    return F.when(form_id.isin(*FORM_IDS), F.upper(F.left(form_id, F.lit(2))))
+
+
+def overlay_of_form(form_id: Column) -> Column:
+    """The overlay template of a form; null for forms that are read by the base template alone."""
+    name = form_id
+    for form, other in OTHER_NAMES.items():
+        name = F.when(form_id == form, F.lit(other)).otherwise(name)
+    return F.when(form_id.isin(*FORM_IDS), F.concat(name, F.lit(".json")))
+
+
+def read_fingerprints(spark: SparkSession, path: str) -> list[tuple[str, tuple[str, ...]]]:
+    """Ordered fingerprints from a JSON-lines file of (form_id, patterns, position); a list that people keep, checked for its size."""
+    rows = checked(spark.read.schema("form_id string, patterns array<string>, position int").json(path)).collect()
+    return [(r.form_id, tuple(r.patterns)) for r in sorted(rows, key=lambda r: r.position)]
+
+
 def form_of(text: Column, fingerprints: list[tuple[str, tuple[str, ...]]]) -> Column:
-    """The first form all of whose patterns occur in the head of the text, regardless of case; null if none does."""
+    """The first form one of whose patterns occurs in the head of the text, regardless of case; null if none does."""
     head = F.substring(text, 1, LOOKED_AT)
     out = None
     for form, patterns in fingerprints:
-        found = F.lit(True)
+        found = F.lit(False)
         for p in patterns:
-            found = found & head.rlike(f"(?i){p}")
+            found = found | head.rlike(f"(?i){p}")
         out = (F if out is None else out).when(found, form)
     return F.lit(None).cast("string") if out is None else out
 
@@ -32,11 +65,11 @@ def classify(docs: DataFrame, fingerprints: list[tuple[str, tuple[str, ...]]], s
     )
 
 
-def accuracy(classified: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per state: documents, correct ones, their share.  ``expected`` has (doc_id, expected)."""
+def accuracy(classified: DataFrame, expected: DataFrame, by: str = "state") -> DataFrame:
+    """Per state (or another column of either table, such as a tier): documents, correct ones, their share.  ``expected`` has (doc_id, expected)."""
     ok = F.col("form_id") == F.col("expected")
     return (
         classified.join(expected, "doc_id")
-        .groupBy(F.coalesce("state", F.lit("none")).alias("state"))
+        .groupBy(F.coalesce(by, F.lit("none")).alias(by))
         .agg(F.count(F.lit(1)).alias("documents"), F.count_if(ok).alias("correct"), F.round(F.avg(ok.cast("int")), 4).alias("accuracy"))
     )

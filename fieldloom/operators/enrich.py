@@ -6,65 +6,100 @@ people keep; ``checked`` bounds them before they are broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import missing, shown, stripped
-from .templates import checked
+from ..functions.values import shown, stripped
+from .templates import checked, java_pattern, valid_pattern
+
+
+def unfilled(v: Column) -> Column:
+    """Whether a field is still to be filled: null, blank, Unknown or N/A."""
+    return F.coalesce(stripped(v), F.lit("")).isin("", "Unknown", "N/A")
+
+
+def _filled(record: DataFrame, docs: DataFrame, tries: dict[str, list[Column]]) -> DataFrame:
+    """Unfilled fields of ``record`` with the first of their ``tries`` over ``docs``' text that is not null.
+
+    One narrow pass over the texts; only what was found is joined with the record.
+    """
+    if not tries:
+        return record
+    hits = F.array(*[F.struct(F.lit(f).alias("field_id"), F.coalesce(*columns).alias("_hit")) for f, columns in sorted(tries.items())])
+    found = docs.select("doc_id", F.explode(F.filter(hits, lambda h: h["_hit"].isNotNull())).alias("h")).select("doc_id", "h.*")
+    return record.join(found, ["doc_id", "field_id"], "left").withColumn("value", F.when(unfilled(F.col("value")), F.coalesce("_hit", "value")).otherwise(F.col("value"))).drop("_hit")
 
 
 def learned_fill(record: DataFrame, docs: DataFrame, learned: DataFrame) -> DataFrame:
-    """Missing fields filled by the first learned pattern (field_name, pattern_id, pattern) that gives two characters or more."""
-    empty = record.where(missing(F.col("value"))).select("doc_id", "field_id")
-    tried = empty.join(F.broadcast(checked(learned)), F.col("field_id") == F.col("field_name")).join(docs.select("doc_id", "text"), "doc_id")
-    hit = stripped(F.expr("regexp_extract(text, pattern, 1)"))
-    found = tried.withColumn("hit", hit).where(F.length("hit") >= 2).groupBy("doc_id", "field_id").agg(F.min_by("hit", "pattern_id").alias("filled"))
-    return record.join(found, ["doc_id", "field_id"], "left").withColumn("value", F.coalesce("filled", "value")).drop("filled")
+    """Unfilled fields filled by the first learned pattern (field_name, pattern_id, pattern) that gives two characters or more.
+
+    Learned patterns are few (``checked``) and become literal expressions; one that is no valid pattern is skipped.
+    """
+    tries: dict[str, list[Column]] = {}
+    for r in sorted(checked(learned).select("field_name", "pattern_id", "pattern").collect(), key=lambda r: (r.field_name, r.pattern_id)):
+        if valid_pattern(r.pattern):
+            hit = stripped(F.regexp_extract("text", *java_pattern(r.pattern)))
+            tries.setdefault(r.field_name, []).append(F.when(F.length(hit) >= 2, hit))
+    return _filled(record, docs, tries)
 
 
-#: Per field the contextual patterns of police records, in order.
+# Per field the contextual patterns of police records; group 1 is the value.
 POLICE_FILLS = {
-    "date_time": (r"(?i)(?:date|occurred|reported)\D{0,30}(\d{1,2}/\d{1,2}/\d{2,4}(?:\s+\d{1,2}:\d{2})?)",),
-    "location": (r"(?i)(?:location|occurred at|scene)\s*[:\-]\s*([^\n]{5,120})", r"(\d+\s+[A-Z][A-Za-z. ]+(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Blvd)\b[^\n,]{0,40})"),
-    "officer": (r"(?i)(?:officer|deputy|trooper|sergeant|sgt\.?)\s*[:\-]?\s*([A-Z][a-z]+(?:\s+[A-Z][a-z.]+){0,2})",),
-    "report_number": (r"(?i)(?:report|case|incident)\s*(?:no\.?|number|#)\s*[:\-]?\s*([A-Z0-9][A-Z0-9\-/]{2,24})",),
-    "weather": (r"(?i)weather\s*(?:conditions?)?\s*[:\-]\s*([A-Za-z ,/]{3,40})",),
-    "contributing_factors": (r"(?i)contributing\s+(?:factors?|circumstances?)\s*[:\-]\s*([^\n]{3,200})",),
-    "property_damage": (r"(?i)property\s+damaged?\s*[:\-]\s*([^\n]{3,200})",),
-    "accident_type": (r"(?i)(?:accident|crash|collision)\s+type\s*[:\-]\s*([^\n]{3,100})",),
+    "date_time": (r"(?i)(?:crash\s+date(?:/time)?|date(?:/time)?\s+of\s+crash|date\s+of\s+accident|accident\s+date|date\s+of\s+loss|occurred\s+on|date\s+occurred)[\s:,\-]+([^\n]{3,40})",),
+    "location": (r"(?i)(?:crash\s+location|place\s+of\s+crash|scene\s+(?:location|address)|accident\s+(?:location|scene|address)|where\s+did\s+crash\s+occur)[\s:,\-]+([^\n]{5,120})",),
+    "officer": (r"(?i)(?:rank\s+(?:and|&)\s+name|rank\s*/\s*name|officer\s+rank)[\s:,\-]+([A-Za-z][A-Za-z\s.]+)",),
+    "report_number": (
+        r"(?i)(?:crash\s+report\s+(?:number|no\.?)|hsmv\s+crash\s+report\s+(?:number|no\.?)|agency\s+report\s+(?:number|no\.?)|case|report|complaint|cad|ccn)"
+        r"\s*(?:number|no\.?|#)?\s*[:\-]?\s*([A-Za-z0-9\-/#]{4,25})",
+    ),
+    "weather": (
+        r"(?i)(?:weather|atmospheric|road\s+conditions?)[\s:,\-]+"
+        r"(clear|sunny|rain(?:ing)?|snow(?:ing)?|fog(?:gy)?|overcast|icy|ice|cloudy|hail|sleet|wet|dry|mist(?:y)?|partly\s+cloudy)",
+    ),
+    "contributing_factors": (r"(?i)(?:contributing\s+factors?|primary\s+contributing|driver\s+action|human\s+(?:contributing\s+)?factor|vehicle\s+factor)[\s:,\-]+([^\n]{3,120})",),
+    "property_damage": (r"(?i)(?:property\s+damage|property\s+damaged|estimated\s+damage|damage\s+description)[\s:,\-]+([^\n]{3,120})",),
+    "accident_type": (r"(?i)(?:manner\s+of\s+collision|first\s+harmful\s+event|type\s+of\s+(?:crash|accident|collision))[\s:,\-]+([^\n]{3,80})",),
 }
-#: The same for adjuster reports.
+# The same for adjuster reports, and what is written before a value.
 ADJUSTER_FILLS = {
-    "inspection_date": (r"(?i)inspect(?:ed|ion)\D{0,30}(\d{1,2}/\d{1,2}/\d{2,4})",),
-    "cause_of_loss": (r"(?i)(?:cause|type)\s+of\s+loss\s*[:\-]\s*([^\n]{3,100})",),
-    "settlement": (r"(?i)settle(?:d|ment)\D{0,40}(\$\s?[\d,]+(?:\.\d{2})?)",),
-    "subrogation": (r"(?i)subrogation\s*(?:potential)?\s*[:\-]\s*(yes|no|potential|none|n/a)",),
+    "inspection_date": (r"(?i)(?:date\s+of\s+inspection|inspection\s+date|date\s+inspected|field\s+inspection\s+date|date\s+loss\s+examined|date\s+of\s+survey)[\s:,\-]+([^\n]{3,40})",),
+    "cause_of_loss": (r"(?i)(?:cause\s+of\s+(?:loss|damage|claim)|peril|origin\s+of\s+loss|type\s+of\s+(?:loss|peril)|loss\s+type|loss\s+description)[\s:,\-]+([^\n]{3,80})",),
+    "settlement": (r"(?i)(?:recommended\s+settlement|loss\s+reserve|current\s+reserve|total\s+(?:settlement|claim|indemnity|award)|settlement\s+(?:amount|value))[\s:,\-]*\$?([\d,\.]+)",),
+    "subrogation": (r"(?i)(?:subrogation\s+(?:potential|opportunity|rights?)|recovery\s+opportunity|third\s+party\s+(?:recovery|liability))[\s:,\-]+([^\n]{2,60})",),
 }
-#: Last resorts: a date near a keyword, an agency phrase, a name near a rank, a street address.
+WRITTEN_BEFORE = {"settlement": "$"}
+# Last resorts: a date near a keyword, an agency phrase, a name near a rank, a street address; and what an
+# agency's name begins with that is no part of it.
+DATE_PICK = r"(?i)(?:date|incident|occurred?|crash|collision)\s*[:\-]?\s*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})"
 PICKS = {
-    "date_time": (r"(?i)\b(?:date|on)\b\s*:?\s*(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})",),
-    "agency": (r"([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:Police Department|Sheriff's Office|Highway Patrol|State Police))",),
-    "officer": (r"(?:Officer|Ofc\.?|Sgt\.?|Deputy|Trooper|Lt\.?)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)",),
-    "location": (r"(\d{1,5}\s+(?:[NSEW]\.?\s+)?[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Boulevard|Blvd|Highway|Hwy)\b)",),
+    "date_time": (DATE_PICK,),
+    "agency": (r"((?:[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4})\s+(?:Police Department|Sheriff'?s Office|Highway Patrol|Department of Public Safety|Police Dept\.?))",),
+    "officer": (r"(?i)(?:officer|reporting officer|investigating officer|sgt\.?|lt\.?|cpl\.?|det\.?|deputy|trooper)[\s:,]+([A-Z][a-z]+(?:\s+[A-Z]\.?)?\s+[A-Z][a-z]+)",),
+    "location": (r"(?i)(\d+\s+[A-Za-z0-9 ]+?(?:Street|Avenue|Road|Boulevard|Drive|Lane|Court|Way|Place|Highway|Blvd|Ave|St|Rd|Dr|Ln|Ct|Hwy)\b[^,\n]{0,40})",),
 }
+ADJUSTER_PICKS = {"inspection_date": (DATE_PICK,)}
+AGENCY_PREFIXES = (r"(?i)^(?:STATE\s+OF\s+\w+\s*[-–]+\s*)+", r"(?i)^(?:the|a)\s+")
+# End of the fixed values.
 
 
 def contextual_fill(record: DataFrame, docs: DataFrame, *stages: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Missing fields filled by the first pattern that matches, stage by stage; present values stay."""
-    fields = {f for s in stages for f in s}
-    text = F.col("text")
-    joined = record.join(docs.select("doc_id", "text"), "doc_id", "left")
-    out = F.when(~missing(F.col("value")), F.col("value"))
-    for f in sorted(fields):
-        tries = [F.nullif(stripped(F.regexp_extract(text, p, 1)), F.lit("")) for s in stages for p in s.get(f, ())]
-        out = out.when(F.col("field_id") == f, F.coalesce(*tries, F.col("value")))
-    return joined.withColumn("value", out.otherwise(F.col("value"))).drop("text")
+    """Unfilled fields filled by the first pattern that matches, stage by stage; present values stay."""
+    tries: dict[str, list[Column]] = {}
+    for stage in stages:
+        for field, patterns in stage.items():
+            for p in patterns:
+                hit = stripped(F.regexp_extract("text", p, 1))
+                if field == "agency":
+                    for prefix in AGENCY_PREFIXES:
+                        hit = stripped(F.regexp_replace(hit, prefix, ""))
+                tries.setdefault(field, []).append(F.when(hit != "", F.concat(F.lit(WRITTEN_BEFORE.get(field, "")), hit)))
+    return _filled(record, docs, tries)
 
 
 def fill_from(record: DataFrame, other: DataFrame, fields: list[str]) -> DataFrame:
     """Unknown values of ``fields`` taken from another run over the same documents."""
     second = other.where(F.col("field_id").isin(*fields)).select("doc_id", "field_id", F.col("value").alias("_other"))
-    return record.join(second, ["doc_id", "field_id"], "left").withColumn("value", F.when(missing(F.col("value")), F.coalesce("_other", "value")).otherwise(F.col("value"))).drop("_other")
+    return record.join(second, ["doc_id", "field_id"], "left").withColumn("value", F.when(unfilled(F.col("value")), F.coalesce("_other", "value")).otherwise(F.col("value"))).drop("_other")
 
 
 def rendered(record: DataFrame, fallback: str = "N/A") -> DataFrame:
@@ -86,9 +121,12 @@ def decode_codes(record: DataFrame, forms: DataFrame, codes: DataFrame, decoded_
 
 
 def decode(codes: DataFrame, state: Column, table_name: Column, code: Column, rows: DataFrame) -> DataFrame:
-    """``rows`` with ``label``: the code's meaning in a table of a state, or null."""
-    dim = F.broadcast(checked(codes)).select(F.col("state").alias("_s"), F.col("table_name").alias("_t"), F.col("code").alias("_c"), "label")
-    return rows.join(dim, (state == F.col("_s")) & (table_name == F.col("_t")) & (code == F.col("_c")), "left").drop("_s", "_t", "_c")
+    """``rows`` with ``label``: the meaning of a code, or of each code of a list, in a table of a state; unknown codes stay."""
+    tables = checked(codes).groupBy(F.upper("state").alias("_s"), F.col("table_name").alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct("code", "label"))).alias("_m"))
+    joined = rows.join(F.broadcast(tables), (F.upper(state) == F.col("_s")) & (table_name == F.col("_t")), "left")
+    items = F.filter(F.transform(F.split(F.replace(code, F.lit(";"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    named = F.array_join(F.transform(items, lambda x: F.coalesce(F.try_element_at("_m", x), x)), ", ")
+    return joined.withColumn("label", F.when(F.col("_m").isNotNull() & (F.size(items) > 0), named).otherwise(code)).drop("_s", "_t", "_m")
 
 
 def tables_for_state(codes: DataFrame) -> DataFrame:
@@ -107,33 +145,39 @@ def carrier_by_code(rows: DataFrame, carriers: DataFrame, code: str = "code") ->
 
 
 def carrier_search(rows: DataFrame, aliases: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """(id, cocode, exact): carriers of a text; an exact name or alias stands alone, else every name or alias that contains it.
+    """(id, cocode, exact, rank): carriers of a text; an exact name or alias stands alone, else every carrier with a name or alias that contains it.
 
-    ``aliases`` (ord, alias, cocode), names included; of equal aliases the later counts.
+    ``aliases`` (ord, alias, cocode), names included; of equal aliases the later counts for an exact hit.  Carriers come
+    in the order of their definition, their smallest ``ord``.  Each distinct text is searched once.
     """
-    last = aliases.groupBy(F.lower(F.trim("alias")).alias("alias")).agg(F.max_by("cocode", "ord").alias("cocode"), F.max("ord").alias("ord"))
-    dim = F.broadcast(checked(last))
-    wanted = rows.select(key, F.lower(F.trim(F.col(text))).alias("_q"))
-    exact = wanted.join(dim, F.col("_q") == F.col("alias")).select(key, "cocode", F.lit(True).alias("exact"))
-    rest = wanted.join(exact.select(key).distinct(), key, "left_anti").where("_q <> ''")
-    return exact.unionByName(rest.join(dim, F.contains(F.col("alias"), F.col("_q"))).select(key, "cocode", F.lit(False).alias("exact")).distinct())
+    named = checked(aliases).select("ord", F.lower("alias").alias("alias"), "cocode")
+    last = named.groupBy("alias").agg(F.max_by("cocode", "ord").alias("cocode"))
+    wanted = rows.select(F.lower(F.trim(F.col(text))).alias("_q")).where("_q <> ''").distinct()
+    exact = wanted.join(F.broadcast(last), F.col("_q") == F.col("alias")).select("_q", "cocode", F.lit(True).alias("exact"), F.lit(1).alias("rank"))
+    rest = wanted.join(exact.select("_q"), "_q", "left_anti").join(F.broadcast(named), F.contains(F.col("alias"), F.col("_q"))).select("_q", "cocode").distinct()
+    order = named.groupBy("cocode").agg(F.min("ord").alias("ord"))
+    placed = rest.join(F.broadcast(order), "cocode").select("_q", "cocode", F.lit(False).alias("exact"), F.row_number().over(Window.partitionBy("_q").orderBy("ord")).alias("rank"))
+    return rows.select(key, F.lower(F.trim(F.col(text))).alias("_q")).join(exact.unionByName(placed), "_q").select(key, "cocode", "exact", "rank")
 
 
 def carriers_of_group(carriers: DataFrame, fragment: str) -> DataFrame:
-    return carriers.where(F.contains(F.lower("group_name"), F.lit(fragment.lower())))
+    return carriers.where(F.contains(F.lower("group_name"), F.lit(fragment.strip().lower())))
 
 
 #: Corporate endings that a second search leaves out.
-SUFFIX = r"(?i)[\s,]+(?:insurance|ins|company|co|corporation|corp|incorporated|inc|llc|group|mutual|casualty)\.?$"
+SUFFIX = r"(?i)\s+(?:ins(?:urance)?\.?|co\.?|company|mutual|corp\.?|llc|inc\.?)$"
 
 
 def canonical_carrier(rows: DataFrame, aliases: DataFrame, carriers: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """``rows`` with ``canonical``: the carrier found for the text, or for the text without its corporate ending, or the text itself."""
+    """``rows`` with ``canonical``: the first carrier found for the text, or for the text without its corporate ending, or the stripped text."""
     names = carriers.select("cocode", F.col("name").alias("_name"))
-    found = lambda df: carrier_search(df, aliases, text, key).join(F.broadcast(checked(names)), "cocode").groupBy(key).agg(F.min(F.struct("cocode", "_name")).alias("_f"))
-    once = found(rows).select(key, F.col("_f._name").alias("_first"))
-    again = found(rows.withColumn(text, F.regexp_replace(text, SUFFIX, ""))).select(key, F.col("_f._name").alias("_second"))
-    return rows.join(once, key, "left").join(again, key, "left").withColumn("canonical", F.coalesce("_first", "_second", text)).drop("_first", "_second")
+    clean = stripped(F.col(text))
+    plain = stripped(F.regexp_replace(clean, SUFFIX, ""))
+    texts = rows.select(clean.alias("_t"), plain.alias("_p")).distinct()
+    found = lambda c: carrier_search(texts.select(F.col(c).alias("id"), F.col(c).alias("text")).distinct(), aliases).where("rank = 1").join(F.broadcast(checked(names)), "cocode")
+    first, second = found("_t").select(F.col("id").alias("_t"), F.col("_name").alias("_first")), found("_p").select(F.col("id").alias("_p"), F.col("_name").alias("_second"))
+    known = texts.join(first, "_t", "left").join(second, "_p", "left").select("_t", F.coalesce("_first", "_second", "_t").alias("canonical"))
+    return rows.withColumn("_t", clean).join(known, "_t", "left").drop("_t")
 
 
 def elements_by_field(elements: DataFrame) -> DataFrame:
@@ -141,6 +185,19 @@ def elements_by_field(elements: DataFrame) -> DataFrame:
     return elements.groupBy("field_map").agg(F.array_sort(F.collect_list("element_id")).alias("element_ids"))
 
 
+def elements_by_id(rows: DataFrame, elements: DataFrame, element: str = "element_id") -> DataFrame:
+    """``rows`` with the name and field of their crash element."""
+    dim = F.broadcast(checked(elements)).select(F.col("element_id").alias(element), F.col("name").alias("element_name"), "field_map")
+    return rows.join(dim, element, "left")
+
+
+def element_labels(rows: DataFrame, element_codes: DataFrame, element: str = "element_id", code: str = "code") -> DataFrame:
+    """``rows`` with ``label``: the meaning of a code of a crash element (element_id, code, label), or the code itself."""
+    dim = F.broadcast(checked(element_codes)).select(F.col("element_id").alias("_e"), F.col("code").alias("_c"), "label")
+    joined = rows.join(dim, (F.upper(element) == F.col("_e")) & (F.trim(F.col(code).cast("string")) == F.col("_c")), "left")
+    return joined.withColumn("label", F.coalesce("label", F.col(code).cast("string"))).drop("_e", "_c")
+
+
 def required_elements(elements: DataFrame) -> DataFrame:
     return elements.where("required")
 

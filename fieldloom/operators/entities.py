@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import once
 from ..functions.text import lines_of, strip_cid
 from ..functions.values import UNKNOWN, stripped
 
@@ -93,11 +94,11 @@ PARTIES = Section(
     reopens=False,
 )
 WITNESSES = Section(
-    opens=r"(?i)^(?:WITNESS\s*#?|W)(\d+)\s*[:\-.]",
+    opens=r"(?i)^(?:#\s*:\s*W|Witness\s+W|Witness\s*#?\s*|W)(\d+)\s*[:\s—–\-.]",
     closes=r"(?i)^SECTION\s+\d+\b(?!.*WITNESS)",
     attributes=(
-        Attribute("name", r"(?i)^(?:(?:WITNESS\s*#?|W)\d+\s*[:\-.]\s*|name\s*:\s*)([A-Z][\w.'\-]*(?:\s+[A-Z][\w.'\-]*){0,3})", "first"), keyed("address", "address", "addr"),
-        Attribute("phone", r"(\(?\d{3}\)?[-.\s]?\d{3}[-.\s]\d{4})", "first"), keyed("statement", "statement", "witness statement"),
+        Attribute("row", r"(?i)^(?:#\s*:\s*W|Witness\s+W|Witness\s*#?\s*|W)\d+\s*[:\s—–\-.]\s*(.+)$", "first"), keyed("name", "name", "full name"), keyed("dob", "dob", "date of birth", "birth date"),
+        keyed("address", "address", "addr"), keyed("phone", "phone", "tel(?:ephone)?", "cell"), keyed("statement", "statement", "witness statement"),
     ),
 )
 
@@ -147,21 +148,66 @@ def party_list(found: DataFrame) -> DataFrame:
     return placed.withColumn("party_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("_rank", "entity_no"))).drop("_rank")
 
 
-def witnesses(docs: DataFrame, section: Section = WITNESSES) -> DataFrame:
-    found = entities(docs, section)
-    return found.select("doc_id", "entity_no", truncated_name(F.col("name")).alias("name"), *[F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("address", "phone", "statement")])
+# Words that end a name, endings of names that a comma may stand before, the shape of a telephone number,
+# what divides a witness's name from the rest, and the line that never continues a name.
+NAME_ENDS = (
+    "motorist", "passenger", "pedestrian", "driver", "operator", "freeway", "highway", "interstate", "witness", "bystander", "occupant", "rider",
+    "gas", "waiting", "sitting", "standing", "walking", "saw", "observed", "stopped", "exited", "pulled", "arrived",
+    "southeast", "southwest", "northeast", "northwest", "off-duty", "on-duty", "yes", "no",
+)
+NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "phd", "md", "esq")
+PHONE = r"\(?\d{3}\)?[\s\-]\d{3}[\s\-]\d{4}"
+BRACKETED_PHONE = r"\(\d{3}\)\s*\d{3}[-\s]\d{4}"
+DIVIDER = r"\s*[—–]{1,2}\s*|\s+-\s+"
+# End of the fixed values.
 
 
-#: Words that end a name.
-STOP_WORDS = ("the", "a", "an", "was", "is", "said", "stated", "saw", "at", "on", "in", "of", "and", "who", "that", "he", "she", "they")
+def truncated_name(text: Column) -> Column:
+    """The words of a name at the start of a text; empty for an empty text.
+
+    It ends before a telephone number, a word of ``NAME_ENDS``, a number or a second word in capitals; with a word that
+    a comma follows, if that is a name; after three words, or four where the third ends with a dot.
+    """
+    before = stripped(F.split(text, PHONE, 2)[0])
+
+    def cut(tokens: Column) -> Column:
+        plain = lambda t: F.regexp_replace(F.lower(t), r"^[.,;:]+|[.,;:]+$", "")
+        ends = lambda t: plain(t).isin(*NAME_ENDS)
+        comma = lambda t: t.contains(",") & ~F.regexp_replace(plain(t), "^,+|,+$", "").isin(*NAME_SUFFIXES)
+        stops = lambda t: ends(t) | comma(t) | t.rlike("^[0-9]") | ((F.upper(t) == t) & t.rlike("[A-Z]") & (F.length(t) > 2))
+        first = F.array_min(F.filter(F.transform(tokens, lambda t, i: F.when((i > 0) & stops(t), i)), lambda i: i.isNotNull()))
+        most = F.when(F.coalesce(F.get(tokens, F.lit(2)).endswith("."), F.lit(False)), 4).otherwise(3)
+        n = F.least(F.coalesce(first, F.size(tokens)), most)
+        last = F.get(tokens, n)
+        with_comma = (F.coalesce(first, F.lit(-1)) == n) & (n < most) & ~ends(last) & comma(last) & last.rlike("^[A-Z]") & F.regexp_replace(last, "[.,]", "").rlike("^[A-Za-z]+$")
+        words = F.slice(tokens, 1, n)
+        return F.array_join(F.when(F.coalesce(with_comma, F.lit(False)), F.array_append(words, F.regexp_replace(last, ",+$", ""))).otherwise(words), " ")
 
+    return once(F.split(before, r"\s+"), cut)
 
-def truncated_name(name: Column) -> Column:
-    """The words before the first stop word, three at most, four where the third is an initial or a title with a dot."""
-    tokens = F.split(F.trim(name), r"\s+")
-    stop = F.array_min(F.filter(F.transform(tokens, lambda t, i: F.when(F.lower(t).isin(*STOP_WORDS), i)), lambda i: i.isNotNull()))
-    cut = F.least(F.coalesce(stop, F.size(tokens)), F.when(F.coalesce(F.get(tokens, F.lit(2)).endswith("."), F.lit(False)), 4).otherwise(3))
-    return F.coalesce(F.nullif(F.array_join(F.slice(tokens, 1, cut), " "), F.lit("")), F.lit(UNKNOWN))
+
+def witnesses(docs: DataFrame, section: Section = WITNESSES) -> DataFrame:
+    """Witnesses: name, address, phone and statement, from the delimiter's own line first.
+
+    A telephone number on that line divides name and address from the statement; without one, dashes do.
+    """
+    found = entities(docs, section)
+    row = F.coalesce("row", F.lit(""))
+    parts = F.split(row, DIVIDER)
+    name = truncated_name(stripped(parts[0]))
+    phone = F.regexp_extract(row, BRACKETED_PHONE, 0)
+    before, after = stripped(F.split(row, BRACKETED_PHONE, 2)[0]), stripped(F.coalesce(F.get(F.split(row, BRACKETED_PHONE, 2), F.lit(1)), F.lit("")))
+    address = stripped(F.regexp_replace(stripped(F.substring(before, F.length(name) + 1, F.length(before))), "^,+", ""))
+    second, third = (F.nullif(stripped(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))), F.lit("")) for i in (1, 2))
+    is_phone = second.rlike(r"[\d()\-+]{7,}")
+    has_phone = phone != ""
+    own = {
+        "name": F.nullif(name, F.lit("")),
+        "address": F.when(has_phone, F.nullif(address, F.lit(""))),
+        "phone": F.when(has_phone, phone).when(is_phone, second),
+        "statement": F.when(has_phone, F.nullif(stripped(F.regexp_replace(after, r"(?i)^Yes\s*[—–\-]+\s*", "")), F.lit(""))).when(second.isNotNull() & ~is_phone, second).otherwise(third),
+    }
+    return found.select("doc_id", "entity_no", *[F.coalesce(F.col(c), own[c], F.lit(UNKNOWN)).alias(c) for c in own])
 
 
 def owner_backfill(found_vehicles: DataFrame, found_parties: DataFrame) -> DataFrame:

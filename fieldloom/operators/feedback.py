@@ -36,9 +36,11 @@ def new_rows(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> DataF
 
 
 def upserted(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
-    """The store after an upsert: of each key the row of the highest version."""
-    order = Window.partitionBy(key).orderBy(F.desc(version))
-    return existing.unionByName(incoming).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """The store after an upsert: of each key the row of the highest version; of equal versions an incoming one, and of those the largest row."""
+    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    others = [F.desc(c) for c in existing.columns if c not in (key, version) and "map" not in existing.schema[c].dataType.typeName()]
+    order = Window.partitionBy(key).orderBy(F.desc(version), F.desc("_new"), *others)
+    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_new")
 
 
 def deleted(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

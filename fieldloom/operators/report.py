@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import MISSING, field_quality, missing, quality_reason
+from ..functions.values import MISSING, field_quality, missing, quality_reason, stripped
 
 # Weights of fields, core fields per document type, and the incidents that have no weather.
 WEIGHTS = {
@@ -50,56 +50,128 @@ def score_records(record: DataFrame, evidence: DataFrame, vehicles: DataFrame |
     return parts.groupBy("doc_id").agg(F.round(F.sum(F.col("q") * F.col("weight")) / F.sum("weight") * 100, 1).alias("score"), F.array_sort(F.collect_list("reason")).alias("reasons"))
 
 
-def known(c: str) -> Column:
-    return F.when(~missing(F.col(c)), F.trim(F.col(c)))
+# The sentences of the notes, with {} for a field's value, and what stands for a value that is not there.
+ADJUSTER_SENTENCES = (
+    ("The cause of loss was {}.", "cause_of_loss", "not specified"),
+    ("Coverage A was inspected on {}", "inspection_date", "not recorded"),
+    ("by {}.", "inspection_firm", "not recorded"),
+    ("Coverage A is {}.", "coverage_a", "N/A"),
+    ("Coverage B is {}.", "coverage_b", "N/A"),
+    ("Coverage C is {}.", "coverage_c", "N/A"),
+    ("Coverage D is {}.", "coverage_d", "N/A"),
+    ("The applicable coverages and policy form are as follows: {}.", "coverages", None),
+    ("A report was filed with the following officials: {}.", "officials", "No fire or police report was filed."),
+    ("The settlement amount is {}.", "settlement", "not yet determined"),
+    ("Subrogation is {}.", "subrogation", "not determined"),
+    ("Summary of payments made to date: {}.", "payment_summary", "No payment summary data was available from ClaimCenter."),
+    ("Adjuster recommendations: {}.", "recommendations", "No adjuster recommendations have been entered."),
+)
+RESERVE_SENTENCE = "WARNING: The word reserve appears in this document and requires adjuster review."
+#: Fields whose absence is a sentence of its own.
+OWN_SENTENCE = ("officials", "payment_summary", "recommendations")
+POLICE_DEFAULTS = {
+    "accident_type": "an unspecified type of collision", "date_time": "an unknown date and time", "location": "an unknown location",
+    "agency": "the responding agency", "officer": "an unidentified officer",
+}
+UNSAID = ("", "unknown", "n/a")
+UNHURT = ("none reported", "unknown", "", "n/a")
+OPERATOR_ROLES = ("operator", "driver")
+# End of the fixed values.
+
 
+def _value(c: str, fallback: str) -> Column:
+    """A field as it is, or what stands for it where it is null or blank."""
+    return F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) == "", F.lit(fallback)).otherwise(F.col(c))
 
-def _said(before: str, c: str, after: str = ".") -> Column:
-    return F.when(~missing(F.col(c)), F.concat(F.lit(before), known(c), F.lit(after)))
+
+def _said(sentence: str, c: str) -> Column:
+    """The sentence around a known value, else null."""
+    before, after = sentence.split("{}")
+    return F.when(~F.lower(stripped(F.col(c))).isin(*UNSAID), F.concat(F.lit(before), F.col(c), F.lit(after)))
 
 
 def adjuster_note(wide: DataFrame, reserve: Column) -> DataFrame:
-    """``wide`` (a column per field) with ``note``: a file note of an adjuster report; sentences without a value are left out."""
-    return wide.withColumn("note", F.concat_ws(
-        " ", _said("Inspection completed on ", "inspection_date"), _said("Inspected by ", "inspection_firm"), _said("Cause of loss: ", "cause_of_loss"),
-        *[_said(f"Coverage {x.upper()}: ", f"coverage_{x}") for x in "abcd"], _said("Settlement: ", "settlement"), _said("Subrogation: ", "subrogation"),
-        _said("Recommendations: ", "recommendations"), F.when(reserve, "The report uses reserve language and needs review."),
-    ))
+    """``wide`` (a column per field) with ``note``: the file note of an adjuster report."""
+    parts = []
+    for sentence, field, fallback in ADJUSTER_SENTENCES:
+        before, after = sentence.split("{}")
+        there = F.coalesce(F.col(field), F.lit("")) != ""
+        if fallback is None or field in OWN_SENTENCE:
+            parts.append(F.when(there, F.concat(F.lit(before), F.col(field), F.lit(after))).otherwise(F.lit(fallback)))
+        else:
+            parts.append(F.concat(F.lit(before), _value(field, fallback), F.lit(after)))
+    return wide.withColumn("note", F.concat_ws(" ", *parts, F.when(reserve, F.lit(RESERVE_SENTENCE))))
+
+
+def _many(n: Column, one: str, more: str) -> Column:
+    """A counted sentence, or null for none."""
+    return F.when(F.coalesce(n, F.lit(0)) > 0, F.when(n == 1, F.format_string(one, n)).otherwise(F.format_string(more, n)))
 
 
 def police_note(wide: DataFrame, vehicles: DataFrame, parties: DataFrame, witnesses: DataFrame) -> DataFrame:
     """``wide`` with ``note``: what happened and how many vehicles, operators, injured and witnesses there are."""
-    n = lambda df, name, cond=F.lit(True): df.groupBy("doc_id").agg(F.count_if(cond).alias(name))
-    hurt = ~F.lower("injuries").isin("none reported", "none", "unknown", "no injury", "uninjured")
-    counted = wide.join(n(vehicles, "n_vehicles"), "doc_id", "left").join(n(parties.where(F.col("role").isin("Driver", "Operator")), "n_operators"), "doc_id", "left")
-    counted = counted.join(n(parties, "n_injured", hurt), "doc_id", "left").join(n(witnesses, "n_witnesses"), "doc_id", "left")
-    said = lambda c, what: F.when(F.coalesce(c, F.lit(0)) > 0, F.concat(F.col(c), F.lit(f" {what}")))
-    people = F.concat_ws(", ", said("n_vehicles", "vehicle(s)"), said("n_operators", "operator(s)"), said("n_injured", "injured"), said("n_witnesses", "witness(es)"))
+    n = lambda df, *counts: df.groupBy("doc_id").agg(*counts)
+    all_of = lambda name: F.count(F.lit(1)).alias(name)
+    hurt = ~F.lower(F.coalesce("injuries", F.lit("None reported"))).isin(*UNHURT)
+    people = n(parties, F.count_if(F.lower("role").isin(*OPERATOR_ROLES)).alias("n_operators"), F.count_if(hurt).alias("n_injured"))
+    counted = wide.join(n(vehicles, all_of("n_vehicles")), "doc_id", "left").join(people, "doc_id", "left").join(n(witnesses, all_of("n_witnesses")), "doc_id", "left")
+    get = {f: _value(f, d) for f, d in POLICE_DEFAULTS.items()}
+    c = F.col
     note = F.concat_ws(
-        " ", _said("Report ", "report_number", ""), _said("by ", "agency"), _said("On ", "date_time", ""), _said("at ", "location"), _said("Type: ", "accident_type"),
-        _said("Weather: ", "weather"), _said("Officer: ", "officer"), F.when(people != "", F.concat(F.lit("Involved: "), people, F.lit("."))),
-    )
+        " ",
+        F.concat(F.lit("A "), get["accident_type"], F.lit(" collision occurred on "), get["date_time"], F.lit(" at "), get["location"], F.lit(".")),
+        _said("Weather conditions were reported as {}.", "weather"),
+        F.concat(F.lit("The incident was investigated by "), get["agency"], F.lit(", reporting officer "), get["officer"], F.lit(".")),
+        _said("Report number: {}.", "report_number"),
+        _said("EMS responded; agency: {}.", "ems_agency"),
+        _many(c("n_vehicles"), "A total of %d vehicle was involved.", "A total of %d vehicles were involved."),
+        _many(c("n_operators"), "%d operator was identified.", "%d operators were identified."),
+        _many(c("n_injured"), "%d party reported injuries.", "%d parties reported injuries."),
+        _many(c("n_witnesses"), "%d witness was identified at the scene.", "%d witnesses were identified at the scene."),
+        _said("Contributing factors noted: {}.", "contributing_factors"),
+        _said("Non-vehicle property damage reported: {}.", "property_damage"),
+    )
     return counted.withColumn("note", note).drop("n_vehicles", "n_operators", "n_injured", "n_witnesses")
 
 
 def insights(wide: DataFrame) -> DataFrame:
-    """``wide`` with ``actions``: next steps that a record suggests.  Columns that the record lacks say nothing."""
-    has = lambda c: ~missing(F.col(c)) if c in wide.columns else F.lit(False)
-    col = lambda c: F.col(c) if c in wide.columns else F.lit(None).cast("string")
-    steps = [
-        F.when(F.coalesce(col("reserve").cast("boolean"), F.lit(False)), "Review reserve language"),
-        F.when(F.coalesce(F.contains(F.lower(col("subrogation")), F.lit("investig")), F.lit(False)), "Investigate subrogation"),
-        F.when(~has("agency"), "Obtain the agency's name"),
-        F.when(F.coalesce(col("n_parties").cast("int") > 3, F.lit(False)), "Several parties: confirm liability"),
-        F.when(has("coverage_a"), "Verify coverage A"),
-    ]
-    return wide.withColumn("actions", F.filter(F.array(*steps), lambda x: x.isNotNull()))
+    """``wide`` with ``chips`` and ``actions``: what a record shows and the next steps that it suggests.
+
+    Columns that the record lacks say nothing.
+    """
+    col = lambda c, t="string": F.col(c).cast(t) if c in wide.columns else F.lit(None).cast(t)
+    has = lambda c: F.coalesce(col(c), F.lit("")) != ""
+    reserve = F.coalesce(col("reserve", "boolean"), F.lit(False))
+    recover = F.coalesce(F.contains(F.lower(col("subrogation")), F.lit("investig")), F.lit(False))
+    people, cars = (F.coalesce(col(c, "int"), F.lit(0)) for c in ("n_parties", "n_vehicles"))
+    chips = F.array(
+        F.when(reserve, "Reserve language detected"), F.when(recover, "Subrogation opportunity"), F.when(people > 0, F.format_string("%d parties identified", people)),
+        F.when(cars > 0, F.format_string("%d vehicles", cars)), F.when(has("coverage_a"), "Coverage A confirmed"),
+    )
+    steps = F.array(
+        F.when(reserve, F.concat(F.lit("Set reserve — "), F.when(has("settlement"), col("settlement")).otherwise("amount TBD"))),
+        F.when(recover, "File subrogation preservation letter"),
+        F.when(~has("agency") | (col("agency") == "Unknown"), "Request agency supplement"),
+        F.when(people > 3, "Review liability across all parties"),
+    )
+    told = lambda a: F.filter(a, lambda x: x.isNotNull())
+    return wide.withColumn("chips", told(chips)).withColumn("actions", F.when(F.size(told(steps)) > 0, told(steps)).otherwise(F.array(F.lit("Review extracted fields and submit to ClaimCenter"))))
 
 
 def discrepancies(adjuster: DataFrame, police: DataFrame, claim: str = "claim_id") -> DataFrame:
-    """(claim_id, field, adjuster, police): contradictions between two records of one claim."""
-    both = adjuster.select(claim, "cause_of_loss", F.col("property_damage").alias("ia_damage")).join(police.select(claim, "accident_type"), claim)
-    a, b = F.lower("cause_of_loss"), F.lower("accident_type")
-    differ = F.when(~F.contains(a, b) & ~F.contains(b, a), F.struct(F.lit("cause").alias("field"), F.col("cause_of_loss").alias("adjuster"), F.col("accident_type").alias("police")))
-    damage = F.when(F.lower("ia_damage").rlike("no damages?") & F.contains(b, F.lit("collision")), F.struct(F.lit("damage").alias("field"), F.col("ia_damage").alias("adjuster"), F.col("accident_type").alias("police")))
-    return both.select(claim, F.explode(F.filter(F.array(differ, damage), lambda d: d.isNotNull())).alias("d")).select(claim, "d.*")
+    """(claim_id, type, description): contradictions between an adjuster's and a police record of one claim.
+
+    ``adjuster`` has cause_of_loss, ``police`` accident_type and first_damages, the damages of its first vehicle.
+    """
+    both = adjuster.select(claim, "cause_of_loss").join(police.select(claim, "accident_type", "first_damages"), claim)
+    a, b = F.col("cause_of_loss"), F.col("accident_type")
+    found = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("description"))
+    cause = F.when(
+        (a != "") & (b != "") & (F.lower(a) != F.lower(b)) & (F.lower(a) != "unknown"),
+        found("Causality Mismatch", F.concat(F.lit('IA claims "'), a, F.lit('" but Police report states "'), b, F.lit('".'))),
+    )
+    damage = F.when(
+        (F.col("first_damages") == "No Damages") & (a == "Collision"),
+        found("Damage Contradiction", F.lit('Police report indicates "No Damages" for Vehicle 1, but IA reports a Collision loss.')),
+    )
+    return both.select(claim, F.explode(F.filter(F.array(cause, damage), lambda d: d.isNotNull())).alias("d")).select(claim, "d.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import overlap
 from ..functions.plausible import plausibility
+from .candidates import AFTER, BEFORE
 from .templates import raw_specificity
 
 #: The weight of each signal.
@@ -16,21 +17,23 @@ WEIGHTS = {
 }
 
 
-def text_distance(text: Column, start: Column, term: str) -> Column:
-    """Characters from the nearest label before a match to the match, looking 80 back and 60 ahead; null if there is none."""
-    begin = F.greatest(start - 80, F.lit(0))
-    reach = F.least(F.lit(60), F.lit(20 + len(term)))
-    window = F.lower(F.substring(text, begin + 1, start + reach - begin))
-    back = F.call_function("instr", F.reverse(window), F.lit(term.lower()[::-1]))
-    return F.when(back > 0, F.greatest(start - (begin + F.length(window) - back - len(term) + 1), F.lit(0)))
+def text_distance(window: Column, start: Column, term: str) -> Column:
+    """Characters from the nearest label before a match to the match, looking 80 back and 60 ahead; null if there is none.
+
+    ``window`` is the text from ``BEFORE`` characters before the match to ``AFTER`` behind its start.
+    """
+    begin = F.greatest(start - BEFORE, F.lit(0))
+    near = F.lower(F.left(window, start - begin + F.lit(min(AFTER, 20 + len(term)))))
+    back = F.call_function("instr", F.reverse(near), F.lit(term.lower()[::-1]))
+    return F.when(back > 0, F.greatest(start - (begin + F.length(near) - back - len(term) + 1), F.lit(0)))
 
 
-def label_proximity(labels: dict[str, list[str]], text: Column) -> Column:
+def label_proximity(labels: dict[str, list[str]], window: Column) -> Column:
     """Of candidates from text: near a declared label or not; 0.5 where the field declares none."""
     out = F.lit(0.5)
     for field, terms in labels.items():
         if terms:
-            near = [text_distance(text, F.col("start"), t) for t in terms]
+            near = [text_distance(window, F.col("start"), t) for t in terms]
             d = F.least(*near) if len(near) > 1 else near[0]
             ladder = F.when(F.col("start").isNull() | d.isNull(), 0.1).when(d <= 30, 1.0).when(d <= 80, 0.7).when(d <= 200, 0.4).otherwise(0.1)
             out = F.when(F.col("field_id") == field, ladder).otherwise(out)
@@ -53,9 +56,10 @@ def position(expected: dict[str, str], text_length: Column) -> Column:
     return out.otherwise(0.5)
 
 
-def score(candidates: DataFrame, docs: DataFrame, labels: dict[str, list[str]] | None = None, expected: dict[str, str] | None = None, year_now: int = 2026, plausible: dict | None = None) -> DataFrame:
+def score(candidates: DataFrame, labels: dict[str, list[str]] | None = None, expected: dict[str, str] | None = None, year_now: int = 2026, plausible: dict | None = None) -> DataFrame:
     """Validated ``candidates`` with a column per signal and ``confidence`` (0 for rejected ones).
 
+    Candidates carry what scoring needs of their text (``window``, ``text_length``), so nothing but them is shuffled.
     Boxes are optional: with columns ``bbox`` and ``label_bbox`` (and
     ``label_distance``) the signals of layout candidates apply.
     """
@@ -65,9 +69,10 @@ def score(candidates: DataFrame, docs: DataFrame, labels: dict[str, list[str]] |
     pool = Window.partitionBy("doc_id", "field_id")
     same = F.lower(F.trim(F.col("value")))
     kept = ~F.col("rejected")
-    joined = candidates.join(docs.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-    text, length = F.coalesce("_text", F.lit("")), F.length(F.coalesce("_text", F.lit("")))
-    joined = joined.withColumns({
+    texted = {"window", "text_length"} <= set(candidates.columns)
+    window = F.coalesce("window", F.lit("")) if texted else F.lit("")
+    length = F.coalesce("text_length", F.lit(0)) if texted else F.lit(0)
+    joined = candidates.withColumns({
         "_raw": raw_specificity(F.col("match_pattern")),
         "_same": same,
     })
@@ -83,7 +88,7 @@ def score(candidates: DataFrame, docs: DataFrame, labels: dict[str, list[str]] |
     clamped = lambda x: F.round(F.greatest(F.lit(0.40), F.least(F.lit(1.0), x)), 4)
     raw, low, high = F.col("_raw"), F.col("_low"), F.col("_high")
     signals = {
-        "label_proximity": F.when(both, box_proximity(F.col("label_distance") if "label_distance" in candidates.columns else F.lit(None).cast("double"))).otherwise(label_proximity(labels or {}, text)),
+        "label_proximity": F.when(both, box_proximity(F.col("label_distance") if "label_distance" in candidates.columns else F.lit(None).cast("double"))).otherwise(label_proximity(labels or {}, window)),
         "validator_pass": F.when(F.col("n_rules") == 0, 1.0).when(F.col("rejected"), 0.0).otherwise(F.size(F.filter("validation", lambda r: r["passed"])) / F.col("n_rules")),
         "regex_used": F.when(F.col("match_pattern").isNotNull(), 1.0).otherwise(0.5),
         "specificity": F.when(F.col("match_pattern").isNull(), 0.70)
@@ -106,4 +111,4 @@ def score(candidates: DataFrame, docs: DataFrame, labels: dict[str, list[str]] |
     for name, weight in WEIGHTS.items():
         total = total + weight * F.col(name)
     confidence = F.when(F.col("rejected"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total + bonus)))
-    return scored.withColumn("confidence", confidence).drop("_text", "_raw", "_same", "_patterns", "_low", "_high", "_kept", "_values", "_agree")
+    return scored.withColumn("confidence", confidence).drop("window", "text_length", "_raw", "_same", "_patterns", "_low", "_high", "_kept", "_values", "_agree")

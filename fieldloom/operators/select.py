@@ -19,22 +19,35 @@ def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "field_id").orderBy(F.desc("confidence"), "gen_order")))
 
 
+def leading(scored: DataFrame) -> DataFrame:
+    """One row per (doc_id, field_id) with candidates: the chosen one, with ``considered`` and ``rejected_count`` of all.
+
+    Where all were rejected nothing is chosen and the candidate's own columns are null.  One window serves the choice
+    and the counts.
+    """
+    pool = Window.partitionBy("doc_id", "field_id")
+    chosen = ~F.col("rejected")
+    rows = scored.withColumns({
+        "_nth": F.row_number().over(pool.orderBy("rejected", F.desc("confidence"), "gen_order")),
+        "considered": F.count(F.lit(1)).over(pool),
+        "rejected_count": F.sum(F.col("rejected").cast("long")).over(pool),
+    }).where("_nth = 1").drop("_nth")
+    keys = ("doc_id", "field_id", "considered", "rejected_count")
+    return rows.select(*keys, *[F.when(chosen, F.col(c)).alias(c) for c in scored.columns if c not in keys])
+
+
 def audit(docs: DataFrame, fields: list[tuple[str, bool]], scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row per document and template field, also where nothing was found.
 
     ``fields``: (field id, required) of the template.
     """
     wanted = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field_id"), F.lit(r).alias("required")) for f, r in fields])).alias("f")).select("doc_id", "f.*")
-    counts = scored.groupBy("doc_id", "field_id").agg(F.count(F.lit(1)).alias("considered"), F.count_if("rejected").alias("rejected_count"))
-    winner = best(scored).select(
-        "doc_id", "field_id", "value", "confidence", "strategy", "match_pattern", "raw_match", "start", "end", "page", *[c for c in ("label_proximity", "validator_pass", "regex_used", "specificity", "position", "agreement", "plausibility", "overlap_penalty") if c in scored.columns],
+    winner = leading(scored).select(
+        "doc_id", "field_id", "considered", "rejected_count", "value", "confidence", "strategy", "match_pattern", "raw_match", "start", "end", "page", *[c for c in ("label_proximity", "validator_pass", "regex_used", "specificity", "position", "agreement", "plausibility", "overlap_penalty") if c in scored.columns],
         F.size(F.filter("validation", lambda r: r["passed"])).alias("validators_passed"), F.size(F.filter("validation", lambda r: ~r["passed"])).alias("validators_failed"),
     )
-    return (
-        wanted.join(winner, ["doc_id", "field_id"], "left")
-        .join(counts, ["doc_id", "field_id"], "left")
-        .withColumns({"considered": F.coalesce("considered", F.lit(0)), "rejected_count": F.coalesce("rejected_count", F.lit(0)), "needs_review": F.coalesce(F.col("confidence") < threshold, F.col("required"))})
-    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return wanted.join(winner, ["doc_id", "field_id"], "left").withColumns({"considered": zero("considered"), "rejected_count": zero("rejected_count"), "needs_review": F.coalesce(F.col("confidence") < threshold, F.col("required"))})
 
 
 def summary(audited: DataFrame) -> DataFrame:
@@ -54,8 +67,7 @@ def review_flags(audited: DataFrame) -> DataFrame:
 
 def duplicate_insights(scored: DataFrame) -> DataFrame:
     """Fields with more than one candidate, rejected ones included, beside the chosen value."""
-    many = scored.groupBy("doc_id", "field_id").agg(F.count(F.lit(1)).alias("n_candidates")).where("n_candidates > 1")
-    return many.join(best(scored).select("doc_id", "field_id", F.col("value").alias("chosen")), ["doc_id", "field_id"], "left")
+    return leading(scored).where("considered > 1").select("doc_id", "field_id", F.col("considered").alias("n_candidates"), F.col("value").alias("chosen"))
 
 
 def evidence(scored: DataFrame) -> DataFrame:

@@ -52,6 +52,15 @@ def java_pattern(pattern: str) -> tuple[str, int]:
     return "".join(out), value or (1 if number else 0)
 
 
+def valid_pattern(pattern: str) -> bool:
+    """Whether a pattern compiles; templates may hold ones that do not, which are skipped."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
 def checked(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """``df`` if it has at most ``most`` rows: what may be broadcast has a proven bound."""
     if len(df.limit(most + 1).select(F.lit(1)).collect()) > most:

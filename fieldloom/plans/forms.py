@@ -6,7 +6,6 @@ DataFrame expressions over the given tables, so it grows with them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -56,6 +55,6 @@ def order_forms(spark: SparkSession, sf_dir: str, item_style: str = "lines") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under ``spark.checkpoint.dir`` where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/{uuid.uuid4().hex}"

@@ -50,8 +50,16 @@ def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.join_labels(docs)
 
 
+COMPOUND_CASES = (
+    "Weather Rain Light Conditions Dark - Lighted Road Surface NWet more", "(cid:12)weather clear light conditions dawn", "Road Alignment Curve Direction Eof Crash Same DiRrection (Rear EndE) Areas of Damage x",
+    "CASE NUMBER 7 WEATHER Fog TYPE OF Angle / 2", "TYPE OF Sideswipe / 2", "TYPE OF COLLISION x", "COLLISION TYPE Head On TOTAL VEHICLES 2", "the weather event: none",
+)
+
+
 def compound_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("WEATHER: w"), F.col("o_orderkey"), F.lit(" LIGHT: dusk SURFACE: (cid:12)wet\nTYPE OF CRASH: "), F.col("o_orderstatus")).alias("text"))
+    """Compound lines of every rule, between lines that stay."""
+    k = F.col("o_orderkey")
+    docs = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat(F.lit("Order "), k.cast("string"), F.lit("\n"), F.element_at(F.array(*map(F.lit, COMPOUND_CASES)), (k % len(COMPOUND_CASES) + 1).cast("int")), F.lit("\nend")).alias("text"))
     return texts.expand_compound_lines(docs)
 
 
@@ -293,22 +301,55 @@ def record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.score_records(record, seen).select("doc_id", "score", F.size("reasons").alias("n_reasons"))
 
 
+def police_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide police records, one per supplier, in which every field is present, Unknown, blank or null for some."""
+    k = F.col("s_suppkey")
+    some = lambda n, v: F.when(k % n == 0, v).when(k % n == 1, "Unknown").when(k % n == 2, " ")
+    fields = {
+        "report_number": some(4, F.concat(F.lit("R-"), k.cast("string"))), "date_time": some(5, F.lit("05/13/2024 10:30")), "location": some(6, F.concat(k.cast("string"), F.lit(" Main Street"))),
+        "weather": some(7, F.lit("Rain")), "agency": some(5, F.col("s_name")), "officer": some(4, F.lit("J. Doe")), "accident_type": some(3, F.lit("Rear-end")),
+        "ems_agency": some(5, F.lit("City EMS")), "contributing_factors": some(4, F.lit("speeding")), "property_damage": some(6, F.lit("a fence")),
+    }
+    return table(spark, sf_dir, "supplier").select(k.alias("doc_id"), *[v.alias(c) for c, v in fields.items()])
+
+
 def report_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    docs = crash_forms(spark, sf_dir)
-    wide = s.select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("agency"), *[F.lit(None).cast("string").alias(c) for c in ("report_number", "date_time", "location", "weather", "officer")], F.lit("Collision").alias("accident_type"))
-    return report.police_note(wide, ent.vehicles(docs), ent.parties(docs), ent.witnesses(docs)).select("doc_id", "note")
+    """Notes over records with and without vehicles, parties and witnesses (every eighth has none)."""
+    docs = crash_forms(spark, sf_dir).where("doc_id % 8 <> 0")
+    return report.police_note(police_records(spark, sf_dir), ent.vehicles(docs), ent.parties(docs), ent.witnesses(docs)).select("doc_id", "note")
+
+
+def adjuster_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide adjuster records, one per supplier."""
+    k = F.col("s_suppkey")
+    some = lambda n, v: F.when(k % n == 0, v).when(k % n == 1, "")
+    fields = {
+        "cause_of_loss": some(3, F.lit("Fire")), "inspection_date": some(4, F.lit("05/13/2024")), "inspection_firm": some(5, F.col("s_name")), "coverage_a": some(3, F.lit("$100,000")),
+        "coverage_b": some(4, F.lit("$20,000")), "coverage_c": some(5, F.lit("$5,000")), "coverage_d": some(6, F.lit("none")), "coverages": some(4, F.lit("HO-3")), "officials": some(3, F.lit("Fire Dept")),
+        "settlement": some(5, F.lit("$9,000")), "subrogation": some(4, F.lit("to be investigated")), "payment_summary": some(6, F.lit("$100 paid")), "recommendations": some(3, F.lit("close")),
+    }
+    return table(spark, sf_dir, "supplier").select(k.alias("doc_id"), (k % 2 == 0).alias("reserve"), *[v.alias(c) for c, v in fields.items()])
+
+
+def adjuster_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.adjuster_note(adjuster_records(spark, sf_dir), F.col("reserve")).select("doc_id", "note")
 
 
 def claim_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders")
-    ia = o.select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderstatus") == "O", "Collision").otherwise("Fire").alias("cause_of_loss"), F.when(F.col("o_orderkey") % 2 == 0, "No Damages").otherwise("dent").alias("property_damage"))
-    return report.discrepancies(ia, o.select(F.col("o_orderkey").alias("claim_id"), F.lit("Rear-end collision").alias("accident_type")))
+    ia = o.select(k.alias("claim_id"), F.element_at(F.array(*map(F.lit, ("Collision", "Fire", "UNKNOWN", "collision", ""))), (k % 5 + 1).cast("int")).alias("cause_of_loss"))
+    police = o.select(k.alias("claim_id"), F.when(k % 3 == 0, "Collision").when(k % 3 == 1, "Rear-end collision").alias("accident_type"), F.when(k % 2 == 0, "No Damages").otherwise("dent").alias("first_damages"))
+    return report.discrepancies(ia, police)
 
 
 def record_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "O", "Agency").alias("agency"), F.lit("to be investigated").alias("subrogation"), (F.col("o_orderkey") % 6).alias("n_parties"))
-    return report.insights(o).select("doc_id", F.array_join("actions", "; ").alias("actions"))
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(
+        k.alias("doc_id"), F.when(F.col("o_orderstatus") == "O", "Agency").when(F.col("o_orderstatus") == "F", "Unknown").alias("agency"), F.when(k % 2 == 0, "Under INVESTIGATION").otherwise("none").alias("subrogation"),
+        (k % 6).alias("n_parties"), (k % 3).alias("n_vehicles"), (k % 7 == 0).alias("reserve"), F.when(k % 2 == 0, F.concat(F.lit("$"), k.cast("string"))).alias("settlement"), F.when(k % 5 == 0, "$1").alias("coverage_a"),
+    )
+    return report.insights(o).select("doc_id", F.array_join("chips", "; ").alias("chips"), F.array_join("actions", "; ").alias("actions"))
 
 
 def merged_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,8 +360,11 @@ def merged_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("field_id", F.col("strategies")[0]["patterns"][0].alias("pattern"), F.size("label_text").alias("labels"), "expected_position", "overlaid")
 
 
+FILE_NAMES = ("claim_IA_1", "my-acord.form", "fl_HSMV-x", "Police 2024", "misc", "HO90010a", "the.property.photos", "adjuster_acord", "diary", "hsmvia", "ia hsmv", "malacord")
+
+
 def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("claim_"), F.element_at(F.array(*map(F.lit, ("IA", "acord", "fl-hsmv", "Police", "misc"))), (F.col("o_orderkey") % 5 + 1).cast("int")), F.lit("_"), "o_orderkey", F.lit(".pdf")).alias("name"))
+    names = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.element_at(F.array(*map(F.lit, FILE_NAMES)), (F.col("o_orderkey") % len(FILE_NAMES) + 1).cast("int")), F.lit("_"), F.col("o_orderkey") % 7, F.lit(".pdf")).alias("name"))
     return names.select("o_orderkey", scans.route(F.col("name")).alias("doc_type"))
 
 
@@ -348,6 +392,21 @@ _COMPARED = """
     )
 """
 ORACLE_SQL = {
+    "adjuster_notes": """
+        SELECT s_suppkey AS doc_id, concat_ws(' ',
+            'The cause of loss was ' || CASE WHEN s_suppkey % 3 = 0 THEN 'Fire' ELSE 'not specified' END || '.',
+            'Coverage A was inspected on ' || CASE WHEN s_suppkey % 4 = 0 THEN '05/13/2024' ELSE 'not recorded' END || ' by ' || CASE WHEN s_suppkey % 5 = 0 THEN s_name ELSE 'not recorded' END || '.',
+            'Coverage A is ' || CASE WHEN s_suppkey % 3 = 0 THEN '$100,000' ELSE 'N/A' END || '.', 'Coverage B is ' || CASE WHEN s_suppkey % 4 = 0 THEN '$20,000' ELSE 'N/A' END || '.',
+            'Coverage C is ' || CASE WHEN s_suppkey % 5 = 0 THEN '$5,000' ELSE 'N/A' END || '.', 'Coverage D is ' || CASE WHEN s_suppkey % 6 = 0 THEN 'none' ELSE 'N/A' END || '.',
+            CASE WHEN s_suppkey % 4 = 0 THEN 'The applicable coverages and policy form are as follows: HO-3.' END,
+            CASE WHEN s_suppkey % 3 = 0 THEN 'A report was filed with the following officials: Fire Dept.' ELSE 'No fire or police report was filed.' END,
+            'The settlement amount is ' || CASE WHEN s_suppkey % 5 = 0 THEN '$9,000' ELSE 'not yet determined' END || '.',
+            'Subrogation is ' || CASE WHEN s_suppkey % 4 = 0 THEN 'to be investigated' ELSE 'not determined' END || '.',
+            CASE WHEN s_suppkey % 6 = 0 THEN 'Summary of payments made to date: $100 paid.' ELSE 'No payment summary data was available from ClaimCenter.' END,
+            CASE WHEN s_suppkey % 3 = 0 THEN 'Adjuster recommendations: close.' ELSE 'No adjuster recommendations have been entered.' END,
+            CASE WHEN s_suppkey % 2 = 0 THEN 'WARNING: The word reserve appears in this document and requires adjuster review.' END) AS note
+        FROM supplier
+    """,
     "items_roundtrip": _ITEMS + "SELECT l_orderkey AS doc_id, item_no::INT AS entity_no, item_no::INT AS item_no, p_name AS name, l_quantity::INT AS quantity, round(l_extendedprice, 2) AS price, l_returnflag AS code FROM items",
     "streamed_items": _ITEMS + "SELECT l_orderkey AS doc_id, item_no::INT AS item_no, p_name AS name, l_quantity::INT AS quantity FROM items",
     "flattened_tables": _ITEMS
@@ -372,15 +431,27 @@ ORACLE_SQL = {
         FROM orders JOIN customer ON o_custkey = c_custkey
     """,
     "compound_lines": """
-        SELECT o_orderkey AS doc_id, concat_ws(chr(10), 'WEATHER: w' || o_orderkey, 'LIGHT: dusk', 'SURFACE: wet', 'TYPE OF CRASH: ' || o_orderstatus,
-               'ACCIDENT TYPE: ' || o_orderstatus, 'COLLISION TYPE: ' || o_orderstatus, 'MANNER OF COLLISION: ' || o_orderstatus) AS text FROM orders
+        SELECT o_orderkey AS doc_id, 'Order ' || o_orderkey || chr(10) || concat_ws(chr(10), CASE o_orderkey % 8
+            WHEN 0 THEN concat_ws(chr(10), 'Weather: Rain', 'Light Conditions: Dark - Lighted', 'Light Condition: Dark - Lighted', 'Road Surface: Wet')
+            WHEN 1 THEN concat_ws(chr(10), 'Weather: clear', 'Light Conditions: dawn', 'Light Condition: dawn')
+            WHEN 2 THEN concat_ws(chr(10), 'Road Alignment Curve Direction Eof Crash Same Direction (Rear End) Areas of Damage x', 'Direction of Crash: Same Direction (Rear End)', 'Manner of Collision: Same Direction (Rear End)', 'Type of Crash: Same Direction (Rear End)')
+            WHEN 3 THEN concat_ws(chr(10), 'CASE NUMBER 7 WEATHER Fog TYPE OF Angle / 2', 'Weather: Fog')
+            WHEN 4 THEN concat_ws(chr(10), 'TYPE OF Sideswipe / 2', 'Direction of Crash: Sideswipe', 'Manner of Collision: Sideswipe', 'Type of Crash: Sideswipe')
+            WHEN 5 THEN 'TYPE OF COLLISION x'
+            WHEN 6 THEN concat_ws(chr(10), 'COLLISION TYPE Head On TOTAL VEHICLES 2', 'Direction of Crash: Head On', 'Manner of Collision: Head On', 'Type of Crash: Head On')
+            ELSE 'the weather event: none' END, 'end') AS text
+        FROM orders
     """,
     "narrative_split": """
         SELECT o_orderkey AS doc_id, 'A' || o_orderkey || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'no story' END AS before,
                CASE WHEN o_orderkey % 2 = 0 THEN 'SECTION 4 - OFFICER NARRATIVE' || chr(10) || 'It rained' ELSE '' END AS narrative, 'a b c ' || o_orderkey AS plain FROM orders
     """,
     "conversation_texts": "SELECT conv_id AS doc_id, string_agg(coalesce(t, ''), chr(10) ORDER BY turn) AS text, count(*) AS n_pages FROM (SELECT conv_id, turn, min(text) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id",
-    "checked_status": "SELECT o_orderkey AS doc_id, o_orderstatus AS value, 0.95::DOUBLE AS preset FROM orders",
+    "checked_status": """
+        -- A mark before an option checks it, and so does one right behind it: the mark of the next option.
+        SELECT o_orderkey AS doc_id, o_orderstatus AS value, 0.85::DOUBLE AS preset FROM orders
+        UNION ALL SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'O' ELSE 'F' END, 0.85 FROM orders WHERE o_orderstatus <> 'O'
+    """,
     "nearby_customer": """
         SELECT o_orderkey AS doc_id, 'customer' AS field_id, c_name AS value FROM orders JOIN customer ON o_custkey = c_custkey
         UNION ALL SELECT o_orderkey, 'after', 'DATE: ' || strftime(o_orderdate, '%m/%d/%Y') FROM orders
@@ -465,14 +536,42 @@ ORACLE_SQL = {
         SELECT doc_id, round((1.5 + 1.5 + 0.7 + CASE WHEN placed THEN 1.5 ELSE 0 END) / (1.5 * 3 + 1.2 * 2 + 0.7 + CASE WHEN theft THEN 0 ELSE 0.5 END) * 100, 1)::DOUBLE AS score,
                (2 + CASE WHEN theft THEN 0 ELSE 1 END + CASE WHEN placed THEN 0 ELSE 1 END)::INT AS n_reasons FROM p
     """,
-    "report_notes": "SELECT s_suppkey AS doc_id, 'by ' || s_name || '. Type: Collision. Involved: 2 vehicle(s), 1 operator(s), 1 injured, 1 witness(es).' AS note FROM supplier",
+    "report_notes": """
+        WITH r AS (
+            SELECT s_suppkey AS k, s_name,
+                   CASE s_suppkey % 3 WHEN 0 THEN 'Rear-end' WHEN 1 THEN 'Unknown' ELSE 'an unspecified type of collision' END AS kind,
+                   CASE s_suppkey % 5 WHEN 0 THEN '05/13/2024 10:30' WHEN 1 THEN 'Unknown' ELSE 'an unknown date and time' END AS happened,
+                   CASE s_suppkey % 6 WHEN 0 THEN s_suppkey || ' Main Street' WHEN 1 THEN 'Unknown' ELSE 'an unknown location' END AS place,
+                   CASE s_suppkey % 5 WHEN 0 THEN s_name WHEN 1 THEN 'Unknown' ELSE 'the responding agency' END AS agency,
+                   CASE s_suppkey % 4 WHEN 0 THEN 'J. Doe' WHEN 1 THEN 'Unknown' ELSE 'an unidentified officer' END AS officer
+            FROM supplier)
+        SELECT k AS doc_id, concat_ws(' ', 'A ' || kind || ' collision occurred on ' || happened || ' at ' || place || '.',
+                   CASE WHEN k % 7 = 0 THEN 'Weather conditions were reported as Rain.' END,
+                   'The incident was investigated by ' || agency || ', reporting officer ' || officer || '.',
+                   CASE WHEN k % 4 = 0 THEN 'Report number: R-' || k || '.' END,
+                   CASE WHEN k % 5 = 0 THEN 'EMS responded; agency: City EMS.' END,
+                   CASE WHEN k % 8 <> 0 THEN 'A total of 2 vehicles were involved. 1 operator was identified. 1 party reported injuries. 1 witness was identified at the scene.' END,
+                   CASE WHEN k % 4 = 0 THEN 'Contributing factors noted: speeding.' END,
+                   CASE WHEN k % 6 = 0 THEN 'Non-vehicle property damage reported: a fence.' END) AS note
+        FROM r
+    """,
     "claim_discrepancies": """
-        SELECT o_orderkey AS claim_id, 'cause' AS field, 'Fire' AS adjuster, 'Rear-end collision' AS police FROM orders WHERE o_orderstatus <> 'O'
-        UNION ALL SELECT o_orderkey, 'damage', 'No Damages', 'Rear-end collision' FROM orders WHERE o_orderkey % 2 = 0
+        WITH c AS (SELECT o_orderkey AS claim_id, ['Collision', 'Fire', 'UNKNOWN', 'collision', ''][o_orderkey % 5 + 1] AS cause,
+                          CASE o_orderkey % 3 WHEN 0 THEN 'Collision' WHEN 1 THEN 'Rear-end collision' END AS kind, o_orderkey % 2 = 0 AS undamaged FROM orders)
+        SELECT claim_id, 'Causality Mismatch' AS type, 'IA claims "' || cause || '" but Police report states "' || kind || '".' AS description
+        FROM c WHERE kind IS NOT NULL AND (cause = 'Fire' OR (cause IN ('Collision', 'collision') AND kind <> 'Collision'))
+        UNION ALL
+        SELECT claim_id, 'Damage Contradiction', 'Police report indicates "No Damages" for Vehicle 1, but IA reports a Collision loss.' FROM c WHERE undamaged AND cause = 'Collision'
     """,
     "record_insights": """
-        SELECT o_orderkey AS doc_id, 'Investigate subrogation' || CASE WHEN o_orderstatus = 'O' THEN '' ELSE '; Obtain the agency''s name' END
-               || CASE WHEN o_orderkey % 6 > 3 THEN '; Several parties: confirm liability' ELSE '' END AS actions FROM orders
+        SELECT o_orderkey AS doc_id,
+               concat_ws('; ', CASE WHEN o_orderkey % 7 = 0 THEN 'Reserve language detected' END, CASE WHEN o_orderkey % 2 = 0 THEN 'Subrogation opportunity' END,
+                   CASE WHEN o_orderkey % 6 > 0 THEN (o_orderkey % 6) || ' parties identified' END, CASE WHEN o_orderkey % 3 > 0 THEN (o_orderkey % 3) || ' vehicles' END,
+                   CASE WHEN o_orderkey % 5 = 0 THEN 'Coverage A confirmed' END) AS chips,
+               coalesce(nullif(concat_ws('; ', CASE WHEN o_orderkey % 7 = 0 THEN 'Set reserve — ' || CASE WHEN o_orderkey % 2 = 0 THEN '$' || o_orderkey ELSE 'amount TBD' END END,
+                   CASE WHEN o_orderkey % 2 = 0 THEN 'File subrogation preservation letter' END, CASE WHEN o_orderstatus <> 'O' THEN 'Request agency supplement' END,
+                   CASE WHEN o_orderkey % 6 > 3 THEN 'Review liability across all parties' END), ''), 'Review extracted fields and submit to ClaimCenter') AS actions
+        FROM orders
     """,
     "merged_templates": """
         WITH f AS (SELECT p_type AS field_id, min(p_partkey) AS position FROM part GROUP BY 1)
@@ -480,10 +579,12 @@ ORACLE_SQL = {
                CASE WHEN position % 3 <> 0 THEN 'header' END AS expected_position, position % 2 = 0 AS overlaid
         FROM f WHERE position % 3 <> 0 OR position % 2 = 0
     """,
-    "routed_files": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ia' WHEN 1 THEN 'acord' WHEN 2 THEN 'hsmv' WHEN 3 THEN 'police' END AS doc_type FROM orders",
+    "routed_files": """
+        SELECT o_orderkey, ['ia', 'acord', 'hsmv', 'police', 'police', 'hsmv', 'ia', 'ia', 'police', 'hsmv', 'ia', 'police'][o_orderkey % 12 + 1] AS doc_type FROM orders
+    """,
     "learned_values": """
         SELECT o_orderkey AS doc_id, 'agency' AS field_id, c_name AS value FROM orders JOIN customer ON o_custkey = c_custkey
-        UNION ALL SELECT o_orderkey, 'report_number', 'OR-' || lpad(o_orderkey::VARCHAR, 8, '0') FROM orders
+        UNION ALL SELECT o_orderkey, 'report_number', 'FORM' FROM orders -- "REPORT FORM" comes first
     """,
 }
 
@@ -494,6 +595,6 @@ QUERIES = {
         spatial_fields, value_boxes, widget_values, loss_notices, custom_fields_found, positional_values, glued_values, crash_vehicles, crash_parties, crash_witnesses,
         decoded_records, carrier_names, canonical_carriers, citations, top_corrections, recent_corrections, correction_totals, user_ratings, store_after_changes,
         learned_aliases, learned_patterns, learned_values, extraction_metrics, document_metrics, confidence_calibration, worst_failures, fill_by_status, structure_checks,
-        record_scores, report_notes, claim_discrepancies, record_insights, merged_templates, routed_files, streamed_items,
+        record_scores, report_notes, adjuster_notes, claim_discrepancies, record_insights, merged_templates, routed_files, streamed_items,
     )
 }

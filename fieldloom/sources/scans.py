@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One document per text file: (doc_id, source_path, text)."""
-    rows = spark.read.text(path, wholetext=True).withColumn("source_path", F.input_file_name())
-    return rows.select(F.regexp_extract("source_path", r"([^/]+)$", 1).alias("doc_id"), "source_path", F.col("value").alias("text"))
+    """One document per text file: (doc_id, source_path, text); the path is the id, as names repeat from folder to folder."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_path"), F.col("value").alias("text"))
+    return rows.select(F.col("source_path").alias("doc_id"), "source_path", "text")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
@@ -18,17 +18,19 @@ def page_texts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"), F.count(F.lit(1)).alias("n_pages"))
 
 
-#: Words of file names per document type, in the order they are tried.
-ROUTES = (("ia", r"\b(?:ia|independent|adjuster)\b"), ("acord", r"\bacord\b"), ("hsmv", r"\bhsmv\b"), ("police", r"\b(?:police|crash|accident)\b"))
+# Words of file names per document type, in the order they are tried, and the type of all other files.
+ROUTES = (("ia", r"\b(?:ia|property|adjuster)\b"), ("acord", r"\bacord\b"), ("hsmv", r"hsmv|90010"))
+OTHER_FILES = "police"
+# End of the fixed values.
 
 
 def route(file_name: Column) -> Column:
-    """The document type that a file's name speaks of; null if none."""
+    """The document type that a file's name speaks of; null for a null name."""
     name = F.regexp_replace(file_name, "[_.\\-]", " ")
-    out = None
+    out = F.when(file_name.isNull(), F.lit(None).cast("string"))
     for kind, pattern in ROUTES:
-        out = (F if out is None else out).when(name.rlike(f"(?i){pattern}"), kind)
-    return out
+        out = out.when((name if kind != "hsmv" else file_name).rlike(f"(?i){pattern}"), kind)
+    return out.otherwise(OTHER_FILES)
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:

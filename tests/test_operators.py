@@ -15,14 +15,14 @@ def test_a_checked_option_scores_the_known_constant(spark):
     """Preset of page one, no pattern, no span, labels declared: 0.635 plus the bonus of priority 1."""
     docs = spark.createDataFrame([(1, "WEATHER [X] Windmill [ ] Other")], "doc_id long, text string")
     s = Strategy("some_field", "checkbox_grid", priority=1, config={"anchor": "WEATHER", "options": {"Windmill": "Windmill", "Other": "Other"}})
-    got = score(validate(generate(docs, [s]), {}), docs, {"some_field": ["weather"]}).collect()
+    got = score(validate(generate(docs, [s]), {}), {"some_field": ["weather"]}).collect()
     assert [(r.value, round(r.confidence, 4)) for r in got] == [("Windmill", round(0.15 * 0.1 + 0.15 + 0.025 + 0.07 + 0.05 + 0.15 * 0.6 + 0.35 * 0.5 + 0.0198, 4))]
 
 
 def test_ties_go_to_the_candidate_generated_first_and_rejected_ones_lose(spark):
     docs = spark.createDataFrame([(1, "id: AA-1 id: BB-2 id: AA-1"), (2, "nothing")], "doc_id long, text string")
     found = validate(generate(docs, [Strategy("f", patterns=(r"id: (?P<value>[A-Z]{2}-\d)",))]), {"f": [Rule("blacklist", values=("BB-2",))]})
-    scored = score(found, docs)
+    scored = score(found)
     assert [(r.value, r.start) for r in best(scored).collect()] == [("AA-1", 0)]
     assert {r.value: r.confidence == 0 for r in scored.collect()} == {"AA-1": False, "BB-2": True}
     rows = {(r.doc_id, r.field_id): r for r in audit(docs, [("f", False), ("g", True)], scored).collect()}
