@@ -76,7 +76,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), across=False).drop("version", "row")
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), across=False).drop("row")
 
 
 QUERIES = {

@@ -8,9 +8,12 @@ twice or more is a repeat; its first place, by document and offset, is the one
 to keep.  Neighbouring repeats of a document form a span, and spans of at least
 ``WORDS`` words are reported, so a chance repeat of one chunk is not.
 
-Counting runs as a grouped aggregate with partial sums, so a chunk that every
-document holds meets in one task as one row from each; finding the places of the
-repeats is a join whose large partitions Spark may split.
+Texts are chunked once: the chunks are shuffled by digest, a window counts the copies
+and finds the first place, and only repeats go on, by document.  A digest that holds
+more than a ``SHARE``-th of all chunks (a licence line that every document has) is dealt
+over ``SALTS`` groups, whose counts and first places are then added up; at most ``SHARE``
+digests can be so frequent, so their totals are broadcast.  Which digests are dealt is
+estimated from a sample of the rows and changes no result.
 
 Defined results
 ---------------
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import reliable
 
 LEAST, MOST, BITS, WORDS = 12, 128, 4, 12
+#: Share of all chunks from which a digest is dealt over groups, the number of groups, and the rows of which one is looked at for it.
+SHARE, SALTS, EVERY = 2000, 64, 64
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -93,15 +98,19 @@ def measured(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [digest(raw[s:e]) for s, e in zip([0, *ends], ends, strict=False)], total((data & 0xC0) != 0x80), np.diff(total(begun))
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, row, n, start, end, words, hi, lo): chunk number n of each document.
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text) of the rows with a text; ``row`` numbers them as they are read."""
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select("doc_id", row.alias("row"), "text").where(F.length("text") > 0)
+
+
+def chunk_table(rows: DataFrame) -> DataFrame:
+    """(doc_id, row, n, start, end, words, hi, lo): chunk number n of each of the :func:`numbered` rows.
 
     ``start`` and ``end`` count characters, ``words`` the words that begin in the
-    chunk, ``hi`` and ``lo`` are the halves of its digest.  ``version`` is a hash of
-    the text, ``row`` the number of the row: they tell rows with one ``doc_id`` apart.
+    chunk, ``hi`` and ``lo`` are the halves of its digest.
     """
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
         for batch in batches:
@@ -113,7 +122,6 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].repeat(sizes).to_numpy(),
-                        "version": np.repeat(part["version"].to_numpy(), sizes),
                         "row": np.repeat(part["row"].to_numpy(), sizes),
                         "n": np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]),
                         "start": np.concatenate([g[1][:-1] for g in got]).astype(np.int32),
@@ -124,45 +132,57 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                     }
                 )
 
-    return (
-        docs.select("doc_id", F.xxhash64("text").alias("version"), row.alias("row"), "text")
-        .where(F.length("text") > 0)
-        .mapInPandas(cut, f"doc_id {id_type}, version long, row long, n int, start int, `end` int, words int, hi long, lo long")
-    )
+    return rows.mapInPandas(cut, f"doc_id {id_type}, row long, n int, start int, `end` int, words int, hi long, lo long")
 
 
 def place() -> Column:
     """The order of places: ids first, then nulls."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("version").alias("version"), F.col("row").alias("row"), F.col("n").alias("n"))
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("n").alias("n"))
+
+
+def frequent(rows: DataFrame, share: int = SHARE, every: int = EVERY) -> DataFrame:
+    """(hi, lo): digests that seem to hold more than a ``share``-th of all chunks, by one row of ``every``; at most ``share``."""
+    counted = reliable(chunk_table(rows.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0)).groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1"))
+    total = counted.agg(F.sum("seen")).first()[0] or 0
+    return counted.where(F.col("seen") > max(1, total // share)).orderBy(F.desc("seen"), "hi", "lo").limit(share).select("hi", "lo")
 
 
-def repeats(docs: DataFrame, across: bool = True) -> DataFrame:
+def repeats(docs: DataFrame, across: bool = True, every: int = EVERY) -> DataFrame:
     """Every chunk whose digest occurs more than once, with its copies, the id of its first place, and whether it is that.
 
-    ``across``: only chunks that two different documents hold, not those that one
-    document alone repeats.
+    ``across``: only chunks that two different rows hold, not those that one row alone repeats.
     """
-    chunks = chunk_table(docs)
-    counted = chunks.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("copies"), F.min(place()).alias("first"), F.max(place()).alias("last"))
-    same = F.col("first.row") == F.col("last.row")
-    counted = counted.where((F.col("copies") > 1) & ~(same & F.lit(across))).drop("last")
-    return chunks.join(counted, ["hi", "lo"]).select(
-        "doc_id", "version", "row", "n", "start", "end", "words", "copies", F.col("first.doc_id").alias("first_doc_id"), (place() == F.col("first")).alias("kept")
+    rows = numbered(docs)
+    digest_ = ["hi", "lo"]
+    hot = reliable(frequent(rows, every=every).withColumn("hot", F.lit(True)))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    dealt = chunk_table(rows).join(F.broadcast(hot), digest_, "left").withColumn("salt", salt).drop("hot")
+    group = Window.partitionBy(*digest_, "salt")
+    own = {"copies": F.count(F.lit(1)), "first": F.min(place()), "low": F.min("row"), "high": F.max("row")}
+    found = dealt.select("*", *[v.over(group).alias(k) for k, v in own.items()]).where((F.col("copies") > 1) | F.col("salt").isNotNull())
+    if not hot.isEmpty():
+        found = reliable(found)
+        parts = found.where(F.col("salt").isNotNull()).groupBy(*digest_, "salt").agg(*[F.first(k).alias(k) for k in own])
+        whole = parts.groupBy(*digest_).agg(F.sum("copies").alias("copies"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+        totals = whole.select(*digest_, F.struct(*own).alias("total"))  # at most SHARE rows
+        found = found.join(F.broadcast(totals), digest_, "left").withColumns({k: F.coalesce(F.col(f"total.{k}"), F.col(k)) for k in own})
+    return found.where((F.col("copies") > 1) & ((F.col("low") < F.col("high")) | F.lit(not across))).select(
+        "doc_id", "row", "n", "start", "end", "words", "copies", F.col("first.doc_id").alias("first_doc_id"), (place() == F.col("first")).alias("kept")
     )
 
 
 def repeated_spans(docs: DataFrame, words: int = WORDS, across: bool = True) -> DataFrame:
-    """(doc_id, version, row, start, end, words, copies, first_doc_id, kept): spans of neighbouring repeats.
+    """(doc_id, row, start, end, words, copies, first_doc_id, kept): spans of neighbouring repeats.
 
     ``kept`` marks spans made of first places, ``copies`` is the smallest count among
     the chunks, ``first_doc_id`` the smallest id at which one of them is first.
     Windows and groups are those of one document each.
     """
     found = repeats(docs, across).repartition("row")
-    order = Window.partitionBy("row", "doc_id", "version", "kept").orderBy("n")
+    order = Window.partitionBy("row", "doc_id", "kept").orderBy("n")
     return (
         found.withColumn("island", F.col("n") - F.row_number().over(order))
-        .groupBy("row", "doc_id", "version", "kept", "island")
+        .groupBy("row", "doc_id", "kept", "island")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -171,15 +191,15 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, across: bool = True) ->
             F.min("first_doc_id").alias("first_doc_id"),
         )
         .where(F.col("words") >= words)
-        .select("doc_id", "version", "row", "start", "end", "words", "copies", "first_doc_id", "kept")
+        .select("doc_id", "row", "start", "end", "words", "copies", "first_doc_id", "kept")
     )
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, across: bool = True) -> DataFrame:
     """``docs`` with every repeated span but its first place cut out of the text."""
-    numbered = reliable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = reliable(docs.withColumn("_row", F.monotonically_increasing_id()))
     cuts = (
-        repeated_spans(numbered, words, across)
+        repeated_spans(rows, words, across)
         .where(~F.col("kept"))
         .groupBy(F.col("row").alias("_row"))
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
@@ -187,5 +207,5 @@ def deduplicated(docs: DataFrame, words: int = WORDS, across: bool = True) -> Da
     shortened = F.expr(
         "array_join(zip_with(concat(array(0), _cuts.end), concat(_cuts.start, array(length(text))), (a, b) -> substring(text, a + 1, b - a)), '')"
     )
-    joined = numbered.join(cuts, "_row", "left")
+    joined = rows.join(cuts, "_row", "left")
     return joined.withColumn("text", F.when(F.size("_cuts") > 0, shortened).otherwise(F.col("text"))).select(*docs.columns)

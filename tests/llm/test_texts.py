@@ -247,5 +247,29 @@ def test_repeats_within_a_document_and_of_whole_rows(spark, tmp_path):
     assert {(r.doc_id, r.kept) for r in got} == {(i, k) for i in (1, 2, None) for k in (True, False)}
 
 
+def test_repeats_equal_brute_force(spark):
+    """Counts, first places and documents of every chunk, with digests that most rows hold and without dealing them."""
+    rnd = random.Random(10)
+    new = lambda n: prose(rnd, [f"{a}{b}{c}" for a in "abcdefgh" for b in "klmnop" for c in "uvwxyz"], n)
+    licence, passage = new(30), new(60)
+    rows = [(i, f"{new(20)} {licence} {new(10)}" + (f" {passage}" if i % 5 == 0 else "")) for i in range(60)]
+    rows += [(7, rows[7][1]), (None, licence), (None, None), (100, ""), (101, new(60_000)), (102, "é" * 5000)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, `first` string, salt int").coalesce(1)
+    held: dict = {}
+    for row, (i, t) in enumerate(rows):
+        digests, cuts, _ = substring_dedup.measured(t)
+        for n, d in enumerate(digests):
+            held.setdefault(d, []).append((i is None, i or 0, row, n, int(cuts[n]), int(cuts[n + 1])))
+    for across in (False, True):
+        want = []
+        for places in held.values():
+            if len(places) > 1 and (not across or len({p[2] for p in places}) > 1):
+                first = min(places)
+                want += [(str(None if p[0] else p[1]), *p[3:], len(places), str(None if first[0] else first[1]), p == first) for p in places]
+        for every in (1, 10**9):
+            got = substring_dedup.repeats(docs, across, every).collect()
+            assert sorted((str(r.doc_id), r.n, r.start, r.end, r.copies, str(r.first_doc_id), r.kept) for r in got) == sorted(want)
+
+
 def test_digests_are_stable():
     assert hashlib.blake2b(b"x", digest_size=16).digest() == substring_dedup.digest(b"x") and re.match("x", "x")
