@@ -83,6 +83,23 @@ def metrics(compared: DataFrame) -> DataFrame:
     return _with_rates(compared.rollup("field_id").agg(*_counts()))
 
 
+RESULT_SCHEMA = (
+    "field_id string, correct long, incorrect long, missed long, spurious long, true_negative long, precision double, recall double, accuracy double, f1 double"
+)
+
+
+def write_results(compared: DataFrame, path: str) -> None:
+    """An evaluation run as JSON: the figures of all and of each field, the documents' figures, and every comparison."""
+    metrics(compared).write.mode("overwrite").json(f"{path}/summary")
+    per_document(compared).write.mode("overwrite").json(f"{path}/documents")
+    compared.write.mode("overwrite").json(f"{path}/detail")
+
+
+def read_results(spark, path: str) -> DataFrame:
+    """The figures of a stored run."""
+    return spark.read.schema(RESULT_SCHEMA).json(f"{path}/summary")
+
+
 def per_document(compared: DataFrame) -> DataFrame:
     right = F.col("status").startswith("CORRECT") | (F.col("status") == "TRUE_NEGATIVE")
     return compared.groupBy("doc_id").agg(

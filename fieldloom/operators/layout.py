@@ -20,7 +20,7 @@ SCHEMA = (
 
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
     """Layout JSON files, one document each: (doc_id, version, pages, texts, tables)."""
-    return spark.read.schema(SCHEMA).json(path, multiLine=True).withColumn("doc_id", F.input_file_name())
+    return spark.read.schema(SCHEMA).json(path, multiLine=True).withColumn("doc_id", F.col("_metadata.file_path"))
 
 
 def pages(layout: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import extraction, records
+from . import cases, extraction, records
 
-_PARTS = (extraction, records)
+_PARTS = (extraction, records, cases)
 
 
 def queries() -> dict:

@@ -13,28 +13,48 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.feedback import learn_aliases, learn_patterns
 
+ALIAS_SCHEMA = "canonical_field string, alias_header string, batch long"
+PATTERN_SCHEMA = "field_name string, pattern string, example string, source_doc long, batch long"
 
-def each_batch(arriving: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Run ``job`` on every micro-batch of a stream and keep its rows under ``out``; ends when all that is there was read."""
+
+def each_batch(arriving: DataFrame, job: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Run ``job`` (rows, batch number) on every micro-batch of a stream and keep its rows under ``out``; ends when all that is there was read."""
 
     def write(batch: DataFrame, number: int) -> None:
-        job(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        job(batch, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def arriving_documents(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
+def arriving_rows(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def extract_arriving(spark: SparkSession, path: str, schema, extract: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Extraction over documents as they arrive: the same function as in batch."""
-    return each_batch(arriving_documents(spark, path, schema), extract, out, checkpoint)
+    return each_batch(arriving_rows(spark, path, schema), lambda batch, _: extract(batch), out, checkpoint)
+
+
+def learned(spark: SparkSession, out: str, schema: str, before: int | None = None) -> DataFrame:
+    """What a learning stream has stored under ``out``, of batches before a number if one is given; nothing where nothing is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(out)
+    return rows if before is None else rows.where(f"batch < {before}")
 
 
 def learn_from_arriving(corrections: DataFrame, raw: DataFrame, out: str, checkpoint: str) -> tuple[StreamingQuery, StreamingQuery]:
-    """Aliases and patterns learned from arriving corrections, in two folders under ``out``."""
+    """Aliases and patterns learned from arriving corrections, in two folders under ``out``.
+
+    A batch sees what the batches before it learned and stores only what is new; run again it gives the same rows.
+    """
+    spark = corrections.sparkSession
+
+    def job(learn, folder: str, schema: str):
+        return lambda batch, number: learn(batch, raw, learned(spark, folder, schema, number).drop("batch"))
+
     return (
-        each_batch(corrections, lambda batch: learn_aliases(batch, raw), f"{out}/aliases", f"{checkpoint}/aliases"),
-        each_batch(corrections, lambda batch: learn_patterns(batch, raw), f"{out}/patterns", f"{checkpoint}/patterns"),
+        each_batch(corrections, job(learn_aliases, f"{out}/aliases", ALIAS_SCHEMA), f"{out}/aliases", f"{checkpoint}/aliases"),
+        each_batch(corrections, job(learn_patterns, f"{out}/patterns", PATTERN_SCHEMA), f"{out}/patterns", f"{checkpoint}/patterns"),
     )
