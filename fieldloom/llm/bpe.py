@@ -1,8 +1,9 @@
 """BPE encoding and decoding by tree concatenation.
 
-White space never lies inside a token of this tokenizer family, so text between
-white space is encoded on its own and looked up in a bounded cache when seen
-before.  Long unsplit text is encoded by halves, recursively; at each join a
+Where white space never lies inside a token of the tokenizer, text between white
+space is encoded on its own and looked up in a bounded cache when seen before; the
+tokenizer is probed for that (``independent_words``), and others encode whole texts
+by the tree.  Long unsplit text is encoded by halves, recursively; at each join a
 window around the cut is encoded again and grows until its tokens agree with the
 left half on one side and with the right half on the other.  Documents longer
 than ``PIECE`` characters become several rows first, so their pieces are encoded
@@ -136,6 +137,27 @@ def join_pieces(tokenizer: Tokenizer, texts: list[str], parts: list[Encoded]) ->
     return parts[0]
 
 
+#: What a tokenizer is probed with.
+PROBES = ("the", "Hello", "xqzzk", "UPPER", "Antidisestablishmentarianism", "zzzz", "a", "don't", "1234", "naïve", "\U0001f600", "<|endoftext|>", "abc.", "what?!", "end;", "x#", "ok,")
+
+
+def independent_words(tokenizer: Tokenizer) -> bool:
+    """Whether words between white space are encoded and decoded on their own, and letters apart from plain punctuation."""
+    encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    decode = lambda ids: tokenizer.decode(ids, skip_special_tokens=False)
+    for space in (" ", "\n", "\t ", "\r\n  "):
+        ids = [encode(p) for p in PROBES]
+        whole = [i for part in ids for i in part]
+        if encode(space.join(PROBES) + space) != whole or decode(whole) != " ".join(map(decode, ids)):
+            return False
+    for word in filter(lambda p: p.isascii() and p.isalpha(), PROBES):
+        stem = [t.id for t in tokenizer.model.tokenize(word.lower())]
+        for tail in (".", "!?", ",;"):
+            if encode(word) != stem or encode(word + tail) != stem + encode(tail) or decode(stem) != " ".join(t.value for t in tokenizer.model.tokenize(word.lower())):
+                return False
+    return True
+
+
 class CachedEncoder:
     """Whole texts to (ids as little-endian 32-bit integers, decoded text).
 
@@ -146,6 +168,7 @@ class CachedEncoder:
 
     def __init__(self, tokenizer: Tokenizer):
         self.tokenizer = tokenizer
+        self.words = independent_words(tokenizer)
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
         self.parts: dict[str, tuple[bytes, str]] = {}
@@ -186,6 +209,9 @@ class CachedEncoder:
             self.ids[c], self.text[c] = np.array(i, "<u4").tobytes(), d
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        if not self.words:
+            ids = [encode_tree(self.tokenizer, t).ids.tolist() for t in texts]
+            return [(np.array(i, "<u4").tobytes(), d) for i, d in zip(ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True)]
         split = [CHUNK.findall(t) if any(map(t.__contains__, OTHER_SPACE)) else t.split() for t in texts]
         chunks = set(chain.from_iterable(split))
         missing = chunks.difference(self.ids)

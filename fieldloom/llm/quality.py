@@ -90,21 +90,22 @@ class QualityModel:
         raw = self.features(stats) @ self.weights
         if not len(self.steps):
             return np.clip(raw, 0, 1)
-        calibrated = np.interp(raw, self.steps[:, 0], self.steps[:, 1])
-        # A little of the raw score keeps the order inside the flat parts of the calibration.
-        return np.clip(0.98 * calibrated + 0.02 / (1 + np.exp(-8 * (raw - 0.5))), 0, 1)
+        return np.interp(raw, self.steps[:, 0], self.steps[:, 1])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """(x, fitted) of the non-decreasing least-squares fit, by pooling adjacent violators; x ascending."""
-    blocks: list[list[float]] = []  # mean, weight, first x, last x
+    """(centre, fitted) of each block of the non-decreasing least-squares fit, by pooling adjacent violators; x ascending.
+
+    Scores between two centres are read off the line between them, which keeps the order inside a block.
+    """
+    blocks: list[list[float]] = []  # mean, weight, weighted sum of x
     for xi, yi, wi in zip(x, y, w, strict=True):
-        blocks.append([yi, wi, xi, xi])
+        blocks.append([yi, wi, xi * wi])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b = blocks.pop()
             a = blocks[-1]
-            blocks[-1] = [(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2], b[3]]
-    return np.array([p for b in blocks for p in ((b[2], b[0]), (b[3], b[0]))], dtype=float).reshape(-1, 2)
+            blocks[-1] = [(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]]
+    return np.array([(b[2] / b[1], b[0]) for b in blocks], dtype=float).reshape(-1, 2)
 
 
 def _summed(rows: DataFrame, width: int, equations) -> np.ndarray:

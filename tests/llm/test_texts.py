@@ -63,7 +63,7 @@ def test_quality_separates_and_handles_odd_rows(spark):
 def test_isotonic_is_the_least_squares_fit():
     x, y = np.arange(6.0), np.array([1, 0, 2, 5, 3, 4.0])
     fit = quality.isotonic(x, y, np.ones(6))
-    assert np.allclose(np.interp(x, fit[:, 0], fit[:, 1]), [0.5, 0.5, 2, 4, 4, 4])
+    assert np.allclose(fit, [(0.5, 0.5), (2, 2), (4, 4)])
 
 
 ALPHABET = "aAbß é'’s!.,#<|>endoftextİſ̣́ \x1c12٣中文\U0001f600\n\t"
@@ -83,6 +83,21 @@ def test_bpe_equals_the_library(spark):
             assert np.frombuffer(r.ids, "<u4").tolist() == want and r.decoded == tokenizer.decode(want, skip_special_tokens=False)
 
 
+def test_other_tokenizers_are_encoded_whole(spark):
+    """A byte-level tokenizer keeps white space: no cache of words is used, and the tree gives the library's ids."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = bpe.load(open(path, encoding="utf-8").read())
+    assert not bpe.independent_words(tokenizer) and bpe.independent_words(bpe.load(open(word_bpe_path(), encoding="utf-8").read()))
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(ALPHABET) for _ in range(n)) for n in (0, 5, 60, 700, 1500)] + ["a  b " * 400]
+    got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 300).collect()
+    for r in got:
+        want = tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, "<u4").tolist() == want and r.decoded == tokenizer.decode(want, skip_special_tokens=False)
+
+
 def test_tree_joins_equal_whole_encodings():
     tokenizer = bpe.load(open(word_bpe_path(), encoding="utf-8").read())
     rnd = random.Random(4)
