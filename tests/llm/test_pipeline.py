@@ -1,3 +1,6 @@
+import hashlib
+
+import numpy as np
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -24,3 +27,64 @@ def test_every_stage_takes_odd_rows(spark):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, SF).count() <= len(rows)
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_every_stage_equals_plain_python(spark, tmp_path):
+    """The whole run on a small table, stage by stage, against scores, sets, passages, patterns and the library."""
+    from test_minhash import brute
+    from test_spans import personal
+    from test_texts import brute_leaks
+
+    from fieldloom.llm import bpe, pii, quality
+    from fieldloom.llm.queries import word_bpe_path
+
+    stages = dict(pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 5"))  # rows that repeat an id
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    read = lambda df: [r.asDict() for r in df.collect()]
+    key = lambda rows: sorted((r["doc_id"], r["text"] or "") for r in rows)
+
+    def staged(name, docs):
+        stages[name](spark, docs, SF).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    rows = read(docs)
+    model = quality.learn(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = model.score(np.array([quality.statistics(r["text"]) for r in rows], float)) >= pipeline.QUALITY
+    docs = staged("quality classifier", docs)
+    rows = [r for r, ok in zip(rows, good) if ok]
+    assert key(read(docs)) == key(rows)
+
+    root = brute([(r["doc_id"], r["text"]) for r in rows], 100, pipeline.SIMILARITY)
+    docs = staged("MinHash near-dedup", docs)
+    rows = list({r["doc_id"]: r for r in rows if root[r["doc_id"]] == r["doc_id"]}.values())
+    assert key(read(docs)) == key(rows)
+
+    leaked = {d for d, _ in brute_leaks([(r["doc_id"], r["text"]) for r in rows], bench)}
+    docs = staged("benchmark decontamination", docs)
+    rows = [r for r in rows if r["doc_id"] not in leaked]
+    assert leaked and key(read(docs)) == key(rows)
+
+    models = pii.learn(docs)
+    more = {r.doc_id: [(s["start"], s["end"], s["kind"]) for s in r.spans] for r in pii.scan(docs, models).collect()}
+    docs = staged("PII", docs)
+
+    def redacted(r):
+        out, at, last = "", 0, 0
+        base = [(a, b, k) for a, _, b, k in personal(r["text"] or "")]
+        assert set(base) <= set(more[r["doc_id"]])
+        for a, b, k in sorted(more[r["doc_id"]], key=lambda s: (s[0], pii.KINDS.index(s[2]))):
+            if a >= at:
+                out += (r["text"] or "")[at:a] + f"[{k.upper()}]"
+            at = max(at, b)
+        return out + (r["text"] or "")[at:]
+
+    want = [{**r, "text": redacted(r)} for r in rows]
+    assert key(read(docs)) == key(want) and want != rows
+
+    tokenizer = bpe.load(open(word_bpe_path(), encoding="utf-8").read())
+    for r in read(staged("BPE encoding and decoding", docs)):
+        ids = tokenizer.encode(next(w["text"] for w in want if w["doc_id"] == r["doc_id"]), add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
