@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, decontaminate, minhash_forest, pii, quality
-from fieldloom.llm.common import checkpoint_folder, table
+from fieldloom.llm.common import checkpoint_folder, reliable, table
 from fieldloom.llm.queries import word_bpe_path
 from fieldloom.llm.spans import redacted
 
@@ -27,9 +27,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    gone = minhash_forest.near_duplicates(docs, inter=100, union=SIMILARITY).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays, as one row where rows repeat its id."""
+    found = reliable(minhash_forest.near_duplicates(docs, inter=100, union=SIMILARITY))
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = reliable(found.where(F.col("kept") & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return left
+    row = F.struct(*docs.columns)
+    one = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(row))).alias("_row")).select("_row.*")
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +71,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens_stage),
 ]
 
-#: Learned models, MinHash and tokens are beyond SQL; the tests hold the stages against plain Python.
+#: Learned models, MinHash and tokens are beyond SQL; tests/llm/test_pipeline.py holds every stage against plain Python.
 ORACLE_SQL = None
 
 
