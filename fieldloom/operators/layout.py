@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, center_x, distance, lies
+from ..functions.spans import once
 from ..functions.values import stripped
+from .candidates import inline_flags
+from .templates import java_pattern
 
 _PROV = "prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double>>>"
 SCHEMA = (
@@ -63,45 +66,73 @@ def blocks(layout: DataFrame) -> DataFrame:
 class SpatialLabel:
     """A field's label on the page and where its value stands.
 
-    ``labels``: patterns tried in order, the first that yields a value ends the
-    search.  ``direction``: right, left, below, above, or self (inside the label).
+    ``labels``: alternatives tried in order, the first that yields a value ends the search.  ``match``: whether they are
+    patterns (``regex``), texts that occur regardless of case (``literal``), or whole texts (``exact``); ``flags`` as in
+    ``inline_flags``.  ``direction``: right, left, below, above, or self (inside the label).
     """
 
     field_id: str
     labels: tuple[str, ...]
     direction: str = "right"
-    radius: float = 200.0
+    radius: float = 80.0
     match_index: int = 0
     value_pattern: str | None = None
     skip_labels: tuple[str, ...] = ()
     choose: str = "nearest"
+    match: str = "regex"
+    flags: tuple[str, ...] = ()
+    value_flags: tuple[str, ...] = ()
 
 
-def spatial_values(found: DataFrame, spec: SpatialLabel) -> DataFrame:
-    """(doc_id, field_id, value, page, bbox, label_bbox, label_distance) of one field.
+def _is_label(text: Column, label: str, spec: SpatialLabel) -> Column:
+    flags = inline_flags(spec.flags)
+    if spec.match == "regex":
+        return text.rlike(flags + java_pattern(label)[0])
+    if spec.match == "literal":
+        return F.contains(F.upper(text), F.lit(label.upper()))
+    return (F.lower(text) == label.lower()) if "IGNORECASE" in spec.flags else (text == label)
 
-    Labels are few, so they are found first; pairs only arise within a page.
+
+def _value_of(text: Column, spec: SpatialLabel) -> Column:
+    if not spec.value_pattern:
+        return F.nullif(stripped(text), F.lit(""))
+    java, group = java_pattern(spec.value_pattern)
+    return F.nullif(stripped(F.regexp_extract(text, inline_flags(spec.value_flags) + java, group)), F.lit(""))
+
+
+def _found(page_blocks: Column, spec: SpatialLabel) -> Column:
+    """struct(field_id, value, page, bbox, label_bbox, label_distance) of a field among a document's blocks in reading order, or null."""
+
+    def made(value: Column, b: Column, label: Column, away: Column) -> Column:
+        out = F.struct(F.lit(spec.field_id).alias("field_id"), value.alias("value"), b["page"].alias("page"), b["bbox"].alias("bbox"), label["bbox"].alias("label_bbox"), away.alias("label_distance"))
+        return F.when(value.isNotNull(), out)
+
+    def beside(label: Column) -> Column:
+        if spec.direction == "self":
+            return made(_value_of(label["text"], spec), label, label, F.lit(0.0))
+        away = lambda b: distance(label["bbox"], b["bbox"])
+        fits = lambda b: (b["page"] == label["page"]) & (b["block_id"] != label["block_id"]) & lies(spec.direction, label["bbox"], b["bbox"]) & (away(b) <= spec.radius)
+        wanted = lambda b: fits(b) & ~F.coalesce(b["label"].isin(*spec.skip_labels), F.lit(False)) if spec.skip_labels else fits(b)
+        key = {"nearest": away, "leftmost": lambda b: center_x(b["bbox"]), "rightmost": lambda b: -center_x(b["bbox"])}[spec.choose]
+        ordered = F.transform(F.filter(page_blocks, wanted), lambda b: F.struct(key(b).alias("key"), b["reading_order"].alias("order"), b.alias("block"), _value_of(b["text"], spec).alias("value")))
+        return once(F.array_min(F.filter(ordered, lambda c: c["value"].isNotNull())), lambda c: made(c["value"], c["block"], label, away(c["block"])))
+
+    def tried(label: str) -> Column:
+        matching = F.filter(page_blocks, lambda b: _is_label(b["text"], label, spec))
+        return once(F.get(matching, F.lit(spec.match_index)), lambda found: F.when(found.isNotNull(), beside(found)))
+
+    tries = [tried(label) for label in spec.labels]
+    return F.coalesce(*tries)
+
+
+def spatial_values(found: DataFrame, *specs: SpatialLabel) -> DataFrame:
+    """(doc_id, field_id, value, page, bbox, label_bbox, label_distance) of all fields.
+
+    A document's blocks are gathered once, in reading order, and every field is read from that array.
     """
-    number = F.lit(None).cast("int")
-    for i, p in reversed(list(enumerate(spec.labels))):
-        number = F.when(F.col("text").rlike(f"(?i){p}"), i).otherwise(number)
-    nth = Window.partitionBy("doc_id", "label_idx").orderBy("page", "reading_order")
-    labels = found.withColumn("label_idx", number).where("label_idx is not null").withColumn("_n", F.row_number().over(nth)).where(F.col("_n") == spec.match_index + 1)
-    extract = lambda text: F.nullif(stripped(F.regexp_extract(text, spec.value_pattern, 1)), F.lit("")) if spec.value_pattern else F.nullif(stripped(text), F.lit(""))
-    if spec.direction == "self":
-        hits = labels.select("doc_id", "label_idx", extract(F.col("text")).alias("value"), "page", "bbox", F.col("bbox").alias("label_bbox"), F.lit(0.0).alias("label_distance"))
-    else:
-        left = labels.select("doc_id", "page", "label_idx", F.col("block_id").alias("label_id"), F.col("bbox").alias("label_bbox"))
-        pairs = left.join(found, ["doc_id", "page"]).where(F.col("block_id") != F.col("label_id")).withColumn("label_distance", distance(F.col("label_bbox"), F.col("bbox")))
-        near = pairs.where(lies(spec.direction, F.col("label_bbox"), F.col("bbox")) & (F.col("label_distance") <= spec.radius))
-        if spec.skip_labels:
-            near = near.where(~F.coalesce(F.col("label").isin(*spec.skip_labels), F.lit(False)))
-        hits = near.select("doc_id", "label_idx", extract(F.col("text")).alias("value"), "page", "bbox", "label_bbox", "label_distance", "reading_order")
-    hits = hits.where("value is not null")
-    order = {"nearest": [F.col("label_distance")], "leftmost": [center_x(F.col("bbox"))], "rightmost": [-center_x(F.col("bbox"))]}[spec.choose]
-    ties = ["reading_order"] if "reading_order" in hits.columns else ["value"]
-    chosen = hits.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("label_idx", *order, *ties))).where("_n = 1")
-    return chosen.select("doc_id", F.lit(spec.field_id).alias("field_id"), "value", "page", "bbox", "label_bbox", "label_distance")
+    gathered = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "reading_order", "block_id", "text", "bbox", "label"))).alias("blocks"))
+    hits = F.filter(F.array(*[_found(F.col("blocks"), s) for s in specs]), lambda h: h.isNotNull())
+    return gathered.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
 
 
 def provenance(values: DataFrame, found: DataFrame) -> DataFrame:

@@ -95,10 +95,17 @@ def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def spatial_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = form_blocks(spark, sf_dir)
-    right = layout.spatial_values(found, layout.SpatialLabel("report_number", ("^REPORT ID$", "^REPORT NO\\.$"), "right", 200.0, value_pattern=r"OR-(\d+)"))
-    below = layout.spatial_values(found, layout.SpatialLabel("below_report", ("^REPORT NO\\.$",), "below", 30.0))
-    own = layout.spatial_values(found, layout.SpatialLabel("own", ("^CUST(OMER)$",), "self", value_pattern="CUST(OMER)"))
-    return right.unionByName(below).unionByName(own).select("doc_id", "field_id", "value", "page", F.round("label_distance", 4).alias("label_distance"))
+    spec = layout.SpatialLabel
+    values = layout.spatial_values(
+        found,
+        spec("report_number", ("^REPORT ID$", "^REPORT NO\\.$"), "right", 200.0, value_pattern=r"OR-(\d+)"),
+        spec("below_report", ("^REPORT NO\\.$",), "below", 30.0),
+        spec("own", ("^CUST(OMER)$",), "self", value_pattern="CUST(OMER)"),
+        spec("literal", ("no such", "status",), "left", 200.0, match="literal"),
+        spec("exact", ("date", "DATE"), "right", 200.0, match="exact"),
+        spec("above", ("^status$",), "above", 100.0, flags=("IGNORECASE",), choose="leftmost", skip_labels=("title",)),
+    )
+    return values.select("doc_id", "field_id", "value", "page", F.round("label_distance", 4).alias("label_distance"))
 
 
 def value_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,6 +467,9 @@ ORACLE_SQL = {
         SELECT o_orderkey AS doc_id, 'report_number' AS field_id, lpad(o_orderkey::VARCHAR, 8, '0') AS value, 1 AS page, 150.0::DOUBLE AS label_distance FROM orders
         UNION ALL SELECT o_orderkey, 'below_report', 'DATE', 1, 14.0 FROM orders
         UNION ALL SELECT o_orderkey, 'own', 'OMER', 1, 0.0 FROM orders
+        -- Nothing stands left of a label; the date stands right of its own; above the status, of those equally far left, stands the first line.
+        UNION ALL SELECT o_orderkey, 'exact', strftime(o_orderdate, '%m/%d/%Y'), 1, 150.0 FROM orders
+        UNION ALL SELECT o_orderkey, 'above', 'REPORT NO.', 1, 42.0 FROM orders
     """,
     "value_boxes": "SELECT o_orderkey AS doc_id, lower(c_name) AS value, 1 AS page, 200.0::DOUBLE AS l, 668.0::DOUBLE AS t FROM orders JOIN customer ON o_custkey = c_custkey",
     "widget_values": "SELECT o_orderkey AS doc_id, 'weather' AS field_id, CASE WHEN o_orderkey % 4 = 0 THEN 'Fog' WHEN o_orderstatus = 'O' THEN 'Rain' WHEN o_orderstatus = 'F' THEN 'Clear' ELSE 'Weather other' END AS value FROM orders",
