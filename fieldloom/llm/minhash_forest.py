@@ -65,7 +65,7 @@ WINDOW, PARTNERS, SLACK = 24, 3, 0.11
 #: Standard errors below the threshold at which two components still go on to full sets.
 CERTAIN = 6
 #: Classes and shingles of a tile.
-TILE, TILE_SHINGLES = 1024, 1_000_000
+TILE, TILE_SHINGLES = 8192, 2_000_000
 LANES = TREES * DEPTH
 _DRAW = np.random.default_rng(20240301)
 _A = _DRAW.integers(1, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
