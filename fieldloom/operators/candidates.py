@@ -90,11 +90,16 @@ def _regex_hits(text: Column, s: Strategy, i: int, pattern: str, hits: Column) -
     return F.filter(out, lambda c: c["value"] != "")
 
 
+#: Fixed value: characters of a window that are kept as the raw match.
+NEARBY_RAW = 120
+
+
 @strategy("nearby_text")
 def nearby_text(text: Column, s: Strategy) -> Column:
     """A value in the window after each match of an anchor: by a pattern, or the first line that is not blank.
 
-    config: radius (characters), after_newline (the window begins on the next line), value_pattern.
+    config: radius (characters), after_newline (the window begins on the next line), value_pattern.  The candidate's
+    span runs from the anchor to the end of the window, and its raw match is the head of the window.
     """
     radius, value_pattern = s.config.get("radius", 200), s.config.get("value_pattern")
     found = []
@@ -116,7 +121,8 @@ def _nearby_hits(text: Column, s: Strategy, i: int, pattern: str, hits: Column,
             value = F.regexp_extract(window, java, group)
         else:
             value = F.regexp_extract(window, r"(?:^|\n)[ \t]*(\S[^\n]*)", 1)
-        return _candidate(text, s, stripped(value), h["hit"], h["start"], h["end"], pattern, F.lit(None), i, n)
+        reach = F.least(F.length(text), begin + radius)
+        return _candidate(text, s, stripped(value), F.left(window, F.lit(NEARBY_RAW)), h["start"], reach, pattern, F.lit(None), i, n)
 
     return F.filter(F.transform(hits, one), lambda c: c["value"] != "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of, plain_paragraph
+from ..functions.text import lines_of, plain_paragraph, strip_headings
 from ..functions.values import UNKNOWN, stripped
 
 
@@ -80,3 +80,84 @@ def split_year_make_model(v: Column, makes: list[str]) -> tuple[Column, Column,
     for m in sorted(makes, key=len):
         make = F.when(rest.startswith(m.upper()), m.upper()).otherwise(make)
     return year, make, F.nullif(F.trim(F.when(make.isNotNull(), F.substring(rest, F.length(make) + 1, F.length(rest))).otherwise(rest)), F.lit(""))
+
+
+# Anchors of the positional state form, what is no value beside them, and the makes that models follow.
+REPORT_DATE, EVENT_FOOTER, VEHICLE_FOOTER, CASE_LABEL = "(?i)^DATE OF REPORT$", r"(?i)HSMV 90010 S \(E\)", r"(?i)HSMV 90010 S \(V/P\)", "(?i)^REPORTING AGENCY CASE NUMBER$"
+NO_LOCATION, NO_PLATE, NO_OWNER = r"HSMV|Page|\\_", r"(?i)^(?:STATE|TRAILER|REGISTRATION|SOURCE|NAME|DATE)", r"(?i)^(?:HSMV|Page)"
+NO_WITNESS = (r"^[A-Z\s&;#]+$", r"^\d", r"(?i)HSMV|Page \\_|rev \d")
+OWNER = r"^([A-Z][A-Z\s]+?)\s+(\d+\s+.+)$"
+AGENCY_NAME = r"(?i)([A-Za-z ]+(?:Police Department|Sheriff'?s Office|Highway Patrol|Department of Public Safety))"
+MAKES = (
+    "ACURA", "ALFA", "AUDI", "BMW", "BUICK", "CADILLAC", "CHEVROLET", "CHEVY", "CHRYSLER", "DODGE", "FERRARI", "FORD", "GENESIS", "GMC", "HARLEY", "HONDA", "HYUNDAI",
+    "INFINITI", "JAGUAR", "JEEP", "KIA", "KAWASAKI", "LANDROVER", "LAND", "LEXUS", "LINCOLN", "LUCID", "MASERATI", "MAZDA", "MERCEDES", "MINI", "MITSUBISHI", "NISSAN",
+    "PONTIAC", "PORSCHE", "RAM", "RIVIAN", "SATURN", "SUBARU", "SUZUKI", "TESLA", "TOYOTA", "VOLKSWAGEN", "VOLVO", "VW", "YAMAHA",
+)
+# End of the fixed values.
+
+
+def state_form_record(docs: DataFrame) -> DataFrame:
+    """(doc_id, date_time, report_number, location, agency, witnesses, vehicles, parties) of forms whose values stand at fixed
+    distances from labels and page footers.
+
+    Distances count non-empty lines.  A document's lines are one array, so nothing is shuffled.
+    """
+    lines = F.filter(F.transform(F.split(strip_headings(F.col("text")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    known = lambda v: F.coalesce(v, F.lit(UNKNOWN))
+    places = lambda p: F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(p), i)), lambda i: i.isNotNull())
+    at = lambda i, by: F.when(i + by >= 0, F.get("lines", i + by))
+    after = lambda p, i: F.get(F.filter("lines", lambda x, n: (n >= i) & x.rlike(p)), F.lit(0))
+    rows = docs.select("doc_id", "text", lines.alias("lines")).withColumns({
+        "dated": F.get(places(REPORT_DATE), F.lit(0)), "event": F.get(places(EVENT_FOOTER), F.lit(0)), "footers": places(VEHICLE_FOOTER), "labels": places(CASE_LABEL),
+    })
+    raw = at(F.col("dated"), 1)
+    clock = r"^(\d{2}/\d{2}/\d{4})\s*(\d{2}:\d{2}).*"
+    date_time = F.when(raw.rlike(clock), F.regexp_replace(raw, clock, "$1 $2")).otherwise(raw)
+    case = at(F.col("dated"), 2)
+    place = F.when(F.col("event") > 0, at(F.col("event"), -1))
+
+    def witness(line: Column) -> Column:
+        fits = (F.length(line) > 25) & line.contains("  ")
+        for p in NO_WITNESS:
+            fits = fits & ~line.rlike(p)
+        parts = F.split(line, r"\s{3,}")
+        return F.when(fits, F.struct(F.initcap(F.trim(parts[0])).alias("name"), known(F.trim(F.get(parts, F.lit(1)))).alias("address")))
+
+    def vehicle(footer: Column) -> Column:
+        owner, color, glued, plate = at(footer, -1), at(footer, -2), at(footer, -3), at(footer, -4)
+        dated = glued.rlike(r"^\d{4}[A-Za-z]")
+        rest = F.substring(glued, F.lit(5), F.length(glued))
+        make = F.lit(None).cast("string")
+        for m in sorted(MAKES, key=len):
+            make = F.when(F.upper(rest).startswith(m), F.lit(m)).otherwise(make)
+        words = F.regexp_extract_all(F.initcap(rest), F.lit("[A-Z][a-z]*"), F.lit(0))
+        model = F.when(make.isNotNull(), F.nullif(F.initcap(F.substring(rest, F.length(make) + 1, F.length(rest))), F.lit(""))).otherwise(F.nullif(F.array_join(F.slice(words, 2, F.size(words)), " "), F.lit("")))
+        fine = plate.isNotNull() & (F.length(plate) <= 15) & ~plate.rlike(NO_PLATE)
+        year = F.when(glued.rlike(r"^\d{4}"), F.when(dated, F.left(glued, F.lit(4))).otherwise(""))
+        made = F.when(year.isNotNull(), F.when(dated, known(F.coalesce(F.initcap(make), F.get(words, F.lit(0))))).otherwise(""))
+        named = F.when(~owner.rlike(NO_OWNER), F.when(owner.rlike(OWNER), F.initcap(F.regexp_extract(owner, OWNER, 1))).otherwise(F.initcap(owner)))
+        return F.when(
+            fine | year.isNotNull(),
+            F.struct(
+                F.when(fine, plate).otherwise(UNKNOWN).alias("plate"), known(year).alias("year"), known(made).alias("make"), known(F.when(year.isNotNull(), F.when(dated, model).otherwise(glued))).alias("model"),
+                F.when(color.rlike("^[A-Za-z]{2,15}$"), F.initcap(color)).otherwise(UNKNOWN).alias("color"), known(named).alias("owner_name"),
+                known(F.when(~owner.rlike(NO_OWNER) & owner.rlike(OWNER), F.regexp_extract(owner, OWNER, 2))).alias("owner_address"),
+            ),
+        )
+
+    def party(label: Column) -> Column:
+        name = at(label, 2)
+        return F.when(
+            (label >= F.get("footers", F.lit(0))) & name.rlike(r"^[A-Z][A-Z\s]{2,}$"),
+            F.struct(F.lit("Driver").alias("role"), F.initcap(name).alias("name"), known(after(r"^\d{2}/\d{2}/\d{4}$", label)).alias("dob"), known(after(r"^[A-Z]\d{5,}$", label)).alias("license_number")),
+        )
+
+    there = lambda a: F.filter(a, lambda x: x.isNotNull())
+    vin = known(F.get(F.filter("lines", lambda x: x.rlike("^[A-HJ-NPR-Z0-9]{17}$")), F.lit(0)))
+    cars = F.transform(there(F.transform("footers", vehicle)), lambda v, i: v.withField("vin", F.when(i == 0, vin).otherwise(UNKNOWN)))
+    witnesses = F.when(F.col("event") > 0, there(F.transform(F.array(*map(F.lit, (-4, -3, -2))), lambda by: witness(at(F.col("event"), by)))))
+    return rows.select(
+        "doc_id", known(date_time).alias("date_time"), F.when(case.rlike(r"^[\w\-]{4,}$"), case).otherwise(UNKNOWN).alias("report_number"),
+        F.when(place.isNotNull() & ~place.rlike(NO_LOCATION), place).otherwise(UNKNOWN).alias("location"), known(F.nullif(F.trim(F.regexp_extract("text", AGENCY_NAME, 1)), F.lit(""))).alias("agency"),
+        F.coalesce(witnesses, F.array().cast("array<struct<name:string,address:string>>")).alias("witnesses"), cars.alias("vehicles"), there(F.transform("labels", party)).alias("parties"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..functions import values
-from ..operators import classify, enrich, evaluate, feedback, layout, report, templates
+from ..operators import classify, enrich, evaluate, feedback, generic, layout, report, templates
 from ..operators.candidates import Strategy, generate
 from ..operators.score import score
 from ..operators.select import audit, best
@@ -170,7 +170,7 @@ def flagged_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearby_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where anchors lie, what was matched, and the value beside them."""
-    s = Strategy("date", "nearby_text", (r"CUSTOMER:",), config={"radius": 80, "value_pattern": r"STATUS: (\[.\])"})
+    s = Strategy("date", "nearby_text", (r"CUSTOMER:",), config={"radius": 60, "value_pattern": r"STATUS: (\[.\])"})
     return generate(order_forms(spark, sf_dir), [s]).select("doc_id", "value", "raw_match", "start", "end")
 
 
@@ -183,6 +183,27 @@ def preset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.round("confidence", 6).alias("confidence"))
 
 
+def state_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A positional state form per supplier: values stand beside labels and page footers."""
+    k = F.col("s_suppkey").cast("string")
+    n = F.col("s_suppkey")
+    second = F.when(n % 2 == 0, F.lit("STATE OF REGISTRATION\n2019Zap Runner\n12\nACME LEASING")).otherwise(F.lit("Q1\nnone\nX\nACME LEASING"))
+    return table(spark, sf_dir, "supplier").select(n.alias("doc_id"), F.concat(
+        F.lit("## DATE OF REPORT\n\n"), F.when(n % 4 == 3, "soon\n?\n").otherwise(F.concat(F.lit("05/13/202410:30\nCASE-"), k, F.lit("\n"))), F.lit("short\n\nWanda WITNESS   12 Oak Ave   no statement yet\nREPORTING AGENCY\n"),
+        F.when(n % 5 == 0, "Page 2").otherwise(F.concat(k, F.lit(" MAIN ST"))), F.lit("\nHSMV 90010 S (E)\nREPORTING AGENCY CASE NUMBER\nx\nTOO EARLY\nP-"), k, F.lit("\n2020TOYOTACAMRY\nsilver\nJOHN DOE 456 ELM ST\nHSMV 90010 S (V/P)\n"),
+        F.lit("Miami Police Department\n"), second, F.lit("\nhsmv 90010 s (v/p)\nTRAILER\na\nb\nPage 4\nHSMV 90010 S (V/P)\nREPORTING AGENCY CASE NUMBER\nHSMV CRASH REPORT NUMBER\nJANE ROE\nD12345\n01/02/1990\n1HGCM82633A004352\n2HGCM82633A004352"),
+    ).alias("text"))
+
+
+def state_form_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = generic.state_form_record(state_forms(spark, sf_dir))
+    listed = lambda c, *names: F.array_join(F.transform(c, lambda x: F.concat_ws("|", *[x[n] for n in names])), "; ").alias(c)
+    return found.select(
+        "doc_id", "date_time", "report_number", "location", "agency", listed("witnesses", "name", "address"),
+        listed("vehicles", "plate", "year", "make", "model", "color", "owner_name", "owner_address", "vin"), listed("parties", "name", "dob", "license_number"),
+    )
+
+
 # ---- fills and lookups
 
 
@@ -405,7 +426,19 @@ ORACLE_SQL = {
         SELECT o_orderkey AS doc_id, c_name AS value, 0 AS pattern_idx FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT o_orderkey, 'SECTION 2', 2 FROM orders
     """,
     "nearby_spans": """
-        SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'O' THEN '[X]' ELSE '[ ]' END AS value, 'CUSTOMER:' AS raw_match, 20 + 24 + 17 AS start, 20 + 24 + 17 + 9 AS "end" FROM orders
+        SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'O' THEN '[X]' ELSE '[ ]' END AS value,
+               left(' ' || c_name || chr(10) || 'STATUS: ' || CASE o_orderstatus WHEN 'O' THEN '[X] Open  [ ] Filled  [ ] Pending' WHEN 'F' THEN '[ ] Open  [X] Filled  [ ] Pending' ELSE '[ ] Open  [ ] Filled  [X] Pending' END, 60) AS raw_match,
+               20 + 24 + 17 AS start, 20 + 24 + 17 + 9 + 60 AS "end"
+        FROM orders JOIN customer ON o_custkey = c_custkey
+    """,
+    "state_form_records": """
+        WITH s AS (SELECT s_suppkey AS k FROM supplier)
+        SELECT k AS doc_id, CASE WHEN k % 4 = 3 THEN 'soon' ELSE '05/13/2024 10:30' END AS date_time, CASE WHEN k % 4 = 3 THEN 'Unknown' ELSE 'CASE-' || k END AS report_number,
+               CASE WHEN k % 5 = 0 THEN 'Unknown' ELSE k || ' MAIN ST' END AS location, 'Miami Police Department' AS agency,
+               'Wanda Witness|12 Oak Ave' AS witnesses,
+               'P-' || k || '|2020|Toyota|Camry|Silver|John Doe|456 ELM ST|1HGCM82633A004352; ' || CASE WHEN k % 2 = 0 THEN 'Unknown|2019|Zap|Runner|Unknown|Acme Leasing|Unknown|Unknown' ELSE 'Q1|Unknown|Unknown|Unknown|Unknown|Acme Leasing|Unknown|Unknown' END AS vehicles,
+               'Jane Roe|01/02/1990|D12345' AS parties
+        FROM s
     """,
     "preset_scores": "SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 0.5948 WHEN 1 THEN 0.585 ELSE 0.575 END::DOUBLE AS confidence FROM orders",
     "contextual_values": """
@@ -486,7 +519,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scanned_texts, layout_blocks, template_patterns, truth_fields, stored_results, appended_corrections, custom_names, custom_field_values, assembled_texts, form_lookups, accuracy_by_tier, forced_forms,
-        checked_boxes, flagged_patterns, nearby_spans, preset_scores, contextual_values, adjuster_values, learned_pattern_values, second_source, bands, carrier_hits, group_carriers, decoded_codes,
+        checked_boxes, flagged_patterns, nearby_spans, state_form_records, preset_scores, contextual_values, adjuster_values, learned_pattern_values, second_source, bands, carrier_hits, group_carriers, decoded_codes,
         state_tables, crash_elements, crash_codes, flattened_lists, learned_on_arrival, evaluation_results, calibrated_means, low_fill_documents, vehicle_scores,
     )
 }
