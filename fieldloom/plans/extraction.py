@@ -245,7 +245,8 @@ _SCORED = (
             CASE WHEN label IS NULL THEN 0.5 WHEN back = 0 THEN 0.1
                  WHEN greatest(start - (greatest(start - 80, 0) + length(around) - back - length(label) + 1), 0) <= 30 THEN 1.0 ELSE 0.7 END::DOUBLE AS label_proximity,
             CASE WHEN rejected THEN 0.0 ELSE 1.0 END::DOUBLE AS validator_pass, 1.0::DOUBLE AS regex_used,
-            CASE WHEN n_patterns > 1 THEN 0.7 ELSE CASE field_id WHEN 'email' THEN 0.568 WHEN 'ip' THEN 0.5872 WHEN 'card' THEN 0.5512 WHEN 'token' THEN 0.544 ELSE 0.556 END END::DOUBLE AS specificity,
+            -- Both token patterns sum to 0.6, but as doubles the first is the larger by its last bit, and equality is exact.
+            CASE WHEN n_patterns > 1 THEN CASE pattern_idx WHEN 0 THEN 1.0 ELSE 0.4 END ELSE CASE field_id WHEN 'email' THEN 0.568 WHEN 'ip' THEN 0.5872 WHEN 'card' THEN 0.5512 WHEN 'token' THEN 0.544 ELSE 0.556 END END::DOUBLE AS specificity,
             CASE field_id WHEN 'email' THEN CASE WHEN start::DOUBLE / length(text) <= 0.25 THEN 1.0 WHEN start::DOUBLE / length(text) <= 0.5 THEN 0.7 ELSE 0.4 END
                           WHEN 'licence' THEN CASE WHEN start::DOUBLE / length(text) >= 0.75 THEN 1.0 WHEN start::DOUBLE / length(text) >= 0.5 THEN 0.7 ELSE 0.4 END
                           ELSE 0.5 END::DOUBLE AS position,
