@@ -60,12 +60,16 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def lies(direction: Column | str, label: Column, value: Column) -> Column:
-    """Whether ``value`` lies right of, left of, below or above ``label``."""
-    d = F.lit(direction) if isinstance(direction, str) else direction
-    return (
-        F.when(d == "right", same_row(label, value) & (center_x(value) > center_x(label)))
-        .when(d == "left", same_row(label, value) & (center_x(value) < center_x(label)))
-        .when(d == "below", same_column(label, value) & (center_y(value) < center_y(label)))
-        .when(d == "above", same_column(label, value) & (center_y(value) > center_y(label)))
-        .otherwise(F.lit(False))
-    )
+    """Whether ``value`` lies right of, left of, below or above ``label``; a direction given as text costs one test."""
+    tests = {
+        "right": lambda: (center_x(value) > center_x(label)) & same_row(label, value),
+        "left": lambda: (center_x(value) < center_x(label)) & same_row(label, value),
+        "below": lambda: (center_y(value) < center_y(label)) & same_column(label, value),
+        "above": lambda: (center_y(value) > center_y(label)) & same_column(label, value),
+    }
+    if isinstance(direction, str):
+        return tests[direction]() if direction in tests else F.lit(False)
+    out = None
+    for name, test in tests.items():
+        out = (F if out is None else out).when(direction == name, test())
+    return out.otherwise(F.lit(False))
