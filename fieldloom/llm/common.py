@@ -27,14 +27,22 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: A key that holds more than this share of the rows (one in so many) is hot; there can be no more hot keys than that.
-SHARE = 2000
+#: A key is hot if it holds more than one in ``SHARE`` rows, of which there can be no more than ``SHARE``, and more than a task takes lightly.
+SHARE, HOT_ROWS = 2000, 100_000
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n") -> list:
-    """The at most ``SHARE`` keys of ``counts`` (key, n) that hold more than a ``SHARE``-th of all."""
+    """The at most ``SHARE`` hot keys of ``counts`` (key, n)."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.where(F.col(n) > max(1, total // SHARE)).select(key).collect()]
+    return [r[0] for r in counts.where(F.col(n) > max(HOT_ROWS, total // SHARE)).select(key).collect()] if total > HOT_ROWS else []
+
+
+def with_hot_keys(counts: DataFrame, key: str, n: str = "n", possible: bool = True) -> tuple[DataFrame, list]:
+    """``counts`` and its hot keys; where none are ``possible``, as there are too few rows, nothing is computed for them."""
+    if not possible:
+        return counts, []
+    counts = reliable(counts)
+    return counts, hot_keys(counts, key, n)
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:

@@ -56,7 +56,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, reliable, spread_join
+from . import common
+from .common import hot_keys, reliable, spread_join, with_hot_keys
 
 SHINGLE, TREES, DEPTH = 5, 16, 8
 #: Prefix lengths whose regions get a leader.
@@ -158,15 +159,14 @@ def prefix(tree: int | str, depth: int):
     return F.xxhash64(F.lit(depth), F.lit(tree) if isinstance(tree, int) else F.col(tree), F.expr(f"substring(signature, {tree} * {DEPTH * 4} + 1, {depth * 4})"))
 
 
-def regions(classes: DataFrame) -> tuple[DataFrame, list]:
+def regions(classes: DataFrame, many: bool) -> tuple[DataFrame, list]:
     """(cls, tree, depth, region, size): the regions of two or more classes, at a shallow and a deeper prefix; the hot ones."""
     rows = (
         classes.select("cls", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
         .select("cls", "tree", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix("tree", d).alias("region")) for d in DEPTHS])).alias("r"))
         .select("cls", "tree", "r.depth", "r.region")
     )
-    sizes = reliable(rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-    hot = hot_keys(sizes, "region", "size")
+    sizes, hot = with_hot_keys(rows.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "region", "size", many)
     return reliable(spread_join(rows, sizes, "region", hot)), hot
 
 
@@ -308,7 +308,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, inter: int
     )
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, many: bool = True) -> DataFrame:
     """(cls, root): the smallest class reachable, for every class that has a link.
 
     Alternating stars: every node hands its larger neighbours to the smallest one
@@ -320,8 +320,9 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = reliable(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-        large = spread_join(both.where("v > u"), least.drop("n"), "u", hot_keys(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        least, hot = with_hot_keys(least, "u", possible=many)
+        large = spread_join(both.where("v > u"), least.drop("n"), "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Every node of a large star has smaller neighbours only, and few of them: the smallest of each star it was in.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("x"), F.col("u"), "m")
@@ -402,23 +403,24 @@ def joined(root: np.ndarray, sets: list[np.ndarray], inter: int, union: int) ->
     return out
 
 
-def meetings(deep: DataFrame) -> DataFrame:
+def meetings(deep: DataFrame, many: bool = True) -> DataFrame:
     """Rows (region, root, n_shingles, ...) of the regions with several components, with the tile pairs they take part in.
 
     ``meeting`` names the pair of tiles, ``side`` is 0 for the tile whose classes meet all others and 1 for a second one.
     Tiles are dealt by hash, as many as classes and shingles ask for, and the largest component of a region has its own.
     """
-    per = reliable(deep.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")))
+    per = deep.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     tiles = lambda n, s: F.ceil(F.greatest(n / TILE, s / TILE_SHINGLES)).cast("int")
     most = F.max(F.struct("n", "root", "shingles"))
-    stats = reliable(
+    stats = (
         per.groupBy("region")
         .agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"), most.alias("most"))
         .where("roots > 1")
         .select("region", "n", "most.root", tiles(F.col("most.n"), F.col("most.shingles")).alias("own"), tiles(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("others"))
         .withColumnRenamed("root", "largest")
     )
-    rows = spread_join(deep, stats.drop("n"), "region", hot_keys(stats, "region"))
+    stats, hot = with_hot_keys(stats, "region", possible=many)
+    rows = spread_join(deep, stats.drop("n"), "region", hot)
     is_largest = F.col("root") == F.col("largest")
     tile = F.pmod(F.xxhash64("cls"), F.when(is_largest, F.col("own")).otherwise(F.col("others"))).cast("int")
     one = lambda a, b, side: F.struct(F.xxhash64("region", a, b).alias("meeting"), side.cast("int").alias("side"))
@@ -431,10 +433,10 @@ def meetings(deep: DataFrame) -> DataFrame:
     return rows.withColumn("m", F.explode(F.when(single, F.array(one(F.lit(0), F.lit(0), F.lit(0)))).otherwise(mine))).select("m.meeting", "m.side", *[c for c in deep.columns if c != "region"])
 
 
-def bridges(classes: DataFrame, placed: DataFrame, roots: DataFrame, texts: DataFrame, inter: int, union: int) -> DataFrame:
+def bridges(classes: DataFrame, placed: DataFrame, roots: DataFrame, texts: DataFrame, inter: int, union: int, many: bool) -> DataFrame:
     """(a, b): components of ``roots`` (cls, root) between which there is a link."""
     deep = placed.where(F.col("depth") == DEPTHS[-1]).select("cls", "tree", "region").join(roots, "cls").join(classes.select("cls", "n_shingles"), "cls")
-    met = reliable(meetings(deep))
+    met = meetings(deep, many)
     described = classes.select("cls", "sketch", F.array(*[prefix(t, DEPTHS[-1]) for t in range(TREES)]).alias("deep"))
 
     def likely(batches):
@@ -474,22 +476,23 @@ def near_duplicates(docs: DataFrame, inter: int = 100, union: int = 85) -> DataF
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"))
         .select(F.monotonically_increasing_id().alias("cls"), "set_key", "first.doc_id", "first.text_hash", "n_shingles", "signature", "sketch", "n")
     )
-    of_text = hot_keys(classes, "set_key")
+    many = sets.count() > common.HOT_ROWS
+    of_text = hot_keys(classes, "set_key") if many else []
     texts = docs.withColumn("text_hash", F.xxhash64("text")).join(classes.select("cls", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("cls", "text")
     # Rows that repeat an id with other texts link their classes.
     heads = spread_join(usable.select("doc_id", "set_key"), classes.select("set_key", "cls"), "set_key", of_text).select("doc_id", "cls").distinct()
     repeated = heads.groupBy("doc_id").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     same_id = heads.join(repeated, "doc_id").select(F.col("cls").alias("a"), "b")
-    placed, hot = regions(classes)
+    placed, hot = regions(classes, many)
     pairs = neighbours(classes, placed, threshold).unionByName(leaders(placed, hot))
     links = confirmed(pairs, classes, texts, inter, union, threshold).unionByName(same_id)
-    roots = reliable(classes.select("cls").join(components(links), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
-    wider = components(bridges(classes, placed, roots, texts, inter, union)).select(F.col("cls").alias("root"), F.col("root").alias("wider"))
+    roots = reliable(classes.select("cls").join(components(links, many), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
+    wider = components(bridges(classes, placed, roots, texts, inter, union, many), many).select(F.col("cls").alias("root"), F.col("root").alias("wider"))
     rooted = classes.select("cls", "set_key", "doc_id").join(roots, "cls")
-    of_root = reliable(rooted.groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")).join(wider, "root", "left").withColumn("wider", F.coalesce("wider", "root")))
+    of_root = (rooted.groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")).join(wider, "root", "left").withColumn("wider", F.coalesce("wider", "root")))
     smallest = of_root.groupBy("wider").agg(F.min("smallest").alias("smallest"))
-    of_root = of_root.select("root", "wider", "n").join(smallest, "wider")
-    of_class = spread_join(rooted, of_root.select("root", "smallest"), "root", hot_keys(of_root, "root")).select("set_key", "smallest")
+    of_root, hot_roots = with_hot_keys(of_root.select("root", "wider", "n").join(smallest, "wider"), "root", possible=many)
+    of_class = spread_join(rooted, of_root.select("root", "smallest"), "root", hot_roots).select("set_key", "smallest")
     component = F.coalesce("smallest", "doc_id")
     return spread_join(sets.select("doc_id", "n_shingles", "set_key"), of_class, "set_key", of_text, "left").select(
         "doc_id",

@@ -1,7 +1,7 @@
 import math
 import random
 
-from fieldloom.llm import minhash_forest
+from fieldloom.llm import common, minhash_forest
 
 
 def shingles(text):
@@ -104,6 +104,7 @@ def test_a_single_link_between_two_families(spark):
 def test_regions_of_many_tiles_lose_no_link(spark, monkeypatch):
     """Families of near copies around one text, in tiles of a few classes; hot regions and roots are joined apart."""
     monkeypatch.setattr(minhash_forest, "TILE", 7)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
     rnd = random.Random(12)
     base = [f"w{rnd.random()}" for _ in range(150)]
     rows = [(i, edited(rnd, base, rnd.choice([1, 2, 9, 9, 9]))) for i in range(250)] + [(1000 + i, " ".join(base)) for i in range(250)]
