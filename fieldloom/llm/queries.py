@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, minhash_forest, pii, quality, secret_scan, sharding, substring_dedup, topk_search
+from . import bpe, decontaminate, language_id, minhash_forest, pii, quality, secret_scan, sharding, substring_dedup, topk_search, whitening
 from .common import checkpoint_folder, held_out, table
 
 
@@ -79,6 +79,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), across=False).drop("row")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.quantised(table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(vectors, whitening.fit(vectors, components=4))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sharding": op2_sharding,
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
