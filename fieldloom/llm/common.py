@@ -27,6 +27,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes what a finished step no longer needs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A key is hot if it holds more than one in ``SHARE`` rows, of which there can be no more than ``SHARE``, and more than a task takes lightly.
 SHARE, HOT_ROWS = 2000, 100_000
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, minhash_forest, pii, quality, secret_scan, sharding, substring_dedup, topk_search, whitening
+from . import bpe, collocations, decontaminate, language_id, minhash_forest, pii, quality, secret_scan, sharding, substring_dedup, topk_search, whitening
 from .common import checkpoint_folder, held_out, table
 
 
@@ -79,6 +79,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), across=False).drop("row")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=10, most=2000)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whitening.quantised(table(spark, sf_dir, "embeddings"))
     return whitening.whiten(vectors, whitening.fit(vectors, components=4))
@@ -95,6 +99,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
 
@@ -114,5 +119,42 @@ ORACLE_SQL = {
         SELECT query_id, rank::INT AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
         ) WHERE rank <= 10
-    """
+    """,
+    "op12_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+        ), n AS (
+            SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+        ), f AS (
+            SELECT lang, k, phrase, count(*) AS f FROM (
+                SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+                UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+                UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w
+            ) GROUP BY lang, k, phrase HAVING count(*) >= 10
+        ), cuts AS (
+            SELECT *, split_part(phrase, ' ', 1) AS w1, split_part(phrase, ' ', 2) AS w2, split_part(phrase, ' ', 3) AS w3 FROM f WHERE k > 1
+        ), inside AS (
+            SELECT lang, phrase, max(f) AS longer FROM (
+                SELECT lang, w1 || ' ' || w2 AS phrase, f FROM cuts WHERE k = 3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM cuts WHERE k = 3
+            ) GROUP BY lang, phrase
+        ), parts AS (
+            SELECT lang, phrase, f, 1 AS cut, w1 AS a_part, CASE WHEN k = 3 THEN w2 || ' ' || w3 ELSE w2 END AS b_part FROM cuts
+            UNION ALL SELECT lang, phrase, f, 2, w1 || ' ' || w2, w3 FROM cuts WHERE k = 3
+        ), scores AS (
+            SELECT p.lang, p.phrase, p.f AS a, cut, l.f AS l, r.f AS r,
+                   ((1000000::HUGEINT * p.f * p.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM parts p JOIN f l ON l.lang = p.lang AND l.phrase = p.a_part JOIN f r ON r.lang = p.lang AND r.phrase = p.b_part
+            LEFT JOIN inside i ON i.lang = p.lang AND i.phrase = p.phrase
+            WHERE i.longer IS NULL OR 100 * i.longer < 50 * p.f
+        ), lowest AS (
+            SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scores) WHERE place = 1
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+        )
+        SELECT lang, rank::INT AS rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+    """,
 }

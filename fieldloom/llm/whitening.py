@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder
+from .common import checkpoint_folder, remove
 
 SCALE, MOST_DIMENSIONS, MOST_LENGTHS, FAN = 256, 4096, 64, 16
 EPS = float(np.finfo(float).eps)
@@ -272,12 +272,7 @@ def fit(vectors: DataFrame, components: int = 4) -> dict[int, Model]:
             models[d] = Model(m.n, m.sums, m.values, m.vectors, m.trace, float(np.abs(m2 / n - np.eye(len(m.values))).max()))
         return models
     finally:
-        _remove(spark, folder)
-
-
-def _remove(spark, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
 
 
 def whiten(vectors: DataFrame, models: dict[int, Model]) -> DataFrame:
