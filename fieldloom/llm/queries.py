@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, language_id, minhash_forest, pii, quality, secret_scan, sharding, substring_dedup, topk_search, whitening
+from . import bpe, collocations, decontaminate, language_id, minhash_forest, pii, quality, secret_scan, sharding, site_tree, substring_dedup, topk_search, whitening
 from .common import checkpoint_folder, held_out, table
 
 
@@ -79,6 +79,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), across=False).drop("row")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=10, most=2000)
 
@@ -99,6 +103,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_html_extraction": op11_html_extraction,
     "op12_collocations": op12_collocations,
     "op13_whitening": op13_whitening,
 }
