@@ -34,7 +34,7 @@ from .common import checkpoint_folder, reliable, remove
 
 LONGEST = 3
 #: Suffixes that a group should take, bytes of text that a task numbers at a time, suffixes that make a pair hot.
-GROUP, BLOCK, HOT = 2_000_000, 8 << 20, 500_000
+GROUP, BLOCK, HOT = 1_000_000, 8 << 20, 500_000
 SAMPLE, MOST_HOT = 64, 50_000
 WORD_BYTES = 6  # of text for each word, about: sets the number of groups only
 MERGE = 64  # parts of a language that are ranked before they are ranked together
@@ -126,6 +126,14 @@ def _is_hot(words: pa.Array, hashes: np.ndarray, first: np.ndarray, second: np.n
     return (hot[np.minimum(at, len(hot) - 1)] == pair) if len(hot) else np.zeros(len(pair), bool)
 
 
+def _packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+
+
 def _blobs(lang: str, buffer: bytes, groups: int, hot: np.ndarray, block: int) -> Iterator[tuple]:
     """Rows of :data:`BLOBS` of a language's texts: the counted suffixes of each route with the words they use."""
     own = np.uint64(zlib.crc32(lang.encode()))
@@ -155,7 +163,7 @@ def _blobs(lang: str, buffer: bytes, groups: int, hot: np.ndarray, block: int) -
             codes = codes.reshape(-1, 3) + (0 if used[0] == 0 else 1)
             spelled = words.take(pa.array(used[used > 0] - 1)).to_pylist()
             packed = np.concatenate([rows[:, :1], codes, rows[:, 4:]], axis=1).astype(np.int32)
-            yield int(route[lo]), lang, b"\n".join(spelled), np.ascontiguousarray(packed.T).tobytes()
+            yield int(route[lo]), lang, _packed(b"\n".join(spelled)), _packed(np.ascontiguousarray(packed.T).tobytes())
 
 
 def _batches_of(texts, most: int) -> Iterator[dict[str, bytes]]:
@@ -208,6 +216,7 @@ def multikey_parts(symbols: np.ndarray, weights: np.ndarray, least: int) -> Iter
     deepest, n = symbols.shape
     pointers, sizes, depths = np.arange(n, dtype=np.int32), np.array([n]), np.array([0])
     flat = symbols.reshape(-1)
+    place = np.int32 if symbols.size < 2**31 else np.int64
     while len(pointers):
         starts = np.cumsum(sizes) - sizes
         heavy = np.add.reduceat(weights[pointers], starts) >= least
@@ -216,11 +225,11 @@ def multikey_parts(symbols: np.ndarray, weights: np.ndarray, least: int) -> Iter
             if not len(pointers):
                 return
             starts = np.cumsum(sizes) - sizes
-        at = flat[np.repeat(depths * n, sizes) + pointers]
+        at = flat[np.repeat((depths * n).astype(place), sizes) + pointers]
         trio = np.sort(np.stack([at[starts], at[starts + sizes // 2], at[starts + sizes - 1]]), axis=0)
         pivot = np.repeat(trio[1], sizes)
         side = (at >= pivot).astype(np.int8) + (at > pivot)
-        part = np.repeat(np.arange(len(sizes)) * 3, sizes) + side
+        part = np.repeat(np.arange(0, 3 * len(sizes), 3, dtype=np.int32), sizes) + side
         split = np.bincount(part, minlength=3 * len(sizes))
         target = np.cumsum(split) - split
         moved = np.empty_like(pointers)
@@ -248,21 +257,26 @@ def _counted(least: int):
     """Frequent words and phrases of one route's blobs, and the number of its words."""
 
     def count(group: pa.Table) -> pa.Table:
-        langs, lang_of, tables, spelled = group.column("lang").to_pylist(), {}, [], []
+        lang_of, tables, spelled = {}, [], []
         base = 0
-        for lang, words, rows in zip(langs, group.column("words"), group.column("rows"), strict=True):
-            own = words.as_py().split(b"\n")
-            t = np.frombuffer(rows.as_py(), np.int32).reshape(5, -1).astype(np.int64)
-            t[1:4] += np.where(t[1:4] > 0, base, 0)
+        for lang, words, rows in zip(group.column("lang").to_pylist(), group.column("words"), group.column("rows"), strict=True):
+            own = pa.array(_unpacked(words.as_py()).split(b"\n"), pa.large_binary())
+            t = np.frombuffer(_unpacked(rows.as_py()), np.int32).reshape(5, -1).copy()
+            t[1:4] += np.where(t[1:4] > 0, np.int32(base), np.int32(0))
+            t[0] += lang_of.setdefault(lang, len(lang_of) * 3 + 1)
             base += len(own)
-            spelled += own
-            tables.append(np.concatenate([np.full((1, t.shape[1]), lang_of.setdefault(lang, len(lang_of) * 3 + 1)) + t[:1], t[1:]]))
-        table = np.concatenate(tables, axis=1)
-        encoded = pa.array(spelled, pa.large_binary()).dictionary_encode()
-        number = np.concatenate([[0], np.asarray(encoded.indices) + 1])
-        names = [w.decode() for w in encoded.dictionary.to_pylist()]
-        symbols = np.stack([table[0], *number[table[1:4]]]).astype(np.int32)
-        weights = table[4]
+            spelled.append(own)
+            tables.append(t)
+        symbols = np.concatenate(tables, axis=1)
+        del tables
+        weights = symbols[4].astype(np.int64)
+        symbols = symbols[:4]
+        encoded = pa.chunked_array(spelled, pa.large_binary()).combine_chunks().dictionary_encode()
+        del spelled
+        number = np.concatenate([[0], np.asarray(encoded.indices) + 1]).astype(np.int32)
+        for d in (1, 2, 3):
+            symbols[d] = number[symbols[d]]
+        names = encoded.dictionary.cast(pa.large_string())
         back = list(lang_of)
         out: list[list] = [[], [], [], [], []]
 
@@ -270,16 +284,16 @@ def _counted(least: int):
             for held, c in zip(out, columns, strict=True):
                 held.extend(c)
 
-        kind = (table[0] - 1) % 3
+        kind = (symbols[0] - 1) % 3
         for i, lang in enumerate(back):
-            n = int(weights[table[0] == i * 3 + 1 + WORD].sum())
+            n = int(weights[symbols[0] == i * 3 + 1 + WORD].sum())
             if n:
                 add(([lang], [None], [None], [None], [n]))
         for depth, at, n in multikey_parts(symbols, weights, least):
             counted = {WORD: (2,), SUFFIX: (3, 4), HOT_SUFFIX: (4,)}
             fits = np.isin(kind[at], [k for k, d in counted.items() if depth in d])
             at, n = at[fits], n[fits]
-            name = lambda d: [names[s - 1] if s else None for s in symbols[d, at]] if depth > d else [None] * len(at)  # noqa: E731, B023
+            name = lambda d: names.take(pa.array(symbols[d, at] - 1)).to_pylist() if depth > d else [None] * len(at)  # noqa: E731, B023
             add(([back[(s - 1) // 3] for s in symbols[0, at]], name(1), name(2), name(3), n.tolist()))
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(),) * 4 + (pa.int64(),), strict=True)], ["lang", "w1", "w2", "w3", "f"])
 
