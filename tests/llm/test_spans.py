@@ -186,3 +186,28 @@ def test_redaction_replaces_spans_and_nothing_else(spark):
 def test_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secret_scan.scan(docs).count() == 0 and pii.scan(docs).count() == 0
+
+
+def test_short_keys_of_every_encoding(spark):
+    """Nine in ten keys of 32 and 40 characters and most shorter ones, with few other tokens; figures of all sizes are in the README."""
+    rnd = random.Random(5)
+    alphabets = {"alnum": LETTERS + "0123456789", "lower36": LETTERS[26:] + "0123456789", "base32": LETTERS[:26] + "234567", "base64": LETTERS + "0123456789+/", "capital hex": "0123456789ABCDEF"}
+    prose = lambda n: " ".join(rnd.choice(STEMS) for _ in range(n))
+    name = lambda: rnd.choice("-_/ ").strip().join(rnd.choice([str.lower, str.capitalize])(rnd.choice(STEMS)) for _ in range(rnd.randint(3, 8))) + rnd.choice(["", "12", "2024"])
+    rows, planted = [], {}
+    for k, alphabet in alphabets.items():
+        for n in (24, 32, 40):
+            for _ in range(60):
+                planted[len(rows)] = (k, n, "".join(rnd.choice(alphabet) for _ in range(n)))
+                rows.append((len(rows), f"{prose(60)} {planted[len(rows)][2]} {name()} {prose(40)}"))
+    rows += [(len(rows) + i, f"{prose(60)} {name()} {prose(5)} {name().upper()} {prose(20)}") for i in range(900)]
+    found, more = dict.fromkeys(((k, n) for k, n, _ in planted.values()), 0), 0
+    for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "text", "spans").collect():
+        tokens = [r.text[s.start : s.end] for s in r.spans]
+        k, n, key = planted.get(r.doc_id, ("", 0, ""))
+        hits = [t for t in tokens if t and key[: len(t)] == t and len(t) >= n - 1]
+        more += len(tokens) - len(hits)
+        if hits:
+            found[k, n] += 1
+    assert all(found[k, n] >= 54 for k, n in found if n > 24) and sum(found.values()) >= 0.93 * len(planted), found
+    assert more <= 0.05 * len(planted)
