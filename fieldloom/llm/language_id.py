@@ -8,7 +8,7 @@ whole text; the best language wins.
 
 Learning counts words and n-grams of a sample of the training rows with one
 ``groupBy``.  The sample is bounded by ``max_rows`` (expected size; rows are
-chosen by a hash of text and language).  The model holds every key that the sample
+drawn one by one, copies too, and it is never empty where there is a row).  The model holds every key that the sample
 has ``least`` times, so what is broadcast is bounded by the sample and does not
 grow with the corpus.
 
@@ -107,7 +107,9 @@ def learn(training: DataFrame, max_rows: int = 20_000, least: int = 2) -> Langua
     rows = training.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
     total = rows.count()
     if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(total)) < max_rows)
+        # By row, so that copies of a text are drawn one by one like other rows.
+        drawn = rows.sample(max_rows / total, seed=23)
+        rows = rows.limit(max_rows) if drawn.isEmpty() else drawn
 
     def count(batches):
         for batch in batches:
