@@ -305,19 +305,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item; all columns stay and, with one shard, nothing is shuffled."""
-    columns = docs.columns
     built = shards(benchmark, threshold, shard_bytes)
     if built.count() <= 1:
         for index in broadcasts(built):
             docs = docs.where(~_leaked(index)(F.col("text")))
         return docs
-    docs = reliable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    held = reliable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
     gone = None
     for index in broadcasts(built):
-        part = reliable(docs.where(_leaked(index)(F.col("text"))).select("_row"))
+        part = reliable(held.where(_leaked(index)(F.col("doc.text"))).select("row"))
         index.unpersist()
         gone = part if gone is None else gone.union(part)
-    return docs.join(gone.distinct(), "_row", "left_anti").select(*columns)
+    return held.join(gone.distinct(), "row", "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def _leaked(index):

@@ -100,8 +100,7 @@ def measured(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """(doc_id, row, text) of the rows with a text; ``row`` numbers them as they are read."""
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    return docs.select("doc_id", row.alias("row"), "text").where(F.length("text") > 0)
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").where(F.length("text") > 0)
 
 
 def chunk_table(rows: DataFrame) -> DataFrame:
@@ -152,7 +151,11 @@ def repeats(docs: DataFrame, across: bool = True, every: int = EVERY) -> DataFra
 
     ``across``: only chunks that two different rows hold, not those that one row alone repeats.
     """
-    rows = numbered(docs)
+    return repeats_of(numbered(docs), across, every)
+
+
+def repeats_of(rows: DataFrame, across: bool = True, every: int = EVERY) -> DataFrame:
+    """:func:`repeats` of rows that are numbered already."""
     digest_ = ["hi", "lo"]
     hot = reliable(frequent(rows, every=every).withColumn("hot", F.lit(True)))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
@@ -178,7 +181,12 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, across: bool = True) ->
     the chunks, ``first_doc_id`` the smallest id at which one of them is first.
     Windows and groups are those of one document each.
     """
-    found = repeats(docs, across).repartition("row")
+    return spans_of(numbered(docs), words, across)
+
+
+def spans_of(rows: DataFrame, words: int = WORDS, across: bool = True) -> DataFrame:
+    """:func:`repeated_spans` of rows that are numbered already."""
+    found = repeats_of(rows, across).repartition("row")
     order = Window.partitionBy("row", "doc_id", "kept").orderBy("n")
     return (
         found.withColumn("island", F.col("n") - F.row_number().over(order))
@@ -197,15 +205,16 @@ def repeated_spans(docs: DataFrame, words: int = WORDS, across: bool = True) ->
 
 def deduplicated(docs: DataFrame, words: int = WORDS, across: bool = True) -> DataFrame:
     """``docs`` with every repeated span but its first place cut out of the text."""
-    rows = reliable(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # The input's columns travel in one struct, so none can clash with those that are made here.
+    held = reliable(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")))
     cuts = (
-        repeated_spans(rows, words, across)
+        spans_of(held.select("doc.doc_id", "row", "doc.text").where(F.length("text") > 0), words, across)
         .where(~F.col("kept"))
-        .groupBy(F.col("row").alias("_row"))
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+        .groupBy("row")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     )
     shortened = F.expr(
-        "array_join(zip_with(concat(array(0), _cuts.end), concat(_cuts.start, array(length(text))), (a, b) -> substring(text, a + 1, b - a)), '')"
+        "array_join(zip_with(concat(array(0), cuts.end), concat(cuts.start, array(length(doc.text))), (a, b) -> substring(doc.text, a + 1, b - a)), '')"
     )
-    joined = rows.join(cuts, "_row", "left")
-    return joined.withColumn("text", F.when(F.size("_cuts") > 0, shortened).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.size("cuts") > 0, shortened).otherwise(F.col("doc.text"))
+    return held.join(cuts, "row", "left").select(*[text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])

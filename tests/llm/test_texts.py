@@ -288,3 +288,26 @@ def test_repeats_equal_brute_force(spark):
 
 def test_digests_are_stable():
     assert hashlib.blake2b(b"x", digest_size=16).digest() == substring_dedup.digest(b"x") and re.match("x", "x")
+
+
+def test_language_sample_is_drawn_by_row(spark):
+    for n in range(4):
+        copies = spark.createDataFrame([(f"the same words again {n}", "en")], "text string, lang string").crossJoin(spark.range(3000)).drop("id").repartition(3)
+        model = language_id.learn(copies, max_rows=200)
+        assert model.languages == ["en"]
+    assert language_id.learn(spark.createDataFrame([("a few words", "en")] * 3, "text string, lang string"), max_rows=1, least=1).languages == ["en"]
+
+
+def test_columns_of_the_input_do_not_clash(spark):
+    words = random.Random(7)
+    passage = prose(words, [f"p{i}" for i in range(200)], 80)
+    docs = spark.createDataFrame([(i, f"{prose(words, [f'w{j}' for j in range(300)], 60)} {passage}", 1, "x", "y", i) for i in range(4)], "doc_id long, text string, _row long, cuts string, doc string, row long").repartition(2)
+    assert len({r.doc_id for r in substring_dedup.repeated_spans(docs).collect()}) == 4
+    cut = substring_dedup.deduplicated(docs)
+    assert cut.columns == docs.columns
+    assert sorted((r.doc_id, r._row, r.cuts, r.doc, r.row) for r in cut.collect()) == [(i, 1, "x", "y", i) for i in range(4)]
+    bench = spark.createDataFrame([(1, passage), (2, prose(words, [f"q{i}" for i in range(200)], 60))], "item_id long, text string")
+    kept = docs.unionByName(spark.createDataFrame([(9, "clean words only", 1, "x", "y", 9)], docs.schema))
+    for shard_bytes in (decontaminate.SHARD_BYTES, 300):
+        left = decontaminate.clean(kept, bench, shard_bytes=shard_bytes)
+        assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(9, "clean words only", 1, "x", "y", 9)]
