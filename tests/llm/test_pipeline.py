@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 SF = "/root/testdata/sf0.001"
@@ -88,3 +89,16 @@ def test_every_stage_equals_plain_python(spark, tmp_path):
         ids = tokenizer.encode(next(w["text"] for w in want if w["doc_id"] == r["doc_id"]), add_special_tokens=False).ids
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_no_column_of_the_input_is_overwritten(spark):
+    """Columns named like those that the stages make keep their values."""
+    names = ["spans", "base", "redacted", "quality_score", "doc", "row", "_row", "text_hash", "n", "kept", "score"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in names])
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in names), name
+    assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
