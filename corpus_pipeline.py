@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, decontaminate, minhash_forest, pii, quality
@@ -20,10 +20,20 @@ from fieldloom.llm.spans import redacted
 QUALITY, SIMILARITY = 0.3, 80
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc): what a stage reads, and the whole row in one struct, so no column of the input can clash with those that a stage makes."""
+    return docs.select("doc_id", "text", F.struct("*").alias("doc"))
+
+
+def columns_of(docs: DataFrame, **changed: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``doc``, some of them changed."""
+    return [changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and empty texts are scored too."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("quality_score") >= QUALITY).select(*docs.columns)
+    return quality.score(held(docs), model).where(F.col("quality_score") >= QUALITY).select(*columns_of(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +56,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets; ``n_chars`` follows the text."""
-    columns = {c: F.col(c) for c in docs.columns} | {"text": F.col("redacted").alias("text")}
-    if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.size("spans") > 0, F.length("redacted")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return pii.scan(docs).withColumn("redacted", redacted(F.col("text"), F.col("spans"))).select(*columns.values())
+    changed = {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.size("spans") > 0, F.length("redacted")).otherwise(F.col("doc")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return pii.scan(held(docs)).withColumn("redacted", redacted(F.col("text"), F.col("spans"))).select(*columns_of(docs, **changed))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text: base64 of little-endian 32-bit integers, with digests of ids and decoded text."""
-    return bpe.encode(docs, word_bpe_path()).select(
+    return bpe.encode(docs.select("doc_id", "text"), word_bpe_path()).select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.base64("ids").alias("ids"),
