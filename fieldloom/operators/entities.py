@@ -3,20 +3,23 @@
 A delimiter line opens an entity; every later line belongs to it until the next
 delimiter or until a closing line.  Rules read attributes from the entity's
 lines: a ``key: value`` rule takes the last hit, a keyword rule the first.  The
-rules are rows (attribute, pattern, policy), so vehicles, parties, witnesses and
-form items share the kernel.
+rules are rows (attribute, pattern, policy).  Vehicles, parties and witnesses of
+crash reports have modes besides and are folds of their own (``crash_tables``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import once
 from ..functions.text import lines_of, strip_cid
-from ..functions.values import UNKNOWN, stripped
+from ..functions.values import stripped
+from .crash_tables import parties, truncated_name, vehicles, witnesses
+
+
+__all__ = ["Attribute", "Section", "entities", "owner_backfill", "parties", "party_list", "truncated_name", "vehicles", "with_role", "witnesses"]
 
 
 @dataclass(frozen=True)
@@ -41,11 +44,6 @@ class Section:
     reopens: bool = True
 
 
-def keyed(name: str, *aliases: str) -> Attribute:
-    """A ``key: value`` line under any of the aliases."""
-    return Attribute(name, r"(?i)^(?:" + "|".join(aliases) + r")\s*[:#]\s*(.+)$")
-
-
 def entities(docs: DataFrame, section: Section, key: str = "doc_id") -> DataFrame:
     """(doc_id, entity_no, entity_id, attributes...): entities in order of their first line; equal ids of a document merge."""
     line = F.col("line")
@@ -73,66 +71,8 @@ def entities(docs: DataFrame, section: Section, key: str = "doc_id") -> DataFram
     return grouped.select(key, F.row_number().over(Window.partitionBy(key).orderBy("first_line")).alias("entity_no"), "entity_id", *[a.name for a in section.attributes])
 
 
-VEHICLES = Section(
-    opens=r"(?i)^(?:[A-Z]\.\s*)?(?:UNIT\s*/\s*)?(?:VEHICLE|UNIT|#\s*:?|(?=V\d))\s*#?\s*V?(\d+)\b",
-    closes=r"(?i)^SECTION\s+[3-9]\b",
-    attributes=(
-        keyed("vin", "vin(?: number)?", "vehicle identification(?: number)?"), keyed("plate", "(?:license )?plate(?: number| no\\.?)?", "tag"), keyed("make", "make", "manufacturer"),
-        Attribute("year", r"(?i)^(?:year\s*:\s*|(?:VEHICLE|UNIT|V)\s*#?\s*\d+\s*:\s*)((?:19|20)\d{2})\b"), keyed("model", "model"), keyed("color", "colou?r"), keyed("damages", "damages?(?: description)?"),
-        keyed("owner_name", "(?:registered )?owner(?: name)?"), keyed("owner_address", "owner address"), keyed("insurance_company", "insurance(?: company)?", "carrier"),
-        keyed("policy_number", "policy(?: number| no\\.?)?"), keyed("towed", "towed"), keyed("towing_company", "tow(?:ing|ed by)?(?: company)?"),
-    ),
-)
-PARTIES = Section(
-    opens=r"(?i)^((?:DRIVER|OPERATOR|PASSENGER|PEDESTRIAN|VICTIM|SUSPECT|OFFENDER|PARTY)\s*#?\s*\w*\d+)\b",
-    closes=r"(?i)^(?:SECTION\s+[5-9]\b|(?:OFFICER\s+)?NARRATIVE\b)",
-    attributes=(
-        keyed("name", "(?:full )?name"), keyed("dob", "dob", "date of birth"), keyed("address", "address", "addr"), keyed("phone", "phone", "tel(?:ephone)?", "cell"),
-        keyed("license_number", "dl(?: #| number)?", "driver.?s?\\s+licen[sc]e(?: number)?"), keyed("condition", "condition", "injur(?:y|ies)"), keyed("transported_to", "transported to", "taken to", "hospital"),
-        keyed("citations", "citations?", "charges?"),
-    ),
-    reopens=False,
-)
-WITNESSES = Section(
-    opens=r"(?i)^(?:#\s*:\s*W|Witness\s+W|Witness\s*#?\s*|W)(\d+)\s*[:\s—–\-.]",
-    closes=r"(?i)^SECTION\s+\d+\b(?!.*WITNESS)",
-    attributes=(
-        Attribute("row", r"(?i)^(?:#\s*:\s*W|Witness\s+W|Witness\s*#?\s*|W)\d+\s*[:\s—–\-.]\s*(.+)$", "first"), keyed("name", "name", "full name"), keyed("dob", "dob", "date of birth", "birth date"),
-        keyed("address", "address", "addr"), keyed("phone", "phone", "tel(?:ephone)?", "cell"), keyed("statement", "statement", "witness statement"),
-    ),
-)
-
-#: Words of a condition that speak of substances.
-SUBSTANCE = r"(?i)(alcohol|drug|intoxicat|dui|dwi|impair|under the influence|substance|narcotics?|cannabis|marijuana)"
-
-
-def vehicles(docs: DataFrame, section: Section = VEHICLES) -> DataFrame:
-    found = entities(docs, section)
-    return found.select("doc_id", "entity_no", "entity_id", *[F.coalesce(a.name, F.lit(UNKNOWN)).alias(a.name) for a in section.attributes])
-
-
-def parties(docs: DataFrame, section: Section = PARTIES) -> DataFrame:
-    """Parties with role, injuries apart from substances, citations as a list, and whether they were transported."""
-    found = entities(docs, section)
-    known = [c for c in ("name", "dob", "address", "license_number", "condition")]
-    condition = F.coalesce("condition", F.lit(UNKNOWN))
-    substance = F.nullif(F.regexp_extract(condition, SUBSTANCE, 1), F.lit(""))
-    injuries = F.when(substance.isNull(), condition).otherwise(F.regexp_replace(F.regexp_replace(condition, SUBSTANCE, ""), r"^[\s,;]+|[\s,;]+$", ""))
-    raw = F.col("citations")
-    listed = F.when(raw.isNull() | F.lower(raw).isin("none", "unknown", ""), F.array().cast("array<string>")).otherwise(F.filter(F.transform(F.split(raw, r"[,;|]"), lambda c: F.trim(c)), lambda c: c != ""))
-    to = F.coalesce("transported_to", F.lit(UNKNOWN))
-    plain = [F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("name", "dob", "address", "phone", "license_number")]
-    return found.where(F.coalesce(*[F.col(c) for c in known]).isNotNull()).select(
-        "doc_id", "entity_no", F.initcap(F.regexp_extract("entity_id", r"(?i)^([A-Z]+?)\s*#?\s*\w?\d", 1)).alias("role"), *plain,
-        F.when(substance.isNull(), injuries).otherwise(F.concat_ws("; ", injuries, substance)).alias("condition"),
-        F.coalesce(F.nullif(injuries, F.lit("")), F.lit("None reported")).alias("injuries"),
-        F.coalesce(substance, F.lit("None reported")).alias("substance_involvement"), (~to.isin(UNKNOWN, "None", "", "N/A")).alias("transported"), to.alias("transported_to"),
-        F.when(F.size(listed) > 0, F.array_join(listed, ", ")).otherwise("None").alias("citations"), listed.alias("citations_list"),
-    )
-
-
 #: Roles per list field of a record.
-ROLES = {"operators": ("Driver", "Operator"), "passengers": ("Passenger",), "pedestrians": ("Pedestrian",)}
+ROLES = {"operators": ("Operator",), "passengers": ("Passenger",), "pedestrians": ("Pedestrian",)}
 
 
 def with_role(found: DataFrame, field: str) -> DataFrame:
@@ -148,68 +88,6 @@ def party_list(found: DataFrame) -> DataFrame:
     return placed.withColumn("party_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("_rank", "entity_no"))).drop("_rank")
 
 
-# Words that end a name, endings of names that a comma may stand before, the shape of a telephone number,
-# what divides a witness's name from the rest, and the line that never continues a name.
-NAME_ENDS = (
-    "motorist", "passenger", "pedestrian", "driver", "operator", "freeway", "highway", "interstate", "witness", "bystander", "occupant", "rider",
-    "gas", "waiting", "sitting", "standing", "walking", "saw", "observed", "stopped", "exited", "pulled", "arrived",
-    "southeast", "southwest", "northeast", "northwest", "off-duty", "on-duty", "yes", "no",
-)
-NAME_SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "phd", "md", "esq")
-PHONE = r"\(?\d{3}\)?[\s\-]\d{3}[\s\-]\d{4}"
-BRACKETED_PHONE = r"\(\d{3}\)\s*\d{3}[-\s]\d{4}"
-DIVIDER = r"\s*[—–]{1,2}\s*|\s+-\s+"
-# End of the fixed values.
-
-
-def truncated_name(text: Column) -> Column:
-    """The words of a name at the start of a text; empty for an empty text.
-
-    It ends before a telephone number, a word of ``NAME_ENDS``, a number or a second word in capitals; with a word that
-    a comma follows, if that is a name; after three words, or four where the third ends with a dot.
-    """
-    before = stripped(F.split(text, PHONE, 2)[0])
-
-    def cut(tokens: Column) -> Column:
-        plain = lambda t: F.regexp_replace(F.lower(t), r"^[.,;:]+|[.,;:]+$", "")
-        ends = lambda t: plain(t).isin(*NAME_ENDS)
-        comma = lambda t: t.contains(",") & ~F.regexp_replace(plain(t), "^,+|,+$", "").isin(*NAME_SUFFIXES)
-        stops = lambda t: ends(t) | comma(t) | t.rlike("^[0-9]") | ((F.upper(t) == t) & t.rlike("[A-Z]") & (F.length(t) > 2))
-        first = F.array_min(F.filter(F.transform(tokens, lambda t, i: F.when((i > 0) & stops(t), i)), lambda i: i.isNotNull()))
-        most = F.when(F.coalesce(F.get(tokens, F.lit(2)).endswith("."), F.lit(False)), 4).otherwise(3)
-        n = F.least(F.coalesce(first, F.size(tokens)), most)
-        last = F.get(tokens, n)
-        with_comma = (F.coalesce(first, F.lit(-1)) == n) & (n < most) & ~ends(last) & comma(last) & last.rlike("^[A-Z]") & F.regexp_replace(last, "[.,]", "").rlike("^[A-Za-z]+$")
-        words = F.slice(tokens, 1, n)
-        return F.array_join(F.when(F.coalesce(with_comma, F.lit(False)), F.array_append(words, F.regexp_replace(last, ",+$", ""))).otherwise(words), " ")
-
-    return once(F.split(before, r"\s+"), cut)
-
-
-def witnesses(docs: DataFrame, section: Section = WITNESSES) -> DataFrame:
-    """Witnesses: name, address, phone and statement, from the delimiter's own line first.
-
-    A telephone number on that line divides name and address from the statement; without one, dashes do.
-    """
-    found = entities(docs, section)
-    row = F.coalesce("row", F.lit(""))
-    parts = F.split(row, DIVIDER)
-    name = truncated_name(stripped(parts[0]))
-    phone = F.regexp_extract(row, BRACKETED_PHONE, 0)
-    before, after = stripped(F.split(row, BRACKETED_PHONE, 2)[0]), stripped(F.coalesce(F.get(F.split(row, BRACKETED_PHONE, 2), F.lit(1)), F.lit("")))
-    address = stripped(F.regexp_replace(stripped(F.substring(before, F.length(name) + 1, F.length(before))), "^,+", ""))
-    second, third = (F.nullif(stripped(F.coalesce(F.get(parts, F.lit(i)), F.lit(""))), F.lit("")) for i in (1, 2))
-    is_phone = second.rlike(r"[\d()\-+]{7,}")
-    has_phone = phone != ""
-    own = {
-        "name": F.nullif(name, F.lit("")),
-        "address": F.when(has_phone, F.nullif(address, F.lit(""))),
-        "phone": F.when(has_phone, phone).when(is_phone, second),
-        "statement": F.when(has_phone, F.nullif(stripped(F.regexp_replace(after, r"(?i)^Yes\s*[—–\-]+\s*", "")), F.lit(""))).when(second.isNotNull() & ~is_phone, second).otherwise(third),
-    }
-    return found.select("doc_id", "entity_no", *[F.coalesce(F.col(c), own[c], F.lit(UNKNOWN)).alias(c) for c in own])
-
-
 def owner_backfill(found_vehicles: DataFrame, found_parties: DataFrame) -> DataFrame:
     """Owners given as "same as driver" become the name and address of the document's first operator."""
     first = with_role(found_parties, "operators").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("entity_no"))).where("_n = 1").select("doc_id", F.col("name").alias("_name"), F.col("address").alias("_address"))

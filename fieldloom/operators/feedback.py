@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import table_rows
 from ..functions.values import MISSING
+from .templates import MOST_ROWS, checked
 
 #: Fields that patterns may be learned for, and words that make a row a header.
 LEARNABLE = (
@@ -92,6 +93,14 @@ def learn_aliases(corrections: DataFrame, raw: DataFrame, known: DataFrame | Non
     return found if known is None else new_rows(found, known, ["canonical_field", "alias_header"])
 
 
+def alias_lists(learned: DataFrame, most: int = MOST_ROWS) -> dict[str, list[str]]:
+    """{canonical_field: headers} of learned aliases, in order: a dimension of at most ``most`` rows that travels with the extraction."""
+    out: dict[str, list[str]] = {}
+    for r in checked(learned.select("canonical_field", "alias_header").distinct(), most).orderBy("canonical_field", "alias_header").collect():
+        out.setdefault(r["canonical_field"], []).append(r["alias_header"])
+    return out
+
+
 def quoted(text: str = "label"):
     """A text as a literal inside a pattern."""
     return F.regexp_replace(F.col(text), r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1")

@@ -143,28 +143,68 @@ def glued_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crash_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crash report per supplier: two vehicles, a driver, a passenger, a pedestrian, a witness."""
+    """A crash report per supplier, in four shapes: labelled values, column tables, words of rules, a theft report."""
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
-    return s.select(k.alias("doc_id"), F.concat(
-        F.lit("SECTION 2 - VEHICLES\nVEHICLE 1: "), (k % 30 + 1990).cast("string"), F.lit("\nMake: Make"), k.cast("string"), F.lit("\nVIN: "), F.lpad(k.cast("string"), 17, "A"), F.lit("\nOwner: same as driver\nPlate: OLD\nPlate: P-"), k.cast("string"),
-        F.lit("\nVEHICLE 2: "), (k % 10 + 2010).cast("string"), F.lit("\nManufacturer: Other\nTowed: yes\nSECTION 3 - PARTIES\nDRIVER 1\nName: "), "s_name", F.lit("\nAddress: "), k.cast("string"), F.lit(" Main Street\nInjuries: "),
-        F.when(k % 2 == 0, "bruise, alcohol").otherwise("bruise"), F.lit("\nCitations: speeding; "), k.cast("string"), F.lit("|\nPASSENGER 2\nName: Pat Doe\nTransported to: "), F.when(k % 3 == 0, "City Hospital").otherwise("None"),
-        F.lit("\nPEDESTRIAN 3\nDOB: 1/1/2000\nPASSENGER 4\nSECTION 6 - WITNESSES\nDRIVER 9\nName: Nobody\nWITNESS 1: Ann B. Smith said\nPhone: 555-123-4567\nStatement: saw it"),
-    ).alias("text"))
+    n, year, vin = k.cast("string"), (k % 30 + 1990).cast("string"), F.lpad(k.cast("string"), 17, "A")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    labelled = text(
+        "SECTION 2 - VEHICLES\nVEHICLE 1: ", year, " Make", n, " Runner (Red)\nVIN: ", vin, "\nOwner: same as driver\nPlate: OLD\nPlate: P-", n, "\nType of Collision: Rear-End\nVEHICLE 2:\nYear: ", (k % 10 + 2010).cast("string"),
+        "\nManufacturer: Other\nTowed: yes\nEMS - Unit 14 came\nSECTION 3 - PARTIES\nDRIVER 1\nName: ", F.col("s_name"), "\nAddress: ", n, " Main Street\nInjury: ", F.when(k % 8 == 0, "bruise, alcohol").otherwise("bruise"),
+        "\nCitations: speeding\nCharge: ", n, "|\nPASSENGER 2\nName: Pat Doe\nTaken to: City Hospital\nPEDESTRIAN 3\nDOB: 3/4/1991\nPASSENGER 4\nSECTION 6 - WITNESSES\nDRIVER 9\nName: Nobody\n"
+        "WITNESS 1: Ann B. Smith\nPhone: 555-123-4567\nStatement: saw it",
+    )
+    columns = text(
+        "# Year / Make / Model VIN Plate Damage\nV1 ", year, " Make", n, " Runner ", vin, " P-", n, " dent\nV2 2010 Other Plain\nSECTION 3 - DRIVERS\nParty Name DOB License Citation\nDriver V1 Kay Alan 01/02/1990 D", F.lpad(n, 6, "0"),
+        " speeding; ", n, "\nSECTION 4 - PASSENGERS\nVeh Name DOB Injury\nV1 Pat L. 3/4/1991 bruise Yes\nDoe more\nPED- Lou Roe (walking) 5/6/1992 No\nSECTION 6 - WITNESSES & OFFICERS\n# Name Address Phone Statement\n1 Ann Smith ", n,
+        " Elm St (555) 123-4567 saw it\n2 Bo Li\nInvestigating Officer Poe\nName: Nobody",
+    )
+    words = text(
+        "Unit 1:\nYear ", year, " Make Make", n, " Model Runner Color Red\nYear 1900 Make Ignored\nVIN ", vin, "\nLicense Plate P-", n, "\nRegistered Owner same as driver\nUnit 2:\n2010 Other Plain (Blue)\nTowed from Scene Yes\nSECTION 3\n"
+        "Driver Information\nDriver Name Kay Alan DOB 01/02/1990\nHome Address ", n, " Main Street City/State/Zip Waco\nInjury Severity bruise Taken To City Hospital\nCitations Issued speeding\nCitations Issued ", n,
+        "\nPedestrian 2\nName Pat Doe (adult)\nTransported No\nNARRATIVE\nName Nobody\nW1: Ann Smith, walker\nJones x",
+    )
+    theft = text(
+        "VEHICLE - STOLEN / INVOLVED\nYear / Make / Model ", year, " Make", n, " Runner\nLicense Plate / State TX-", F.lpad(n, 5, "0"), " (TX)\nVICTIM / COMPLAINANT\nName: Kay Alan\nSUSPECT Pat Doe (DOB: 3/4/1991)\nDriver: Violation 22350\nName: Nobody",
+    )
+    return s.select(k.alias("doc_id"), F.when(k % 4 == 0, labelled).when(k % 4 == 1, columns).when(k % 4 == 2, words).otherwise(theft).alias("text"))
 
 
 def crash_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = crash_forms(spark, sf_dir)
-    return ent.owner_backfill(ent.vehicles(docs), ent.parties(docs)).select("doc_id", "entity_no", "year", "make", "vin", "plate", "owner_name", "owner_address", "towed")
+    return ent.owner_backfill(ent.vehicles(docs), ent.parties(docs)).select("doc_id", "entity_no", "year", "make", "model", "color", "vin", "plate", "owner_name", "owner_address", "towed")
 
 
 def crash_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ent.party_list(ent.parties(crash_forms(spark, sf_dir))).select("doc_id", "party_no", "role", "name", "address", "condition", "injuries", "substance_involvement", "transported", "citations")
 
 
+def crash_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everyone in a report, victims and suspects too."""
+    return ent.parties(crash_forms(spark, sf_dir)).select("doc_id", "entity_no", "role", "name", "dob", "license_number", "transported_to")
+
+
 def crash_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ent.witnesses(crash_forms(spark, sf_dir)).select("doc_id", "name", "phone", "statement")
+    return ent.witnesses(crash_forms(spark, sf_dir)).select("doc_id", "entity_no", "name", "address", "phone", "statement")
+
+
+def learned_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What corrections teach the next extraction: reports under headers of their own, read before and after learning.
+
+    People corrected the numbers in the tables of every tenth report; the headers of those columns become aliases of
+    the fields, and the same reports are read again with them.
+    """
+    s = table(spark, sf_dir, "supplier")
+    k, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    reports = s.select(k.alias("doc_id"), F.concat(F.lit("V1: 2020 Ford Focus\nChassis Ref: C-"), n, F.lit("\nReg Mark: R-"), n, F.lit("\nDRIVER 1\nSurname and Forename: Kay\nNational Permit: D-"), n).alias("text"))
+    corrected = s.where(k % 10 == 0)
+    tables = corrected.select(k.alias("doc_id"), F.concat(F.lit("| Chassis Ref | Reg Mark | National Permit | Name of Street |\n|---|---|---|---|\n| C-"), n, F.lit(" | R-"), n, F.lit(" | D-"), n, F.lit(" | Elm |")).alias("text"))
+    fixes = corrected.select(k.alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.concat(F.lit(p), n).alias("new_value")) for f, p in (("vin", "C-"), ("plate", "R-"), ("license_number", "D-"))])).alias("c")).select("doc_id", "c.*")
+    aliases = feedback.alias_lists(feedback.learn_aliases(fixes, tables))
+    cars = lambda known: ent.vehicles(reports, known).select("doc_id", "vin", "plate")
+    people = lambda known: ent.parties(reports, known).select("doc_id", "license_number")
+    before = cars({}).select("doc_id", F.col("vin").alias("vin_before"), F.col("plate").alias("plate_before"))
+    return before.join(cars(aliases), "doc_id").join(people(aliases), "doc_id")
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,17 +531,35 @@ ORACLE_SQL = {
     """,
     "glued_values": "SELECT p_partkey, (p_partkey % 20 + 2000)::VARCHAR AS year, CASE WHEN p_partkey % 2 = 0 THEN 'FORD' ELSE 'FORDSON' END AS make, 'M' || p_size AS model, '1/2/' || (p_partkey % 20 + 2000) AS day, '10:30 AM' AS clock FROM part",
     "crash_vehicles": """
-        SELECT s_suppkey AS doc_id, 1 AS entity_no, (s_suppkey % 30 + 1990)::VARCHAR AS year, 'Make' || s_suppkey AS make, lpad(s_suppkey::VARCHAR, 17, 'A') AS vin, 'P-' || s_suppkey AS plate, s_name AS owner_name, s_suppkey || ' Main Street' AS owner_address, 'Unknown' AS towed FROM supplier
-        UNION ALL SELECT s_suppkey, 2, (s_suppkey % 10 + 2010)::VARCHAR, 'Other', 'Unknown', 'Unknown', 'Unknown', 'Unknown', 'yes' FROM supplier
+        WITH s AS (SELECT *, s_suppkey AS k, s_suppkey % 4 AS shape, (s_suppkey % 30 + 1990)::VARCHAR AS year, 'Make' || s_suppkey AS make, lpad(s_suppkey::VARCHAR, 17, 'A') AS vin FROM supplier)
+        SELECT k AS doc_id, 1 AS entity_no, year, make, 'Runner' AS model, CASE WHEN shape IN (0, 2) THEN 'Red' ELSE 'Unknown' END AS color, CASE WHEN shape = 3 THEN 'Unknown' ELSE vin END AS vin,
+               CASE WHEN shape = 3 THEN 'TX-' || lpad(k::VARCHAR, 5, '0') ELSE 'P-' || k END AS plate, CASE shape WHEN 0 THEN s_name WHEN 2 THEN 'Kay Alan' ELSE 'Unknown' END AS owner_name,
+               CASE shape WHEN 0 THEN k || ' Main Street' WHEN 2 THEN k || ' Main Street, Waco' ELSE 'Unknown' END AS owner_address, 'Unknown' AS towed FROM s
+        UNION ALL SELECT k, 2, CASE WHEN shape = 0 THEN (k % 10 + 2010)::VARCHAR ELSE '2010' END, 'Other', CASE WHEN shape = 0 THEN 'Unknown' ELSE 'Plain' END, CASE WHEN shape = 2 THEN 'Blue' ELSE 'Unknown' END, 'Unknown', 'Unknown', 'Unknown', 'Unknown',
+               CASE shape WHEN 0 THEN 'yes' WHEN 2 THEN 'Yes' ELSE 'Unknown' END FROM s WHERE shape < 3
     """,
     "crash_parties": """
-        SELECT s_suppkey AS doc_id, 1 AS party_no, 'Driver' AS role, s_name AS name, s_suppkey || ' Main Street' AS address,
-               CASE WHEN s_suppkey % 2 = 0 THEN 'bruise; alcohol' ELSE 'bruise' END AS condition, 'bruise' AS injuries, CASE WHEN s_suppkey % 2 = 0 THEN 'alcohol' ELSE 'None reported' END AS substance_involvement,
-               false AS transported, 'speeding, ' || s_suppkey AS citations FROM supplier
-        UNION ALL SELECT s_suppkey, 2, 'Passenger', 'Pat Doe', 'Unknown', 'Unknown', 'Unknown', 'None reported', s_suppkey % 3 = 0, 'None' FROM supplier
-        UNION ALL SELECT s_suppkey, 3, 'Pedestrian', 'Unknown', 'Unknown', 'Unknown', 'Unknown', 'None reported', false, 'None' FROM supplier
+        WITH s AS (SELECT *, s_suppkey AS k, s_suppkey % 4 AS shape FROM supplier WHERE s_suppkey % 4 < 3)
+        SELECT k AS doc_id, 1 AS party_no, 'Operator' AS role, CASE WHEN shape = 0 THEN s_name ELSE 'Kay Alan' END AS name, CASE shape WHEN 0 THEN k || ' Main Street' WHEN 2 THEN k || ' Main Street, Waco' ELSE 'Unknown' END AS address,
+               CASE WHEN shape = 1 THEN 'Unknown' WHEN k % 8 = 0 THEN 'bruise; alcohol' ELSE 'bruise' END AS condition, CASE WHEN shape = 1 THEN 'Unknown' ELSE 'bruise' END AS injuries,
+               CASE WHEN k % 8 = 0 THEN 'alcohol' ELSE 'None reported' END AS substance_involvement, shape = 2 AS transported, 'speeding, ' || k AS citations FROM s
+        UNION ALL SELECT k, 2, 'Passenger', CASE WHEN shape = 0 THEN 'Pat Doe' ELSE 'Pat L. Doe' END, 'Unknown', CASE WHEN shape = 0 THEN 'Unknown' ELSE 'bruise' END, CASE WHEN shape = 0 THEN 'Unknown' ELSE 'bruise' END, 'None reported', true, 'None' FROM s WHERE shape < 2
+        UNION ALL SELECT k, CASE WHEN shape = 2 THEN 2 ELSE 3 END, 'Pedestrian', CASE shape WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Lou Roe' ELSE 'Pat Doe' END, 'Unknown', 'Unknown', 'Unknown', 'None reported', false, 'None' FROM s
+    """,
+    "crash_people": """
+        WITH s AS (SELECT *, s_suppkey AS k, s_suppkey % 4 AS shape FROM supplier)
+        SELECT k AS doc_id, 1 AS entity_no, CASE WHEN shape = 3 THEN 'Victim' ELSE 'Operator' END AS role, CASE WHEN shape = 0 THEN s_name ELSE 'Kay Alan' END AS name,
+               CASE WHEN shape IN (1, 2) THEN '01/02/1990' ELSE 'Unknown' END AS dob, CASE WHEN shape = 1 THEN 'D' || lpad(k::VARCHAR, 6, '0') ELSE 'Unknown' END AS license_number, CASE WHEN shape = 2 THEN 'City Hospital' ELSE 'Unknown' END AS transported_to FROM s
+        UNION ALL SELECT k, 2, CASE shape WHEN 2 THEN 'Pedestrian' WHEN 3 THEN 'Suspect' ELSE 'Passenger' END, CASE WHEN shape = 1 THEN 'Pat L. Doe' ELSE 'Pat Doe' END, CASE WHEN shape IN (1, 3) THEN '3/4/1991' ELSE 'Unknown' END, 'Unknown',
+               CASE WHEN shape = 0 THEN 'City Hospital' ELSE 'Unknown' END FROM s
+        UNION ALL SELECT k, 3, 'Pedestrian', CASE WHEN shape = 0 THEN 'Unknown' ELSE 'Lou Roe' END, CASE WHEN shape = 0 THEN '3/4/1991' ELSE '5/6/1992' END, 'Unknown', 'Unknown' FROM s WHERE shape < 2
+    """,
+    "crash_witnesses": """
+        SELECT s_suppkey AS doc_id, 1 AS entity_no, CASE s_suppkey % 4 WHEN 0 THEN 'Ann B. Smith' WHEN 1 THEN 'Ann Smith' ELSE 'Ann Jones' END AS name, CASE s_suppkey % 4 WHEN 1 THEN s_suppkey || ' Elm St' ELSE 'Unknown' END AS address,
+               CASE s_suppkey % 4 WHEN 0 THEN '555-123-4567' WHEN 1 THEN '(555) 123-4567' ELSE 'Unknown' END AS phone, CASE WHEN s_suppkey % 4 < 2 THEN 'saw it' ELSE 'Unknown' END AS statement FROM supplier WHERE s_suppkey % 4 < 3
+        UNION ALL SELECT s_suppkey, 2, 'Bo Li', 'Unknown', 'Unknown', 'Unknown' FROM supplier WHERE s_suppkey % 4 = 1
     """,
-    "crash_witnesses": "SELECT s_suppkey AS doc_id, 'Ann B. Smith' AS name, '555-123-4567' AS phone, 'saw it' AS statement FROM supplier",
+    "learned_headers": "SELECT s_suppkey AS doc_id, 'Unknown' AS vin_before, 'Unknown' AS plate_before, 'C-' || s_suppkey AS vin, 'R-' || s_suppkey AS plate, 'D-' || s_suppkey AS license_number FROM supplier",
     "decoded_records": """
         WITH c AS (SELECT 'S' || n_regionkey AS state, n_nationkey::VARCHAR AS code, n_name AS label FROM nation)
         SELECT o_orderkey AS doc_id, 'weather' AS field_id, coalesce(a.label, (o_orderkey % 25)::VARCHAR) || ', ' || coalesce(b.label, '3') || ', x' AS value
@@ -560,7 +618,8 @@ ORACLE_SQL = {
                    'The incident was investigated by ' || agency || ', reporting officer ' || officer || '.',
                    CASE WHEN k % 4 = 0 THEN 'Report number: R-' || k || '.' END,
                    CASE WHEN k % 5 = 0 THEN 'EMS responded; agency: City EMS.' END,
-                   CASE WHEN k % 8 <> 0 THEN 'A total of 2 vehicles were involved. 1 operator was identified. 1 party reported injuries. 1 witness was identified at the scene.' END,
+                   CASE WHEN k % 4 = 3 THEN 'A total of 1 vehicle was involved.'
+                        WHEN k % 8 <> 0 THEN 'A total of 2 vehicles were involved. 1 operator was identified. 1 party reported injuries. ' || CASE WHEN k % 4 = 1 THEN '2 witnesses were' ELSE '1 witness was' END || ' identified at the scene.' END,
                    CASE WHEN k % 4 = 0 THEN 'Contributing factors noted: speeding.' END,
                    CASE WHEN k % 6 = 0 THEN 'Non-vehicle property damage reported: a fence.' END) AS note
         FROM r
@@ -602,7 +661,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         items_roundtrip, flattened_tables, mined_pairs, joined_labels, compound_lines, narrative_split, conversation_texts, checked_status, nearby_customer,
-        spatial_fields, value_boxes, widget_values, loss_notices, custom_fields_found, positional_values, glued_values, crash_vehicles, crash_parties, crash_witnesses,
+        spatial_fields, value_boxes, widget_values, loss_notices, custom_fields_found, positional_values, glued_values, crash_vehicles, crash_parties, crash_people, crash_witnesses, learned_headers,
         decoded_records, carrier_names, canonical_carriers, citations, top_corrections, recent_corrections, correction_totals, user_ratings, store_after_changes,
         learned_aliases, learned_patterns, learned_values, extraction_metrics, document_metrics, confidence_calibration, worst_failures, fill_by_status, structure_checks,
         record_scores, report_notes, adjuster_notes, claim_discrepancies, record_insights, merged_templates, routed_files, streamed_items,

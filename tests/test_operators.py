@@ -73,7 +73,7 @@ def test_layout_json(spark, tmp_path):
 
 
 def test_equal_entity_ids_merge_and_sections_close(spark):
-    text = "VEHICLE 1: 2001\nMake: A\nVEHICLE 2: 2002\nVEHICLE 1\nMake: B\nSECTION 3\nMake: C"
+    text = "VEHICLE 1:\nYear: 2001\nMake: A\nVEHICLE 2:\nYear: 2002\nVEHICLE 1:\nMake: B\nSECTION 3\nMake: C"
     got = entities.vehicles(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("entity_no").collect()
     assert [(r.entity_no, r.year, r.make) for r in got] == [(1, "2001", "B"), (2, "2002", "Unknown")]
 
