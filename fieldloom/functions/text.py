@@ -41,8 +41,8 @@ def split_narrative(text: Column) -> tuple[Column, Column]:
 
 
 def plain_paragraph(text: Column) -> Column:
-    """Letters, digits and simple punctuation with single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\w\s.,;:$%&/()'\-]", " "), r"\s+", " "))
+    """Plain letters, digits and ``. , $ - ( )`` only, with single blanks; what is dropped leaves no blank."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[^a-zA-Z0-9\s\.,\$\-\(\)]", ""), r"\s+", " "), "^ | $", "")
 
 
 def assembled(doc_type: Column, page_text: Column, before_narrative: Column, tables: Column) -> Column:

@@ -144,20 +144,49 @@ def carrier_by_code(rows: DataFrame, carriers: DataFrame, code: str = "code") ->
     return rows.join(dim, padded_code(F.trim(F.col(code).cast("string"))) == F.col("_code"), "left").drop("_code")
 
 
+#: Longest pieces of names that the index of fragments holds.
+Q = 3
+
+
+def pieces(text: Column, q: Column) -> Column:
+    """The distinct pieces of ``q`` characters of a text that is no shorter."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, q)))
+
+
+def fragment_index(names: DataFrame, name: str = "alias") -> DataFrame:
+    """``names`` with ``piece``: one row for each distinct piece of one to ``Q`` characters of a name (an inverted index)."""
+    all_of = F.flatten(F.array(*[F.when(F.length(name) >= q, pieces(F.col(name), F.lit(q))).otherwise(F.array().cast("array<string>")) for q in range(1, Q + 1)]))
+    return names.select("*", F.explode(all_of).alias("piece"))
+
+
+def containing(wanted: DataFrame, names: DataFrame, fragment: str = "_q", name: str = "alias") -> DataFrame:
+    """(fragment, columns of ``names``) of every name that contains a fragment (not empty).
+
+    Fragments meet names in the index by their rarest piece, a join on equal pieces; what contains all of a
+    fragment is then verified.  A fragment with a piece that no name has is dropped at once.
+    """
+    index = fragment_index(names, name)
+    frequency = index.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
+    own = pieces(F.col(fragment), F.least(F.length(fragment), F.lit(Q)))
+    asked = wanted.select(fragment, F.size(own).alias("_pieces"), F.explode(own).alias("piece")).join(frequency, "piece")
+    rarest = asked.groupBy(fragment, "_pieces").agg(F.count(F.lit(1)).alias("_known"), F.min(F.struct("_n", "piece")).alias("_r")).where("_known = _pieces").select(fragment, F.col("_r.piece").alias("piece"))
+    return rarest.join(index, "piece").where(F.contains(F.col(name), F.col(fragment))).drop("piece")
+
+
 def carrier_search(rows: DataFrame, aliases: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(id, cocode, exact, rank): carriers of a text; an exact name or alias stands alone, else every carrier with a name or alias that contains it.
 
     ``aliases`` (ord, alias, cocode), names included; of equal aliases the later counts for an exact hit.  Carriers come
-    in the order of their definition, their smallest ``ord``.  Each distinct text is searched once.
+    in the order of their definition, their smallest ``ord``.  Each distinct text is searched once, by the index of fragments.
     """
-    named = checked(aliases).select("ord", F.lower("alias").alias("alias"), "cocode")
-    last = named.groupBy("alias").agg(F.max_by("cocode", "ord").alias("cocode"))
-    wanted = rows.select(F.lower(F.trim(F.col(text))).alias("_q")).where("_q <> ''").distinct()
-    exact = wanted.join(F.broadcast(last), F.col("_q") == F.col("alias")).select("_q", "cocode", F.lit(True).alias("exact"), F.lit(1).alias("rank"))
-    rest = wanted.join(exact.select("_q"), "_q", "left_anti").join(F.broadcast(named), F.contains(F.col("alias"), F.col("_q"))).select("_q", "cocode").distinct()
-    order = named.groupBy("cocode").agg(F.min("ord").alias("ord"))
-    placed = rest.join(F.broadcast(order), "cocode").select("_q", "cocode", F.lit(False).alias("exact"), F.row_number().over(Window.partitionBy("_q").orderBy("ord")).alias("rank"))
-    return rows.select(key, F.lower(F.trim(F.col(text))).alias("_q")).join(exact.unionByName(placed), "_q").select(key, "cocode", "exact", "rank")
+    first = Window.partitionBy("cocode")
+    named = aliases.select("ord", F.lower("alias").alias("alias"), "cocode", F.min("ord").over(first).alias("first"))
+    last = named.groupBy("alias").agg(F.max_by("cocode", "ord").alias("_code"))
+    wanted = rows.select(F.lower(stripped(F.col(text))).alias("_q")).where("_q <> ''").distinct().join(last.withColumnRenamed("alias", "_q"), "_q", "left")
+    exact = wanted.where("_code is not null").select("_q", F.col("_code").alias("cocode"), F.lit(True).alias("exact"), F.lit(1).alias("rank"))
+    rest = containing(wanted.where("_code is null").select("_q"), named).groupBy("_q", "cocode").agg(F.min("first").alias("first"))
+    placed = rest.select("_q", "cocode", F.lit(False).alias("exact"), F.row_number().over(Window.partitionBy("_q").orderBy("first")).alias("rank"))
+    return rows.select(key, F.lower(stripped(F.col(text))).alias("_q")).join(exact.unionByName(placed), "_q").select(key, "cocode", "exact", "rank")
 
 
 def carriers_of_group(carriers: DataFrame, fragment: str) -> DataFrame:
@@ -174,9 +203,11 @@ def canonical_carrier(rows: DataFrame, aliases: DataFrame, carriers: DataFrame,
     clean = stripped(F.col(text))
     plain = stripped(F.regexp_replace(clean, SUFFIX, ""))
     texts = rows.select(clean.alias("_t"), plain.alias("_p")).distinct()
-    found = lambda c: carrier_search(texts.select(F.col(c).alias("id"), F.col(c).alias("text")).distinct(), aliases).where("rank = 1").join(F.broadcast(checked(names)), "cocode")
-    first, second = found("_t").select(F.col("id").alias("_t"), F.col("_name").alias("_first")), found("_p").select(F.col("id").alias("_p"), F.col("_name").alias("_second"))
-    known = texts.join(first, "_t", "left").join(second, "_p", "left").select("_t", F.coalesce("_first", "_second", "_t").alias("canonical"))
+    # Both forms of all texts are searched at once.
+    both = texts.select(F.explode(F.array_distinct(F.array("_t", "_p"))).alias("text")).distinct().select(F.col("text").alias("id"), "text")
+    found = carrier_search(both, aliases).where("rank = 1").join(names, "cocode").select("id", "_name")
+    each = texts.select("_t", F.posexplode(F.array("_t", "_p")).alias("_at", "id")).join(found, "id", "left").groupBy("_t")
+    known = each.agg(F.min_by("_name", F.when(F.col("_name").isNotNull(), F.col("_at"))).alias("_found")).select("_t", F.coalesce("_found", "_t").alias("canonical"))
     return rows.withColumn("_t", clean).join(known, "_t", "left").drop("_t")
 
 
@@ -202,17 +233,22 @@ def required_elements(elements: DataFrame) -> DataFrame:
     return elements.where("required")
 
 
+#: Names of codes that may stand before a statute's number.
+STATUTE_PREFIX = r"(?i)^(?:CVC|TTC|VTL|FS|VEH\.?\s*CODE|TRANS\.?\s*CODE|PENAL|RSA|RCW|ORS|MCL|CGS|LSA|UCA|MCA|NRS|ARS|CRS|SDCL|WVC)\s*"
+
+
 def statute_key(v: Column) -> Column:
-    return F.upper(F.trim(F.regexp_replace(F.replace(v, F.lit(","), F.lit("")), r"(?i)^(?:§+|sec(?:tion)?\.?|f\.?s\.?|[a-z]{2}\.?\s?stat\.?)\s*", "")))
+    """A statute's number without the name of its code and commas, as it is written otherwise."""
+    return stripped(F.regexp_replace(stripped(F.replace(v, F.lit(","), F.lit(""))), STATUTE_PREFIX, ""))
 
 
 def citation_descriptions(rows: DataFrame, statutes: DataFrame, state: str = "state", statute: str = "statute") -> DataFrame:
-    """``rows`` with ``description``: by the cleaned statute number, else by it without leading zeros."""
-    dim = checked(statutes).select(F.col("state").alias("_s"), F.col("statute").alias("_k"), F.col("description").alias("_d"))
-    key = statute_key(F.col(statute))
+    """``rows`` with ``description``: by the statute's number in its state (in any case), else by it without leading zeros."""
+    dim = checked(statutes).groupBy("state", "statute").agg(F.max("description").alias("_d"))
+    key, upper = statute_key(F.col(statute)), F.upper(F.col(state))
     first, second = F.broadcast(dim.toDF("_s1", "_k1", "_d1")), F.broadcast(dim.toDF("_s2", "_k2", "_d2"))
-    joined = rows.join(first, (F.col(state) == F.col("_s1")) & (key == F.col("_k1")), "left").join(second, (F.col(state) == F.col("_s2")) & (F.regexp_replace(key, "^0+", "") == F.col("_k2")), "left")
-    return joined.withColumn("description", F.coalesce("_d1", "_d2")).drop("_s1", "_k1", "_d1", "_s2", "_k2", "_d2")
+    joined = rows.join(first, (upper == F.col("_s1")) & (key == F.col("_k1")), "left").join(second, (upper == F.col("_s2")) & (F.regexp_replace(key, "^0+", "") == F.col("_k2")), "left")
+    return joined.withColumn("description", F.coalesce(F.nullif("_d1", F.lit("")), "_d2")).drop("_s1", "_k1", "_d1", "_s2", "_k2", "_d2")
 
 
 def with_version(df: DataFrame, version: str) -> DataFrame:

@@ -5,50 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import once
 from ..functions.text import lines_of, plain_paragraph, strip_headings
 from ..functions.values import UNKNOWN, stripped
 
 
-def key_values(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, key, value) of every ``key: value`` line with a key under 50 and a value under 200 characters; the last of equal keys wins."""
-    lines = lines_of(docs, key).where(F.contains("line", F.lit(":")))
-    at = F.instr("line", ":")
-    name = stripped(F.regexp_replace(F.substring("line", F.lit(1), at - 1), r"[*#|_`>\-]+", " "))
-    value = stripped(F.regexp_replace(F.substring(F.col("line"), at + 1, F.length("line")), r"^[*|\s]+|[*|\s]+$", ""))
-    pairs = lines.select(key, "line_no", name.alias("key"), value.alias("value")).where("key <> '' and value <> '' and length(key) < 50 and length(value) < 200")
-    return pairs.groupBy(key, "key").agg(F.max_by("value", "line_no").alias("value"))
+# What a mined pair may be, what stays of its key, what may stand between a custom field and its value; the
+# shapes of the values of a loss notice, what stands for a missing one, and its sentences.
+LONGEST_KEY, LONGEST_VALUE, LONGEST_CUSTOM = 50, 200, 100
+NO_KEY = r"[^a-zA-Z0-9\s/]"
+CUSTOM = r"(?:[:\s\-]+)?([A-Za-z0-9\s,\.]+)(?=\n|$)"
+NOTICE = {
+    "agency": (r"(?i)(?:agency|producer)(?:[:\s]+)?([A-Za-z\s,]+(?:Inc\.|LLC)?)(?=\n|policy|insured)", "Unknown Agency"),
+    "carrier": (r"(?i)company(?:[:\s]+)?([A-Za-z\s,]+(?:Insurance|Mutual|Group)?)(?=\n|policy|insured)", "Unknown Carrier"),
+    "policy_number": (r"(?i)policy number(?:[:\s]+)?([A-Z0-9-]+)", "Unknown Policy"),
+    "named_insured": (r"(?i)named insured(?:[:\s]+)?([A-Za-z\s,]+)(?=\n|date|location)", "Unknown Insured"),
+    "date_of_loss": (r"(?i)date of loss(?:[:\s]+)?([\d\/\-]+)", "Unknown Date"),
+    "description_of_loss": (r"(?is)description of loss(?:[:\s]+)?(.*?)(?=\n[A-Z\s]+:|signature|$)", "No description provided"),
+}
+COUNTED = {"agency": "Agency Name", "policy_number": "Policy Number", "named_insured": "Named Insured", "date_of_loss": "Date of Loss", "description_of_loss": "Description of Loss"}
+SUMMARY = (
+    "ACORD Property Loss Notice received from ", "agency", ". The carrier is ", "carrier", " under Policy #", "policy_number", " for Named Insured ", "named_insured",
+    ". The Date of Loss is reported as ", "date_of_loss", ". Reported Description: ", "description_of_loss",
+)
+# End of the fixed values.
 
 
-def custom_values(docs: DataFrame, names: list[str], key: str = "doc_id") -> DataFrame:
-    """(doc_id, field_name, value): what follows each custom field's name, else ``Not Found``."""
-    quoted = lambda n: "".join("\\" + c if not (c.isalnum() or c == " ") else c for c in n)
-    each = [F.struct(F.lit(n).alias("field_name"), F.coalesce(F.nullif(stripped(F.regexp_extract("text", rf"(?i)\b{quoted(n)}\b\s*[:\-|]\s*([^\n|]+)", 1)), F.lit("")), F.lit("Not Found")).alias("value")) for n in names]
-    return docs.select(key, F.explode(F.array(*each)).alias("f")).select(key, "f.*")
+def mined(text: Column) -> Column:
+    """array<struct<key, value>> of a text's ``key: value`` lines, in order: keys under 50 and values under 200 characters."""
 
+    def pair(line: Column) -> Column:
+        at = F.instr(line, ":")
+        key, value = stripped(F.left(line, at - 1)), stripped(F.substring(line, at + 1, F.length(line)))
+        fits = (at > 0) & (key != "") & (value != "") & (F.length(key) < LONGEST_KEY) & (F.length(value) < LONGEST_VALUE)
+        return F.when(fits, F.struct(stripped(F.regexp_replace(key, NO_KEY, "")).alias("key"), value.alias("value")))
 
-#: The fields of a loss notice, their labels and what stands for a missing one; the carrier does not count for the score.
-NOTICE = {
-    "agency": (r"(?:agency|producer)", "Unknown Agency"), "carrier": (r"(?:carrier|company)", "Unknown Carrier"), "policy_number": (r"policy\s*(?:number|no\.?|#)", "Unknown Policy"),
-    "named_insured": (r"(?:named\s+)?insured", "Unknown Insured"), "date_of_loss": (r"date\s+of\s+(?:loss|occurrence)", "Unknown Date"), "description_of_loss": (r"description\s+of\s+(?:loss|occurrence)", "No description"),
-}
+    return F.filter(F.transform(F.split(text, "\n", -1), pair), lambda p: p.isNotNull() & (p["key"] != ""))
 
 
-def first_match(text: Column, label: str) -> Column:
-    return F.nullif(stripped(F.regexp_extract(text, rf"(?i)\b{label}\s*[:\-]\s*([^\n]+)", 1)), F.lit(""))
+def key_values(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, key, value) of every mined pair; the last of equal keys wins.  Lines stay in their row; only pairs are shuffled."""
+    pairs = docs.select(key, F.posexplode(mined(F.col("text"))).alias("at", "p")).select(key, "at", "p.*")
+    return pairs.groupBy(key, "key").agg(F.max_by("value", "at").alias("value"))
 
 
-def loss_notice(docs: DataFrame, fields: dict[str, tuple[str, str]] = NOTICE, uncounted: str = "carrier") -> DataFrame:
-    """A loss-notice record with a score of found fields and a summary paragraph."""
-    text = F.col("text")
-    found = {f: first_match(text, label) for f, (label, _) in fields.items()}
-    counted = [found[f].isNotNull().cast("int") for f in fields if f != uncounted]
-    score = F.round(sum(counted[1:], counted[0]) / len(counted) * 100, 1)
-    rows = docs.select("doc_id", *[F.coalesce(found[f], F.lit(default)).alias(f) for f, (_, default) in fields.items()], score.alias("accuracy_score"))
-    paragraph = F.concat(
-        F.lit("On "), "date_of_loss", F.lit(", the insured "), "named_insured", F.lit(" reported a loss under policy "), "policy_number", F.lit(" with "), "carrier",
-        F.lit(" through "), "agency", F.lit(". "), "description_of_loss",
-    )
-    return rows.withColumn("summary", plain_paragraph(paragraph))
+def custom_values(docs: DataFrame, names: list[str], key: str = "doc_id") -> DataFrame:
+    """(doc_id, field_name, value) of the custom fields that no mined key holds already.
+
+    The value is what follows the field's name, with or without a sign in between, up to a line's end; a name that does
+    not occur gives ``Not Found``, and what is not under 100 characters long gives nothing.
+    """
+    quoted = lambda n: "".join("\\" + c if not (c.isalnum() or c == "_" or ord(c) > 127) else c for c in n)
+
+    def one(name: str, keys: Column) -> Column:
+        pattern = f"(?i){quoted(name)}{CUSTOM}"
+        known = F.exists(keys, lambda k: F.contains(k, F.lit(name.lower())))
+        value = F.when(F.col("text").rlike(pattern), stripped(F.regexp_extract("text", pattern, 1))).otherwise("Not Found")
+        return F.when(~known & (F.length(value) < LONGEST_CUSTOM), F.struct(F.lit(name).alias("field_name"), value.alias("value")))
+
+    keys = F.transform(mined(F.col("text")), lambda p: F.lower(p["key"]))
+    found = once(keys, lambda k: F.filter(F.array(*[one(n, k) for n in names]), lambda f: f.isNotNull()))
+    return docs.where(F.col("text").isNotNull()).select(key, F.explode(found).alias("f")).select(key, "f.*")
+
+
+def loss_notice(docs: DataFrame) -> DataFrame:
+    """A loss-notice record: its fields, the share of counted ones found in percent, a reason for each, and a summary paragraph."""
+    text = F.coalesce("text", F.lit(""))
+    fields = {f: F.when(text.rlike(p), stripped(F.regexp_extract(text, p, 1))).otherwise(missing) for f, (p, missing) in NOTICE.items()}
+    rows = docs.select("doc_id", *[v.alias(f) for f, v in fields.items()])
+    found = {f: F.col(f) != NOTICE[f][1] for f in COUNTED}
+    reasons = F.array(*[F.when(there, f"Found {COUNTED[f]}").otherwise(f"Missing {COUNTED[f]}") for f, there in found.items()])
+    score = F.round(sum((there.cast("int") for there in found.values()), F.lit(0)) / len(found) * 100, 1)
+    summary = plain_paragraph(F.concat(*[F.col(part) if part in NOTICE else F.lit(part) for part in SUMMARY]))
+    return rows.withColumns({"accuracy_score": score, "accuracy_reasons": reasons, "summary": summary})
 
 
 def anchored_lines(docs: DataFrame, anchors: dict[str, tuple[str, int]], key: str = "doc_id", first: bool = True) -> DataFrame:

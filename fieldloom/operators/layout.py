@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, center_x, distance, lies
@@ -135,13 +135,46 @@ def spatial_values(found: DataFrame, *specs: SpatialLabel) -> DataFrame:
     return gathered.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
 
 
+#: Stands between the blocks of a document's joined text; no value holds it.
+BETWEEN = "\u0001"
+
+
 def provenance(values: DataFrame, found: DataFrame) -> DataFrame:
-    """``values`` (doc_id, field_id, value) with the page and box of the first block that contains each value (3 characters at least)."""
-    flat = lambda c: F.trim(F.lower(F.regexp_replace(c, "\n", " ")))
-    where = found.select("doc_id", F.col("text").alias("_text"), "bbox", "page", "reading_order")
-    hits = values.where(F.length("value") >= 3).join(where, "doc_id").where(F.contains(flat(F.col("_text")), flat(F.col("value"))))
-    first = hits.groupBy("doc_id", "field_id").agg(F.min_by(F.struct("page", "bbox"), F.struct("page", "reading_order")).alias("_p"))
-    return values.join(first, ["doc_id", "field_id"], "left").select(*values.columns, F.col("_p.page").alias("page"), F.col("_p.bbox").alias("bbox"))
+    """``values`` (doc_id, field_id, value) with the page and box of the first block that contains each value (3 characters at least).
+
+    A document's blocks are joined to one text in reading order, its values to one array.  A value is looked up in
+    that text once, and the blocks that end before its place tell which one it is in, so values do not meet blocks.
+    """
+    flat = lambda c: stripped(F.replace(F.lower(c), F.lit("\n"), F.lit(" ")))
+    block = F.struct("page", "reading_order", "bbox", flat(F.coalesce("text", F.lit(""))).alias("text"))
+    blocks = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("_blocks"))
+    asked = values.groupBy("doc_id").agg(F.collect_list(F.struct(*values.columns)).alias("_values")).join(blocks, "doc_id", "left")
+
+    def placed(text: Column) -> Column:
+        def one(v: Column) -> Column:
+            at = F.when(F.length(v["value"]) >= 3, F.call_function("instr", text, flat(v["value"])))
+            before = F.left(text, at - 1)
+            number = F.length(before) - F.length(F.replace(before, F.lit(BETWEEN), F.lit("")))
+            return F.struct(v.alias("v"), F.when(at > 0, F.get(F.col("_blocks"), number)).alias("b"))
+
+        return F.transform("_values", one)
+
+    text = F.array_join(F.transform("_blocks", lambda b: b["text"]), BETWEEN)
+    return asked.select(F.explode(once(text, placed)).alias("x")).select("x.v.*", F.col("x.b.page").alias("page"), F.col("x.b.bbox").alias("bbox"))
+
+
+#: Sub-fields of vehicles and parties that are looked for on the page, and values that are not.
+VEHICLE_PLACES = ("vin", "plate", "owner_name", "owner_address", "insurance_company", "policy_number", "damages")
+PARTY_PLACES = ("name", "dob", "address", "license_number")
+NO_PLACE = ("Unknown", "N/A", "")
+
+
+def entity_values(entities: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
+    """(doc_id, field_id, value) of the known sub-fields of each document's entities, as ``name[0].field``, counted in their order."""
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("entity_no")) - 1
+    each = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("value")) for f in fields])
+    rows = entities.withColumn("n", number).select("doc_id", "n", F.explode(each).alias("x"))
+    return rows.where(F.col("x.value").isNotNull() & ~F.col("x.value").isin(*NO_PLACE)).select("doc_id", F.concat(F.lit(f"{name}["), "n", F.lit("]."), "x.f").alias("field_id"), F.col("x.value").alias("value"))
 
 
 def widget_fills(record: DataFrame, widgets: DataFrame, hints: dict[str, list[str]], keywords: dict[str, list[tuple[str, str]]]) -> DataFrame:

@@ -259,7 +259,7 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def carrier_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Carriers whose name contains a fragment, in the order of their definition, or the one exact hit."""
     dim = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("alias"), F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("cocode"))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), picked((" united ", "AN", "france", "", "zz"), F.col("c_custkey")).alias("text"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), picked((" Nation_2 ", "ON_1", "nation_1", "", "zz", "2", "T", "tion_2"), F.col("c_custkey")).alias("text"))
     return enrich.carrier_search(rows, dim, "text").select("id", "cocode", "exact", "rank")
 
 
@@ -466,7 +466,7 @@ ORACLE_SQL = {
                CASE WHEN o_orderkey % 101 >= 90 THEN 'high' WHEN o_orderkey % 101 >= 70 THEN 'medium' ELSE 'low' END AS record_band FROM orders
     """,
     "carrier_hits": """
-        WITH q AS (SELECT c_custkey AS id, ['united', 'an', 'france', NULL, 'zz'][c_custkey % 5 + 1] AS q FROM customer)
+        WITH q AS (SELECT c_custkey AS id, ['nation_2', 'on_1', 'nation_1', NULL, 'zz', '2', 't', 'tion_2'][c_custkey % 8 + 1] AS q FROM customer)
         SELECT id, lpad(n_nationkey::VARCHAR, 5, '0') AS cocode, lower(n_name) = q AS exact, row_number() OVER (PARTITION BY id ORDER BY n_nationkey)::INT AS rank
         FROM q JOIN nation ON CASE WHEN q IN (SELECT lower(n_name) FROM nation) THEN lower(n_name) = q ELSE contains(lower(n_name), q) END
     """,

@@ -37,8 +37,9 @@ def flattened_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mined_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``key: value`` lines of every form; of equal keys the last."""
-    return generic.key_values(order_forms(spark, sf_dir)).where(F.col("key").isin("REPORT NO.", "DATE", "CUSTOMER", "Quantity", "Code"))
+    """The ``key: value`` lines of every form; of equal keys the last.  Keys lose their signs, values keep theirs."""
+    more = F.concat("text", F.lit("\nRe-port #: |x|\nA_b: "), "doc_id", F.lit("\n"), F.repeat(F.lit("k"), 50), F.lit(": too long\n--: no key\nkey/2: **\nempty:\nnone"))
+    return generic.key_values(order_forms(spark, sf_dir).withColumn("text", more)).where(~F.col("key").startswith("ITEM") & ~F.col("key").isin("Price", "STATUS"))
 
 
 def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +115,19 @@ def value_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.provenance(values, form_blocks(spark, sf_dir)).select("doc_id", "value", "page", F.col("bbox.l").alias("l"), F.col("bbox.t").alias("t"))
 
 
+def entity_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sub-fields of vehicles and parties stand on the pages of their reports: one block a line, 20 lines a page."""
+    docs = crash_forms(spark, sf_dir)
+    blocks = texts.lines_of(docs).select(
+        "doc_id", (F.floor(F.col("line_no") / 20) + 1).cast("int").alias("page"), F.col("line_no").alias("reading_order"), F.col("line").alias("text"), box(F.lit(50.0), 700 - (F.col("line_no") % 20) * 20.0, F.lit(500.0), 690 - (F.col("line_no") % 20) * 20.0).alias("bbox"),
+    )
+    parties = ent.parties(docs)
+    values = layout.entity_values(ent.vehicles(docs), "vehicles", layout.VEHICLE_PLACES)
+    for role in ent.ROLES:
+        values = values.unionByName(layout.entity_values(ent.with_role(parties, role), role, layout.PARTY_PLACES))
+    return layout.provenance(values, blocks).select("doc_id", "field_id", "value", "page", F.col("bbox.t").alias("t"))
+
+
 def widget_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     record = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit("weather").alias("field_id"), F.when(F.col("o_orderkey") % 4 == 0, "Fog").otherwise("Unknown").alias("value"))
@@ -122,12 +136,19 @@ def widget_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loss_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("AGENCY: "), "c_mktsegment", F.lit("\nINSURED: "), "c_name", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("\nPOLICY NUMBER: P-"), "c_custkey")).otherwise("")).alias("text"))
-    return generic.loss_notice(docs).select("doc_id", "agency", "policy_number", "named_insured", "date_of_loss", "accuracy_score", "summary")
+    """Loss notices with labels and signs, with labels only, without any, and with some."""
+    k = F.col("c_custkey")
+    labelled = F.concat(F.lit("AGENCY: "), "c_mktsegment", F.lit(" Inc.\nCompany: Big Mutual\nPOLICY NUMBER: P-"), k, F.lit("\nNAMED INSURED: Joe Doe\nDATE OF LOSS: 01/02/2024\nDESCRIPTION OF LOSS: water * damage\nin unit "), k, F.lit("\nSIGNATURE: x"))
+    bare = F.concat(F.lit("Producer Acme LLC\nCompany Big Mutual\nPolicy Number AB-"), k, F.lit("\nNamed Insured Joe Doe\nDate of Loss 2024-01-02\nDescription of Loss fire & smoke"))
+    some = F.concat(F.lit("policy number"), k, F.lit(" and description of loss: "))
+    docs = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.when(k % 4 == 0, labelled).when(k % 4 == 1, bare).when(k % 4 == 2, some).otherwise("hello").alias("text"))
+    return generic.loss_notice(docs).withColumn("accuracy_reasons", F.array_join("accuracy_reasons", "; "))
 
 
 def custom_fields_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generic.custom_values(order_forms(spark, sf_dir), ["CUSTOMER", "Broker"])
+    """Custom fields that are mined already, follow with or without a sign, or do not occur."""
+    docs = order_forms(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nWeather Conditions Sunny, warm\nRoad: Wet")))
+    return generic.custom_values(docs, ["CUSTOMER", "Broker", "ORDER REPORT FORM", "section 2", "Weather Conditions", "road"])
 
 
 def positional_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,9 +259,14 @@ def canonical_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = table(spark, sf_dir, "nation").select(F.lit("FL").alias("state"), (F.col("n_nationkey") + 300).cast("string").alias("statute"), F.col("n_name").alias("description"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("FL").alias("state"), F.concat(F.lit("F.S. 0"), F.col("o_orderkey") % 30 + 300).alias("statute"))
-    return enrich.citation_descriptions(rows, dim).select("o_orderkey", "description")
+    """Statutes written with and without the names of codes, leading zeros and commas, in states of any case."""
+    k = F.col("o_orderkey")
+    dim = table(spark, sf_dir, "nation").select(F.lit("CA").alias("state"), (F.col("n_nationkey") + 22350).cast("string").alias("statute"), F.col("n_name").alias("description"))
+    forms = F.array(*map(F.lit, ("CVC ", "Veh. Code ", "0", "", "vehcode", "F.S. ")))
+    number = (k % 30 + 22350).cast("string")
+    written = F.when(k % 5 == 0, F.concat(F.left(number, F.lit(2)), F.lit(","), F.right(number, F.lit(3)))).otherwise(number)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 2 == 0, "ca").when(k % 3 == 0, "NV").otherwise("CA").alias("state"), F.concat(F.element_at(forms, (k % 6 + 1).cast("int")), written).alias("statute"))
+    return enrich.citation_descriptions(rows, dim).select("o_orderkey", "statute", "description")
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,11 +492,12 @@ ORACLE_SQL = {
     "mined_pairs": _ITEMS
     + """
         , last AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY item_no DESC) = 1)
-        SELECT o_orderkey AS doc_id, 'REPORT NO.' AS key, 'OR-' || lpad(o_orderkey::VARCHAR, 8, '0') AS value FROM orders
+        SELECT o_orderkey AS doc_id, 'REPORT NO' AS key, 'OR-' || lpad(o_orderkey::VARCHAR, 8, '0') AS value FROM orders
         UNION ALL SELECT o_orderkey, 'DATE', strftime(o_orderdate, '%m/%d/%Y') FROM orders
         UNION ALL SELECT o_orderkey, 'CUSTOMER', c_name FROM orders JOIN customer ON o_custkey = c_custkey
         UNION ALL SELECT l_orderkey, 'Quantity', l_quantity::INT::VARCHAR FROM last
         UNION ALL SELECT l_orderkey, 'Code', l_returnflag FROM last
+        UNION ALL SELECT o_orderkey, unnest(['Report', 'Ab', 'key/2']), unnest(['|x|', o_orderkey::VARCHAR, '**']) FROM orders
     """,
     "joined_labels": r"""
         SELECT o_orderkey AS doc_id, 'REPORT NO.: OR-' || o_orderkey || chr(10) || chr(10) || 'CUSTOMER: ' || c_name || chr(10) || 'plain line' || chr(10) || chr(10)
@@ -491,7 +518,7 @@ ORACLE_SQL = {
     """,
     "narrative_split": """
         SELECT o_orderkey AS doc_id, 'A' || o_orderkey || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'no story' END AS before,
-               CASE WHEN o_orderkey % 2 = 0 THEN 'SECTION 4 - OFFICER NARRATIVE' || chr(10) || 'It rained' ELSE '' END AS narrative, 'a b c ' || o_orderkey AS plain FROM orders
+               CASE WHEN o_orderkey % 2 = 0 THEN 'SECTION 4 - OFFICER NARRATIVE' || chr(10) || 'It rained' ELSE '' END AS narrative, 'ab c' || o_orderkey AS plain FROM orders
     """,
     "conversation_texts": "SELECT conv_id AS doc_id, string_agg(coalesce(t, ''), chr(10) ORDER BY turn) AS text, count(*) AS n_pages FROM (SELECT conv_id, turn, min(text) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id",
     "checked_status": """
@@ -512,17 +539,41 @@ ORACLE_SQL = {
         UNION ALL SELECT o_orderkey, 'above', 'REPORT NO.', 1, 42.0 FROM orders
     """,
     "value_boxes": "SELECT o_orderkey AS doc_id, lower(c_name) AS value, 1 AS page, 200.0::DOUBLE AS l, 668.0::DOUBLE AS t FROM orders JOIN customer ON o_custkey = c_custkey",
+    "entity_boxes": """
+        WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS shape, s_name, lpad(s_suppkey::VARCHAR, 17, 'A') AS vin FROM supplier),
+        places AS (
+            SELECT shape, field_id, line FROM (VALUES
+                (0, 'vehicles[0].vin', 2), (0, 'vehicles[0].owner_name', 3), (0, 'vehicles[0].plate', 5), (0, 'operators[0].name', 14), (0, 'operators[0].address', 15), (0, 'passengers[0].name', 20), (0, 'pedestrians[0].dob', 23),
+                (1, 'vehicles[0].vin', 1), (1, 'vehicles[0].plate', 1), (1, 'operators[0].name', 5), (1, 'operators[0].dob', 5), (1, 'operators[0].license_number', 5), (1, 'passengers[0].name', NULL), (1, 'passengers[0].dob', 8),
+                (1, 'pedestrians[0].name', 10), (1, 'pedestrians[0].dob', 10),
+                (2, 'vehicles[0].vin', 3), (2, 'vehicles[0].plate', 4), (2, 'vehicles[0].owner_name', 5), (2, 'operators[0].name', 11), (2, 'operators[0].dob', 11), (2, 'operators[0].address', NULL), (2, 'pedestrians[0].name', 17),
+                (3, 'vehicles[0].plate', 2)) AS t (shape, field_id, line)),
+        v AS (
+            SELECT k, p.*, CASE split_part(field_id, '].', 2) WHEN 'vin' THEN vin WHEN 'plate' THEN CASE WHEN p.shape = 3 THEN 'TX-' || lpad(k::VARCHAR, 5, '0') ELSE 'P-' || k END WHEN 'owner_name' THEN 'same as driver'
+                       WHEN 'license_number' THEN 'D' || lpad(k::VARCHAR, 6, '0') WHEN 'address' THEN k || ' Main Street' || CASE WHEN p.shape = 2 THEN ', Waco' ELSE '' END
+                       WHEN 'name' THEN CASE WHEN field_id LIKE 'operators%' THEN CASE WHEN p.shape = 0 THEN s_name ELSE 'Kay Alan' END WHEN field_id LIKE 'passengers%' THEN CASE WHEN p.shape = 0 THEN 'Pat Doe' ELSE 'Pat L. Doe' END
+                            ELSE CASE WHEN p.shape = 1 THEN 'Lou Roe' ELSE 'Pat Doe' END END
+                       ELSE CASE WHEN field_id LIKE 'operators%' THEN '01/02/1990' WHEN p.shape = 1 AND field_id LIKE 'pedestrians%' THEN '5/6/1992' ELSE '3/4/1991' END END AS value
+            FROM s JOIN places p ON s.shape = p.shape)
+        SELECT k AS doc_id, field_id, value, (line // 20 + 1)::INT AS page, (700 - line % 20 * 20)::DOUBLE AS t FROM v
+    """,
     "widget_values": "SELECT o_orderkey AS doc_id, 'weather' AS field_id, CASE WHEN o_orderkey % 4 = 0 THEN 'Fog' WHEN o_orderstatus = 'O' THEN 'Rain' WHEN o_orderstatus = 'F' THEN 'Clear' ELSE 'Weather other' END AS value FROM orders",
     "loss_notices": """
-        SELECT c_custkey AS doc_id, c_mktsegment AS agency, CASE WHEN c_custkey % 2 = 0 THEN 'P-' || c_custkey ELSE 'Unknown Policy' END AS policy_number, c_name AS named_insured, 'Unknown Date' AS date_of_loss,
-               CASE WHEN c_custkey % 2 = 0 THEN 60.0 ELSE 40.0 END::DOUBLE AS accuracy_score,
-               'On Unknown Date, the insured ' || replace(c_name, '#', ' ') || ' reported a loss under policy ' || CASE WHEN c_custkey % 2 = 0 THEN 'P-' || c_custkey ELSE 'Unknown Policy' END
-               || ' with Unknown Carrier through ' || c_mktsegment || '. No description' AS summary
-        FROM customer
+        WITH r AS (
+            SELECT c_custkey AS k, c_custkey % 4 AS shape, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || ' Inc.' WHEN 1 THEN 'Acme LLC' || chr(10) || 'Company Big Mutual' ELSE 'Unknown Agency' END AS agency, CASE WHEN c_custkey % 4 < 2 THEN 'Big Mutual' ELSE 'Unknown Carrier' END AS carrier,
+                   CASE c_custkey % 4 WHEN 0 THEN 'P-' || c_custkey WHEN 1 THEN 'AB-' || c_custkey WHEN 2 THEN c_custkey::VARCHAR ELSE 'Unknown Policy' END AS policy_number, CASE WHEN c_custkey % 4 < 2 THEN 'Joe Doe' ELSE 'Unknown Insured' END AS named_insured,
+                   ['01/02/2024', '2024-01-02', 'Unknown Date', 'Unknown Date'][c_custkey % 4 + 1] AS date_of_loss,
+                   CASE c_custkey % 4 WHEN 0 THEN 'water * damage' || chr(10) || 'in unit ' || c_custkey WHEN 1 THEN 'fire & smoke' WHEN 2 THEN '' ELSE 'No description provided' END AS description_of_loss
+            FROM customer)
+        SELECT k AS doc_id, agency, carrier, policy_number, named_insured, date_of_loss, description_of_loss, [100.0, 100.0, 40.0, 0.0][shape + 1]::DOUBLE AS accuracy_score,
+               array_to_string(list_transform([[agency <> 'Unknown Agency', shape = 9], [shape < 3, shape = 9], [shape < 2, shape = 9], [shape < 2, shape = 9], [shape < 3, shape = 9]], lambda x, i:
+                   CASE WHEN x[1] THEN 'Found ' ELSE 'Missing ' END || ['Agency Name', 'Policy Number', 'Named Insured', 'Date of Loss', 'Description of Loss'][i]), '; ') AS accuracy_reasons,
+               trim('ACORD Property Loss Notice received from ' || replace(agency, chr(10), ' ') || '. The carrier is ' || carrier || ' under Policy ' || policy_number || ' for Named Insured ' || named_insured || '. The Date of Loss is reported as ' || replace(date_of_loss, '/', '')
+                    || '. Reported Description ' || replace(replace(replace(description_of_loss, ' *', ''), ' &', ''), chr(10), ' ')) AS summary
+        FROM r
     """,
     "custom_fields_found": """
-        SELECT o_orderkey AS doc_id, 'CUSTOMER' AS field_name, c_name AS value FROM orders JOIN customer ON o_custkey = c_custkey
-        UNION ALL SELECT o_orderkey, 'Broker', 'Not Found' FROM orders
+        SELECT o_orderkey AS doc_id, unnest(['Broker', 'ORDER REPORT FORM', 'section 2', 'Weather Conditions']) AS field_name, unnest(['Not Found', substr(o_orderpriority, 1, 1), 'ITEMS', 'Sunny, warm']) AS value FROM orders
     """,
     "positional_values": """
         SELECT o_orderkey AS doc_id, 'date' AS field_id, 'DATE: ' || strftime(o_orderdate, '%m/%d/%Y') AS value FROM orders
@@ -570,7 +621,12 @@ ORACLE_SQL = {
         SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN lower(n_name) || ' mutual' WHEN 1 THEN n_name || ' Mutual Inc' ELSE 'Nobody Knows' END AS text,
                CASE WHEN c_custkey % 3 = 2 THEN 'Nobody Knows' ELSE n_name || ' MUTUAL' END AS canonical FROM customer JOIN nation ON c_nationkey = n_nationkey
     """,
-    "citations": "SELECT o_orderkey, n_name AS description FROM orders LEFT JOIN nation ON o_orderkey % 30 = n_nationkey",
+    "citations": """
+        WITH r AS (SELECT o_orderkey AS k, (o_orderkey % 30 + 22350)::VARCHAR AS number FROM orders)
+        SELECT k AS o_orderkey, ['CVC ', 'Veh. Code ', '0', '', 'vehcode', 'F.S. '][k % 6 + 1] || CASE WHEN k % 5 = 0 THEN left(number, 2) || ',' || right(number, 3) ELSE number END AS statute,
+               CASE WHEN k % 6 <> 5 AND NOT (k % 2 = 1 AND k % 3 = 0) THEN n_name END AS description
+        FROM r LEFT JOIN nation ON k % 30 = n_nationkey
+    """,
     "top_corrections": """
         WITH t AS (SELECT event_type AS field_name, count(*) AS corrections FROM events GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
         SELECT field_name, corrections, round(100.0 * corrections / max(corrections) OVER ())::INT AS percent FROM t
@@ -661,7 +717,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         items_roundtrip, flattened_tables, mined_pairs, joined_labels, compound_lines, narrative_split, conversation_texts, checked_status, nearby_customer,
-        spatial_fields, value_boxes, widget_values, loss_notices, custom_fields_found, positional_values, glued_values, crash_vehicles, crash_parties, crash_people, crash_witnesses, learned_headers,
+        spatial_fields, value_boxes, entity_boxes, widget_values, loss_notices, custom_fields_found, positional_values, glued_values, crash_vehicles, crash_parties, crash_people, crash_witnesses, learned_headers,
         decoded_records, carrier_names, canonical_carriers, citations, top_corrections, recent_corrections, correction_totals, user_ratings, store_after_changes,
         learned_aliases, learned_patterns, learned_values, extraction_metrics, document_metrics, confidence_calibration, worst_failures, fill_by_status, structure_checks,
         record_scores, report_notes, adjuster_notes, claim_discrepancies, record_insights, merged_templates, routed_files, streamed_items,
