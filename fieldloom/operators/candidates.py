@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..functions.values import stripped
 from .templates import java_pattern, valid_pattern
 
 COLUMNS = ("doc_id", "field_id", "value", "strategy", "priority", "match_pattern", "raw_match", "start", "end", "page", "preset", "gen_order", "window", "text_length")
+#: What candidates from the page have besides; null for those from text.
+BOXES = ("bbox", "label_bbox", "label_distance")
 #: Characters of text before and after the start of a match that travel with a candidate, so that scoring needs no text.
 BEFORE, AFTER = 80, 60
 
@@ -47,6 +50,49 @@ def strategy(name: str):
     return add
 
 
+#: What a table strategy returns for each candidate of a text; places and page may be null.
+TABLE_SCHEMA = "value string, raw_match string, start int, end int, page int, preset double"
+_TABLES: dict[str, Callable[[Strategy], type]] = {}
+
+
+def table_strategy(name: str):
+    """Register a Python table function as a strategy: a function from a :class:`Strategy` to a handler class whose
+    ``eval(text)`` yields rows of ``TABLE_SCHEMA`` in order (for what column functions cannot express)."""
+
+    def add(f):
+        _TABLES[name] = f
+        return f
+
+    return add
+
+
+def _from_table(docs: DataFrame, s: Strategy, text: str) -> DataFrame:
+    """Candidates of a table strategy, joined laterally: each document meets its own rows, nothing is shuffled."""
+    handler = _TABLES[s.name](s)
+
+    class Numbered(handler):
+        def eval(self, text):
+            if text is not None:
+                for n, row in enumerate(super().eval(text)):
+                    yield (*row, n)
+
+    rows = F.udtf(Numbered, returnType=f"{TABLE_SCHEMA}, match int")
+    found = docs.select("doc_id", F.col(text).alias("text")).lateralJoin(rows(F.col("text").outer()))
+    begin = F.greatest(F.col("start") - BEFORE, F.lit(0))
+    own = found.where(F.coalesce("value", F.lit("")) != "").withColumns({
+        "field_id": F.lit(s.field_id), "strategy": F.lit(s.name), "priority": F.lit(s.priority), "match_pattern": F.lit(None).cast("string"),
+        "gen_order": F.struct(F.lit(s.priority).alias("priority"), F.lit(s.idx).alias("strategy"), F.lit(0).alias("pattern"), F.col("match")),
+        "window": F.substring(F.col("text"), begin + 1, F.col("start") + AFTER - begin), "text_length": F.length("text"),
+    })
+    return own.select(*COLUMNS)
+
+
+def with_boxes(candidates: DataFrame) -> DataFrame:
+    """Candidates from text with empty ``BOXES``, to stand in one table with those from the page."""
+    kinds = {"bbox": "struct<l:double,t:double,r:double,b:double>", "label_bbox": "struct<l:double,t:double,r:double,b:double>", "label_distance": "double"}
+    return candidates.withColumns({c: F.lit(None).cast(kinds[c]) for c in BOXES if c not in candidates.columns})
+
+
 def _candidate(text: Column, s: Strategy, value: Column, raw: Column, start: Column, end: Column, pattern: str | None, page: Column, pattern_idx: int, match_idx: Column, preset: Column | None = None) -> Column:
     begin = F.greatest(start - BEFORE, F.lit(0))
     return F.struct(
@@ -163,14 +209,17 @@ def generate(docs: DataFrame, strategies: list[Strategy], text: str = "text") ->
     """Candidates of all strategies over (doc_id, text), one pass over the documents.
 
     Fields are the driver's small template; each becomes literal expressions, which
-    Spark evaluates without a join.
+    Spark evaluates without a join.  Table strategies (:func:`table_strategy`) are
+    lateral joins of their own beside it.
     """
-    unknown = [s.name for s in strategies if s.name not in _STRATEGIES]
+    unknown = [s.name for s in strategies if s.name not in _STRATEGIES and s.name not in _TABLES]
     if unknown:
         raise ValueError(f"no such strategy: {unknown[0]}")
     ordered = sorted(strategies, key=lambda s: s.priority)
-    each = [_STRATEGIES[s.name](F.col(text), s) for s in ordered]
-    return docs.select("doc_id", F.explode(F.concat(*each)).alias("c")).select("doc_id", "c.*").select(*COLUMNS)
+    each = [_STRATEGIES[s.name](F.col(text), s) for s in ordered if s.name in _STRATEGIES]
+    parts = [docs.select("doc_id", F.explode(F.concat(*each)).alias("c")).select("doc_id", "c.*").select(*COLUMNS)] if each else []
+    parts += [_from_table(docs, s, text) for s in ordered if s.name in _TABLES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reserve_language(text: Column) -> tuple[Column, Column]:

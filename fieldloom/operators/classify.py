@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
+from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spans import once
 from .templates import checked
 
 #: How much of a text is looked at, and what an unknown form is called and trusted.
@@ -44,16 +47,95 @@ def read_fingerprints(spark: SparkSession, path: str) -> list[tuple[str, tuple[s
     return [(r.form_id, tuple(r.patterns)) for r in sorted(rows, key=lambda r: r.position)]
 
 
-def form_of(text: Column, fingerprints: list[tuple[str, tuple[str, ...]]]) -> Column:
-    """The first form one of whose patterns occurs in the head of the text, regardless of case; null if none does."""
+def required_literals(pattern: str) -> frozenset[str] | None:
+    """Texts in small letters of which every match of a pattern holds at least one; null if none can be told.
+
+    Of what must be matched in a row the longest text is taken, of alternatives one text each.
+    """
+    try:
+        parsed = _parser.parse(pattern, re.IGNORECASE)
+    except re.error:
+        return None
+
+    def best(options: list[frozenset[str]]) -> frozenset[str] | None:
+        """The most telling of several requirements: the one whose shortest text is longest."""
+        return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=None)
+
+    def of(items) -> frozenset[str] | None:
+        options: list[frozenset[str]] = []
+        run = ""
+        for op, value in [*items, (None, None)]:
+            if op is _constants.LITERAL and chr(value).isascii():
+                run += chr(value).lower()
+                continue
+            if run:
+                options.append(frozenset([run]))
+                run = ""
+            found = None
+            if op is _constants.SUBPATTERN:
+                found = of(value[-1])
+            elif op is _constants.MAX_REPEAT and value[0] > 0:
+                found = of(value[2])
+            elif op is _constants.BRANCH:
+                each = [of(b) for b in value[1]]
+                found = frozenset().union(*each) if all(each) else None
+            if found:
+                options.append(found)
+        return best(options)
+
+    found = of(parsed)
+    return found if found and min(map(len, found)) > 1 else None
+
+
+def one_of(words: list[str]) -> str:
+    """A pattern of a tree of letters: the longest of ``words`` that begins at a place."""
+    def tree(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            if w:
+                heads.setdefault(w[0], []).append(w[1:])
+        branches = "|".join(("\\" + c if not c.isalnum() and c not in " _" else c) + tree(tails) for c, tails in sorted(heads.items()))
+        return "" if not heads else f"(?:{branches})?" if "" in rest else f"(?:{branches})"
+
+    return tree(sorted(set(words)))
+
+
+def literals_in(head: Column, words: list[str]) -> Column:
+    """The longest of ``words`` (small letters) at each place of a text, each once: one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(head), F.lit(f"(?=({one_of(words)}))"), F.lit(1)))
+
+
+def form_of(text: Column, fingerprints: list[tuple[str, tuple[str, ...]]], prefilter: bool = True) -> Column:
+    """The first form one of whose patterns occurs in the head of the text, regardless of case; null if none does.
+
+    ``prefilter``: the texts that patterns require are looked for in one pass, and a pattern is tried only where one of
+    its own was found; without it each pattern is tried in turn.  Both give the same.
+    """
     head = F.substring(text, 1, LOOKED_AT)
-    out = None
-    for form, patterns in fingerprints:
-        found = F.lit(False)
-        for p in patterns:
-            found = found | head.rlike(f"(?i){p}")
-        out = (F if out is None else out).when(found, form)
-    return F.lit(None).cast("string") if out is None else out
+    needs = {p: required_literals(p) for _, patterns in fingerprints for p in patterns} if prefilter else {}
+    words = sorted({w for own in needs.values() if own for w in own})
+
+    def chain_of(found: Column | None) -> Column:
+        out = None
+        for form, patterns in fingerprints:
+            hit = F.lit(False)
+            for p in patterns:
+                own = needs.get(p)
+                # A text is there if one that it begins was found at the same place.
+                tried = head.rlike(f"(?i){p}")
+                hit = hit | (tried if not own or found is None else F.arrays_overlap(found, F.array(*[F.lit(w) for w in words if any(w.startswith(o) for o in own)])) & tried)
+            out = (F if out is None else out).when(hit, form)
+        return F.lit(None).cast("string") if out is None else out
+
+    return once(literals_in(head, words), chain_of) if words else chain_of(None)
+
+
+def patterns_left(text: Column, fingerprints: list[tuple[str, tuple[str, ...]]]) -> Column:
+    """How many patterns the pass for required texts leaves to be tried on a text at most."""
+    needs = [required_literals(p) for _, patterns in fingerprints for p in patterns]
+    words = sorted({w for own in needs if own for w in own})
+    overlap = lambda found, own: F.arrays_overlap(found, F.array(*[F.lit(w) for w in words if any(w.startswith(o) for o in own)])).cast("int")
+    return once(literals_in(F.substring(text, 1, LOOKED_AT), words), lambda found: sum((overlap(found, own) if own else F.lit(1) for own in needs), F.lit(0)))
 
 
 def classify(docs: DataFrame, fingerprints: list[tuple[str, tuple[str, ...]]], states: dict[str, str]) -> DataFrame:

@@ -7,8 +7,12 @@ which rows.  Keys: corrections (id), raw documents (doc_id), aliases
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import table_rows
 from ..functions.values import MISSING
@@ -22,6 +26,9 @@ LEARNABLE = (
 HEADER_WORDS = ("vin", "plate", "license", "citation", "name", "dob")
 
 
+BUCKET = "store_bucket"
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
@@ -48,6 +55,68 @@ def deleted(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return existing.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
+# ---- stores in buckets: a change rewrites the buckets that it touches, whatever the size of the store
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_store(rows: DataFrame, path: str, keys: list[str], buckets: int = 256) -> None:
+    """A new store of ``rows``, in folders by the hash of their keys."""
+    rows.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows of a store; ``schema`` without its buckets, so an emptied store can be read too."""
+    return spark.read.schema(schema).parquet(path).drop(BUCKET)
+
+
+def _rewrite(spark: SparkSession, path: str, schema, keys: list[str], buckets: int, changed: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replaces the buckets that ``changed`` rows fall in by ``change`` of their stored rows.
+
+    The new rows are written beside the store first, so they do not depend on files that are being replaced, and a
+    run that fails before the exchange leaves the store as it was.
+    """
+    bucket = bucket_of(keys, buckets)
+    touched = [r[0] for r in changed.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    system = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {b: f"{path}/{BUCKET}={b}" for b in touched}
+    there = [f for f in folders.values() if system.exists(of(f))]
+    stored = spark.read.schema(schema).parquet(*there) if there else spark.createDataFrame([], schema)
+    name = uuid.uuid4().hex
+    beside, old = f"{path}_next_{name}", f"{path}_old_{name}"
+    moved = []
+    try:
+        change(stored).withColumn(BUCKET, bucket).repartition(BUCKET).write.partitionBy(BUCKET).parquet(beside)
+        system.mkdirs(of(old))
+        for b, folder in folders.items():
+            if system.exists(of(folder)):
+                system.rename(of(folder), of(f"{old}/{b}"))
+                moved.append(b)
+            if system.exists(of(f"{beside}/{BUCKET}={b}")):
+                system.rename(of(f"{beside}/{BUCKET}={b}"), of(folder))
+    except BaseException:
+        for b in moved:  # what was there before stands again
+            system.delete(of(folders[b]), True)
+            system.rename(of(f"{old}/{b}"), of(folders[b]))
+        raise
+    finally:
+        for folder in (beside, old):
+            system.delete(of(folder), True)
+
+
+def upsert_store(spark: SparkSession, path: str, schema, incoming: DataFrame, key: str, version: str, buckets: int = 256) -> None:
+    """:func:`upserted` on a store: reads and writes only the buckets of the incoming keys."""
+    _rewrite(spark, path, schema, [key], buckets, incoming, lambda stored: upserted(stored, incoming.select(*stored.columns), key, version))
+
+
+def delete_from_store(spark: SparkSession, path: str, schema, gone: DataFrame, keys: list[str], buckets: int = 256) -> None:
+    """:func:`deleted` on a store: reads and writes only the buckets of the keys that go."""
+    _rewrite(spark, path, schema, keys, buckets, gone, lambda stored: deleted(stored, gone, keys))
+
+
 def custom_field_names(custom: DataFrame) -> DataFrame:
     """Names of custom fields: global, although stored with a document."""
     return custom.select("field_name").distinct()
@@ -78,7 +147,14 @@ def learn_aliases(corrections: DataFrame, raw: DataFrame, known: DataFrame | Non
     The header is the first row with a header word, else the first row; a cell and a
     value match if either contains the other (an empty cell matches nothing).
     """
-    rows = table_rows(raw.join(corrections.select("doc_id").distinct(), "doc_id", "left_semi"))
+    cells = column_cells(raw.join(corrections.select("doc_id").distinct(), "doc_id", "left_semi"))
+    found = alias_hits(corrections, cells).distinct()
+    return found if known is None else new_rows(found, known, ["canonical_field", "alias_header"])
+
+
+def column_cells(raw: DataFrame) -> DataFrame:
+    """(doc_id, alias_header, cell): the cells of the tables of texts under their headers, in small letters."""
+    rows = table_rows(raw)
     order = Window.partitionBy("doc_id", "table_no").orderBy("line_no")
     rows = rows.withColumn("n", F.row_number().over(order))
     joined = F.lower(F.array_join("cells", " "))
@@ -86,11 +162,14 @@ def learn_aliases(corrections: DataFrame, raw: DataFrame, known: DataFrame | Non
     whole = Window.partitionBy("doc_id", "table_no")
     rows = rows.withColumn("at", F.coalesce(F.min(F.when(is_header, F.col("n"))).over(whole), F.lit(1)))
     rows = rows.withColumn("head", F.first(F.when(F.col("n") == F.col("at"), F.col("cells")), ignorenulls=True).over(whole))
-    cells = rows.where("n > at").select("doc_id", "head", F.posexplode("cells").alias("col", "cell")).select("doc_id", F.lower(F.trim(F.get("head", F.col("col")))).alias("alias_header"), F.lower("cell").alias("cell")).where("cell <> ''")
+    return rows.where("n > at").select("doc_id", "head", F.posexplode("cells").alias("col", "cell")).select("doc_id", F.lower(F.trim(F.get("head", F.col("col")))).alias("alias_header"), F.lower("cell").alias("cell")).where("cell <> ''")
+
+
+def alias_hits(corrections: DataFrame, cells: DataFrame) -> DataFrame:
+    """(canonical_field, alias_header) of every corrected value that stands in a cell or holds one; repeats come again."""
     given = corrections.where(F.trim(F.coalesce("new_value", F.lit(""))) != "").select("doc_id", F.lower("field_name").alias("canonical_field"), F.lower(F.trim("new_value")).alias("wanted"))
     hits = given.join(cells, "doc_id").where(F.contains(F.col("cell"), F.col("wanted")) | F.contains(F.col("wanted"), F.col("cell")))
-    found = hits.where("alias_header <> '' and alias_header <> canonical_field").select("canonical_field", "alias_header").distinct()
-    return found if known is None else new_rows(found, known, ["canonical_field", "alias_header"])
+    return hits.where("alias_header <> '' and alias_header <> canonical_field").select("canonical_field", "alias_header")
 
 
 def alias_lists(learned: DataFrame, most: int = MOST_ROWS) -> dict[str, list[str]]:
@@ -113,11 +192,16 @@ def learn_patterns(corrections: DataFrame, raw: DataFrame, known: DataFrame | No
     last line that is not blank in the 60 characters before the value, and the
     pattern must match the document it came from.
     """
+    found = pattern_hits(corrections, raw, learnable).groupBy("field_name", "pattern").agg(F.min_by(F.struct("new_value", "doc_id"), "id").alias("x")).select("field_name", "pattern", F.col("x.new_value").alias("example"), F.col("x.doc_id").alias("source_doc"))
+    return found if known is None else new_rows(found, known, ["field_name", "pattern"])
+
+
+def pattern_hits(corrections: DataFrame, raw: DataFrame, learnable: tuple[str, ...] = LEARNABLE) -> DataFrame:
+    """(field_name, pattern, new_value, doc_id, id) of every correction that teaches a pattern; repeats come again."""
     fit = corrections.where(F.lower(F.trim("original_value")).isin(*MISSING) & (F.trim("new_value") != "") & F.col("field_name").isin(*learnable))
     rows = fit.join(raw.select("doc_id", "text"), "doc_id").withColumn("at", F.call_function("locate", F.lower("new_value"), F.lower("text"))).where("at > 0")
     before = F.substring(F.col("text"), F.greatest(F.col("at") - 60, F.lit(1)), F.least(F.col("at") - 1, F.lit(60)))
     lines = F.filter(F.transform(F.split(before, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = rows.withColumn("label", F.trim(F.regexp_replace(F.try_element_at(lines, F.lit(-1)), r"[\s:\-]+$", ""))).where(F.length("label").between(3, 60) & ~F.col("label").rlike(r"^\d"))
     rows = rows.withColumn("pattern", F.concat(F.lit("(?i)"), quoted(), F.lit(r"[\s:*\-]{0,5}(.{3,80})(?:\n|$)"))).where(F.expr("rlike(text, pattern)"))
-    found = rows.groupBy("field_name", "pattern").agg(F.min_by(F.struct("new_value", "doc_id"), "id").alias("x")).select("field_name", "pattern", F.col("x.new_value").alias("example"), F.col("x.doc_id").alias("source_doc"))
-    return found if known is None else new_rows(found, known, ["field_name", "pattern"])
+    return rows.select("field_name", "pattern", "new_value", "doc_id", "id")

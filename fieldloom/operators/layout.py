@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box, center_x, distance, lies
 from ..functions.spans import once
 from ..functions.values import stripped
-from .candidates import inline_flags
+from .candidates import BOXES, COLUMNS, inline_flags
 from .templates import java_pattern
 
 _PROV = "prov:array<struct<page_no:int,bbox:struct<l:double,t:double,r:double,b:double>>>"
@@ -82,6 +82,8 @@ class SpatialLabel:
     match: str = "regex"
     flags: tuple[str, ...] = ()
     value_flags: tuple[str, ...] = ()
+    priority: int = 50
+    idx: int = 0
 
 
 def _is_label(text: Column, label: str, spec: SpatialLabel) -> Column:
@@ -101,10 +103,10 @@ def _value_of(text: Column, spec: SpatialLabel) -> Column:
 
 
 def _found(page_blocks: Column, spec: SpatialLabel) -> Column:
-    """struct(field_id, value, page, bbox, label_bbox, label_distance) of a field among a document's blocks in reading order, or null."""
+    """struct(field_id, value, page, bbox, label_bbox, label_distance, raw_match, match_pattern, priority, idx) of a field among a document's blocks in reading order, or null."""
 
     def made(value: Column, b: Column, label: Column, away: Column) -> Column:
-        out = F.struct(F.lit(spec.field_id).alias("field_id"), value.alias("value"), b["page"].alias("page"), b["bbox"].alias("bbox"), label["bbox"].alias("label_bbox"), away.alias("label_distance"))
+        out = F.struct(F.lit(spec.field_id).alias("field_id"), value.alias("value"), b["page"].alias("page"), b["bbox"].alias("bbox"), label["bbox"].alias("label_bbox"), away.alias("label_distance"), b["text"].alias("raw_match"), F.lit(spec.value_pattern if spec.direction == "self" else None).cast("string").alias("match_pattern"), F.lit(spec.priority).alias("priority"), F.lit(spec.idx).alias("idx"))
         return F.when(value.isNotNull(), out)
 
     def beside(label: Column) -> Column:
@@ -126,7 +128,7 @@ def _found(page_blocks: Column, spec: SpatialLabel) -> Column:
 
 
 def spatial_values(found: DataFrame, *specs: SpatialLabel) -> DataFrame:
-    """(doc_id, field_id, value, page, bbox, label_bbox, label_distance) of all fields.
+    """(doc_id, field_id, value, page, bbox, label_bbox, label_distance, raw_match, match_pattern, priority, idx) of all fields.
 
     A document's blocks are gathered once, in reading order, and every field is read from that array.
     """
@@ -135,6 +137,16 @@ def spatial_values(found: DataFrame, *specs: SpatialLabel) -> DataFrame:
     return gathered.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
 
 
+def spatial_candidates(found: DataFrame, *specs: SpatialLabel) -> DataFrame:
+    """Values from the page as candidates with boxes: the same columns as those from text, and ``BOXES``."""
+    none = {"start": "int", "end": "int", "preset": "double", "window": "string", "text_length": "int"}
+    hits = spatial_values(found, *specs).withColumns({
+        "strategy": F.lit("spatial_label"), "gen_order": F.struct("priority", F.col("idx").alias("strategy"), F.lit(0).alias("pattern"), F.lit(0).alias("match")),
+        **{c: F.lit(None).cast(t) for c, t in none.items()},
+    })
+    return hits.select(*COLUMNS, *BOXES)
+
+
 #: Stands between the blocks of a document's joined text; no value holds it.
 BETWEEN = "\u0001"
 

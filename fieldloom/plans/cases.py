@@ -6,19 +6,22 @@ tables and the SQL reads it there.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..functions import values
-from ..operators import classify, enrich, evaluate, feedback, generic, layout, report, templates
-from ..operators.candidates import Strategy, generate
+from ..operators import classify, crash_tables, enrich, evaluate, feedback, generic, layout, report, templates
+from ..operators.candidates import Strategy, generate, table_strategy, with_boxes
 from ..operators.score import score
 from ..operators.select import audit, best
 from ..operators.validate import Rule, validate
 from ..sources import scans
 from ..streaming import jobs
 from .forms import order_forms, shared_folder, table
+from .records import form_blocks
 
 
 def picked(options, k: Column) -> Column:
@@ -343,6 +346,101 @@ def learned_on_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.learned(spark, f"{folder}/out/patterns", jobs.PATTERN_SCHEMA).groupBy("field_name", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+def aliases_on_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers learned from corrections that arrive as files in several batches: each is stored once, and the next extraction reads under it."""
+    folder = shared_folder(spark)
+    n = F.col("s_suppkey").cast("string")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat(F.lit("V1:\nChassis Ref: C-"), n).alias("report"), F.concat(F.lit("| Chassis Ref | Name of Street |\n|---|---|\n| C-"), n, F.lit(" | Elm |")).alias("text"), F.concat(F.lit("C-"), n).alias("new_value"))
+    s.select("doc_id", F.lit("vin").alias("field_name"), F.lit("Unknown").alias("original_value"), "new_value", F.col("doc_id").alias("id")).repartition(3).write.parquet(f"{folder}/in")
+    s.select("doc_id", "text").write.parquet(f"{folder}/raw")
+    fixed = spark.read.parquet(f"{folder}/in")
+    for query in jobs.learn_from_arriving(jobs.arriving_rows(spark, f"{folder}/in", fixed.schema, 1), spark.read.parquet(f"{folder}/raw"), f"{folder}/out", f"{folder}/checkpoint"):
+        query.awaitTermination()
+    stored = jobs.learned(spark, f"{folder}/out/aliases", jobs.ALIAS_SCHEMA)
+    n_stored = stored.where("canonical_field = 'vin'").count()
+    found = crash_tables.vehicles(s.select("doc_id", F.col("report").alias("text")), feedback.alias_lists(stored))
+    return found.select("doc_id", "vin", F.lit(n_stored).alias("n_stored"))
+
+
+# ---- one table of candidates from text and page, user strategies, forms of a library, stores in buckets
+
+
+def boxed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of candidates from text and page: a value beside its label beats one far from any, a label taken for a value is fined, a plausible date in the text beats its box."""
+    docs, spec = order_forms(spark, sf_dir), layout.SpatialLabel
+    text = generate(docs, [Strategy("customer", "nearby_text", (r"ORDER REPORT",), priority=10), Strategy("date_time", patterns=(r"DATE: (\d{2}/\d{2}/\d{4})",), priority=10)])
+    page = layout.spatial_candidates(
+        form_blocks(spark, sf_dir), spec("customer", ("^CUSTOMER$",), "right", 200.0, priority=10, idx=1), spec("own", ("^STATUS$",), "self", priority=10), spec("date_time", ("^DATE$",), "right", 200.0, priority=10, idx=1)
+    )
+    scored = score(validate(with_boxes(text).unionByName(page), {}), labels={"customer": ["nowhere"], "date_time": ["DATE"]})
+    seen = F.col("strategy") == "spatial_label"
+    return best(scored).select("doc_id", "field_id", "value", "strategy", F.when(seen, F.round("confidence", 4)).alias("confidence"), "overlap_penalty", F.round("bbox.l", 1).alias("l"))
+
+
+@table_strategy("even_numbers")
+def even_numbers(s: Strategy):
+    """Numbers of some digits after a prefix whose digits add up to an even sum, which no pattern tells."""
+    import re
+
+    pattern = re.compile(s.config["prefix"] + r"(\d+)")
+
+    class Numbers:
+        def eval(self, text):
+            for m in pattern.finditer(text):
+                if sum(map(int, m[1])) % 2 == 0:
+                    yield m[1], m[0], m.start(1), m.end(1), None, None
+
+    return Numbers
+
+
+def table_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's table function beside a pattern: where it finds a value, its higher priority makes it the first candidate."""
+    found = generate(order_forms(spark, sf_dir), [Strategy("number", "even_numbers", priority=5, config={"prefix": "OR-"}), Strategy("number", patterns=(r"REPORT NO\.: (\S+)",), priority=50, idx=1)])
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct("value", "strategy", "start"), "gen_order").alias("c"), F.count(F.lit(1)).alias("n"))
+    return first.select("doc_id", "c.*", "n")
+
+
+def form_patterns(form_id: str) -> list[str]:
+    """Three patterns of a form, by rule from its id: state and number after FORM, before REPORT, after REPORT OF."""
+    state, code = form_id.upper().split("_", 1)
+    number = r"[\s\-_]*".join(re.findall(r"[A-Z]+|\d+", code))
+    return [rf"\b{state}\s+FORM\s+{number}\b", rf"\b{state}-{number}\b.{{0,40}}REPORT", rf"(?:REPORT|NOTICE)\s+OF\s+{state}\s+{number}\b"]
+
+
+def library_fingerprints(spark: SparkSession) -> list[tuple[str, tuple[str, ...]]]:
+    """Fingerprints of all forms with an overlay, written to a file as people keep it and read back."""
+    folder = shared_folder(spark)
+    rows = [(f, form_patterns(f), i) for i, f in enumerate(classify.FORM_IDS)]
+    spark.createDataFrame(rows, "form_id string, patterns array<string>, position int").write.json(folder)
+    return classify.read_fingerprints(spark, folder)
+
+
+def library_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of a whole library in three spellings, and other texts, classified with their states and overlays."""
+    k = F.col("o_orderkey")
+    ids = F.array(*map(F.lit, classify.FORM_IDS))
+    form = F.get(ids, (k % 60).cast("int"))
+    code = F.upper(F.substring_index(form, "_", 1)), F.regexp_replace(F.upper(F.regexp_replace(form, "^[a-z]+_", "")), r"(?<=[A-Z])(?=\d)|_", "-")
+    marks = [F.concat(code[0], F.lit(" form "), code[1]), F.concat(code[0], F.lit("-"), code[1], F.lit(" crash report")), F.concat(F.lit("Notice of\n"), code[0], F.lit(" "), code[1])]
+    mark = F.coalesce(picked(marks, F.floor(k / 60)), F.lit("form report of no state"))
+    docs = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.concat(F.repeat(F.lit("lines of a header - "), 20), F.lit("\n"), mark, F.lit("\nDriver 1")).alias("text"))
+    found = docs.select("doc_id", classify.form_of(F.col("text"), library_fingerprints(spark)).alias("form_id"))
+    return found.select("doc_id", "form_id", classify.state_of_form(F.col("form_id")).alias("state"), classify.overlay_of_form(F.col("form_id")).alias("overlay"))
+
+
+def bucketed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store in buckets after an upsert of some keys, new ones too, and the deletion of others."""
+    folder, schema = f"{shared_folder(spark)}/store", "doc_id long, version long, note string"
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).cast("long").alias("version"), F.lit("first").alias("note"))
+    feedback.write_store(c, folder, ["doc_id"], 64)
+    newer = c.where("doc_id % 7 = 0").select("doc_id", F.lit(2).cast("long").alias("version"), F.lit("second").alias("note"))
+    older = c.where("doc_id % 7 = 1").select("doc_id", F.lit(0).cast("long").alias("version"), F.lit("stale").alias("note"))
+    added = c.where("doc_id % 7 = 2").select(-F.col("doc_id") - 1, F.lit(1).cast("long"), F.lit("added")).toDF("doc_id", "version", "note")
+    feedback.upsert_store(spark, folder, schema, newer.unionByName(older).unionByName(added), "doc_id", "version", 64)
+    feedback.delete_from_store(spark, folder, schema, c.where("doc_id % 5 = 0").select("doc_id"), ["doc_id"], 64)
+    return feedback.read_store(spark, folder, schema)
+
+
 def evaluation_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of an evaluation run as a stored document: counts of each status, overall rates, and per-document figures."""
     k = F.col("o_orderkey")
@@ -498,6 +596,25 @@ ORACLE_SQL = {
         SELECT 'agency' AS field_name, '(?i)CUSTOMER[\s:*\-]{0,5}(.{3,80})(?:\n|$)' AS pattern, c_name AS example, o_orderkey AS source_doc
         FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 1
     """,
+    "aliases_on_arrival": "SELECT s_suppkey AS doc_id, 'C-' || s_suppkey AS vin, 1::BIGINT AS n_stored FROM supplier",
+    "boxed_fields": """
+        WITH w AS (SELECT 0.15 AS whole, 0.15 * (1 - (150 - 30) / 170.0) AS beside, 0.15 + 0.05 * 0.5 + 0.10 * 0.70 + 0.05 * 1.0 + 0.15 * 0.5 + 0.35 * 0.5 + (100 - 10) * 0.0002 AS same)
+        SELECT o_orderkey AS doc_id, 'customer' AS field_id, c_name AS value, 'spatial_label' AS strategy, round(beside + same, 4)::DOUBLE AS confidence, 0.0::DOUBLE AS overlap_penalty, 200.0::DOUBLE AS l FROM orders JOIN customer ON o_custkey = c_custkey, w
+        UNION ALL SELECT o_orderkey, 'own', 'STATUS', 'spatial_label', round(whole + same - 0.05, 4)::DOUBLE, 1.0, 50.0 FROM orders, w
+        UNION ALL SELECT o_orderkey, 'date_time', strftime(o_orderdate, '%m/%d/%Y'), 'global_regex', NULL, 0.0, NULL FROM orders
+    """,
+    "table_strategies": """
+        WITH r AS (SELECT o_orderkey AS doc_id, lpad(o_orderkey::VARCHAR, 8, '0') AS number FROM orders), e AS (SELECT *, list_sum(list_transform(string_split(number, ''), lambda c: c::INT)) % 2 = 0 AS even FROM r)
+        SELECT doc_id, CASE WHEN even THEN number ELSE 'OR-' || number END AS value, CASE WHEN even THEN 'even_numbers' ELSE 'global_regex' END AS strategy, (CASE WHEN even THEN 35 ELSE 20 END)::INT AS start, CASE WHEN even THEN 2 ELSE 1 END AS n FROM e
+    """,
+    "library_forms": f"""
+        WITH r AS (SELECT o_orderkey AS doc_id, [{", ".join(f"'{f}'" for f in classify.FORM_IDS)}][o_orderkey % 60 + 1] AS form_id FROM orders)
+        SELECT doc_id, form_id, upper(left(form_id, 2)) AS state, CASE WHEN form_id = 'fl_hsmv' THEN 'fl_hsmv90010' ELSE form_id END || '.json' AS overlay FROM r
+    """,
+    "bucketed_store": """
+        SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS version, CASE WHEN c_custkey % 7 = 0 THEN 'second' ELSE 'first' END AS note FROM customer WHERE c_custkey % 5 <> 0
+        UNION ALL SELECT -c_custkey - 1, 1, 'added' FROM customer WHERE c_custkey % 7 = 2
+    """,
     "evaluation_results": """
         WITH c AS (SELECT count_if(o_orderkey % 5 = 0) AS r, count_if(o_orderkey % 5 = 1) AS i, count_if(o_orderkey % 5 = 2) AS s, count_if(o_orderkey % 5 = 3) AS m, count_if(o_orderkey % 5 = 4) AS n FROM orders),
              p AS (SELECT *, round(r / (r + s + i), 4) AS precision, round(r / (r + m + i), 4) AS recall FROM c)
@@ -520,6 +637,6 @@ QUERIES = {
     for f in (
         scanned_texts, layout_blocks, template_patterns, truth_fields, stored_results, appended_corrections, custom_names, custom_field_values, assembled_texts, form_lookups, accuracy_by_tier, forced_forms,
         checked_boxes, flagged_patterns, nearby_spans, state_form_records, preset_scores, contextual_values, adjuster_values, learned_pattern_values, second_source, bands, carrier_hits, group_carriers, decoded_codes,
-        state_tables, crash_elements, crash_codes, flattened_lists, learned_on_arrival, evaluation_results, calibrated_means, low_fill_documents, vehicle_scores,
+        state_tables, crash_elements, crash_codes, flattened_lists, learned_on_arrival, aliases_on_arrival, boxed_fields, table_strategies, library_forms, bucketed_store, evaluation_results, calibrated_means, low_fill_documents, vehicle_scores,
     )
 }
