@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 NEUTRAL = 0.5
 
 # Vocabularies per field, the words that make a value plausible.
-WEATHER = (
-    "clear rain rainy raining snow snowing snowy sleet hail hailing fog foggy cloud cloudy overcast mist misty drizzle "
-    "drizzling storm thunderstorm thunder sunny ice icy blowing smoke smog dust sand wind windy partly"
-).split()
+WEATHER = [
+    "clear", "rain", "rainy", "raining", "snow", "snowing", "snowy", "sleet", "hail", "hailing", "fog", "foggy", "cloud", "cloudy", "overcast", "mist", "misty", "drizzle",
+    "drizzling", "storm", "thunderstorm", "thunder", "sunny", "ice", "icy", "blowing", "smoke", "smog", "dust", "sand", "wind", "windy", "partly",
+]
 LIGHT = ["daylight", "dusk", "dawn", "dark", "night", "lighted", "unlighted", "unknown lighting", "day", "noon", "afternoon"]
 SURFACE = [
     "wet", "dry", "ice", "icy", "snow", "snowy", "slush", "slushy", "standing water", "glare ice", "freezing rain", "frost", "frosty",
@@ -53,9 +53,25 @@ MEDICAL = (
     r"(?i)\b(?:ems|ambulance|paramedic|medic|rescue|fire\s*dept|fire\s*department|hospital|medical|health|emergency|emerg|dept|unit|"
     r"transport|trauma)\b"
 )
+LOOSE_DATE = r"\d{4}|\d{1,2}/\d{1,2}"
+FULL_YEAR = r"\b((?:19|20)\d{2})\b"
+FIRST_YEAR, OLD_YEAR, LATE_YEAR = 1990, 1970, 2040
+CASE_NUMBER, ANY_NUMBER = r"^[A-Z]{2,6}[-/]\d{2,4}[-/]\d{2,10}", r"^[A-Za-z0-9\-/#]{4,40}$"
+VIN, ANY_VIN, VIN_LENGTH = "^[A-HJ-NPR-Z0-9]{17}$", "^[A-Z0-9]{17}$", 17
+YEAR = r"^\d{4}$"
+PROPER, LETTERS = r"^[A-Z][a-z'.\-]+$|^[A-Z]{1,3}\.?$", "[A-Za-z]{2}"
+NO_START, ENDS_OPEN, CODES, HEADING = r"^[^\w]", "^[^,]+,$", r"\[\d{2}\]", r"^\([A-Z\-/\s]+\)$"
+NO_AGENCY, PHONE = r"(?i)^(?:n/?a|none|not\s+applicable|not\s+required)\s*$", r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b"
+#: Shortest and longest values of a field.
+LENGTHS = {"report_number": (4, 40), "officer": (3, 80), "location": (10, 200), "accident_type": (5, 150), "contributing_factors": (5, 300), "property_damage": (10, 500), "ems_agency": (5, 100), "road_surface": (1, 80)}
+NAME_WORDS, PLAIN_TYPE = (2, 6), 80
 # End of the fixed values.
 
 
+def _fits(v: Column, field: str) -> Column:
+    return F.length(v).between(*LENGTHS[field])
+
+
 def _any_word(v: Column, words: list[str]) -> Column:
     return F.lower(v).rlike("|".join(words))
 
@@ -64,32 +80,32 @@ def date(v: Column, year_now: int) -> Column:
     shaped = F.lit(False)
     for p in DATES:
         shaped = shaped | v.rlike(p)
-    year = F.regexp_extract(v, r"\b((?:19|20)\d{2})\b", 1).try_cast("int")
+    year = F.regexp_extract(v, FULL_YEAR, 1).try_cast("int")
     return (
-        F.when(~shaped, F.when(v.rlike(r"\d{4}|\d{1,2}/\d{1,2}"), 0.4).otherwise(0.2))
+        F.when(~shaped, F.when(v.rlike(LOOSE_DATE), 0.4).otherwise(0.2))
         .when(year.isNull(), 0.5)
-        .when(year.between(1990, year_now + 1), 1.0)
-        .when(year.between(1970, 2040), 0.5)
+        .when(year.between(FIRST_YEAR, year_now + 1), 1.0)
+        .when(year.between(OLD_YEAR, LATE_YEAR), 0.5)
         .otherwise(0.2)
     )
 
 
 def report_number(v: Column) -> Column:
     return (
-        F.when(~F.length(v).between(4, 40), 0.3)
-        .when(v.rlike(r"^[A-Z]{2,6}[-/]\d{2,4}[-/]\d{2,10}"), 1.0)
-        .when(v.rlike(r"^[A-Za-z0-9\-/#]{4,40}$"), 0.8)
+        F.when(~_fits(v, "report_number"), 0.3)
+        .when(v.rlike(CASE_NUMBER), 1.0)
+        .when(v.rlike(ANY_NUMBER), 0.8)
         .otherwise(0.4)
     )
 
 
 def vin(v: Column) -> Column:
     v = F.upper(v)
-    return F.when(F.length(v) != 17, 0.2).when(v.rlike("^[A-HJ-NPR-Z0-9]{17}$"), 1.0).when(v.rlike("^[A-Z0-9]{17}$"), 0.7).otherwise(0.4)
+    return F.when(F.length(v) != VIN_LENGTH, 0.2).when(v.rlike(VIN), 1.0).when(v.rlike(ANY_VIN), 0.7).otherwise(0.4)
 
 
 def year(v: Column, year_now: int) -> Column:
-    return F.when(~v.rlike(r"^\d{4}$"), 0.3).when(v.try_cast("int").between(1990, year_now + 1), 1.0).otherwise(0.2)
+    return F.when(~v.rlike(YEAR), 0.3).when(v.try_cast("int").between(FIRST_YEAR, year_now + 1), 1.0).otherwise(0.2)
 
 
 def _vocabulary(v: Column, words: list[str]) -> Column:
@@ -98,49 +114,49 @@ def _vocabulary(v: Column, words: list[str]) -> Column:
 
 def person(v: Column) -> Column:
     words = F.split(v, r"\s+")
-    proper = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Z][a-z'.\-]+$|^[A-Z]{1,3}\.?$")))
+    proper = F.size(F.filter(words, lambda w: w.rlike(PROPER)))
     return (
-        F.when(~F.length(v).between(3, 80), 0.3)
-        .when(~F.size(words).between(2, 6), 0.4)
+        F.when(~_fits(v, "officer"), 0.3)
+        .when(~F.size(words).between(*NAME_WORDS), 0.4)
         .when(proper >= 2, 1.0)
-        .when(v.rlike("[A-Za-z]{2}"), 0.6)
+        .when(v.rlike(LETTERS), 0.6)
         .otherwise(0.3)
     )
 
 
 def location(v: Column) -> Column:
     return (
-        F.when(~F.length(v).between(10, 200), 0.2)
-        .when(v.rlike(r"^[^\w]") | v.rlike(GARBAGE), 0.2)
+        F.when(~_fits(v, "location"), 0.2)
+        .when(v.rlike(NO_START) | v.rlike(GARBAGE), 0.2)
         .when(v.rlike(ROAD) | v.rlike(CROSSING), 1.0)
         .otherwise(0.6)
     )
 
 
 def accident_type(v: Column) -> Column:
-    return F.when(~F.length(v).between(5, 150), 0.2).when(v.rlike(COLLISION), F.when(F.length(v) <= 80, 1.0).otherwise(0.7)).otherwise(0.6)
+    return F.when(~_fits(v, "accident_type"), 0.2).when(v.rlike(COLLISION), F.when(F.length(v) <= PLAIN_TYPE, 1.0).otherwise(0.7)).otherwise(0.6)
 
 
 def contributing_factors(v: Column) -> Column:
-    return F.when(~F.length(v).between(5, 300), 0.2).when(v.rlike("^[^,]+,$"), 0.3).when(v.rlike(r"\[\d{2}\]") | v.rlike(FACTOR), 1.0).otherwise(0.5)
+    return F.when(~_fits(v, "contributing_factors"), 0.2).when(v.rlike(ENDS_OPEN), 0.3).when(v.rlike(CODES) | v.rlike(FACTOR), 1.0).otherwise(0.5)
 
 
 def property_damage(v: Column) -> Column:
-    return F.when(~F.length(v).between(10, 500), 0.2).when(v.rlike(r"^\([A-Z\-/\s]+\)$"), 0.2).when(v.rlike(DAMAGE), 1.0).otherwise(0.5)
+    return F.when(~_fits(v, "property_damage"), 0.2).when(v.rlike(HEADING), 0.2).when(v.rlike(DAMAGE), 1.0).otherwise(0.5)
 
 
 def ems_agency(v: Column) -> Column:
     return (
-        F.when(v.rlike(r"(?i)^(?:n/?a|none|not\s+applicable|not\s+required)\s*$"), 0.3)
-        .when(~F.length(v).between(5, 100), 0.2)
-        .when(v.rlike(r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b"), 0.2)
+        F.when(v.rlike(NO_AGENCY), 0.3)
+        .when(~_fits(v, "ems_agency"), 0.2)
+        .when(v.rlike(PHONE), 0.2)
         .when(v.rlike(MEDICAL), 1.0)
         .otherwise(0.5)
     )
 
 
 def road_surface(v: Column) -> Column:
-    return F.when((F.length(v) == 0) | (F.length(v) > 80) | v.rlike(r"\d"), 0.2).when(_any_word(v, SURFACE), 1.0).otherwise(0.5)
+    return F.when(~_fits(v, "road_surface") | v.rlike(r"\d"), 0.2).when(_any_word(v, SURFACE), 1.0).otherwise(0.5)
 
 
 def plausibility(field_id: Column, value: Column, year_now: int = 2026, more: dict | None = None) -> Column:

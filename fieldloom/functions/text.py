@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import once
+
 # The shapes that tell labels, values and delimiters apart.
 KNOWN_LABEL = (
     r"(?i)^(?:name(?:\s*\([^)]*\))?|date\s+of\s+birth|dob|address|addr|phone|tel(?:ephone)?|cell|year|make|manufacturer|model|color|"
@@ -55,39 +57,70 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line")).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
 
 
-def joined(lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Lines back to texts, in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    return lines.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias(text))
+#: Lines that a running decision is folded over at a time, so that long texts take no more than their length times this.
+AT_ONCE = 64
 
 
-def join_labels(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, text) with each label joined to the value that follows after blank lines.
+def every_other(edges: Column) -> Column:
+    """Of each run of true values the first, third, fifth: a value is taken if it is true and the one before was not taken.
 
-    A pair of neighbouring non-empty lines is an edge if it may be joined; a line
-    joined as a value is no label of the next, so along a run of edges every odd
-    one is taken.
+    The decision is folded over blocks, for both ways in which the block before may have ended; then the blocks are chained.
     """
-    lines = lines_of(docs.withColumn("text", strip_headings(F.col("text"))), key)
-    order = Window.partitionBy(key).orderBy("line_no")
-    solid = lines.where("line <> ''").withColumn("next", F.lead("line").over(order)).withColumn("next_no", F.lead("line_no").over(order))
-    line, follower = F.col("line"), F.col("next")
-    known = line.rlike(KNOWN_LABEL)
-    label = line.endswith(":") | ~line.rlike("[a-z]") | known
-    value = F.when(known, follower != "").otherwise(follower.rlike(VALUE))
-    solid = solid.withColumn("edge", F.coalesce((F.col("next_no") > F.col("line_no") + 1) & label & value & ~follower.rlike(DELIMITER), F.lit(False)))
-    solid = solid.withColumn("run", F.sum((~F.col("edge")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    within = Window.partitionBy(key, F.coalesce("run", F.lit(0))).orderBy("line_no")
-    solid = solid.withColumn("taken", F.col("edge") & (F.row_number().over(within) % 2 == 1))
-    solid = solid.withColumn("swallowed", F.coalesce(F.lag("taken").over(order), F.lit(False)))
-    pairs = solid.withColumn("gap", F.when(F.col("taken"), F.col("next_no")))
-    out = pairs.where(~F.col("swallowed")).select(
-        key, "line_no", F.when(F.col("taken"), F.concat(line, F.when(line.endswith(":"), " ").otherwise(": "), follower)).otherwise(line).alias("line")
-    )
-    # Blank lines between a joined label and its value go; all others stay.
-    covered = lines.withColumn("solid", line != "").join(pairs.where("taken").select(F.col(key).alias("k"), F.col("line_no").alias("from_no"), "gap"), (F.col(key) == F.col("k")) & (F.col("line_no") > F.col("from_no")) & (F.col("line_no") < F.col("gap")), "left_anti")
-    blank = covered.where(~F.col("solid")).select(key, "line_no", "line")
-    return joined(out.unionByName(blank), key).withColumn("text", merge_date_time(F.col("text")))
+    none = F.array().cast("array<boolean>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / AT_ONCE).cast("int")), lambda b: F.slice(edges, b * AT_ONCE + 1, AT_ONCE))
+    fold = lambda block, before: F.aggregate(block, F.array(F.lit(before)), lambda a, e: F.array_append(a, e & ~F.element_at(a, -1)), lambda a: F.slice(a, 2, F.size(a)))
+    both = F.transform(blocks, lambda b: F.struct(fold(b, False).alias("after_none"), fold(b, True).alias("after_one")))
+    start = F.struct(F.array().cast("array<array<boolean>>").alias("parts"), F.lit(False).alias("last"))
+    chosen = lambda s, x: F.when(s["last"], x["after_one"]).otherwise(x["after_none"])
+    chained = F.aggregate(both, start, lambda s, x: once(chosen(s, x), lambda c: F.struct(F.array_append(s["parts"], c).alias("parts"), F.element_at(c, -1).alias("last"))), lambda s: F.flatten(s["parts"]))
+    return F.when(F.size(edges) > 0, chained).otherwise(none)
+
+
+def labels_joined(text: Column) -> Column:
+    """A text with each label joined to the value that follows after blank lines; a document's lines stay in its row.
+
+    Two neighbouring lines that are not blank may be joined if blank lines stand between them, the first is a label and
+    the second a value; a line joined as a value is no label of the next.
+    """
+
+    def joinable(a: Column, b: Column) -> Column:
+        line, follower = a["line"], b["line"]
+        known = line.rlike(KNOWN_LABEL)
+        label = line.endswith(":") | ~line.rlike("[a-z]") | known
+        value = known | follower.rlike(VALUE)
+        return (b["at"] > a["at"] + 1) & label & value & ~follower.rlike(DELIMITER)
+
+    def pieces(lines: Column) -> Column:
+        solid = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: x["line"] != "")
+
+        def put(solid: Column) -> Column:
+            n = F.size(solid)
+            edges = F.zip_with(F.slice(solid, 1, n - 1), F.slice(solid, 2, n - 1), joinable)
+
+            def lines_of_each(taken: Column) -> Column:
+                blank = lambda k: F.array_repeat(F.lit(""), k)
+
+                def one(x: Column, i: Column) -> Column:
+                    following = F.get(solid, i + 1)
+                    joins, swallowed = F.coalesce(F.get(taken, i), F.lit(False)), (i > 0) & F.coalesce(F.get(taken, i - 1), F.lit(False))
+                    both = F.concat(x["line"], F.when(x["line"].endswith(":"), " ").otherwise(": "), following["line"])
+                    own = F.when(swallowed, F.array().cast("array<string>")).when(joins, F.array(both)).otherwise(F.array(x["line"]))
+                    gap = F.coalesce(following["at"], F.size(lines)) - x["at"] - 1
+                    return F.concat(own, F.when(joins, F.array().cast("array<string>")).otherwise(blank(gap)))
+
+                return F.concat(blank(F.get(solid, F.lit(0))["at"]), F.flatten(F.transform(solid, one)))
+
+            return F.when(n > 0, once(every_other(edges), lines_of_each)).otherwise(lines)
+
+        return once(solid, put)
+
+    tidy = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_join(once(tidy, pieces), "\n")
+
+
+def join_labels(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, text) without heading marks, with labels joined to their values and times to their dates."""
+    return docs.select(key, merge_date_time(labels_joined(strip_headings(F.col("text")))).alias("text"))
 
 
 def table_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:

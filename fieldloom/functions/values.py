@@ -21,7 +21,16 @@ TYPES = {
     "sic": r"^\d{4}$",
     "integer": r"^-?\d+$",
 }
+# Shapes that cleaners look for, bounds of words, shapes and words of good values of a finished record.
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+NUMERIC_DATE, DATE_PARTS = r"\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}", r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{2,4})"
+NAMED_DATE = rf"(?i)(?:{MONTHS})\w*\s+\d{{1,2}},?\s+\d{{4}}"
+LONG_PROSE, PROSE_BLANKS, NUMBER_WORDS, NAME_WORDS = 30, 3, 4, 3
+GOOD_VIN, CAPITALS, GOOD_NUMBER, DOLLARS = "^[A-HJ-NPR-Z0-9]{17}$", r"^[A-Z\s&/]+$", r"^[\w\-/#]{3,25}$", r"\$[\d,]+"
+HOUSE, CROSSING = r"\d+\s+[A-Za-z]", r"(?i)&|\bI-\d+\b|\bUS-\d+\b|\bSR-\d+\b|\bMile Marker\b|\bExit\s+\d+"
+DATE_FIELDS, MONEY_FIELDS = ("date_time", "inspection_date"), ("coverage_a", "coverage_b", "coverage_c", "coverage_d", "settlement")
+SUBROGATED, NOT_COVERED = ("yes", "no", "potential", "n/a", "none"), ("n/a", "not applicable", "excluded")
+# End of the fixed values.
 
 
 def stripped(v: Column) -> Column:
@@ -51,27 +60,27 @@ def _cleaned(v: Column, clean: Column) -> Column:
 def clean_date(v: Column) -> Column:
     """Numeric dates as MM/DD/YYYY, two-digit years in this century; month names as they are; prose is Unknown."""
     s = stripped(v)
-    parts = [F.regexp_extract(s, r"^(\d{1,2})[/\-](\d{1,2})[/\-](\d{2,4})", i) for i in (1, 2, 3)]
-    shaped = s.rlike(rf"(?i)\d{{1,2}}[/\-]\d{{1,2}}[/\-]\d{{2,4}}|{MONTHS}")
+    parts = [F.regexp_extract(s, DATE_PARTS, i) for i in (1, 2, 3)]
+    shaped = s.rlike(f"(?i){NUMERIC_DATE}|{MONTHS}")
     full = F.when(F.length(parts[2]) == 2, F.concat(F.lit("20"), parts[2])).otherwise(parts[2])
     numeric = F.concat_ws("/", F.lpad(parts[0], 2, "0"), F.lpad(parts[1], 2, "0"), full)
     blanks = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-    return _cleaned(v, F.when(~shaped & (F.length(s) > 30) & (blanks > 3), UNKNOWN).when(parts[0] != "", numeric).otherwise(v))
+    return _cleaned(v, F.when(~shaped & (F.length(s) > LONG_PROSE) & (blanks > PROSE_BLANKS), UNKNOWN).when(parts[0] != "", numeric).otherwise(v))
 
 
 def clean_vin(v: Column) -> Column:
     s = F.upper(stripped(v))
-    return _cleaned(v, F.when(s.rlike("^[A-HJ-NPR-Z0-9]{17}$"), s).otherwise(UNKNOWN))
+    return _cleaned(v, F.when(s.rlike(GOOD_VIN), s).otherwise(UNKNOWN))
 
 
 def clean_report_number(v: Column) -> Column:
     s = stripped(v)
-    return _cleaned(v, F.when(words(s) > 4, UNKNOWN).otherwise(s))
+    return _cleaned(v, F.when(words(s) > NUMBER_WORDS, UNKNOWN).otherwise(s))
 
 
 def clean_name(v: Column) -> Column:
     s = stripped(v)
-    return _cleaned(v, F.when(s.rlike(r"^[A-Z\s&/]+$") & (words(s) > 3), UNKNOWN).otherwise(s))
+    return _cleaned(v, F.when(s.rlike(CAPITALS) & (words(s) > NAME_WORDS), UNKNOWN).otherwise(s))
 
 
 #: Which cleaner a field of a record gets.
@@ -92,13 +101,13 @@ def field_quality(field_id: Column, v: Column) -> Column:
     low = F.lower(s)
     return (
         F.when(missing(v), 0.0)
-        .when(field_id.isin("date_time", "inspection_date"), F.when(s.rlike(rf"\d{{1,2}}[/\-]\d{{1,2}}[/\-]\d{{2,4}}") | s.rlike(rf"(?i)(?:{MONTHS})\w*\s+\d{{1,2}},?\s+\d{{4}}"), 1.0).otherwise(0.4))
-        .when(field_id == "report_number", F.when(words(s) > 4, 0.2).when(s.rlike(r"^[\w\-/#]{3,25}$"), 1.0).otherwise(0.6))
-        .when(field_id == "subrogation", F.when(low.isin("yes", "no", "potential", "n/a", "none"), 1.0).otherwise(0.7))
-        .when(field_id.isin("coverage_a", "coverage_b", "coverage_c", "coverage_d", "settlement"), F.when(s.rlike(r"\$[\d,]+"), 1.0).when(low.isin("n/a", "not applicable", "excluded"), 0.9).otherwise(0.5))
+        .when(field_id.isin(*DATE_FIELDS), F.when(s.rlike(NUMERIC_DATE) | s.rlike(NAMED_DATE), 1.0).otherwise(0.4))
+        .when(field_id == "report_number", F.when(words(s) > NUMBER_WORDS, 0.2).when(s.rlike(GOOD_NUMBER), 1.0).otherwise(0.6))
+        .when(field_id == "subrogation", F.when(low.isin(*SUBROGATED), 1.0).otherwise(0.7))
+        .when(field_id.isin(*MONEY_FIELDS), F.when(s.rlike(DOLLARS), 1.0).when(low.isin(*NOT_COVERED), 0.9).otherwise(0.5))
         .when(
             field_id == "location",
-            F.when(s.rlike(r"\d+\s+[A-Za-z]") | s.rlike(r"(?i)&|\bI-\d+\b|\bUS-\d+\b|\bSR-\d+\b|\bMile Marker\b|\bExit\s+\d+"), 1.0).when(F.length(s) > 5, 0.7).otherwise(0.3),
+            F.when(s.rlike(HOUSE) | s.rlike(CROSSING), 1.0).when(F.length(s) > 5, 0.7).otherwise(0.3),
         )
         .when(F.length(s) >= 3, 1.0)
         .otherwise(0.5)
@@ -110,9 +119,9 @@ def quality_reason(field_id: Column, v: Column) -> Column:
     q = field_quality(field_id, v)
     said = (
         F.when(missing(v), "not extracted")
-        .when(field_id.isin("date_time", "inspection_date"), "date format not recognized")
+        .when(field_id.isin(*DATE_FIELDS), "date format not recognized")
         .when(field_id == "report_number", F.when(q <= 0.2, "looks like a sentence, not a case number").otherwise("unusual format"))
-        .when(field_id.isin("coverage_a", "coverage_b", "coverage_c", "coverage_d", "settlement"), F.when(q < 0.9, "no dollar amount found"))
+        .when(field_id.isin(*MONEY_FIELDS), F.when(q < 0.9, "no dollar amount found"))
         .when(field_id == "location", F.when(q <= 0.3, "location may be incomplete"))
         .when(field_id != "subrogation", "value is very short")
     )

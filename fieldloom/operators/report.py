@@ -25,6 +25,10 @@ VEHICLE_KEYS, VEHICLE_WEIGHT = ("vin", "plate", "make", "year", "model"), 1.5
 # End of the fixed values.
 
 
+#: Fixed value: the reason of a record that lacks nothing.
+ALL_WELL = "All key fields extracted successfully"
+
+
 def score_records(record: DataFrame, evidence: DataFrame, vehicles: DataFrame | None = None, doc_type: str = "police", weights: dict | None = None, scored: list[str] | None = None, core: list[str] | None = None) -> DataFrame:
     """(doc_id, score, reasons): weighted quality of a record from 0 to 100.
 
@@ -47,7 +51,7 @@ def score_records(record: DataFrame, evidence: DataFrame, vehicles: DataFrame |
         complete = vehicles.select("doc_id", sum(known[1:], known[0]).alias("known")).groupBy("doc_id").agg((F.sum("known") / (F.count(F.lit(1)) * len(VEHICLE_KEYS))).alias("q"))
         none = evidence.select("doc_id").distinct().join(complete, "doc_id", "left_anti").join(incident, "doc_id", "left").where(~F.coalesce("no_weather", F.lit(False))).select("doc_id", F.lit(0.0).alias("q"))
         parts = parts.unionByName(complete.unionByName(none).select("doc_id", "q", F.lit(VEHICLE_WEIGHT).alias("weight"), F.lit(None).cast("string").alias("reason")))
-    return parts.groupBy("doc_id").agg(F.round(F.sum(F.col("q") * F.col("weight")) / F.sum("weight") * 100, 1).alias("score"), F.array_sort(F.collect_list("reason")).alias("reasons"))
+    return parts.groupBy("doc_id").agg(F.round(F.sum(F.col("q") * F.col("weight")) / F.sum("weight") * 100, 1).alias("score"), F.coalesce(F.nullif(F.array_sort(F.collect_list("reason")), F.array().cast("array<string>")), F.array(F.lit(ALL_WELL))).alias("reasons"))
 
 
 # The sentences of the notes, with {} for a field's value, and what stands for a value that is not there.

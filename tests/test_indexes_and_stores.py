@@ -157,3 +157,43 @@ def test_table_strategies_stand_beside_others(spark):
     ]
     with pytest.raises(ValueError, match="no such strategy"):
         generate(docs, [Strategy("x", "nothing")])
+
+
+def test_labels_join_their_values_as_line_after_line_would(spark):
+    """Against one pass over the lines that holds a label until its value comes."""
+    from fieldloom.functions import text as texts
+
+    rnd = random.Random(5)
+    parts = ["NAME:", "Date", "DOB", "plain words here", "x1", "42", "AB-1", "DRIVER 1", "VEHICLE", "Make", "", "", "", "  ", "Address", "CAPS ONLY", "é"]
+    rows = [(i, "\n".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30)))) for i in range(300)] + [(300, None), (301, "NAME:\n\nx" + "\n\nDOB" * 500), (302, "\n\n")]
+
+    def plain(text):
+        out, label, held = [], None, 0
+        for line in [x.strip() for x in text.split("\n")] + [None]:
+            if line == "":
+                if label is None:
+                    out.append("")
+                held += 1
+                continue
+            if label is not None:
+                known = re.search(texts.KNOWN_LABEL, label)
+                if line is not None and held and (known or re.search(texts.VALUE, line)) and not re.search(texts.DELIMITER, line):
+                    out.append(label + (" " if label.endswith(":") else ": ") + line)
+                    label = None
+                    held = 0
+                    continue
+                out += [label] + [""] * held
+            label, held = None, 0
+            if line is not None and (line.endswith(":") or not re.search("[a-z]", line) or re.search(texts.KNOWN_LABEL, line)):
+                label = line
+            elif line is not None:
+                out.append(line)
+        return "\n".join(out)
+
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r.doc_id: r.text for r in frame.select("doc_id", texts.labels_joined(F.col("text")).alias("text")).collect()}
+    assert got[300] is None
+    for i, t in rows:
+        if t is not None:
+            assert got[i] == plain(t), repr(t)
+    assert "Exchange" not in plan_of(texts.join_labels(frame))
