@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spans import once
@@ -123,18 +125,42 @@ def join_labels(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, merge_date_time(labels_joined(strip_headings(F.col("text")))).alias("text"))
 
 
+def latest(numbers: Column) -> Column:
+    """For each place the largest number so far (numbers are -1 or more), in blocks as in :func:`every_other`."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / AT_ONCE).cast("int")), lambda b: F.slice(numbers, b * AT_ONCE + 1, AT_ONCE))
+    own = F.transform(blocks, lambda b: F.aggregate(b, F.array(F.lit(-1)), lambda a, x: F.array_append(a, F.greatest(F.element_at(a, -1), x)), lambda a: F.slice(a, 2, F.size(a))))
+
+    def chained(own: Column) -> Column:
+        before = F.aggregate(own, F.array(F.lit(-1)), lambda a, b: F.array_append(a, F.greatest(F.element_at(a, -1), F.element_at(b, -1))))
+        return F.flatten(F.zip_with(own, F.slice(before, 1, F.size(own)), lambda b, least: F.transform(b, lambda x: F.greatest(x, least))))
+
+    return F.when(F.size(numbers) > 0, once(own, chained)).otherwise(F.array().cast("array<int>"))
+
+
+def _table_lines(text: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of array<struct<at, cells, is_rule, start, ruled, row>>: each line with its cells if it is one of a pipe
+    table, the line before its table, and the last separator so far."""
+
+    def line(x: Column, i: Column) -> Column:
+        row = F.when(x.contains("|") & ~x.startswith("|") & x.endswith("|"), F.substring(x, F.instr(x, "|"), F.length(x))).otherwise(x)
+        cells = F.transform(F.split(F.regexp_replace(row, r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
+        return F.struct(i.alias("at"), F.when(row.rlike(r"^\|.*\|$"), cells).alias("cells"), row.rlike(r"^\|[\s\-|]+\|$").alias("is_rule"))
+
+    def placed(rows: Column) -> Column:
+        starts = latest(F.transform(rows, lambda r: F.when(r["cells"].isNull(), r["at"]).otherwise(-1)))
+        rules = latest(F.transform(rows, lambda r: F.when(r["is_rule"], r["at"]).otherwise(-1)))
+        return F.transform(F.arrays_zip(rows.alias("r"), starts.alias("start"), rules.alias("rule")), lambda x: F.struct(
+            x["r"]["at"].alias("at"), x["r"]["cells"].alias("cells"), x["r"]["is_rule"].alias("is_rule"), x["start"].alias("start"), (x["rule"] > x["start"]).alias("body"),
+        ))
+
+    tidy = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return once(F.transform(tidy, line), lambda rows: once(placed(rows), then))
+
+
 def table_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, line_no, table_no, body, cells): rows of pipe tables; ``body`` after the separator row."""
-    lines = lines_of(docs, key)
-    line = F.col("line")
-    inner = F.when(line.contains("|") & ~line.startswith("|") & line.endswith("|"), F.substring(line, F.instr(line, "|"), F.length(line))).otherwise(line)
-    order = Window.partitionBy(key).orderBy("line_no")
-    rows = lines.withColumn("row", inner).withColumn("is_row", F.col("row").rlike(r"^\|.*\|$"))
-    rows = rows.withColumn("table_no", F.sum((~F.col("is_row")).cast("int")).over(order)).where("is_row")
-    within = Window.partitionBy(key, "table_no").orderBy("line_no")
-    rows = rows.withColumn("rule", F.col("row").rlike(r"^\|[\s\-|]+\|$")).withColumn("body", F.coalesce(F.max("rule").over(within), F.lit(False)))
-    cells = F.transform(F.split(F.regexp_replace("row", r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
-    return rows.where(~F.col("rule")).select(key, "line_no", "table_no", "body", cells.alias("cells"))
+    """(doc_id, line_no, table_no, body, cells): rows of pipe tables; ``body`` after the separator row.  Lines stay in their row."""
+    rows = _table_lines(F.col("text"), lambda lines: F.filter(lines, lambda r: r["cells"].isNotNull() & ~r["is_rule"]))
+    return docs.select(key, F.explode(rows).alias("r")).select(key, F.col("r.at").alias("line_no"), F.col("r.start").alias("table_no"), "r.body", "r.cells")
 
 
 def flatten_tables(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -142,30 +168,36 @@ def flatten_tables(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     Rows of alternating upper-case keys and values and two-column tables give
     ``key: value``; the last header row before the separator names the columns of
-    the others.
+    the others.  Lines stay in their row.
     """
-    rows = table_rows(docs, key)
-    n = F.size("cells")
-    keys = F.filter(F.transform("cells", lambda c, i: F.when(i % 2 == 0, c)), lambda c: c.isNotNull() & (c != ""))
-    alternating = (n % 2 == 0) & (F.size(keys) > 0) & F.forall(keys, lambda c: (c.rlike("[A-Z]") & ~c.rlike("[a-z]")) | c.endswith(":"))
-    rows = rows.withColumn("alternating", alternating)
-    head = ~F.col("body") & ~F.col("alternating")
-    pair_head = head & (n == 2) & (F.col("cells")[0] != "") & (F.col("cells")[1] != "")
-    latest = Window.partitionBy(key, "table_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.last(F.when(head, F.struct(pair_head.alias("pair"), F.when(~pair_head, F.col("cells")).alias("names"))), ignorenulls=True).over(latest)
-    rows = rows.withColumn("state", state)
-    cell = lambda i: F.get(F.col("cells"), i)
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / 2).cast("int") - 1, F.lit(0))), lambda i: F.when(cell(i * 2) != "", F.concat(cell(i * 2), F.lit(": "), cell(i * 2 + 1))))
-    first_pair = F.array(F.when((cell(0) != "") & (cell(1) != ""), F.concat(cell(0), F.lit(": "), cell(1))))
-    named = F.zip_with(F.col("state.names"), F.col("cells"), lambda h, c: F.when((h != "") & (c != ""), F.concat(h, F.lit(": "), c)))
-    out = (
-        F.when(F.col("alternating"), pairs)
-        .when(head & pair_head, first_pair)
-        .when(F.col("body") & F.col("state.pair"), first_pair)
-        .when(F.col("body") & F.col("state.names").isNotNull(), F.slice(named, 1, F.least(F.size("state.names"), n)))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    return rows.select(key, "line_no", F.posexplode(out).alias("col", "line")).where("line is not null")
+
+    def alternates(cells: Column) -> Column:
+        keys = F.filter(F.transform(cells, lambda c, i: F.when(i % 2 == 0, c)), lambda c: c.isNotNull() & (c != ""))
+        return (F.size(cells) % 2 == 0) & (F.size(keys) > 0) & F.forall(keys, lambda c: (c.rlike("[A-Z]") & ~c.rlike("[a-z]")) | c.endswith(":"))
+
+    def told(lines: Column) -> Column:
+        is_row = lambda r: r["cells"].isNotNull() & ~r["is_rule"]
+        heads = latest(F.transform(lines, lambda r: F.when(F.coalesce(is_row(r) & ~r["body"] & ~alternates(r["cells"]), F.lit(False)), r["at"]).otherwise(-1)))
+
+        def with_heads(heads: Column) -> Column:
+            def of(r: Column) -> Column:
+                cells, n = r["cells"], F.size(r["cells"])
+                cell = lambda i: F.get(cells, i)
+                filled = lambda c: (F.size(c) == 2) & (F.get(c, F.lit(0)) != "") & (F.get(c, F.lit(1)) != "")
+                at = F.get(heads, r["at"])
+                head = F.when(at > r["start"], F.get(lines, at)["cells"])
+                pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(n / 2).cast("int") - 1, F.lit(0))), lambda i: F.when(cell(i * 2) != "", F.concat(cell(i * 2), F.lit(": "), cell(i * 2 + 1))))
+                first = F.array(F.when((cell(F.lit(0)) != "") & (cell(F.lit(1)) != ""), F.concat(cell(F.lit(0)), F.lit(": "), cell(F.lit(1)))))
+                named = F.slice(F.zip_with(head, cells, lambda h, c: F.when((h != "") & (c != ""), F.concat(h, F.lit(": "), c))), 1, F.least(F.size(head), n))
+                none = F.array().cast("array<string>")
+                out = F.when(alternates(cells), pairs).when(~r["body"], F.when(filled(cells), first).otherwise(none)).when(head.isNull(), none).when(filled(head), first).otherwise(named)
+                return F.transform(out, lambda line, col: F.struct(r["at"].alias("line_no"), col.alias("col"), line.alias("line")))
+
+            return F.filter(F.flatten(F.transform(F.filter(lines, is_row), of)), lambda x: x["line"].isNotNull())
+
+        return once(heads, with_heads)
+
+    return docs.select(key, F.explode(_table_lines(F.col("text"), told)).alias("x")).select(key, "x.*")
 
 
 # Lines that hold several labelled values, letters that decoding puts into words, and the labels under which

@@ -197,3 +197,48 @@ def test_labels_join_their_values_as_line_after_line_would(spark):
         if t is not None:
             assert got[i] == plain(t), repr(t)
     assert "Exchange" not in plan_of(texts.join_labels(frame))
+
+
+def test_tables_flatten_as_row_after_row_would(spark):
+    from fieldloom.functions import text as texts
+
+    rnd = random.Random(6)
+    row = lambda: "| " + " | ".join(rnd.choice(["NAME", "Age", "x", "", "42", "KEY:", "Val b"]) for _ in range(rnd.randint(1, 4))) + " |"
+    parts = [row, row, row, lambda: "|---|---|", lambda: "plain", lambda: "", lambda: "lead | a | b |"]
+    rows = [(i, "\n".join(rnd.choice(parts)() for _ in range(rnd.randint(0, 14)))) for i in range(300)] + [(300, None), (301, "\n".join(row() for _ in range(150)))]
+
+    def plain(text):
+        out, body, head = [], False, None
+        for no, line in enumerate(x.strip() for x in text.split("\n")):
+            if "|" in line and not line.startswith("|") and line.endswith("|"):
+                line = line[line.index("|") :]
+            if not re.fullmatch(r"\|.*\|", line):
+                body, head = False, None
+                continue
+            if re.fullmatch(r"\|[\s\-|]+\|", line):
+                body = True
+                continue
+            cells = [c.strip(" ") for c in re.sub(r"^\||\|$", "", line).split("|")]
+            keys = [c for c in cells[::2] if c]
+            two = lambda c: len(c) == 2 and all(c)
+            if len(cells) % 2 == 0 and keys and all((re.search("[A-Z]", c) and not re.search("[a-z]", c)) or c.endswith(":") for c in keys):
+                own = [f"{a}: {b}" if a else None for a, b in zip(cells[::2], cells[1::2])]
+            else:
+                if not body:
+                    head = cells
+                first = [f"{cells[0]}: {cells[1]}" if two(cells[:2]) else None]
+                if not body:
+                    own = first if two(cells) else []
+                elif head is None:
+                    own = []
+                else:
+                    own = first if two(head) else [f"{h}: {c}" if h and c else None for h, c in zip(head, cells)]
+            out += [(no, i, x) for i, x in enumerate(own) if x]
+        return out
+
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    flat = texts.flatten_tables(frame)
+    got = [tuple(r) for r in flat.collect()]
+    for i, t in rows:
+        assert sorted(x[1:] for x in got if x[0] == i) == (plain(t) if t is not None else []), repr(t)
+    assert "Exchange" not in plan_of(flat) and "Exchange" not in plan_of(texts.table_rows(frame))
