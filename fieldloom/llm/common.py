@@ -13,11 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``, which executors and driver share.
 
-    Where that is unset the warehouse, which they share as well, has a folder for it.
+    Where that is unset the warehouse, which they share as well, has a folder for it; on a cluster that names
+    neither there is no shared folder, and nothing is written.
     """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        named, warehouse = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir")
+        if not named and not context.isLocal() and warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local folder")
+        spark.sparkContext.setCheckpointDir(named or f"{warehouse}/_checkpoints")
     return context.getCheckpointDir().get()
 
 

@@ -102,3 +102,16 @@ def test_no_column_of_the_input_is_overwritten(spark):
         rows = out.collect()
         assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in names), name
     assert pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_a_run_leaves_only_the_stage_that_the_last_one_reads(spark):
+    import glob
+    import os
+
+    from fieldloom.llm.common import checkpoint_folder
+
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/pipeline-*"))
+    assert pipeline.run(spark, SF).count() > 0
+    (made,) = set(glob.glob(f"{folder}/pipeline-*")) - before
+    assert os.listdir(made) == [str(len(pipeline.STAGES) - 2)]

@@ -211,3 +211,42 @@ def test_short_keys_of_every_encoding(spark):
             found[k, n] += 1
     assert all(found[k, n] >= 54 for k, n in found if n > 24) and sum(found.values()) >= 0.93 * len(planted), found
     assert more <= 0.05 * len(planted)
+
+
+#: Ways to write items that none of the forms that teach the trees uses.
+UNSEEN = {
+    "email": [("[at]", "."), (" (at) ", "[dot]"), ("(AT)", "(DOT)"), ("<at>", "<dot>")], "ip": ["{dot}", " [dot] ", "(.)", " DOT "], "card": ["-", " . "],
+    "phone": ["({a}){b}-{c}", "{a} {b} {c}", "0{a} {b} {c}"],
+}
+
+
+def test_forms_that_taught_nothing_are_found_too(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+
+    def written(kind, form):
+        if kind == "email":
+            return f"{word()}{word()}{form[0]}{word()}a{form[1]}org"
+        if kind == "ip":
+            return form.join(str(rnd.randint(1, 254)) for _ in range(4))
+        if kind == "phone":
+            return form.format(a=rnd.randint(200, 999), b=rnd.randint(200, 999), c=rnd.randint(1000, 9999))
+        d = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return form.join(d[i : i + 4] for i in (0, 4, 8, 12))
+
+    rows, planted = [], {}
+    for kind in pii.KINDS:
+        rows += [(len(rows) + i, f"{prose(9)} {hidden(rnd, kind)[0]} {prose(9)}") for i in range(200)]
+        for form in UNSEEN[kind]:
+            for _ in range(40):
+                text = written(kind, form)
+                rows.append((len(rows), f"{prose(9)} {text} {prose(9)}"))
+                planted[rows[-1][0]] = (kind, form, rows[-1][1].index(text), text)
+    found = dict.fromkeys(((k, f) for k, f, _, _ in planted.values()), 0)
+    for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).where(F.size("spans") > 0).collect():
+        if r.doc_id in planted:
+            kind, form, at, text = planted[r.doc_id]
+            found[kind, form] += any(s["kind"] == kind and s["start"] <= at + 2 and s["end"] >= at + len(text) - 1 for s in r.spans)
+    assert all(n >= 36 for n in found.values()), found
