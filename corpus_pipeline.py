@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import bpe, decontaminate, minhash_forest, pii, quality
-from fieldloom.llm.common import checkpoint_folder, reliable, table
+from fieldloom.llm.common import checkpoint_folder, reliable, remove, table
 from fieldloom.llm.queries import word_bpe_path
 from fieldloom.llm.spans import redacted
 
@@ -86,10 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them is written to the shared checkpoint folder."""
+    """All stages over ``documents``; what lies between them is written to the shared checkpoint folder, and goes when the next stage is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove(spark, f"{folder}/{i - 1}")  # the next stage reads what this one wrote
     return STAGES[-1][1](spark, docs, sf_dir)
