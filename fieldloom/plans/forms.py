@@ -57,4 +57,6 @@ def order_forms(spark: SparkSession, sf_dir: str, item_style: str = "lines") ->
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: under ``spark.checkpoint.dir``, or the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    if base.startswith("file:") and not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local folder")
     return f"{base}/{uuid.uuid4().hex}"
