@@ -27,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import os
 import re
 from itertools import chain
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-PIECE, LEAF, WINDOW, AGREE, CACHE = 65_536, 4096, 64, 4, 200_000
+PIECE, LEAF, WINDOW, AGREE, CACHE = 65_536, 4096, 64, 4, 50_000
 #: Punctuation that neither begins a contraction nor belongs to a special token.
 PLAIN = ".,;:!?#$%&*"
 #: White space that Python's split() also cuts at, but that is left inside the chunks here.
@@ -234,6 +235,7 @@ class Vocabulary:
 
     def loaded(self) -> CachedEncoder:
         if self.encoder is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads would each keep memory
             self.encoder = CachedEncoder(load(self.content))
         return self.encoder
 
