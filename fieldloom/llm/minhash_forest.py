@@ -53,7 +53,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -119,7 +119,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, set_key, signature, sketch) of every row; the last three null for empty sets."""
+    """(doc_id, text_hash, n_shingles, set_key, signature) of every row; the last two null for empty sets."""
     id_type = docs.schema["doc_id"].dataType
 
     def measure(batches):
@@ -134,20 +134,19 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     "n_shingles": [len(s) for s in sets],
                     "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                     "signature": [s if s is None else s.astype(">u4").tobytes() for s in signatures],
-                    "sketch": [s if s is None else sketch(s).tobytes() for s in signatures],
                 }
             )
         np.seterr(**old)
 
     # Ids cross as text: a batch with a null among numbers would turn them into floating-point ones.
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInPandas(
-        measure, "doc_id string, text_hash long, n_shingles long, set_key binary, signature binary, sketch binary"
+        measure, "doc_id string, text_hash long, n_shingles long, set_key binary, signature binary"
     ).withColumn("doc_id", F.col("doc_id").cast(id_type))
 
 
-def sketch(signatures: np.ndarray) -> np.ndarray:
-    """The lowest byte of each min-hash: enough to estimate how far two classes agree."""
-    return (signatures & 0xFF).astype(np.uint8)
+def sketches_of(signature: str) -> Column:
+    """The lowest byte of each min-hash of a signature: enough to estimate how far two classes agree.  It is read off once a class, so rows do not carry it."""
+    return F.unhex(F.regexp_replace(F.hex(signature), "(?:.{6})(.{2})", "$1")).alias("sketch")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -270,7 +269,13 @@ def leaders(placed: DataFrame, hot: list) -> DataFrame:
     return spread_join(placed, led, "region", hot).where(F.col("cls") != F.col("leader")).select(F.col("cls").alias("a"), F.col("leader").alias("b"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, inter: int, union: int, threshold: float) -> DataFrame:
+def texts_of(docs: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
+    """(cls, text) of the ``needed`` classes.  They are picked before they meet the documents, so that texts are shuffled once."""
+    of = classes.join(needed, "cls", "left_semi").select("cls", "doc_id", "text_hash")
+    return docs.withColumn("text_hash", F.xxhash64("text")).join(of, ["doc_id", "text_hash"]).select("cls", "text")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, inter: int, union: int, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` with ``inter`` * intersection >= ``union`` * union on full shingle sets."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda n: classes.select(F.col("cls").alias(n), F.col("sketch").alias(f"s_{n}"), F.col("n_shingles").alias(f"n_{n}"))
@@ -286,7 +291,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, inter: int
 
     near = reliable(sized.select("a", "b", "s_a", "s_b").mapInPandas(likely, "a long, b long"))
     needed = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    own = texts.join(needed, "cls", "left_semi")
+    own = texts_of(docs, classes, needed)
 
     def check(batches):
         old = np.seterr(over="ignore")
@@ -433,7 +438,7 @@ def meetings(deep: DataFrame, many: bool = True) -> DataFrame:
     return rows.withColumn("m", F.explode(F.when(single, F.array(one(F.lit(0), F.lit(0), F.lit(0)))).otherwise(mine))).select("m.meeting", "m.side", *[c for c in deep.columns if c != "region"])
 
 
-def bridges(classes: DataFrame, placed: DataFrame, roots: DataFrame, texts: DataFrame, inter: int, union: int, many: bool) -> DataFrame:
+def bridges(classes: DataFrame, placed: DataFrame, roots: DataFrame, docs: DataFrame, inter: int, union: int, many: bool) -> DataFrame:
     """(a, b): components of ``roots`` (cls, root) between which there is a link."""
     deep = placed.where(F.col("depth") == DEPTHS[-1]).select("cls", "tree", "region").join(roots, "cls").join(classes.select("cls", "n_shingles"), "cls")
     met = meetings(deep, many)
@@ -457,7 +462,7 @@ def bridges(classes: DataFrame, placed: DataFrame, roots: DataFrame, texts: Data
     sort = lambda df: df.repartition("meeting").sortWithinPartitions("meeting")
     rows = met.join(described, "cls").select("meeting", "side", "cls", "root", "tree", "sketch", "deep", "n_shingles")
     near = reliable(sort(rows).mapInPandas(likely, "meeting long, cls long, root long"))
-    own = texts.join(near.select("cls").distinct(), "cls", "left_semi")
+    own = texts_of(docs, classes, near.select("cls").distinct())
     return sort(near.join(own, "cls").select("meeting", "root", "text")).mapInPandas(check, "a long, b long")
 
 
@@ -473,21 +478,20 @@ def near_duplicates(docs: DataFrame, inter: int = 100, union: int = 85) -> DataF
     # Classes are numbered in the checkpoint; the 128 bits of their key tell them apart.
     classes = reliable(
         usable.groupBy("set_key")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n"))
-        .select(F.monotonically_increasing_id().alias("cls"), "set_key", "first.doc_id", "first.text_hash", "n_shingles", "signature", "sketch", "n")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("n"))
+        .select(F.monotonically_increasing_id().alias("cls"), "set_key", "first.doc_id", "first.text_hash", "n_shingles", "signature", sketches_of("signature"), "n")
     )
     many = sets.count() > common.HOT_ROWS
     of_text = hot_keys(classes, "set_key") if many else []
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(classes.select("cls", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("cls", "text")
     # Rows that repeat an id with other texts link their classes.
     heads = spread_join(usable.select("doc_id", "set_key"), classes.select("set_key", "cls"), "set_key", of_text).select("doc_id", "cls").distinct()
     repeated = heads.groupBy("doc_id").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     same_id = heads.join(repeated, "doc_id").select(F.col("cls").alias("a"), "b")
     placed, hot = regions(classes, many)
     pairs = neighbours(classes, placed, threshold).unionByName(leaders(placed, hot))
-    links = confirmed(pairs, classes, texts, inter, union, threshold).unionByName(same_id)
+    links = confirmed(pairs, classes, docs, inter, union, threshold).unionByName(same_id)
     roots = reliable(classes.select("cls").join(components(links, many), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root")))
-    wider = components(bridges(classes, placed, roots, texts, inter, union, many), many).select(F.col("cls").alias("root"), F.col("root").alias("wider"))
+    wider = components(bridges(classes, placed, roots, docs, inter, union, many), many).select(F.col("cls").alias("root"), F.col("root").alias("wider"))
     rooted = classes.select("cls", "set_key", "doc_id").join(roots, "cls")
     of_root = (rooted.groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("n")).join(wider, "root", "left").withColumn("wider", F.coalesce("wider", "root")))
     smallest = of_root.groupBy("wider").agg(F.min("smallest").alias("smallest"))

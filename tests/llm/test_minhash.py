@@ -135,3 +135,14 @@ def test_ids_of_any_type_and_size(spark):
     big = 2**60 + 1
     got = minhash_forest.near_duplicates(spark.createDataFrame([(big, "x y"), (big + 1, "x y"), (None, "x y")], "doc_id long, text string").coalesce(1)).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(big, big), (big + 1, big), (None, None)}
+
+
+def test_rows_carry_signatures_once_and_texts_meet_the_needed_classes_only(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e{i}") for i in range(6)], "doc_id long, text string")
+    sets = minhash_forest.sets_of(docs)
+    assert "sketch" not in sets.columns
+    classes = sets.selectExpr("doc_id as cls", "doc_id", "text_hash", "signature").select("cls", "doc_id", "text_hash", "signature", minhash_forest.sketches_of("signature"))
+    for r in classes.collect():
+        assert bytes(r.sketch) == bytes(r.signature)[3::4] and len(r.sketch) == minhash_forest.LANES
+    own = minhash_forest.texts_of(docs, classes.drop("signature", "sketch"), spark.createDataFrame([(1,), (4,)], "cls long"))
+    assert {(r.cls, r.text) for r in own.collect()} == {(1, "a b c d e1"), (4, "a b c d e4")}
