@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 from re import _constants, _parser
 
@@ -47,24 +48,30 @@ def read_fingerprints(spark: SparkSession, path: str) -> list[tuple[str, tuple[s
     return [(r.form_id, tuple(r.patterns)) for r in sorted(rows, key=lambda r: r.position)]
 
 
-def required_literals(pattern: str) -> frozenset[str] | None:
-    """Texts in small letters of which every match of a pattern holds at least one; null if none can be told.
+def required_options(pattern: str, blanks: bool = False) -> list[frozenset[str]]:
+    """All sets of texts in small letters of which every match of a pattern holds at least one of each set.
 
-    Of what must be matched in a row the longest text is taken, of alternatives one text each.
+    Of what must be matched inside a group the longest text is taken, of alternatives one text each.  With ``blanks`` they are
+    texts of a text with one blank for any white space, so they run on over the white space that a pattern asks for.
     """
     try:
         parsed = _parser.parse(pattern, re.IGNORECASE)
     except re.error:
-        return None
+        return []
 
-    def best(options: list[frozenset[str]]) -> frozenset[str] | None:
-        """The most telling of several requirements: the one whose shortest text is longest."""
-        return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=None)
+    def is_blank(op, value) -> bool:
+        """White space, once or more often."""
+        if op is _constants.MAX_REPEAT and value[0] > 0 and len(value[2]) == 1:
+            return is_blank(*value[2][0])
+        return (op is _constants.LITERAL and chr(value) in " \t\n\x0b\f\r") or (op is _constants.IN and list(value) == [(_constants.CATEGORY, _constants.CATEGORY_SPACE)])
 
-    def of(items) -> frozenset[str] | None:
+    def of(items) -> list[frozenset[str]]:
         options: list[frozenset[str]] = []
         run = ""
         for op, value in [*items, (None, None)]:
+            if blanks and is_blank(op, value):
+                run = run.rstrip(" ") + " "
+                continue
             if op is _constants.LITERAL and chr(value).isascii():
                 run += chr(value).lower()
                 continue
@@ -73,20 +80,37 @@ def required_literals(pattern: str) -> frozenset[str] | None:
                 run = ""
             found = None
             if op is _constants.SUBPATTERN:
-                found = of(value[-1])
+                found = _best(of(value[-1]))
             elif op is _constants.MAX_REPEAT and value[0] > 0:
-                found = of(value[2])
+                found = _best(of(value[2]))
             elif op is _constants.BRANCH:
-                each = [of(b) for b in value[1]]
+                each = [_best(of(b)) for b in value[1]]
                 found = frozenset().union(*each) if all(each) else None
             if found:
                 options.append(found)
-        return best(options)
+        return options
+
+    return of(parsed)
+
+
+def _best(options: list[frozenset[str]]) -> frozenset[str] | None:
+    """The most telling of several requirements: the one whose shortest text is longest."""
+    return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=None)
 
-    found = of(parsed)
+
+def required_literals(pattern: str, blanks: bool = False) -> frozenset[str] | None:
+    """The most telling of the :func:`required_options` of a pattern; null if none can be told."""
+    found = _best(required_options(pattern, blanks))
     return found if found and min(map(len, found)) > 1 else None
 
 
+def required_of(patterns: list[str]) -> dict[str, frozenset[str] | None]:
+    """What each pattern of a library requires, with one blank for any white space: of its options of four characters or more the one that fewest patterns share."""
+    options = {p: [o for o in required_options(p, blanks=True) if min(map(len, o)) > 1] for p in patterns}
+    shared = Counter(o for own in options.values() for o in set(own))
+    return {p: max(own, key=lambda o: (min(4, *map(len, o)), -shared[o], min(map(len, o))), default=None) for p, own in options.items()}
+
+
 def one_of(words: list[str]) -> str:
     """A pattern of a tree of letters: the longest of ``words`` that begins at a place."""
     def tree(rest: list[str]) -> str:
@@ -101,8 +125,8 @@ def one_of(words: list[str]) -> str:
 
 
 def literals_in(head: Column, words: list[str]) -> Column:
-    """The longest of ``words`` (small letters) at each place of a text, each once: one pass over the text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(head), F.lit(f"(?=({one_of(words)}))"), F.lit(1)))
+    """The longest of ``words`` (small letters, one blank for white space) at each place of a text, each once: one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.lower(head), r"\s+", " "), F.lit(f"(?=({one_of(words)}))"), F.lit(1)))
 
 
 def form_of(text: Column, fingerprints: list[tuple[str, tuple[str, ...]]], prefilter: bool = True) -> Column:
@@ -112,27 +136,33 @@ def form_of(text: Column, fingerprints: list[tuple[str, tuple[str, ...]]], prefi
     its own was found; without it each pattern is tried in turn.  Both give the same.
     """
     head = F.substring(text, 1, LOOKED_AT)
-    needs = {p: required_literals(p) for _, patterns in fingerprints for p in patterns} if prefilter else {}
+    needs = required_of([p for _, patterns in fingerprints for p in patterns]) if prefilter else {}
     words = sorted({w for own in needs.values() if own for w in own})
 
     def chain_of(found: Column | None) -> Column:
+        # A text is there if one that it begins was found at the same place.
+        any_of = lambda own: F.arrays_overlap(found, F.array(*[F.lit(w) for w in words if any(w.startswith(o) for o in own)]))
         out = None
         for form, patterns in fingerprints:
+            own = [needs.get(p) for p in patterns]
             hit = F.lit(False)
-            for p in patterns:
-                own = needs.get(p)
-                # A text is there if one that it begins was found at the same place.
+            for p, o in zip(patterns, own, strict=True):
                 tried = head.rlike(f"(?i){p}")
-                hit = hit | (tried if not own or found is None else F.arrays_overlap(found, F.array(*[F.lit(w) for w in words if any(w.startswith(o) for o in own)])) & tried)
+                hit = hit | (tried if not o or found is None else any_of(o) & tried)
+            if found is not None and own and all(own):  # one test leaves out a form none of whose texts was found
+                hit = any_of(frozenset().union(*own)) & hit
             out = (F if out is None else out).when(hit, form)
-        return F.lit(None).cast("string") if out is None else out
+        if out is None:
+            return F.lit(None).cast("string")
+        return F.when(F.size(found) > 0, out) if found is not None and all(needs.values()) else out
 
     return once(literals_in(head, words), chain_of) if words else chain_of(None)
 
 
 def patterns_left(text: Column, fingerprints: list[tuple[str, tuple[str, ...]]]) -> Column:
     """How many patterns the pass for required texts leaves to be tried on a text at most."""
-    needs = [required_literals(p) for _, patterns in fingerprints for p in patterns]
+    patterns = [p for _, own in fingerprints for p in own]
+    needs = [required_of(patterns)[p] for p in patterns]
     words = sorted({w for own in needs if own for w in own})
     overlap = lambda found, own: F.arrays_overlap(found, F.array(*[F.lit(w) for w in words if any(w.startswith(o) for o in own)])).cast("int")
     return once(literals_in(F.substring(text, 1, LOOKED_AT), words), lambda found: sum((overlap(found, own) if own else F.lit(1) for own in needs), F.lit(0)))

@@ -242,3 +242,14 @@ def test_tables_flatten_as_row_after_row_would(spark):
     for i, t in rows:
         assert sorted(x[1:] for x in got if x[0] == i) == (plain(t) if t is not None else []), repr(t)
     assert "Exchange" not in plan_of(flat) and "Exchange" not in plan_of(texts.table_rows(frame))
+
+
+def test_required_texts_run_on_over_white_space(spark):
+    library = cases.library_fingerprints(spark)
+    assert classify.required_literals(r"\bTX\s+FORM\s+CR[\s\-_]*3\b", blanks=True) == {"tx form cr"}
+    assert classify.required_literals(r"A \s+\nB\s*C", blanks=True) == {"a b"} and classify.required_literals(r"ab\Scd", blanks=True) == {"ab"}
+    docs = spark.createDataFrame([("report form of nobody, notice of loss",), ("TX \n\t form\x0bcr 3",), ("a report  of\nny mv-104 a",)], "text string").repartition(1)
+    docs = docs.select("text", F.replace("text", F.lit("-104 a"), F.lit("104a")).alias("plain"))
+    rows = docs.select("text", classify.patterns_left(F.col("text"), library).alias("left"), classify.form_of(F.col("text"), library).alias("a"), classify.form_of(F.col("text"), library, prefilter=False).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[1].a == "tx_cr3"
+    assert {r.text[:6]: r.left for r in rows}["report"] == 0  # words that all forms share leave nothing to try
