@@ -6,7 +6,7 @@ the SQL reads it there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
@@ -87,11 +87,16 @@ def nearby_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled lines of the forms as blocks on a grid: labels at 50 points, values at 200."""
-    lines = texts.lines_of(order_forms(spark, sf_dir)).where(F.col("line").rlike("^[^:]+: "))
-    at, page = 700 - 14 * (F.col("line_no") % 45), (F.floor(F.col("line_no") / 45) + 1).cast("int")
-    part = lambda i, left: F.struct(F.concat_ws("-", F.lit(str(i)), "line_no").alias("block_id"), F.split("line", ": ", 2)[i].alias("text"), box(F.lit(left), at + 10, F.lit(left + 100), at).alias("bbox"), page.alias("page"), F.lit("text").alias("label"), (F.col("line_no") * 2 + i).alias("reading_order"))
-    return lines.select("doc_id", F.explode(F.array(part(0, 50), part(1, 200))).alias("b")).select("doc_id", "b.*")
+    """(doc_id, blocks): the labelled lines of the forms as blocks on a grid, in reading order: labels at 50 points, values at 200.  Blocks are made in their document's row."""
+
+    def parts(x: Column) -> Column:
+        at, page = 700 - 14 * (x["no"] % 45), (F.floor(x["no"] / 45) + 1).cast("int")
+        part = lambda i, left: F.struct(page.alias("page"), (x["no"] * 2 + i).alias("reading_order"), F.concat_ws("-", F.lit(str(i)), x["no"]).alias("block_id"), F.split(x["line"], ": ", 2)[i].alias("text"), box(F.lit(left), at + 10, F.lit(left + 100), at).alias("bbox"), F.lit("text").alias("label"))
+        return F.array(part(0, 50), part(1, 200))
+
+    tidy = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
+    labelled = F.filter(tidy, lambda x: x["line"].rlike("^[^:]+: "))
+    return order_forms(spark, sf_dir).select("doc_id", F.flatten(F.transform(labelled, parts)).alias("blocks"))
 
 
 def spatial_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,14 @@ def test_required_texts_run_on_over_white_space(spark):
     rows = docs.select("text", classify.patterns_left(F.col("text"), library).alias("left"), classify.form_of(F.col("text"), library).alias("a"), classify.form_of(F.col("text"), library, prefilter=False).alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows] and rows[1].a == "tx_cr3"
     assert {r.text[:6]: r.left for r in rows}["report"] == 0  # words that all forms share leave nothing to try
+
+
+def test_gathered_blocks_are_not_shuffled_and_give_the_same(spark):
+    rows = spark.createDataFrame([(d, f"b{n}", t, {"l": 50.0 + 150 * (n % 2), "t": 10.0 - n // 2, "r": 100.0, "b": 0.0}, 1, "text", n) for d in range(3) for n, t in enumerate(("DATE", f"day {d}", "NAME", "Ann"))], "doc_id int, block_id string, text string, bbox struct<l:double,t:double,r:double,b:double>, page int, label string, reading_order int")
+    once = layout.gathered(rows)
+    spec = layout.SpatialLabel("date", ("^DATE$",), "right", 300.0)
+    assert sorted(layout.spatial_values(once, spec).collect(), key=str) == sorted(layout.spatial_values(rows, spec).collect(), key=str) and layout.gathered(once) is once
+    values = spark.createDataFrame([(d, "name", "ann") for d in range(4)], "doc_id int, field_id string, value string")
+    assert sorted(layout.provenance(values, once).collect(), key=str) == sorted(layout.provenance(values, rows).collect(), key=str)
+    forms = cases.form_blocks(spark, "/root/testdata/sf0.001")
+    assert forms.columns == ["doc_id", "blocks"] and "Generate" not in forms._jdf.queryExecution().executedPlan().toString()
