@@ -446,10 +446,15 @@ def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("o_orderkey", scans.route(F.col("name")).alias("doc_type"))
 
 
+#: Forms in a file of those that arrive.
+FORMS_A_FILE = 100_000
+
+
 def streamed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items read from forms that arrive as files: the same rows as in batch."""
     folder = shared_folder(spark)
-    order_forms(spark, sf_dir).repartition(4).write.parquet(f"{folder}/in")
+    files = max(4, table(spark, sf_dir, "orders").count() // FORMS_A_FILE)  # their size is bounded, not their number
+    order_forms(spark, sf_dir).repartition(files).write.parquet(f"{folder}/in")
     query = jobs.extract_arriving(spark, f"{folder}/in", "doc_id long, text string", lambda d: ent.entities(d, ITEMS), f"{folder}/out", f"{folder}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("doc_id", F.col("entity_id").cast("int").alias("item_no"), "name", F.col("quantity").cast("int").alias("quantity"))

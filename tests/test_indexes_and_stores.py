@@ -264,3 +264,13 @@ def test_gathered_blocks_are_not_shuffled_and_give_the_same(spark):
     assert sorted(layout.provenance(values, once).collect(), key=str) == sorted(layout.provenance(values, rows).collect(), key=str)
     forms = cases.form_blocks(spark, "/root/testdata/sf0.001")
     assert forms.columns == ["doc_id", "blocks"] and "Generate" not in forms._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arriving_forms_are_dealt_over_files_by_their_number(spark, monkeypatch, tmp_path):
+    from fieldloom.plans import records
+
+    monkeypatch.setattr(records, "FORMS_A_FILE", 100)
+    monkeypatch.setattr(records, "shared_folder", lambda spark: str(tmp_path))
+    orders = cases.table(spark, "/root/testdata/sf0.001", "orders").count()
+    assert records.streamed_items(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(glob.glob(f"{tmp_path}/in/*.parquet")) == max(4, orders // 100)
