@@ -10,11 +10,12 @@ p-values are combined by Fisher's method.  How large the combined
 value must be is decided per encoding and length class by false-discovery control.
 
 The control needs to know how random ordinary tokens of that encoding and length look
-by chance.  Decoys show it: about ``DECOYS`` for each encoding and length class, made of
-neighbouring words of a sample of texts (``SAMPLE_ROWS`` rows), joined as names, paths,
-identifiers and codes are (run together, capitalised, with numbers in between, with
-dashes, underscores or slashes; only the letters a-f for hexadecimal ones) and cut to
-lengths of the class.  They come from whole short words in usual case only, so keys in
+by chance.  Decoys show it.  Every text makes some, one for each ``STRETCH`` words and so
+many that an encoding and length class gets about ``DECOYS`` or more: neighbouring words
+from anywhere in the text, joined as names, paths, identifiers and codes are (run
+together, capitalised, with numbers in between, with dashes, underscores or slashes; only
+the letters a-f for hexadecimal ones) and cut to lengths of the class.  Texts of few words
+are put together first.  Decoys come from whole short words in usual case only, so keys in
 the corpus do not end up in them.  What is tested, and counted against the decoys, are
 all tokens of all texts.
 
@@ -41,8 +42,8 @@ ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+[
 KINDS = ("assign", "access", "hex")
 RANDOM = "random"
 FDR, BINS, SHORTEST = 0.01, 100, 12
-#: Decoys of each encoding and length class, pools of words they are made from, rows that the words come from.
-DECOYS, POOLS, SAMPLE_ROWS = 1024, 64, 500
+#: Decoys of each encoding and length class at least, words that give one more, words that a text needs to make decoys by itself; texts with fewer that are put together, in so many pools at least.
+DECOYS, STRETCH, ENOUGH, TOGETHER, POOLS = 1024, 128, 128, 64, 64
 #: Length classes begin at these token lengths.
 CLASSES = (12, 16, 20, 24, 32, 40, 64, 128)
 #: Alphabets by encoding, in the order of their symbols' values, with what tells a token of them.
@@ -70,6 +71,7 @@ KNOWN_BY = {
     "base64url": "^[A-Za-z0-9_-]+$",
     "base64": "",
 }
+USUAL = "(?<![A-Za-z0-9+/_=-])(?:[A-Z]?[a-z]{1,11}|[A-Z]{2,12})(?![A-Za-z0-9+/_=-])"
 TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{SHORTEST},}}+={{0,2}}+"
 
 
@@ -177,23 +179,19 @@ def _tokens(text: Column) -> Column:
 
 
 def _pools(docs: DataFrame, rows: int) -> DataFrame:
-    """(pool, words): ordinary words of a sample of texts, neighbours together, in ``POOLS`` parts; ``rows`` is the number of all texts."""
-    sampled = docs if rows <= SAMPLE_ROWS else docs.sample(SAMPLE_ROWS / rows, seed=29)
-    text = F.col("text")
-    window = F.substring(text, F.pmod(F.xxhash64(text), F.greatest(F.length(text) - 4000, F.lit(1))).cast("int") + 1, F.lit(4000))
-    # Whole words in usual case only; the first and the last of the stretch may be cut.
-    words = once(F.split(window, "[^A-Za-z0-9+/_=-]+"), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))))
-    usual = F.filter(words, lambda w: w.rlike("^(?:[A-Z]?[a-z]{1,11}|[A-Z]{2,12})$"))
-    each = sampled.where(F.length(text) > 0).select(F.xxhash64(text).alias("of"), F.posexplode(usual).alias("at", "word"))
-    pools = each.groupBy(F.pmod(F.xxhash64("of", F.floor(F.col("at") / 16)), F.lit(POOLS)).cast("int").alias("pool")).agg(F.array_sort(F.collect_list(F.struct("of", "at", "word"))).alias("w"))
-    return pools.select("pool", F.transform("w", lambda x: x["word"]).alias("words")).repartition(POOLS, "pool")
+    """(seed, texts, words): the ordinary words of every text in their order, those of texts with few words put together; ``rows`` is the number of all texts."""
+    each = docs.select(F.xxhash64("doc_id", "text").alias("seed"), F.regexp_extract_all("text", F.lit(USUAL), F.lit(0)).alias("words")).where(F.size("words") > 0)
+    alone = F.size("words") >= ENOUGH
+    few = each.where(~alone).groupBy(F.pmod("seed", F.lit(max(POOLS, rows // TOGETHER))).alias("pool")).agg(F.array_sort(F.collect_list(F.struct("seed", "words"))).alias("t"))
+    together = few.select(F.xxhash64("pool").alias("seed"), F.size("t").alias("texts"), F.flatten(F.transform("t", lambda x: x["words"])).alias("words"))
+    return each.where(alone).select("seed", F.lit(1).alias("texts"), "words").unionByName(together)
 
 
-def _decoys(pools: DataFrame, decoys: int = DECOYS) -> DataFrame:
-    """(encoding, class, bin) of ordinary tokens: ``decoys`` tries for each encoding and length class."""
+def _decoys(pools: DataFrame, rows: int, decoys: int = DECOYS) -> DataFrame:
+    """(encoding, class, bin) of ordinary tokens: at least ``decoys`` tries for each encoding and length class over ``rows`` texts."""
     strata = [(e, c, top) for e in ALPHABETS for c, top in zip(CLASSES, (*CLASSES[1:], CLASSES[-1] + 32), strict=True)]
     table = F.array(*[F.struct(F.lit(e).alias("encoding"), F.lit(c).alias("class"), F.lit(top).alias("top")) for e, c, top in strata])
-    draw = lambda i, salt, n: F.pmod(F.xxhash64("pool", i, F.lit(salt)), n).cast("int")
+    draw = lambda i, salt, n: F.pmod(F.xxhash64("seed", i, F.lit(salt)), n).cast("int")
     digits = {"base32": "234567"}
 
     def token(s: Column, i: Column) -> Column:
@@ -235,11 +233,13 @@ def _decoys(pools: DataFrame, decoys: int = DECOYS) -> DataFrame:
             fits = (F.length(x["t"]) >= x["s"]["class"]) & (encoding_of(x["t"]) == x["s"]["encoding"])
             return F.when(fits, F.struct(x["s"]["encoding"].alias("encoding"), x["s"]["class"].alias("class"), bin_of(x["t"], x["s"]["encoding"]).alias("bin")))
 
-        return once(F.element_at(F.col("strata"), i % len(strata) + 1), lambda s: once(F.struct(token(s, i).alias("t"), s.alias("s")), judge))
+        return once(F.element_at(F.col("strata"), draw(i, "stratum", F.lit(len(strata))) + 1), lambda s: once(F.struct(token(s, i).alias("t"), s.alias("s")), judge))
 
-    tries = len(strata) * -(-decoys // POOLS)
-    ready = pools.where(F.size("words") > 0).withColumns({"twice": F.concat("words", F.reverse("words"), "words"), "strata": table})
-    return ready.select(F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), made), lambda d: d.isNotNull())).alias("d")).select("d.*")
+    tries = F.greatest(F.col("texts") * -(-len(strata) * decoys // max(1, rows)), F.ceil(F.size("words") / STRETCH).cast("int"))
+    # Few texts make many decoys each: they are dealt over tasks first.  Of more texts each makes its own where it stands.
+    dealt = pools.repartition(POOLS, "seed") if rows < len(strata) * decoys else pools
+    ready = dealt.withColumns({"twice": F.concat("words", F.reverse("words"), "words"), "strata": table})
+    return ready.select(F.explode(F.filter(F.transform(F.sequence(F.lit(1), tries), made), lambda d: d.isNotNull())).alias("d")).select("d.*")
 
 
 def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
@@ -251,7 +251,8 @@ def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = docs.select(F.explode(F.transform(_tokens(text), lambda t: F.struct(t["encoding"].alias("encoding"), t["class"].alias("class"), bin_of(t["hit"], t["encoding"]).alias("bin")))).alias("t")).select("t.*")
-    decoys = _decoys(_pools(docs, docs.count()))
+    rows = docs.count()
+    decoys = _decoys(_pools(docs, rows), rows)
     both = tokens.withColumn("decoy", F.lit(False)).unionByName(decoys.withColumn("decoy", F.lit(True)))
     counts = both.groupBy("encoding", "class", "bin").agg(F.count_if(~F.col("decoy")).alias("tokens"), F.count_if("decoy").alias("decoys"))
     stratum = ("encoding", "class")
@@ -261,8 +262,9 @@ def thresholds(docs: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
     all_of = lambda c: F.sum(c).over(whole)
     ordinary = F.least(all_of("tokens"), (low("tokens") + 1) * all_of("decoys") / F.greatest(low("decoys"), F.lit(1)))
     rate = ordinary * (F.sum("decoys").over(above) + 1) / (all_of("decoys") + 1) / F.greatest(F.sum("tokens").over(above), F.lit(1))
-    rows = counts.withColumn("rate", rate).withColumn("found", F.sum("tokens").over(above)).where((F.col("rate") <= fdr) & (F.col("bin") >= 1) & (F.col("found") > 0)).groupBy(*stratum).agg(F.min("bin").alias("bin")).collect()
-    return {(r["encoding"], r["class"]): r["bin"] for r in rows}
+    known = counts.withColumns({"rate": rate, "found": F.sum("tokens").over(above), "all_decoys": all_of("decoys")}).where("all_decoys > 0")
+    least = known.where((F.col("rate") <= fdr) & (F.col("bin") >= 1) & (F.col("found") > 0)).groupBy(*stratum).agg(F.min("bin").alias("bin")).collect()
+    return {(r["encoding"], r["class"]): r["bin"] for r in least}
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:

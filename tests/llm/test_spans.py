@@ -100,6 +100,22 @@ def test_a_few_keys_in_a_small_table_are_found(spark):
     assert {r.doc_id for r in got} == {100, 101, 102, 103, 104}
 
 
+def test_decoys_come_from_every_text(spark):
+    """Each row has a word of its own; short and long texts, repeated rows and null texts."""
+    own = lambda i: "w" + "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, " ".join([own(i)] * (300 if i % 50 == 0 else 3))) for i in range(1500)] + [(7, own(7)), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pools = secret_scan._pools(docs, len(rows))
+    assert {w for (w,) in pools.select(F.explode("words")).distinct().collect()} == {own(i) for i in range(1500)}
+    assert pools.agg(F.sum(F.size("words"))).first()[0] == 30 * 300 + 1470 * 3 + 1
+
+
+def test_texts_without_words_teach_no_threshold(spark):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice(LETTERS + "0123456789") for _ in range(48))) for i in range(50)]
+    assert secret_scan.thresholds(spark.createDataFrame(rows, "doc_id long, text string")) == {}
+
+
 def test_secrets_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "token=abcdefabcdef1", "a", "b", 1), (2, None, None, None, None)], "doc_id long, text string, spans string, base string, tested int")
     assert [(r.doc_id, r.n_assign) for r in secret_scan.digest(secret_scan.scan(docs), secret_scan.KINDS).orderBy("doc_id").collect()] == [(1, 1), (2, 0)]
