@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,26 +16,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Columns of a line item that its number within the order goes by.
+ITEM_ORDER = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
 def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with ``item_no``, their number within the order."""
-    order = Window.partitionBy("l_orderkey").orderBy(
-        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"
-    )
+    order = Window.partitionBy("l_orderkey").orderBy(*ITEM_ORDER)
     return table(spark, sf_dir, "lineitem").withColumn("item_no", F.row_number().over(order))
 
 
 def order_forms(spark: SparkSession, sf_dir: str, item_style: str = "lines") -> DataFrame:
-    """(doc_id, text): a form per order.  ``item_style``: ``lines`` (labelled lines) or ``table`` (a pipe table)."""
-    items = numbered_items(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    price = F.format_number("l_extendedprice", 2)
-    quantity = F.col("l_quantity").cast("int").cast("string")
-    if item_style == "lines":
-        one = F.concat(F.lit("ITEM "), F.col("item_no"), F.lit(": "), F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")\nQuantity: "), quantity, F.lit("\nPrice: $"), price, F.lit("\nCode: "), F.col("l_returnflag"))
-        head = ""
-    else:
-        one = F.concat(F.lit("| "), F.concat_ws(" | ", F.col("item_no").cast("string"), F.col("p_name"), quantity, F.concat(F.lit("$"), price), F.col("l_returnflag")), F.lit(" |"))
-        head = "| No | Part | Quantity | Price | Code |\n|---|---|---|---|---|\n"
-    listed = items.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_no", one.alias("t")))), lambda x: x["t"]), "\n").alias("items"))
+    """(doc_id, text): a form per order.  ``item_style``: ``lines`` (labelled lines) or ``table`` (a pipe table).
+
+    Items meet their part first and their order then; they are numbered and written in the order's row, so they are moved
+    twice at most.
+    """
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", *ITEM_ORDER).join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+
+    def written(x: Column, i: Column) -> Column:
+        number, price, quantity = (i + 1).cast("string"), F.format_number(x["l_extendedprice"], 2), x["l_quantity"].cast("int").cast("string")
+        if item_style == "lines":
+            return F.concat(F.lit("ITEM "), number, F.lit(": "), x["p_name"], F.lit(" ("), x["p_brand"], F.lit(")\nQuantity: "), quantity, F.lit("\nPrice: $"), price, F.lit("\nCode: "), x["l_returnflag"])
+        return F.concat(F.lit("| "), F.concat_ws(" | ", number, x["p_name"], quantity, F.concat(F.lit("$"), price), x["l_returnflag"]), F.lit(" |"))
+
+    head = "" if item_style == "lines" else "| No | Part | Quantity | Price | Code |\n|---|---|---|---|---|\n"
+    of_order = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*ITEM_ORDER, "p_name", "p_brand"))).alias("x"))
+    listed = of_order.select("l_orderkey", F.array_join(F.transform("x", written), "\n").alias("items"))
     mark = lambda s: F.when(F.col("o_orderstatus") == s, "[X]").otherwise("[ ]")
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return orders.select(
