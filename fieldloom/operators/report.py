@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import once
 from ..functions.values import MISSING, field_quality, missing, quality_reason, stripped
 
 # Weights of fields, core fields per document type, and the incidents that have no weather.
@@ -38,20 +39,50 @@ def score_records(record: DataFrame, evidence: DataFrame, vehicles: DataFrame |
     without any vehicle counts as having none known.
     """
     weights, scored, core = weights or WEIGHTS, scored or SCORED[doc_type], core or CORE[doc_type]
-    docs = record.select("doc_id").distinct().unionByName(evidence.select("doc_id").distinct()).distinct()
-    spec = [F.struct(F.lit(f).alias("field_id"), F.lit(float(weights.get(f, 1.0))).alias("weight"), F.lit(f in core).alias("core")) for f in scored]
-    incident = record.where("field_id = 'accident_type'").select("doc_id", F.coalesce(F.col("value").rlike(NO_WEATHER), F.lit(False)).alias("no_weather"))
-    rows = docs.select("doc_id", F.explode(F.array(*spec)).alias("s")).select("doc_id", "s.*").join(record.select("doc_id", "field_id", "value"), ["doc_id", "field_id"], "left")
-    rows = rows.join(evidence.select("doc_id", "field_id").distinct().withColumn("seen", F.lit(True)), ["doc_id", "field_id"], "left").join(incident, "doc_id", "left")
-    is_core = F.col("core") & ~((F.col("field_id") == "weather") & F.coalesce("no_weather", F.lit(False)))
-    counted = rows.where(is_core | F.col("seen").isNotNull() | ~missing(F.col("value")))
-    parts = counted.select("doc_id", field_quality(F.col("field_id"), F.col("value")).alias("q"), "weight", quality_reason(F.col("field_id"), F.col("value")).alias("reason"))
+    none = F.lit(None).cast("string")
+    given = record.select("doc_id", "field_id", F.col("value").cast("string").alias("value"), F.lit(False).alias("seen")).unionByName(evidence.select("doc_id", "field_id", none.alias("value"), F.lit(True).alias("seen")))
+    # Each row of a record and of the evidence goes to its document once; fields of neither count are only known to be there.
+    told = F.when(F.col("field_id").isin(*scored, "accident_type"), F.struct("field_id", "value", "seen"))
+    docs = given.groupBy("doc_id").agg(F.collect_list(told).alias("f"), F.max("seen").alias("has_evidence"))
+    values = lambda f: F.transform(F.filter("f", lambda x: (x["field_id"] == f) & ~x["seen"]), lambda x: x["value"])
+    incidents = F.transform(values("accident_type"), lambda v: F.coalesce(v.rlike(NO_WEATHER), F.lit(False)))
+    incidents = once(incidents, lambda i: F.when(F.size(i) > 0, i).otherwise(F.array(F.lit(False))))
+
+    def parts_of(f: str, incidents: Column) -> Column:
+        """(q, weight, reason) of each value of a field that counts, once for each incident."""
+        seen = F.exists("f", lambda x: (x["field_id"] == f) & x["seen"])
+
+        def part(v: Column, no_weather: Column) -> Column:
+            is_core = F.lit(f in core) & ~no_weather if f == "weather" else F.lit(f in core)
+            judged = F.struct(field_quality(F.lit(f), v).cast("double").alias("q"), F.lit(float(weights.get(f, 1.0))).alias("weight"), quality_reason(F.lit(f), v).alias("reason"))
+            return F.when(is_core | seen | ~missing(v), judged)
+
+        each = once(values(f), lambda v: F.when(F.size(v) > 0, v).otherwise(F.array(none)))
+        return F.flatten(F.transform(incidents, lambda no_weather: F.transform(each, lambda v: part(v, no_weather))))
+
+    of_vehicles = None
     if vehicles is not None and doc_type != "ia":
         known = [(~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(*MISSING)).cast("int") for c in VEHICLE_KEYS]
-        complete = vehicles.select("doc_id", sum(known[1:], known[0]).alias("known")).groupBy("doc_id").agg((F.sum("known") / (F.count(F.lit(1)) * len(VEHICLE_KEYS))).alias("q"))
-        none = evidence.select("doc_id").distinct().join(complete, "doc_id", "left_anti").join(incident, "doc_id", "left").where(~F.coalesce("no_weather", F.lit(False))).select("doc_id", F.lit(0.0).alias("q"))
-        parts = parts.unionByName(complete.unionByName(none).select("doc_id", "q", F.lit(VEHICLE_WEIGHT).alias("weight"), F.lit(None).cast("string").alias("reason")))
-    return parts.groupBy("doc_id").agg(F.round(F.sum(F.col("q") * F.col("weight")) / F.sum("weight") * 100, 1).alias("score"), F.coalesce(F.nullif(F.array_sort(F.collect_list("reason")), F.array().cast("array<string>")), F.array(F.lit(ALL_WELL))).alias("reasons"))
+        complete = vehicles.select("doc_id", sum(known[1:], known[0]).alias("known")).groupBy("doc_id").agg((F.sum("known") / (F.count(F.lit(1)) * len(VEHICLE_KEYS))).alias("_vehicles"))
+        docs = docs.join(complete, "doc_id", "full")
+        car = lambda q: F.struct(q.alias("q"), F.lit(VEHICLE_WEIGHT).alias("weight"), none.alias("reason"))
+        without = lambda incidents: F.transform(F.filter(incidents, lambda no_weather: ~no_weather), lambda _: car(F.lit(0.0)))
+        nothing = F.array().cast("array<struct<q:double,weight:double,reason:string>>")
+        of_vehicles = lambda incidents: F.when(F.col("_vehicles").isNotNull(), F.array(car(F.col("_vehicles")))).when(F.col("has_evidence"), without(incidents)).otherwise(nothing)
+
+    def parts(incidents: Column) -> Column:
+        own = F.filter(F.concat(*[parts_of(f, incidents) for f in scored]), lambda p: p.isNotNull())
+        return own if of_vehicles is None else F.concat(F.coalesce(own, nothing), of_vehicles(incidents))
+
+    def judged(parts: Column) -> Column:
+        sums = F.aggregate(parts, F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("w")), lambda t, p: F.struct((t["q"] + p["q"] * p["weight"]).alias("q"), (t["w"] + p["weight"]).alias("w")))
+        reasons = F.array_sort(F.filter(F.transform(parts, lambda p: p["reason"]), lambda r: r.isNotNull()))
+        said = once(reasons, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array(F.lit(ALL_WELL))))
+        return F.when(F.size(parts) > 0, F.struct(once(sums, lambda t: F.round(F.try_divide(t["q"], t["w"]) * 100, 1)).alias("score"), said.alias("reasons")))
+
+    # A document without any part gives no row; what it has is worked out once.
+    scores = once(incidents, lambda i: once(parts(i), judged))
+    return docs.select("doc_id", F.explode(F.filter(F.array(scores), lambda x: x.isNotNull())).alias("x")).select("doc_id", "x.*")
 
 
 # The sentences of the notes, with {} for a field's value, and what stands for a value that is not there.

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldloom.operators import entities as ent
+from fieldloom.operators import report
 from fieldloom.plans import forms
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +28,8 @@ def test_entities_are_read_in_their_row(spark):
 def test_items_of_a_form_are_numbered_in_its_row(spark):
     assert "Window" not in plan_of(forms.order_forms(spark, SF))
     assert forms.order_forms(spark, SF).where(F.contains("text", F.lit("ITEM 2: "))).count() > 0
+
+
+def test_a_record_is_scored_in_its_row(spark):
+    record = spark.createDataFrame([(1, "weather", "Rain")], "doc_id int, field_id string, value string")
+    assert "Join" not in plan_of(report.score_records(record, record.select("doc_id", "field_id")))
