@@ -190,19 +190,31 @@ def checkbox_grid(text: Column, s: Strategy) -> Column:
     """
     anchor = s.config.get("anchor")
     at = F.call_function("instr", F.upper(text), F.lit(anchor.upper())) if anchor else F.lit(0)
-    window = F.when(at > 0, F.substring(text, at, F.lit(GRID_REACH))).otherwise(text)
+    window = once(at, lambda at: F.when(at > 0, F.substring(text, at, F.lit(GRID_REACH))).otherwise(text))
+    checked = once(window, lambda w: F.filter(F.array(*_options(text, w, s)), lambda c: c.isNotNull()))
+    better = lambda c, o: (o["value"] == c["value"]) & ((o["preset"] > c["preset"]) | ((o["preset"] == c["preset"]) & (o["gen_order"]["match"] < c["gen_order"]["match"])))
+    return once(checked, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda o: better(c, o))))
+
+
+def _options(text: Column, window: Column, s: Strategy) -> list[Column]:
+    """A candidate for each option that is checked in the window, else null; each test looks once, and only where the option occurs."""
     found = []
     for n, (label, value) in enumerate(s.config.get("options", {}).items()):
         q = "".join("\\" + c if not c.isalnum() and c != " " else c for c in label)
         tests = [(rf"(?iu){MARK}\s{{0,3}}{q}", BESIDE), (rf"(?iu){q}\s{{0,3}}{MARK}", BESIDE), (rf"(?iu){q}\s*[:\-]?\s*(?:Yes|Selected|Checked)\b", WORDED), (rf"(?iu)\bX\b\s{{1,4}}{q}", WORDED)]
-        preset, raw = F.lit(None).cast("double"), F.lit(None).cast("string")
-        for pattern, confidence in reversed(tests):
-            preset = F.when(window.rlike(pattern), confidence).otherwise(preset)
-            raw = F.when(window.rlike(pattern), F.left(F.regexp_extract(window, pattern, 0), F.lit(80))).otherwise(raw)
-        found.append(F.when(preset.isNotNull(), _candidate(text, s, F.lit(value), raw, F.lit(None).cast("int"), F.lit(None).cast("int"), None, F.lit(1), 0, F.lit(n), preset)))
-    checked = F.filter(F.array(*found), lambda c: c.isNotNull())
-    better = lambda c, o: (o["value"] == c["value"]) & ((o["preset"] > c["preset"]) | ((o["preset"] == c["preset"]) & (o["gen_order"]["match"] < c["gen_order"]["match"])))
-    return once(checked, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda o: better(c, o))))
+        # No test matches an empty text.
+        hits = [once(F.regexp_extract(window, pattern, 0), _evidence(confidence)) for pattern, confidence in tests]
+        found.append(F.when(window.rlike(rf"(?iu){q}"), once(F.coalesce(*hits), _checked(text, s, value, n))))
+    return found
+
+
+def _evidence(confidence: float) -> Callable[[Column], Column]:
+    return lambda raw: F.when(raw != "", F.struct(F.left(raw, F.lit(80)).alias("raw"), F.lit(confidence).cast("double").alias("preset")))
+
+
+def _checked(text: Column, s: Strategy, value: str, n: int) -> Callable[[Column], Column]:
+    none = F.lit(None).cast("int")
+    return lambda hit: F.when(hit.isNotNull(), _candidate(text, s, F.lit(value), hit["raw"], none, none, None, F.lit(1), 0, F.lit(n), hit["preset"]))
 
 
 def generate(docs: DataFrame, strategies: list[Strategy], text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import entities as ent
 from fieldloom.operators import report
+from fieldloom.operators.candidates import Strategy, generate
 from fieldloom.plans import forms
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,9 @@ def test_items_of_a_form_are_numbered_in_its_row(spark):
 def test_a_record_is_scored_in_its_row(spark):
     record = spark.createDataFrame([(1, "weather", "Rain")], "doc_id int, field_id string, value string")
     assert "Join" not in plan_of(report.score_records(record, record.select("doc_id", "field_id")))
+
+
+def test_each_test_of_a_checkbox_looks_once(spark):
+    docs = spark.createDataFrame([(1, "STATUS: [X] Open")], "doc_id int, text string")
+    found = generate(docs, [Strategy("s", "checkbox_grid", config={"anchor": "STATUS:", "options": {"Open": "O"}})])
+    assert plan_of(found).count("RLIKE") == 1 and [r.value for r in found.collect()] == ["O"]
