@@ -36,9 +36,13 @@ def mined(text: Column) -> Column:
 
     def pair(line: Column) -> Column:
         at = F.instr(line, ":")
-        key, value = stripped(F.left(line, at - 1)), stripped(F.substring(line, at + 1, F.length(line)))
-        fits = (at > 0) & (key != "") & (value != "") & (F.length(key) < LONGEST_KEY) & (F.length(value) < LONGEST_VALUE)
-        return F.when(fits, F.struct(stripped(F.regexp_replace(key, NO_KEY, "")).alias("key"), value.alias("value")))
+        both = F.struct(stripped(F.left(line, at - 1)).alias("key"), stripped(F.substring(line, at + 1, F.length(line))).alias("value"))
+
+        def tidy(p: Column) -> Column:
+            fits = (p["key"] != "") & (p["value"] != "") & (F.length(p["key"]) < LONGEST_KEY) & (F.length(p["value"]) < LONGEST_VALUE)
+            return F.when(fits, F.struct(stripped(F.regexp_replace(p["key"], NO_KEY, "")).alias("key"), p["value"].alias("value")))
+
+        return F.when(at > 0, once(both, tidy))
 
     return F.filter(F.transform(F.split(text, "\n", -1), pair), lambda p: p.isNotNull() & (p["key"] != ""))
 
@@ -60,8 +64,9 @@ def custom_values(docs: DataFrame, names: list[str], key: str = "doc_id") -> Dat
     def one(name: str, keys: Column) -> Column:
         pattern = f"(?i){quoted(name)}{CUSTOM}"
         known = F.exists(keys, lambda k: F.contains(k, F.lit(name.lower())))
-        value = F.when(F.col("text").rlike(pattern), stripped(F.regexp_extract("text", pattern, 1))).otherwise("Not Found")
-        return F.when(~known & (F.length(value) < LONGEST_CUSTOM), F.struct(F.lit(name).alias("field_name"), value.alias("value")))
+        # What is found is not empty, but it may be blanks only.
+        value = once(F.regexp_extract("text", pattern, 1), lambda v: F.when(v != "", stripped(v)).otherwise("Not Found"))
+        return F.when(~known, once(value, lambda v: F.when(F.length(v) < LONGEST_CUSTOM, F.struct(F.lit(name).alias("field_name"), v.alias("value")))))
 
     keys = F.transform(mined(F.col("text")), lambda p: F.lower(p["key"]))
     found = once(keys, lambda k: F.filter(F.array(*[one(n, k) for n in names]), lambda f: f.isNotNull()))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldloom.operators import entities as ent
-from fieldloom.operators import report
+from fieldloom.operators import generic, report
 from fieldloom.operators.candidates import Strategy, generate
 from fieldloom.plans import forms
 
@@ -40,3 +40,9 @@ def test_each_test_of_a_checkbox_looks_once(spark):
     docs = spark.createDataFrame([(1, "STATUS: [X] Open")], "doc_id int, text string")
     found = generate(docs, [Strategy("s", "checkbox_grid", config={"anchor": "STATUS:", "options": {"Open": "O"}})])
     assert plan_of(found).count("RLIKE") == 1 and [r.value for r in found.collect()] == ["O"]
+
+
+def test_fields_and_pairs_are_looked_for_once(spark):
+    docs = spark.createDataFrame([(1, "a: b\nRoad   \n")], "doc_id int, text string")
+    assert plan_of(generic.custom_values(docs, ["Road"])).count("regexp_extract(") == 1
+    assert plan_of(generic.key_values(docs)).count("regexp_replace(") <= 4
