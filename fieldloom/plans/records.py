@@ -325,7 +325,7 @@ def learned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = learned_patterns(spark, sf_dir).groupBy("field_name", "pattern").count().select("field_name", "pattern", F.lit(1).alias("pattern_id"))
     record = orders.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.lit("agency"), F.lit("report_number"))).alias("field_id"), F.lit("Unknown").alias("value"))
     docs = order_forms(spark, sf_dir)
-    return enrich.contextual_fill(enrich.learned_fill(record, docs, learned), docs, enrich.POLICE_FILLS, enrich.PICKS)
+    return enrich.learned_and_contextual_fill(record, docs, learned, enrich.POLICE_FILLS, enrich.PICKS)
 
 
 EVAL = [

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from fieldloom.operators import entities as ent
-from fieldloom.operators import generic, report
+from fieldloom.functions import text as texts
+from fieldloom.operators import enrich, generic, report
 from fieldloom.operators.candidates import Strategy, generate
 from fieldloom.plans import forms
 
@@ -46,3 +47,15 @@ def test_fields_and_pairs_are_looked_for_once(spark):
     docs = spark.createDataFrame([(1, "a: b\nRoad   \n")], "doc_id int, text string")
     assert plan_of(generic.custom_values(docs, ["Road"])).count("regexp_extract(") == 1
     assert plan_of(generic.key_values(docs)).count("regexp_replace(") <= 4
+
+
+def test_fills_move_one_row_a_document(spark):
+    docs = spark.createDataFrame([(1, "Weather: rain")], "doc_id int, text string")
+    record = spark.createDataFrame([(1, "weather", "Unknown")], "doc_id int, field_id string, value string")
+    filled = enrich.contextual_fill(record, docs, enrich.POLICE_FILLS)
+    assert "Generate" not in plan_of(filled) and [r.value for r in filled.collect()] == ["rain"]
+
+
+def test_texts_without_pipes_are_not_read_for_tables(spark):
+    docs = spark.createDataFrame([(1, "| a |\n| b |"), (2, "a")], "doc_id int, text string")
+    assert "Contains(text" in plan_of(texts.table_rows(docs)) and texts.table_rows(docs).count() == 2
