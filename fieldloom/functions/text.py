@@ -142,9 +142,14 @@ def _table_lines(text: Column, then: Callable[[Column], Column]) -> Column:
     table, the line before its table, and the last separator so far."""
 
     def line(x: Column, i: Column) -> Column:
-        row = F.when(x.contains("|") & ~x.startswith("|") & x.endswith("|"), F.substring(x, F.instr(x, "|"), F.length(x))).otherwise(x)
-        cells = F.transform(F.split(F.regexp_replace(row, r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
-        return F.struct(i.alias("at"), F.when(row.rlike(r"^\|.*\|$"), cells).alias("cells"), row.rlike(r"^\|[\s\-|]+\|$").alias("is_rule"))
+        row = F.when(x.endswith("|") & ~x.startswith("|"), F.substring(x, F.instr(x, "|"), F.length(x))).otherwise(x)
+
+        def read(row: Column) -> Column:
+            is_row = row.startswith("|") & row.rlike(r"^\|.*\|$")
+            cells = F.transform(F.split(F.regexp_replace(row, r"^\||\|$", ""), r"\|", -1), lambda c: F.trim(c))
+            return F.struct(i.alias("at"), F.when(is_row, cells).alias("cells"), (row.startswith("|") & row.rlike(r"^\|[\s\-|]+\|$")).alias("is_rule"))
+
+        return once(row, read)
 
     def placed(rows: Column) -> Column:
         starts = latest(F.transform(rows, lambda r: F.when(r["cells"].isNull(), r["at"]).otherwise(-1)))
@@ -160,7 +165,8 @@ def _table_lines(text: Column, then: Callable[[Column], Column]) -> Column:
 def table_rows(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(doc_id, line_no, table_no, body, cells): rows of pipe tables; ``body`` after the separator row.  Lines stay in their row."""
     rows = _table_lines(F.col("text"), lambda lines: F.filter(lines, lambda r: r["cells"].isNotNull() & ~r["is_rule"]))
-    return docs.select(key, F.explode(rows).alias("r")).select(key, F.col("r.at").alias("line_no"), F.col("r.start").alias("table_no"), "r.body", "r.cells")
+    with_pipes = docs.where(F.contains("text", F.lit("|")))  # no other text has a row
+    return with_pipes.select(key, F.explode(rows).alias("r")).select(key, F.col("r.at").alias("line_no"), F.col("r.start").alias("table_no"), "r.body", "r.cells")
 
 
 def flatten_tables(docs: DataFrame, key: str = "doc_id") -> DataFrame:
