@@ -53,7 +53,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -324,14 +324,14 @@ def components(links: DataFrame, many: bool = True) -> DataFrame:
     edges = reliable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         least, hot = with_hot_keys(least, "u", possible=many)
-        large = spread_join(both.where("v > u"), least.drop("n"), "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))  # the second of an edge is the smaller one
+        large = spread_join(larger, least.drop("n"), "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Every node of a large star has smaller neighbours only, and few of them: the smallest of each star it was in.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), F.col("u"), "m")
-        small = small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        large = large.repartition("u").distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = large.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         edges = reliable(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

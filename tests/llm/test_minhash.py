@@ -1,6 +1,9 @@
 import math
+import pathlib
 import random
 
+from pyspark.sql import functions as F
+
 from fieldloom.llm import common, minhash_forest
 
 
@@ -146,3 +149,13 @@ def test_rows_carry_signatures_once_and_texts_meet_the_needed_classes_only(spark
         assert bytes(r.sketch) == bytes(r.signature)[3::4] and len(r.sketch) == minhash_forest.LANES
     own = minhash_forest.texts_of(docs, classes.drop("signature", "sketch"), spark.createDataFrame([(1,), (4,)], "cls long"))
     assert {(r.cls, r.text) for r in own.collect()} == {(1, "a b c d e1"), (4, "a b c d e4")}
+
+
+def test_what_was_shuffled_for_a_checkpoint_goes_with_it(spark):
+    files = lambda: set(pathlib.Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*"))
+    sums = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("s"))
+    before, setting = files(), spark.conf.get(common.TIDY)
+    got = common.reliable(sums.join(sums.select("k", F.col("s").alias("t")), "k"))
+    assert not files() - before
+    assert spark.conf.get(common.TIDY) == setting
+    assert {(r.k, r.s, r.t) for r in got.collect()} == {(k, s, s) for k in range(10) for s in [sum(range(k, 1000, 10))]}
