@@ -120,6 +120,25 @@ def test_importance_equals_plain_entropies(spark):
         assert got[place].content == pytest.approx(1 - (sum(entropy(c.values(), m) for c in features.values()) / len(features) if features else 0), abs=1e-9)
 
 
+def test_tree_holds_what_the_markup_takes_out_and_keeps_what_matters(spark):
+    rnd = random.Random(3)
+    say = lambda k: " ".join(f"w{rnd.randrange(900)}" for _ in range(k))
+    rows, want = [], {}
+    for i in range(12):
+        story, own, deep = [say(40) for _ in range(4)], say(3), say(3)
+        letter = "<div class=zz>Write to us every day<form><p>Your address</p></form></div>"  # only a form beside a text that all pages repeat
+        mixed = f"<div class=yy>{own}{'<p>All pages say so</p><div>And so</div>' * 6}</div>"
+        nested = f"<div class=n>{'<div>' * 14}{deep}{'</div>' * 14}</div>"
+        rows.append((i, "http://whole.example.com/", f"<body><nav class=m><ul><li>Home</ul></nav><article><h1>{say(4)}</h1><p>{'</p><p>'.join(story)}</p>{letter}{mixed}{nested}</article>", "", ""))
+        want[i] = [*story, own, deep]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i, parts in want.items():
+        assert got[i].split(" ", 4)[4] == " ".join(parts)
+    reader = site_tree.Reader()
+    places = {r.place for r in site_tree.style_trees(spark.createDataFrame([(*r[:4], "h") for r in rows], PAGES)).collect()}
+    assert {n.place for n in reader.read(rows[0][2]).nodes[1:]} == places
+
+
 def test_empty_table(spark):
     assert site_tree.extract(spark.createDataFrame([], PAGES)).count() == 0
 
