@@ -89,13 +89,18 @@ def nearby_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, blocks): the labelled lines of the forms as blocks on a grid, in reading order: labels at 50 points, values at 200.  Blocks are made in their document's row."""
 
-    def parts(x: Column) -> Column:
-        at, page = 700 - 14 * (x["no"] % 45), (F.floor(x["no"] / 45) + 1).cast("int")
-        part = lambda i, left: F.struct(page.alias("page"), (x["no"] * 2 + i).alias("reading_order"), F.concat_ws("-", F.lit(str(i)), x["no"]).alias("block_id"), F.split(x["line"], ": ", 2)[i].alias("text"), box(F.lit(left), at + 10, F.lit(left + 100), at).alias("bbox"), F.lit("text").alias("label"))
-        return F.array(part(0, 50), part(1, 200))
+    # The boxes of a page's 45 lines.
+    grid = {left: F.array(*[box(F.lit(left), F.lit(710 - 14 * n), F.lit(left + 100), F.lit(700 - 14 * n)) for n in range(45)]) for left in (50, 200)}
 
-    tidy = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("no"), F.regexp_replace(x, r"^\s+|\s+$", "").alias("line")))
-    labelled = F.filter(tidy, lambda x: x["line"].rlike("^[^:]+: "))
+    def parts(x: Column) -> Column:
+        page = (F.floor(x["no"] / 45) + 1).cast("int")
+        part = lambda i, left, text: F.struct(page.alias("page"), (x["no"] * 2 + i).alias("reading_order"), F.concat(F.lit(f"{i}-"), x["no"].cast("string")).alias("block_id"), text.alias("text"), F.get(grid[left], x["no"] % 45).alias("bbox"), F.lit("text").alias("label"))
+        return F.array(part(0, 50, F.substring(x["line"], F.lit(1), x["colon"] - 1)), part(1, 200, F.substring(x["line"], x["colon"] + 2, F.length(x["line"]))))
+
+    # Lines of a label are those whose first colon stands behind something and before a blank; patterns would cost several times as much.
+    tidy = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    lines = F.transform(tidy, lambda x, i: F.struct(i.alias("no"), x.alias("line"), F.locate(":", x).alias("colon")))
+    labelled = F.filter(lines, lambda x: (x["colon"] > 1) & (F.substring(x["line"], x["colon"] + 1, F.lit(1)) == " "))
     return order_forms(spark, sf_dir).select("doc_id", F.flatten(F.transform(labelled, parts)).alias("blocks"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import entities as ent
 from fieldloom.functions import text as texts
-from fieldloom.operators import enrich, generic, report
+from fieldloom.operators import enrich, generic, layout, report
 from fieldloom.operators.candidates import Strategy, generate
 from fieldloom.plans import forms
 
@@ -59,3 +59,18 @@ def test_fills_move_one_row_a_document(spark):
 def test_texts_without_pipes_are_not_read_for_tables(spark):
     docs = spark.createDataFrame([(1, "| a |\n| b |"), (2, "a")], "doc_id int, text string")
     assert "Contains(text" in plan_of(texts.table_rows(docs)) and texts.table_rows(docs).count() == 2
+
+
+def test_most_blocks_meet_no_expression_of_their_own(spark):
+    around = [("b", 60.0, 100.0, 160.0, 90.0), ("c", 300.0, 101.0, 400.0, 91.0), ("d", 60.0, 80.0, 160.0, 70.0), ("e", 60.0, 100.0, None, 90.0), ("f", 60.0, 101.0, 160.0, None)]
+    blocks = [(1, i, i, dict(zip("ltrb", box, strict=True)), page, "text", n) for page in (1, 2) for n, (i, *box) in enumerate(around)]
+    rows = spark.createDataFrame([(1, "a", "Date", {"l": 0.0, "t": 100.0, "r": 50.0, "b": 90.0}, 1, "text", 0), *blocks], "doc_id int, block_id string, text string, bbox struct<l:double,t:double,r:double,b:double>, page int, label string, reading_order int")
+    spec = layout.SpatialLabel
+    found = layout.spatial_values(
+        rows, spec("right", ("^DATE$",), radius=400.0, flags=("IGNORECASE",)), spec("last", ("(Date)",), radius=400.0, choose="rightmost"), spec("below", ("date",), "below", 100.0, match="literal"),
+        spec("none", ("Date",), radius=10.0, match="exact"), spec("self", ("no", "D.te"), "self"),
+    )
+    # A box without a bottom is a line; one without a right side has no centre and lies nowhere.
+    assert {r.field_id: (r.value, r.page, r.label_distance) for r in found.collect()} == {"right": ("b", 1, 85.0), "last": ("c", 1, (325.0**2 + 1) ** 0.5), "below": ("d", 1, (85.0**2 + 20.0**2) ** 0.5), "self": ("Date", 1, 0.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and "filter(blocks" not in plan
