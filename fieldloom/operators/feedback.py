@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.spans import once
 from ..functions.text import table_rows
 from ..functions.values import MISSING
 from .templates import MOST_ROWS, checked
@@ -180,9 +181,9 @@ def alias_lists(learned: DataFrame, most: int = MOST_ROWS) -> dict[str, list[str
     return out
 
 
-def quoted(text: str = "label"):
+def quoted(text: Column) -> Column:
     """A text as a literal inside a pattern."""
-    return F.regexp_replace(F.col(text), r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1")
+    return F.regexp_replace(text, r"([\\.\[\]{}()*+?^$|#&~\-])", r"\\$1")
 
 
 def learn_patterns(corrections: DataFrame, raw: DataFrame, known: DataFrame | None = None, learnable: tuple[str, ...] = LEARNABLE) -> DataFrame:
@@ -199,9 +200,11 @@ def learn_patterns(corrections: DataFrame, raw: DataFrame, known: DataFrame | No
 def pattern_hits(corrections: DataFrame, raw: DataFrame, learnable: tuple[str, ...] = LEARNABLE) -> DataFrame:
     """(field_name, pattern, new_value, doc_id, id) of every correction that teaches a pattern; repeats come again."""
     fit = corrections.where(F.lower(F.trim("original_value")).isin(*MISSING) & (F.trim("new_value") != "") & F.col("field_name").isin(*learnable))
-    rows = fit.join(raw.select("doc_id", "text"), "doc_id").withColumn("at", F.call_function("locate", F.lower("new_value"), F.lower("text"))).where("at > 0")
-    before = F.substring(F.col("text"), F.greatest(F.col("at") - 60, F.lit(1)), F.least(F.col("at") - 1, F.lit(60)))
-    lines = F.filter(F.transform(F.split(before, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = rows.withColumn("label", F.trim(F.regexp_replace(F.try_element_at(lines, F.lit(-1)), r"[\s:\-]+$", ""))).where(F.length("label").between(3, 60) & ~F.col("label").rlike(r"^\d"))
-    rows = rows.withColumn("pattern", F.concat(F.lit("(?i)"), quoted(), F.lit(r"[\s:*\-]{0,5}(.{3,80})(?:\n|$)"))).where(F.expr("rlike(text, pattern)"))
-    return rows.select("field_name", "pattern", "new_value", "doc_id", "id")
+    at = F.call_function("locate", F.lower("new_value"), F.lower("text"))
+    lines = lambda before: F.filter(F.transform(F.split(before, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    label = lambda at: F.trim(F.regexp_replace(F.try_element_at(lines(F.substring(F.col("text"), F.greatest(at - 60, F.lit(1)), F.least(at - 1, F.lit(60)))), F.lit(-1)), r"[\s:\-]+$", ""))
+    pattern = lambda x: F.when(F.length(x).between(3, 60) & ~x.rlike(r"^\d"), F.concat(F.lit("(?i)"), quoted(x), F.lit(r"[\s:*\-]{0,5}(.{3,80})(?:\n|$)")))
+    matching = lambda p: F.when(F.rlike(F.col("text"), p), p)
+    # Each step is computed once for a row; as filters the steps would be computed again in every later one.
+    found = once(at, lambda a: F.when(a > 0, once(once(label(a), pattern), matching)))
+    return fit.join(raw.select("doc_id", "text"), "doc_id").select("field_name", F.explode(F.array_compact(F.array(found))).alias("pattern"), "new_value", "doc_id", "id")

@@ -61,6 +61,14 @@ def valid_pattern(pattern: str) -> bool:
     return True
 
 
+def checked_rows(df: DataFrame, most: int = MOST_ROWS) -> list:
+    """The rows of :func:`checked`, computed once."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a template or lookup table has more than {most} rows")
+    return rows
+
+
 def checked(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """``df`` if it has at most ``most`` rows: what may be broadcast has a proven bound."""
     if len(df.limit(most + 1).select(F.lit(1)).collect()) > most:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import entities as ent
 from fieldloom.functions import text as texts
-from fieldloom.operators import enrich, generic, layout, report
+from fieldloom.operators import enrich, feedback, generic, layout, report
 from fieldloom.operators.candidates import Strategy, generate
 from fieldloom.plans import forms
 
@@ -74,3 +74,21 @@ def test_most_blocks_meet_no_expression_of_their_own(spark):
     assert {r.field_id: (r.value, r.page, r.label_distance) for r in found.collect()} == {"right": ("b", 1, 85.0), "last": ("c", 1, (325.0**2 + 1) ** 0.5), "below": ("d", 1, (85.0**2 + 20.0**2) ** 0.5), "self": ("Date", 1, 0.0)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2 and "filter(blocks" not in plan
+
+
+def test_texts_are_searched_for_unfilled_fields_only(spark):
+    docs = spark.createDataFrame([(1, "Weather: rain\nAgency: Blue")], "doc_id int, text string")
+    record = spark.createDataFrame([(1, "weather", "Unknown"), (1, "agency", None), (1, "officer", "N/A"), (2, "weather", "Unknown")], "doc_id int, field_id string, value string")
+    learned = spark.createDataFrame([("agency", 1, "Agency: (.{2,80})")], "field_name string, pattern_id int, pattern string")
+    filled = enrich.learned_and_contextual_fill(record, docs, learned, enrich.POLICE_FILLS)
+    assert sorted(map(tuple, filled.collect())) == [(1, "agency", "Blue"), (1, "officer", "N/A"), (1, "weather", "rain"), (2, "weather", "Unknown")]
+    plan = plan_of(filled)
+    assert plan.rindex("regexp_extract(") < plan.index("Join")  # the plan is written from its end: no search before the record is there
+
+
+def test_each_step_of_learning_is_computed_once(spark):
+    docs = spark.createDataFrame([(1, "Agency: Blue\n"), (2, "Blue"), (3, "7 x: Blue"), (4, "Agency Blue and"), (5, "Agency Bluebell")], "doc_id int, text string")
+    corrections = spark.createDataFrame([(i, i, "agency", "N/A", "blue") for i in range(1, 6)], "id int, doc_id int, field_name string, original_value string, new_value string")
+    found = feedback.pattern_hits(corrections, docs)
+    assert sorted((r.doc_id, r.pattern) for r in found.collect()) == [(i, r"(?i)Agency[\s:*\-]{0,5}(.{3,80})(?:\n|$)") for i in (1, 4, 5)]
+    assert plan_of(found).count("locate(") == 1 and plan_of(found).count("RLIKE") == 2
